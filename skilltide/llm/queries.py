@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from .byte_bpe import op7_byte_bpe
+from .chat_format import OP1_SQL, op1_chat_format
+from .decontaminate import op3_decontaminate
+from .jaccard_join import op5_jaccard_join
 from .token_counts import op10_token_counts
+from .token_files import op4_token_files
 
-QUERIES = {f.__name__: f for f in (op7_byte_bpe, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_decontaminate, op4_token_files, op5_jaccard_join, op7_byte_bpe, op10_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL}
