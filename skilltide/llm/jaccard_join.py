@@ -29,6 +29,8 @@ from .words import VISIBLE, mix, shingles, words
 SHINGLE, THRESHOLD = 4, 85
 #: Buckets of the frequency estimate, and the most shared shingles that a prefix may ask for.
 SKETCH, MATCHES = 1 << 18, 4
+#: Shingles sorted at a time for the estimate.
+HELD = 2_000_000
 #: Cost of verifying a candidate, in postings read.
 VERIFY = 8
 
@@ -63,20 +65,28 @@ def set_keys(docs: DataFrame, size: int) -> DataFrame:
 def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
     """Estimated number of documents by bucket of shingles, from all documents.
 
-    Shingles in one document only of those that a task reads are left out of the sums, else
-    the many rare ones would fill the buckets. The estimate sets an order; results never depend on it.
+    Shingles in one document only of the HELD that are counted together are left out of the
+    sums, else the many rare ones would fill the buckets. The estimate sets an order; results never depend on it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total, held = np.zeros(SKETCH, np.int64), [np.zeros(0, np.uint64)]
+
+        def count() -> None:
+            both = np.sort(np.concatenate(held))
+            cut = np.flatnonzero(np.concatenate([both[:1] == both[:1], both[1:] != both[:-1]]))
+            n = np.diff(np.append(cut, len(both)))
+            np.add.at(total, (both[cut[n > 1]] % np.uint64(SKETCH)).astype(np.int64), n[n > 1])
+
         for batch in batches:
-            for part in slices(batch, limit=16 << 20):
-                both = np.sort(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(blobs(part), size)]))
-                cut = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
-                n = np.diff(np.append(cut, len(both)))
-                total += np.bincount((both[cut[n > 1]] % np.uint64(SKETCH)).astype(np.int64), n[n > 1], SKETCH).astype(np.int64)
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], names=["bucket", "n"])
+            for part in slices(batch):
+                held += shingle_sets(blobs(part), size)
+                if sum(map(len, held)) > HELD:
+                    count()
+                    held = [np.zeros(0, np.uint64)]
+        count()
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["bucket", "n"])
 
     rows = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SKETCH, np.int64)
