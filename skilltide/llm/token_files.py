@@ -25,48 +25,103 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices, staged, table, texts
+from .common import blobs, slices, staged, table
+from .words import VISIBLE, span_hash, sums, words
 
 BLOCK, STRIDE = 1 << 16, 128
-#: Words of which a worker keeps the ids.
-HELD = 500_000
+#: Units of which a worker keeps the ids, of about 30 bytes each; results do not depend on it.
+HELD = 3_000_000
 _held: dict[str, WordIds] = {}
 
 
 class WordIds:
-    """Encodes texts with the tokenizers library, each distinct run between spaces once.
+    """Encodes texts with the tokenizers library, each distinct unit once per worker.
 
-    Only for tokenizers in which no token reaches over a space or line feed.
+    For tokenizers that lower-case, in which no token reaches over a space or line feed, nor from
+    an ASCII letter to a full stop or comma, and in which tokens with END end a run of letters. A
+    unit is a word between white space, or such a word without its last full stop or comma, or that
+    sign. Units are known by 64-bit hashes in sorted arrays. New ones of letters only are encoded
+    many in one text; others alone. Texts with ``<|`` may hold special strings and go whole.
     """
 
+    END = "</w>"
+
     def __init__(self, path: str, held: int = HELD) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.ids: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(self.END)]] = True
         self.held = held
-
-    def encode(self, batch_texts: list[str], end: int) -> list[bytes]:
-        """The ids of each text and the end id, as bytes."""
-        split = [t.replace("\n", " ").split(" ") for t in batch_texts]
-        distinct = set().union(*split)
-        new = [w for w in distinct if w not in self.ids]
-        if len(self.ids) + len(new) > self.held:
-            self.ids.clear()
-            new = list(distinct)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            flat = np.array([x for ids in found for x in ids], self.dtype).tobytes()
-            at = 0
-            for word, ids in zip(part, found, strict=True):
-                size = len(ids) * self.dtype.itemsize
-                self.ids[word] = flat[at : at + size]
-                at += size
-        last = np.array([end], self.dtype).tobytes()
-        get = self.ids.__getitem__
-        return [b"".join(map(get, words)) + last for words in split]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1024, np.uint32), 0
+
+    def _alone(self, units: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units behind each other, and how many each has."""
+        plain = np.array([u.isalpha() for u in units], bool)
+        letters, others = [u for u in units if u.isalpha()], [u for u in units if not u.isalpha()]
+        ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids if letters else [], np.int64)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(letters) or len(ids) and last[-1] != len(ids) - 1:  # a letter that is not one in lower case
+            found = self._alone(letters)
+            ids, last = np.array([i for x in found for i in x], np.int64), np.cumsum([len(x) for x in found]) - 1
+        found = self._alone(others)
+        size = np.zeros(len(units), np.int64)
+        size[plain], size[~plain] = np.diff(np.append(-1, last)), [len(x) for x in found]
+        out = np.zeros(size.sum(), np.int64)
+        of_plain = np.repeat(plain, size)
+        out[of_plain], out[~of_plain] = ids, [i for x in found for i in x]
+        return out, size
+
+    def _learn(self, hashes: np.ndarray, spans: list[tuple[int, int]], data: bytes) -> None:
+        for at in range(0, len(hashes), 20_000):
+            ids, size = self._encode([data[a:b].decode() for a, b in spans[at : at + 20_000]])
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            new = hashes[at : at + 20_000]
+            place = np.searchsorted(self.keys, new)
+            self.start = np.insert(self.start, place, self.used + np.cumsum(size) - size)
+            self.size = np.insert(self.size, place, size)
+            self.keys = np.insert(self.keys, place, new)
+            self.used += len(ids)
+
+    def encode(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts behind each other, and how many each has."""
+        whole = {i: self._alone([b.decode()])[0] for i, b in enumerate(data) if b"<|" in b}
+        found = words([b"" if i in whole else b for i, b in enumerate(data)], VISIBLE)
+        mark = found.data[found.ends - 1]
+        before = found.data[np.maximum(found.ends - 2, 0)]
+        cut = ((mark == 46) | (mark == 44)) & (found.ends - found.starts > 1) & (before >= 97) & (before <= 122)
+        starts = np.concatenate([found.starts, found.ends[cut] - 1])
+        ends = np.concatenate([found.ends - cut, found.ends[cut]])
+        owner = np.concatenate([found.owner, found.owner[cut]])
+        order = np.argsort(starts, kind="stable")
+        starts, ends, owner = starts[order], ends[order], owner[order]
+        units, first, which = np.unique(span_hash(sums(found.data), starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) + len(units) > self.held:
+            self._forget()
+        at = np.searchsorted(self.keys, units)
+        new = np.flatnonzero(at == len(self.keys)) if not len(self.keys) else np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != units)
+        if len(new):
+            self._learn(units[new], list(zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)), found.data.tobytes())
+            at = np.searchsorted(self.keys, units)
+        size = self.size[at][which]
+        last = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[at][which] - last + size, size) + np.arange(last[-1] if len(last) else 0)]
+        counts = np.bincount(owner, size, len(data)).astype(np.int64)
+        if whole:
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            parts = [np.array(whole.get(i, p), np.uint32) for i, p in enumerate(parts)]
+            ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, counts
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end: int = 1) -> tuple[DataFrame, str]:
@@ -81,10 +136,12 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end: int = 1) -> tuple[DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _held.get(tokenizer_path) or _held.setdefault(tokenizer_path, WordIds(tokenizer_path))
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, last = TaskContext.get().partitionId(), 0, np.array([end], dtype).tobytes()
         for batch in batches:
             for piece in slices(batch):
-                ids = encoder.encode(texts(piece), end)
+                found, counts = encoder.encode(blobs(piece))
+                flat, cuts = found.astype(dtype), np.cumsum(np.append(0, counts))
+                ids = [flat[a:b].tobytes() + last for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part), pa.int32()), pa.array(np.arange(seq, seq + len(ids)), pa.int64()), piece.column("doc_id"), pa.array(ids, pa.binary())], names=["part", "seq", "doc_id", "ids"])
                 seq += len(ids)
 

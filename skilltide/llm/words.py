@@ -63,6 +63,10 @@ class Words:
     hashes: np.ndarray
     owner: np.ndarray
     first: np.ndarray
+    #: The lower-case bytes of all texts with spaces between, and where words start and end in them.
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
 
 
 def words(blobs: list[bytes], inside: np.ndarray) -> Words:
@@ -72,7 +76,7 @@ def words(blobs: list[bytes], inside: np.ndarray) -> Words:
     starts, ends = edges[::2], edges[1::2]
     begins = np.cumsum([1] + [len(b) + 1 for b in blobs])
     first = np.searchsorted(starts, begins)
-    return Words(span_hash(sums(data), starts, ends), np.repeat(np.arange(len(blobs)), np.diff(first)), first)
+    return Words(span_hash(sums(data), starts, ends), np.repeat(np.arange(len(blobs)), np.diff(first)), first, data, starts, ends)
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
