@@ -13,7 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 STEP_BYTES = 1 << 20
 
 
+#: Rows in an Arrow batch: texts can be long, and batches of the default 10,000 take much memory.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -14,6 +14,7 @@ The blocks' order is that of (part, seq), and that is ascending doc_id order.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import blobs, slices, staged, table
-from .words import VISIBLE, span_hash, sums, words
+from .words import VISIBLE, span_hash, words
 
 BLOCK, STRIDE = 1 << 16, 128
 #: Units of which a worker keeps the ids, of about 30 bytes each; results do not depend on it.
@@ -49,6 +50,7 @@ class WordIds:
     def __init__(self, path: str, held: int = HELD) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -57,8 +59,10 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1024, np.uint32), 0
+        self.near, self.near_at = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64)
 
     def _alone(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
@@ -80,18 +84,21 @@ class WordIds:
         out[of_plain], out[~of_plain] = ids, [i for x in found for i in x]
         return out, size
 
-    def _learn(self, hashes: np.ndarray, spans: list[tuple[int, int]], data: bytes) -> None:
-        for at in range(0, len(hashes), 20_000):
-            ids, size = self._encode([data[a:b].decode() for a, b in spans[at : at + 20_000]])
+    def _rows(self, units: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """The rows of start and size of units, given by ascending hash and place in data; new ones are encoded."""
+        at = np.searchsorted(self.keys, units)
+        new = np.flatnonzero(np.append(self.keys, 0)[at] != units) if len(self.keys) else np.arange(len(units))
+        if len(new):
+            raw = data.tobytes()
+            ids, size = self._encode([raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             self.flat[self.used : self.used + len(ids)] = ids
-            new = hashes[at : at + 20_000]
-            place = np.searchsorted(self.keys, new)
-            self.start = np.insert(self.start, place, self.used + np.cumsum(size) - size)
-            self.size = np.insert(self.size, place, size)
-            self.keys = np.insert(self.keys, place, new)
+            self.keys, self.row = np.insert(self.keys, at[new], units[new]), np.insert(self.row, at[new], len(self.size) + np.arange(len(new)))
+            self.start, self.size = np.concatenate([self.start, self.used + np.cumsum(size) - size]), np.concatenate([self.size, size])
             self.used += len(ids)
+            at = np.searchsorted(self.keys, units)
+        return self.row[at]
 
     def encode(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts behind each other, and how many each has."""
@@ -105,17 +112,19 @@ class WordIds:
         owner = np.concatenate([found.owner, found.owner[cut]])
         order = np.argsort(starts, kind="stable")
         starts, ends, owner = starts[order], ends[order], owner[order]
-        units, first, which = np.unique(span_hash(sums(found.data), starts, ends), return_index=True, return_inverse=True)
+        hashes = span_hash(found.sums, starts, ends)
+        slot = (hashes >> np.uint64(48)).astype(np.int64)  # frequent units are found in a small table first
+        row = np.where(self.near[slot] == hashes, self.near_at[slot], -1)
+        rare = np.flatnonzero(row < 0)
+        units, first, which = np.unique(hashes[rare], return_index=True, return_inverse=True)
         if len(self.keys) + len(units) > self.held:
             self._forget()
-        at = np.searchsorted(self.keys, units)
-        new = np.flatnonzero(at == len(self.keys)) if not len(self.keys) else np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != units)
-        if len(new):
-            self._learn(units[new], list(zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)), found.data.tobytes())
-            at = np.searchsorted(self.keys, units)
-        size = self.size[at][which]
+            return self.encode(data)
+        row[rare] = self._rows(units, starts[rare[first]], ends[rare[first]], found.data)[which]
+        self.near[slot[rare]], self.near_at[slot[rare]] = hashes[rare], row[rare]
+        size = self.size[row]
         last = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[at][which] - last + size, size) + np.arange(last[-1] if len(last) else 0)]
+        ids = self.flat[np.repeat(self.start[row] - last + size, size) + np.arange(last[-1] if len(last) else 0)]
         counts = np.bincount(owner, size, len(data)).astype(np.int64)
         if whole:
             parts = np.split(ids, np.cumsum(counts)[:-1])

@@ -67,6 +67,8 @@ class Words:
     data: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
+    #: Prefix sums of data, for span_hash().
+    sums: np.ndarray
 
 
 def words(blobs: list[bytes], inside: np.ndarray) -> Words:
@@ -76,7 +78,8 @@ def words(blobs: list[bytes], inside: np.ndarray) -> Words:
     starts, ends = edges[::2], edges[1::2]
     begins = np.cumsum([1] + [len(b) + 1 for b in blobs])
     first = np.searchsorted(starts, begins)
-    return Words(span_hash(sums(data), starts, ends), np.repeat(np.arange(len(blobs)), np.diff(first)), first, data, starts, ends)
+    held = sums(data)
+    return Words(span_hash(held, starts, ends), np.repeat(np.arange(len(blobs)), np.diff(first)), first, data, starts, ends, held)
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
