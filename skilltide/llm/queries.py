@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+from .ann_tree import op6_ann_tree
 from .byte_bpe import op7_byte_bpe
 from .chat_format import OP1_SQL, op1_chat_format
 from .decontaminate import op3_decontaminate
+from .html_text import op8_html_text
 from .jaccard_join import op5_jaccard_join
+from .language_id import op9_language_id
+from .suffix_dedup import op2_suffix_dedup
 from .token_counts import op10_token_counts
 from .token_files import op4_token_files
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_decontaminate, op4_token_files, op5_jaccard_join, op7_byte_bpe, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_format,
+        op2_suffix_dedup,
+        op3_decontaminate,
+        op4_token_files,
+        op5_jaccard_join,
+        op6_ann_tree,
+        op7_byte_bpe,
+        op8_html_text,
+        op9_language_id,
+        op10_token_counts,
+    )
+}
 ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL}
