@@ -1,10 +1,11 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-Sets of equal content are one class. A class of n shingles that links to another shares at
-least a = ceil(t * n) of them, whichever the other is; with shingles in one global order, rare
-ones first, the first n - a + k shingles of two linked classes share k or more. Each class picks
-its own k by estimated cost, candidates against the postings that a longer prefix reads, and a
-pair has to share as many prefix shingles as the smaller k of both before it is verified.
+Sets of equal content are one class. Classes of n and m shingles that link share at least
+a = ceil(t / (1 + t) * (n + m)) of them, and at least ceil(t * n) whatever m is. With shingles in
+one global order, rare ones first, the first n - a + k of one and m - a + k of the other then
+share k or more. Each class posts as many as any partner may need. It picks its own k by estimated
+cost, candidates against the postings that a longer prefix reads, and a pair has to share as many
+shingles of the prefixes for its own sizes as the smaller k of both before it is verified.
 
 Copies of one text with small changes make long postings. So verification comes in two rounds:
 each class against the first class of each of its postings, one candidate for each row; then,
@@ -28,7 +29,7 @@ from .words import VISIBLE, mix, shingles, words
 
 SHINGLE, THRESHOLD = 4, 85
 #: Buckets of the frequency estimate, and the most shared shingles that a prefix may ask for.
-SKETCH, MATCHES = 1 << 18, 4
+SKETCH, MATCHES = 1 << 18, 8
 #: Shingles sorted at a time for the estimate.
 HELD = 2_000_000
 #: Cost of verifying a candidate, in postings read.
@@ -165,20 +166,23 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     classes = staged(classes, "classes")
     reps = classes.select(F.col("rep").alias("doc_id"))
     rows = prefixes(docs, size, threshold).join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = staged(rows.select(F.col("doc_id").alias("rep"), "n", "k", F.explode("prefix").alias("token")), "postings")
-    heads = rows.groupBy("token").agg(F.min(F.struct("rep", "n", "k")).alias("h"), F.max("rep").alias("last")).where("h.rep < last")
+    rows = staged(rows.select(F.col("doc_id").alias("rep"), "n", "k", F.posexplode("prefix").alias("i", "token")), "postings")
+    heads = rows.groupBy("token").agg(F.min(F.struct("rep", "n", "k", "i")).alias("h"), F.max("rep").alias("last")).where("h.rep < last")
     shared = staged(rows.join(heads.select("token", "h"), "token"), "shared-postings")
 
-    fits = "100 * least(n, n2) >= {0} * greatest(n, n2)".format(int(threshold))
-    star = shared.where("rep > h.rep").select(F.col("rep").alias("a"), F.col("h.rep").alias("b"), F.least("k", "h.k").alias("k"), "n", F.col("h.n").alias("n2")).where(fits)
+    # of sizes that can link, and the token in the prefixes that a pair of these sizes needs
+    least = f"({threshold} * (n + n2) + {99 + threshold}) div {100 + threshold} - least(k, k2)"
+    fits = f"100 * least(n, n2) >= {threshold} * greatest(n, n2) AND i < n - ({least}) AND i2 < n2 - ({least})"
+    star = shared.where("rep > h.rep").select(F.col("rep").alias("a"), "n", "k", "i", F.col("h.rep").alias("b"), F.col("h.n").alias("n2"), F.col("h.k").alias("k2"), F.col("h.i").alias("i2")).where(fits)
+    star = star.withColumn("k", F.least("k", "k2"))
     star = star.groupBy("a", "b").agg(F.count("*").alias("m"), F.first("k").alias("k")).where("m >= k").select("a", "b")
     links = staged(verified(star, docs, size, threshold), "links")
 
     own = components(links)
-    held = shared.join(own.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep")).select("token", "rep", "n", "k", "c")
+    held = shared.join(own.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep")).select("token", "rep", "n", "k", "i", "c")
     mixed = held.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("token")
     held = staged(held.join(mixed, "token", "left_semi"), "mixed-postings")
-    other = held.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("c").alias("c2"))
+    other = held.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("i").alias("i2"), F.col("c").alias("c2"))
     met = held.join(other, "token").where("rep < rep2 AND c <> c2").where(fits)
     met = met.groupBy("rep", "rep2").agg(F.count("*").alias("m"), F.first(F.least("k", "k2")).alias("k")).where("m >= k")
     more = verified(staged(met.select(F.col("rep").alias("a"), F.col("rep2").alias("b")), "candidates"), docs, size, threshold)
