@@ -39,19 +39,21 @@ class WordIds:
     """Encodes texts with the tokenizers library, each distinct unit once per worker.
 
     For tokenizers that lower-case, in which no token reaches over a space or line feed, nor from
-    an ASCII letter to a full stop or comma, and in which tokens with END end a run of letters. A
-    unit is a word between white space, or such a word without its last full stop or comma, or that
-    sign. Units are known by 64-bit hashes in sorted arrays. New ones of letters only are encoded
-    many in one text; others alone. Texts with ``<|`` may hold special strings and go whole.
+    an ASCII letter or digit to a sign behind it, and in which tokens with END end a run of
+    letters. A unit is a word between white space, or such a word without the signs that end it,
+    or these signs. Units are known by 64-bit hashes in sorted arrays. New ones of a-z only, of
+    which the normalizer and the byte level change nothing, are encoded many in one text, without
+    those two; others alone. Texts with ``<|`` may hold special strings and go whole.
     """
 
     END = "</w>"
 
     def __init__(self, path: str, held: int = HELD) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(self.END)]] = True
@@ -64,33 +66,42 @@ class WordIds:
         self.flat, self.used = np.zeros(1024, np.uint32), 0
         self.near, self.near_at = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64)
 
-    def _alone(self, units: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-
-    def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _alone(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of units behind each other, and how many each has."""
-        plain = np.array([u.isalpha() for u in units], bool)
-        letters, others = [u for u in units if u.isalpha()], [u for u in units if not u.isalpha()]
-        ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids if letters else [], np.int64)
-        last = np.flatnonzero(self.ends[ids])
-        if len(last) != len(letters) or len(ids) and last[-1] != len(ids) - 1:  # a letter that is not one in lower case
-            found = self._alone(letters)
-            ids, last = np.array([i for x in found for i in x], np.int64), np.cumsum([len(x) for x in found]) - 1
-        found = self._alone(others)
-        size = np.zeros(len(units), np.int64)
-        size[plain], size[~plain] = np.diff(np.append(-1, last)), [len(x) for x in found]
-        out = np.zeros(size.sum(), np.int64)
-        of_plain = np.repeat(plain, size)
-        out[of_plain], out[~of_plain] = ids, [i for x in found for i in x]
-        return out, size
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.int64), np.array([len(ids) for ids in found], np.int64)
+
+    def _lines(self, tokenizer, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As _alone(), for units of letters, many in one text; where one does not end once, the numbers are not of units."""
+        lines = [b" ".join(units[i : i + 200]).decode() for i in range(0, len(units), 200)]
+        ids = np.array([i for e in tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], np.int64)
+        return ids, np.diff(np.append(-1, np.flatnonzero(self.ends[ids])))
+
+    def _encode(self, units: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As _alone(); plain: whether a unit is of a-z only."""
+        kinds = np.where(plain, 0, [2 if is_plain or not u.decode().isalpha() else 1 for u, is_plain in zip(units, plain.tolist(), strict=True)])
+        by_kind = [[u for u, k in zip(units, kinds.tolist(), strict=True) if k == kind] for kind in range(3)]
+        size, out = np.zeros(len(units), np.int64), [np.zeros(0, np.int64)] * 3
+        for kind, tokenizer in enumerate((self.bare, self.tokenizer)):
+            ids, n = self._lines(tokenizer, by_kind[kind])
+            if len(n) != len(by_kind[kind]):  # a letter that is not one in lower case
+                ids, n = self._alone(by_kind[kind])
+            out[kind], size[kinds == kind] = ids, n
+        out[2], size[kinds == 2] = self._alone(by_kind[2])
+        of = np.repeat(kinds, size)
+        ids = np.zeros(len(of), np.int64)
+        for kind in range(3):
+            ids[of == kind] = out[kind]
+        return ids, size
 
     def _rows(self, units: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> np.ndarray:
         """The rows of start and size of units, given by ascending hash and place in data; new ones are encoded."""
         at = np.searchsorted(self.keys, units)
         new = np.flatnonzero(np.append(self.keys, 0)[at] != units) if len(self.keys) else np.arange(len(units))
         if len(new):
-            raw = data.tobytes()
-            ids, size = self._encode([raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            raw, others = data.tobytes(), np.append(0, np.cumsum((data < 97) | (data > 122)))
+            plain = others[ends[new]] == others[starts[new]]
+            ids, size = self._encode([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], plain)
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             self.flat[self.used : self.used + len(ids)] = ids
@@ -100,15 +111,15 @@ class WordIds:
             at = np.searchsorted(self.keys, units)
         return self.row[at]
 
-    def encode(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts behind each other, and how many each has."""
-        whole = {i: self._alone([b.decode()])[0] for i, b in enumerate(data) if b"<|" in b}
-        found = words([b"" if i in whole else b for i, b in enumerate(data)], VISIBLE)
-        mark = found.data[found.ends - 1]
-        before = found.data[np.maximum(found.ends - 2, 0)]
-        cut = ((mark == 46) | (mark == 44)) & (found.ends - found.starts > 1) & (before >= 97) & (before <= 122)
-        starts = np.concatenate([found.starts, found.ends[cut] - 1])
-        ends = np.concatenate([found.ends - cut, found.ends[cut]])
+        whole = {i: self._alone([b])[0] for i, b in enumerate(blobs) if b"<|" in b}
+        found = words([b"" if i in whole else b for i, b in enumerate(blobs)], VISIBLE)
+        data = found.data
+        kept = (data >= 97) & (data <= 122) | (data >= 48) & (data <= 57)
+        last = np.maximum.accumulate(np.where(kept | (data > 127), np.arange(len(data)), 0))[found.ends - 1] + 1  # behind the last that is no sign
+        cut = (last > found.starts) & (last < found.ends) & kept[last - 1]
+        starts, ends = np.concatenate([found.starts, last[cut]]), np.concatenate([np.where(cut, last, found.ends), found.ends[cut]])
         owner = np.concatenate([found.owner, found.owner[cut]])
         order = np.argsort(starts, kind="stable")
         starts, ends, owner = starts[order], ends[order], owner[order]
@@ -119,13 +130,13 @@ class WordIds:
         units, first, which = np.unique(hashes[rare], return_index=True, return_inverse=True)
         if len(self.keys) + len(units) > self.held:
             self._forget()
-            return self.encode(data)
+            return self.encode(blobs)
         row[rare] = self._rows(units, starts[rare[first]], ends[rare[first]], found.data)[which]
         self.near[slot[rare]], self.near_at[slot[rare]] = hashes[rare], row[rare]
         size = self.size[row]
         last = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[row] - last + size, size) + np.arange(last[-1] if len(last) else 0)]
-        counts = np.bincount(owner, size, len(data)).astype(np.int64)
+        counts = np.bincount(owner, size, len(blobs)).astype(np.int64)
         if whole:
             parts = np.split(ids, np.cumsum(counts)[:-1])
             parts = [np.array(whole.get(i, p), np.uint32) for i, p in enumerate(parts)]
@@ -136,6 +147,8 @@ class WordIds:
 def tokenize(docs: DataFrame, tokenizer_path: str, end: int = 1) -> tuple[DataFrame, str]:
     """A stored table of part, seq, doc_id and ids (binary) in ascending doc_id order, and the ids' dtype.
 
+    The first row of each Arrow batch has the batch's counts of ids (counts: binary), a column of its own.
+
     Null texts count as empty, null doc_ids come first, rows of one doc_id go by a hash of the text.
     """
     from tokenizers import Tokenizer
@@ -151,27 +164,32 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end: int = 1) -> tuple[DataFr
                 found, counts = encoder.encode(blobs(piece))
                 flat, cuts = found.astype(dtype), np.cumsum(np.append(0, counts))
                 ids = [flat[a:b].tobytes() + last for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part), pa.int32()), pa.array(np.arange(seq, seq + len(ids)), pa.int64()), piece.column("doc_id"), pa.array(ids, pa.binary())], names=["part", "seq", "doc_id", "ids"])
+                n = np.bincount(flat)
+                held = np.flatnonzero(n)
+                held_counts = np.stack([held, n[held]]).astype("<u4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part), pa.int32()), pa.array(np.arange(seq, seq + len(ids)), pa.int64()), piece.column("doc_id"), pa.array(ids, pa.binary()), pa.array([held_counts] + [None] * (len(ids) - 1), pa.binary())], names=["part", "seq", "doc_id", "ids", "counts"])
                 seq += len(ids)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return staged(rows.mapInArrow(run, f"part int, seq long, doc_id {kind}, ids binary"), "token-ids"), dtype
+    return staged(rows.mapInArrow(run, f"part int, seq long, doc_id {kind}, ids binary, counts binary"), "token-ids"), dtype
 
 
-def count_ids(ids: DataFrame, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+def count_ids(ids: DataFrame, end: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids, ascending, and their counts over all documents; as many rows as the vocabulary at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for piece in slices(batch, "ids"):
-                n = np.bincount(np.frombuffer(b"".join(piece.column("ids").to_pylist()), dtype))
-                total = np.pad(total, (0, max(0, len(n) - len(total))))
-                total[: len(n)] += n
+            for raw in batch.column("counts").to_pylist():
+                held, n = np.frombuffer(raw, "<u4").reshape(2, -1)
+                total = np.pad(total, (0, max(0, (int(held[-1]) + 1 if len(held) else 0) - len(total))))
+                total[held] += n
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], names=["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")
+    counted = ids.select("counts").where("counts IS NOT NULL").mapInArrow(run, "id long, n long")
+    last = ids.agg(F.lit(end).cast("long").alias("id"), F.count("*").alias("n")).where("n > 0")  # each document's end id
+    rows = counted.union(last).groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")
     return rows["id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
@@ -267,9 +285,9 @@ def unpack(blocks: list[tuple[bytes, np.ndarray, int]], decoder: tuple[np.ndarra
     return [out[:, a:b].T.ravel()[:n] for (_, _, n), a, b in zip(blocks, lanes[:-1], lanes[1:], strict=True)]
 
 
-def write(ids: DataFrame, dtype: str, name: str = "token-file") -> tuple[DataFrame, CodeBook]:
+def write(ids: DataFrame, dtype: str, end: int = 1, name: str = "token-file") -> tuple[DataFrame, CodeBook]:
     """Writes tokenize()'s table as blocks in the shared folder; gives the files' rows and their code book."""
-    book = CodeBook.of(*count_ids(ids, dtype))
+    book = CodeBook.of(*count_ids(ids, end))
     shared = ids.sparkSession.sparkContext.broadcast(book)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +312,7 @@ def write(ids: DataFrame, dtype: str, name: str = "token-file") -> tuple[DataFra
             yield block()
 
     kind = ids.schema["doc_id"].dataType.simpleString()
-    rows = ids.mapInArrow(run, f"part int, seq long, doc_ids array<{kind}>, sizes array<long>, checkpoints binary, payload binary")
+    rows = ids.drop("counts").mapInArrow(run, f"part int, seq long, doc_ids array<{kind}>, sizes array<long>, checkpoints binary, payload binary")
     return staged(rows, name, "uncompressed"), book
 
 
