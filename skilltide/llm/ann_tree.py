@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir, staged, table
+from .common import shared_dir, staged, table, tidy
 
 SAMPLE, LEAF, BRANCH = 20_000, 32, 8
 #: Queries that calibrate, the recall they have to reach, and rows in a block of a leaf.
@@ -151,7 +151,7 @@ class Index:
                 leaf = tree.value.assign(_matrix(batch.column("v"))) if batch.num_rows else []
                 yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), batch.column("vec_id"), batch.column("v")], names=["leaf", "vec_id", "v"])
 
-        self.indexed = staged(self.vectors.mapInArrow(run, "leaf long, vec_id long, v array<double>"), "ann-index")
+        self.indexed = staged(self.vectors.mapInArrow(tidy(run), "leaf long, vec_id long, v array<double>"), "ann-index")
         held = {r["leaf"]: r["count"] for r in self.indexed.groupBy("leaf").count().collect()}  # a row for each leaf
         self.held = np.array([held.get(i, 0) for i in range(int(self.tree.leaf.max()) + 1)], np.int64)
 
@@ -166,7 +166,7 @@ class Index:
                 found = [best(own, rows, i, q, k) for q, i in zip(*shared.value, strict=True)] if batch.num_rows else []
                 yield pa.RecordBatch.from_arrays([pa.array([i for (f, _), i in zip(found, shared.value[1], strict=False) for _ in f], pa.int64()), pa.array([x for f, _ in found for x in f], pa.int64()), pa.array([x for _, s in found for x in s], pa.float64()), pa.array([leaf[x] for f, _ in found for x in f.tolist()], pa.int64())], names=["query_id", "vec_id", "score", "leaf"])
 
-        return top(self.indexed.mapInArrow(run, "query_id long, vec_id long, score double, leaf long"), k)
+        return top(self.indexed.mapInArrow(tidy(run), "query_id long, vec_id long, score double, leaf long"), k)
 
     def calibrate(self, queries: DataFrame, recall: float = RECALL, number: int = CALIBRATION) -> int:
         """The least number of leaf visits with which a sample of queries reaches the recall."""
@@ -199,7 +199,7 @@ class Index:
                         leaves.append([x for x in own if held[x]])
                     yield pa.RecordBatch.from_arrays([part.column("query_id"), part.column("v"), pa.array(leaves, pa.list_(pa.int64()))], names=["query_id", "v", "leaves"])
 
-        asked = queries.mapInArrow(route, "query_id long, v array<double>, leaves array<long>").select("query_id", F.col("v").alias("q"), F.explode("leaves").alias("leaf"))
+        asked = queries.mapInArrow(tidy(route), "query_id long, v array<double>, leaves array<long>").select("query_id", F.col("v").alias("q"), F.explode("leaves").alias("leaf"))
         asked = staged(asked, "ann-queries")
         many = {r["leaf"]: r["count"] for r in asked.groupBy("leaf").count().collect()}
         split = {leaf: (max(1, -(-int(held[leaf]) // BLOCK)), -(-n // BLOCK)) for leaf, n in many.items() if held[leaf] > BLOCK or n > BLOCK}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import added, slices, table, texts
+from .common import added, slices, table, texts, tidy
 
 NONE = np.int32(2**31 - 1)
 #: Pre-tokens that a worker keeps, and cells of a tree array worked on at a time.
@@ -193,7 +193,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False
                 yield added(part, ids=_lists(ids, counts), **more)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["ids array<int>"] + ["decoded binary"] * decoded
-    return docs.mapInArrow(run, ", ".join(fields))
+    return docs.mapInArrow(tidy(run), ", ".join(fields))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -210,7 +210,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
                 counts = np.array([len(x) for x in column], np.int64)
                 yield added(part, decoded=pa.array(bpe.decode(column.flatten().to_numpy(zero_copy_only=False), counts), pa.binary()))
 
-    return encoded.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["decoded binary"]))
+    return encoded.mapInArrow(tidy(run), ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["decoded binary"]))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import added, blobs, slices, staged, table
+from .common import added, blobs, slices, staged, table, tidy
 from .words import ALNUM, shingles, words
 
 WINDOW, SHINGLE = 13, 4
@@ -49,7 +49,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.binary())], names=["item_id", "words"])
 
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(run, "item_id string, words binary").distinct()
+    return rows.mapInArrow(tidy(run), "item_id string, words binary").distinct()
 
 
 @dataclass
@@ -119,7 +119,7 @@ def rarity(docs: DataFrame, block: Block) -> tuple[np.ndarray, ...]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["size", "key", "n"])
 
     counts = np.zeros(len(h), np.int64)
-    by_key = {(r["size"], r["key"]): r["n"] for r in docs.select("text").mapInArrow(run, "size long, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n")).collect()}
+    by_key = {(r["size"], r["key"]): r["n"] for r in docs.select("text").mapInArrow(tidy(run), "size long, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n")).collect()}
     for n, lookup in lookups.items():
         of = np.flatnonzero(size == n)
         counts[of] = [by_key.get((n, int(k)), 0) for k in np.searchsorted(lookup.keys, h[of])]
@@ -209,7 +209,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                             items[doc] = sorted({x for v in np.unique(w[a:b]) for x in prefixes.block.items[v]}.union(items[doc]))
                     yield added(part, n_words=pa.array(np.diff(found.first), pa.int64()), spans=pa.array(spans, pa.list_(pa.int32())), items=pa.array(items, pa.list_(pa.string())))
 
-        out = out.mapInArrow(run, ", ".join([*kept, "n_words long", "spans array<int>", "items array<string>"]))
+        out = out.mapInArrow(tidy(run), ", ".join([*kept, "n_words long", "spans array<int>", "items array<string>"]))
         if at + 1 < blocks:
             out = staged(out, "items")
     return out

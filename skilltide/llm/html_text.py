@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import added, slices, table, texts
+from .common import added, slices, table, texts, tidy
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -209,7 +209,7 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
                 found = [extract_text(p) for p in texts(part)]
                 yield added(part, text=pa.array(found, pa.string()), n_chars=pa.array([len(t) for t in found], pa.int64()))
 
-    return pages.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["text string", "n_chars long"]))
+    return pages.mapInArrow(tidy(run), ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["text string", "n_chars long"]))
 
 
 def op8_html_text(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, shared_dir, slices, staged, table
+from .common import blobs, shared_dir, slices, staged, table, tidy
 from .components import components
 from .words import VISIBLE, mix, shingles, words
 
@@ -60,7 +60,7 @@ def set_keys(docs: DataFrame, size: int) -> DataFrame:
                 k = [np.array([f(s).sum(dtype=np.uint64) for s in sets], np.uint64) for f in (lambda s: mix(s), lambda s: mix(s ^ np.uint64(0x5851F42D4C957F2D)))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed(k[0]), _signed(k[1])], names=["doc_id", "n", "k1", "k2"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, k1 long, k2 long")
+    return docs.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, k1 long, k2 long")
 
 
 def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
@@ -89,7 +89,7 @@ def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select("text").mapInArrow(tidy(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SKETCH, np.int64)
     out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -121,7 +121,7 @@ def prefixes(docs: DataFrame, size: int, threshold: int) -> DataFrame:
                 held = pa.ListArray.from_arrays(pa.array(cuts), _signed(np.concatenate([np.zeros(0, np.uint64), *(p for p, _ in made)])))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k for _, k in made], pa.int32()), held], names=["doc_id", "n", "k", "prefix"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, k int, prefix array<long>")
+    return docs.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, k int, prefix array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
@@ -134,7 +134,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> Da
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(blobs(part), size)], pa.binary())], names=["doc_id", "held"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, held binary").dropDuplicates(["doc_id"])
+    sets = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, held binary").dropDuplicates(["doc_id"])
     sets = staged(sets, "sets", "uncompressed")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +148,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("held").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, f"a {kind}, b {kind}")
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(check), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:

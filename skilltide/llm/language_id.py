@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import added, blobs, slices, table, texts
+from .common import added, blobs, slices, table, texts, tidy
 
 WIDTHS, FILTERS, LENGTH = (2, 3, 4), 8, 192
 SAMPLE, WINDOWS = 600, 4
@@ -135,7 +135,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, each: int = WINDOWS) -> Byt
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type), pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["doc_id", "lang", "window"])
 
     kind = labelled.schema["doc_id"].dataType.simpleString()
-    rows = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(run, f"doc_id {kind}, lang string, window binary").toArrow()
+    rows = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(tidy(run), f"doc_id {kind}, lang string, window binary").toArrow()
     if not rows.num_rows:
         return None
     rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("window", "ascending")])
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None, text: str = "text") -> Dat
                             langs[i], scores[i] = net.langs[best[i]], min(1.0, total[i, best[i]])
                 yield added(part, lang_pred=pa.array(langs, pa.string()), score=pa.array(scores, pa.float64()))
 
-    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string", "score double"]))
+    return docs.mapInArrow(tidy(run), ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string", "score double"]))
 
 
 def held_out(doc_id: Column) -> Column:

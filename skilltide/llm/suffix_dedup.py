@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blobs, slices, staged, table
+from .common import blobs, slices, staged, table, tidy
 from .gsaca import suffix_array
 from .words import mix, span_hash, sums
 
@@ -104,7 +104,7 @@ def settle_runs(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0].view(np.int64), pa.int64()), pa.array(rows[1].view(np.int64), pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int32()), pa.array(rows[4], pa.int32())], names=["k", "h", "doc_id", "s", "n"])
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=1 << 19):
                 owner, s, n, k, h = anchor_runs(blobs(part))
                 held.append((k, h, part.column("doc_id").to_numpy()[owner], s, n))
                 if sum(len(x[0]) for x in held) > HELD:
@@ -136,8 +136,8 @@ def settle_runs(docs: DataFrame) -> DataFrame:
         lead = lead[some]
         yield _rows(doc[lead], s[lead], s[lead] + n[lead] + LENGTH - 1, k[lead], salt[some].astype(np.int32))
 
-    runs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(local, "k long, h long, doc_id long, s int, n int")
-    return runs.repartition("k").mapInArrow(whole, SPAN)
+    runs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(local), "k long, h long, doc_id long, s int, n int")
+    return runs.repartition("k").mapInArrow(tidy(whole), SPAN)
 
 
 def repeats(runs: list[bytes], doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -230,7 +230,7 @@ def sort_runs(runs: DataFrame) -> DataFrame:
         if held:
             yield from one()
 
-    return runs.repartition("k", "salt").sortWithinPartitions("k", "salt").mapInArrow(run, "doc_id long, s int, e int, k long, w long")
+    return runs.repartition("k", "salt").sortWithinPartitions("k", "salt").mapInArrow(tidy(run), "doc_id long, s int, e int, k long, w long")
 
 
 def fetch_runs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def fetch_runs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names=["k", "salt", "doc_id", "s", "run"])
 
-    return docs.join(lists, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, "k long, salt int, doc_id long, s int, run binary").dropDuplicates(["k", "salt", "doc_id", "s"])
+    return docs.join(lists, "doc_id").select("doc_id", "text", "runs").mapInArrow(tidy(run), "k long, salt int, doc_id long, s int, run binary").dropDuplicates(["k", "salt", "doc_id", "s"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def unrepeated(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["kept binary", "kept_text string", "n_bytes long", "n_removed long", "n_spans long"]
-    return both.mapInArrow(run, ", ".join(fields))
+    return both.mapInArrow(tidy(run), ", ".join(fields))
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:

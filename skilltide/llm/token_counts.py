@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import added, slices, texts
+from .common import added, slices, texts, tidy
 
 #: Entries that a worker keeps.
 HELD = 1_000_000
@@ -86,7 +86,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
 
     schema = docs.select(*kept).schema.simpleString()[7:-1] if kept else ""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) if schema else ""
-    return docs.mapInArrow(run, f"{fields + ', ' if fields else ''}n_tokens long, n_bytes long, over_limit boolean")
+    return docs.mapInArrow(tidy(run), f"{fields + ', ' if fields else ''}n_tokens long, n_bytes long, over_limit boolean")
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:

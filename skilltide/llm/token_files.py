@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blobs, slices, staged, table
+from .common import blobs, slices, staged, table, tidy
 from .words import VISIBLE, span_hash, words
 
 BLOCK, STRIDE = 1 << 16, 128
@@ -171,7 +171,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end: int = 1) -> tuple[DataFr
                 seq += len(ids)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return staged(rows.mapInArrow(run, f"part int, seq long, doc_id {kind}, ids binary, counts binary"), "token-ids"), dtype
+    return staged(rows.mapInArrow(tidy(run), f"part int, seq long, doc_id {kind}, ids binary, counts binary"), "token-ids"), dtype
 
 
 def count_ids(ids: DataFrame, end: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +187,7 @@ def count_ids(ids: DataFrame, end: int = 1) -> tuple[np.ndarray, np.ndarray]:
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], names=["id", "n"])
 
-    counted = ids.select("counts").where("counts IS NOT NULL").mapInArrow(run, "id long, n long")
+    counted = ids.select("counts").where("counts IS NOT NULL").mapInArrow(tidy(run), "id long, n long")
     last = ids.agg(F.lit(end).cast("long").alias("id"), F.count("*").alias("n")).where("n > 0")  # each document's end id
     rows = counted.union(last).groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")
     return rows["id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
@@ -312,7 +312,7 @@ def write(ids: DataFrame, dtype: str, end: int = 1, name: str = "token-file") ->
             yield block()
 
     kind = ids.schema["doc_id"].dataType.simpleString()
-    rows = ids.drop("counts").mapInArrow(run, f"part int, seq long, doc_ids array<{kind}>, sizes array<long>, checkpoints binary, payload binary")
+    rows = ids.drop("counts").mapInArrow(tidy(run), f"part int, seq long, doc_ids array<{kind}>, sizes array<long>, checkpoints binary, payload binary")
     return staged(rows, name, "uncompressed"), book
 
 
@@ -343,7 +343,7 @@ def _read(files: DataFrame, book: CodeBook, field: str, made) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "seq", "doc_id", "n_tokens", field.split()[0]])
 
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
-    return files.mapInArrow(run, f"part int, seq long, doc_id {kind}, n_tokens long, {field}")
+    return files.mapInArrow(tidy(run), f"part int, seq long, doc_id {kind}, n_tokens long, {field}")
 
 
 def with_starts(documents: DataFrame) -> DataFrame:
