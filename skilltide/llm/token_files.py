@@ -35,6 +35,10 @@ HELD = 3_000_000
 _held: dict[str, WordIds] = {}
 
 
+#: a-z and 0-9
+PLAIN = np.isin(np.arange(256), [*range(97, 123), *range(48, 58)])
+
+
 class WordIds:
     """Encodes texts with the tokenizers library, each distinct unit once per worker.
 
@@ -62,7 +66,7 @@ class WordIds:
 
     def _forget(self) -> None:
         self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1024, np.uint32), 0
         self.near, self.near_at = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64)
 
@@ -106,7 +110,7 @@ class WordIds:
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             self.flat[self.used : self.used + len(ids)] = ids
             self.keys, self.row = np.insert(self.keys, at[new], units[new]), np.insert(self.row, at[new], len(self.size) + np.arange(len(new)))
-            self.start, self.size = np.concatenate([self.start, self.used + np.cumsum(size) - size]), np.concatenate([self.size, size])
+            self.start, self.size = np.concatenate([self.start, (self.used + np.cumsum(size) - size).astype(np.int32)]), np.concatenate([self.size, size.astype(np.int32)])
             self.used += len(ids)
             at = np.searchsorted(self.keys, units)
         return self.row[at]
@@ -116,8 +120,8 @@ class WordIds:
         whole = {i: self._alone([b])[0] for i, b in enumerate(blobs) if b"<|" in b}
         found = words([b"" if i in whole else b for i, b in enumerate(blobs)], VISIBLE)
         data = found.data
-        kept = (data >= 97) & (data <= 122) | (data >= 48) & (data <= 57)
-        last = np.maximum.accumulate(np.where(kept | (data > 127), np.arange(len(data)), 0))[found.ends - 1] + 1  # behind the last that is no sign
+        kept = PLAIN[data]
+        last = np.maximum.accumulate(np.where(kept | (data > 127), np.arange(len(data), dtype=np.int32), np.int32(0)))[found.ends - 1] + 1  # behind the last that is no sign
         cut = (last > found.starts) & (last < found.ends) & kept[last - 1]
         starts, ends = np.concatenate([found.starts, last[cut]]), np.concatenate([np.where(cut, last, found.ends), found.ends[cut]])
         owner = np.concatenate([found.owner, found.owner[cut]])
@@ -134,8 +138,8 @@ class WordIds:
         row[rare] = self._rows(units, starts[rare[first]], ends[rare[first]], found.data)[which]
         self.near[slot[rare]], self.near_at[slot[rare]] = hashes[rare], row[rare]
         size = self.size[row]
-        last = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[row] - last + size, size) + np.arange(last[-1] if len(last) else 0)]
+        last = np.cumsum(size, dtype=np.int32)
+        ids = self.flat[np.repeat(self.start[row] - last + size, size) + np.arange(last[-1] if len(last) else 0, dtype=np.int32)]
         counts = np.bincount(owner, size, len(blobs)).astype(np.int64)
         if whole:
             parts = np.split(ids, np.cumsum(counts)[:-1])
@@ -171,7 +175,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end: int = 1) -> tuple[DataFr
                 seq += len(ids)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return staged(rows.mapInArrow(tidy(run), f"part int, seq long, doc_id {kind}, ids binary, counts binary"), "token-ids"), dtype
+    return staged(rows.mapInArrow(tidy(run), f"part int, seq long, doc_id {kind}, ids binary, counts binary"), "token-ids", "snappy"), dtype
 
 
 def count_ids(ids: DataFrame, end: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +255,7 @@ class CodeBook:
         size = self.lengths[order]
         top = int(size[-1]) if len(size) else 1
         many = np.left_shift(1, top - size)
-        ids, sizes = np.zeros(1 << top, np.int64), np.ones(1 << top, np.int64)
+        ids, sizes = np.zeros(1 << top, np.int32), np.ones(1 << top, np.int32)
         ids[: many.sum()], sizes[: many.sum()] = np.repeat(self.ids[order], many), np.repeat(size, many)
         return ids, sizes, top
 
@@ -273,7 +277,7 @@ def unpack(blocks: list[tuple[bytes, np.ndarray, int]], decoder: tuple[np.ndarra
     starts = np.cumsum([0] + [len(p) // 4 for p, _, _ in blocks])
     data = np.frombuffer(b"".join(p for p, _, _ in blocks) + b"\0" * 8 * (STRIDE + 1), ">u4").astype(np.uint64)
     at = np.concatenate([c.astype(np.int64) + 32 * s for (_, c, _), s in zip(blocks, starts, strict=False)]) if blocks else np.zeros(0, np.int64)
-    out = np.zeros((STRIDE, len(at)), np.int64)
+    out = np.zeros((STRIDE, len(at)), np.int32)
     last = 32 * (len(data) - 2)
     for row in out:
         cell = at >> 5
@@ -346,9 +350,9 @@ def _read(files: DataFrame, book: CodeBook, field: str, made) -> DataFrame:
     return files.mapInArrow(tidy(run), f"part int, seq long, doc_id {kind}, n_tokens long, {field}")
 
 
-def with_starts(documents: DataFrame) -> DataFrame:
-    """documents with start, the number of ids of all documents before it: sums by part, then inside each part."""
-    parts = documents.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+def with_starts(documents: DataFrame, files: DataFrame) -> DataFrame:
+    """documents, as read from files, with start, the number of ids of all documents before it: sums by part from the files' sizes, then inside each part."""
+    parts = files.groupBy("part").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -361,4 +365,4 @@ def op4_token_files(spark, sf_dir: str) -> DataFrame:
 
     ids, dtype = tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     files, book = write(ids, dtype)
-    return with_starts(read_checksums(files, book)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_starts(read_checksums(files, book), files).select("doc_id", "start", "n_tokens", "ids_crc32")
