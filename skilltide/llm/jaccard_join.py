@@ -7,11 +7,18 @@ share k or more. Each class posts as many as any partner may need. It picks its
 cost, candidates against the postings that a longer prefix reads, and a pair has to share as many
 shingles of the prefixes for its own sizes as the smaller k of both before it is verified.
 
-Copies of one text with small changes make long postings. So verification comes in two rounds:
-each class against the first class of each of its postings, one candidate for each row; then,
-only in postings in which different components meet, all pairs of classes of different
-components. A pair that is already in one component has its link, or a path of links, and
-nothing is left out.
+Copies of one text with small changes make long postings. So verification comes in rounds. First
+each class meets the first class of each of its postings, one candidate for each row. Then, only
+in postings in which different components meet, all pairs of classes of different components
+follow. A pair that is already in one component has its link, or a path of links, and nothing is
+left out.
+
+Classes that came out similar, if not similar enough, form families, and in a family of FAMILY
+classes or more pairs do not meet by postings, of which they have most in common, but by what they
+differ in from a centre, the shingles that most of a few members have; any centre gives right
+results. With d(x) differences and c shared ones, two classes have d(x) + d(y) - 2c shingles that
+are not in both. Pairs that link without a shared difference all link to the member that is
+nearest to the centre for its size, so this member meets all, and other pairs have to share one.
 """
 
 from __future__ import annotations
@@ -22,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import blobs, shared_dir, slices, staged, table, tidy
 from .components import components
@@ -30,6 +38,8 @@ from .words import VISIBLE, mix, shingles, words
 SHINGLE, THRESHOLD = 4, 85
 #: Buckets of the frequency estimate, and the most shared shingles that a prefix may ask for.
 SKETCH, MATCHES = 1 << 18, 8
+#: Classes in a family that meet by differences, members that make its centre, and the similarity in per cent of a family.
+FAMILY, CENTRE, SIMILAR = 64, 31, 60
 #: Shingles sorted at a time for the estimate.
 HELD = 2_000_000
 #: Cost of verifying a candidate, in postings read.
@@ -124,9 +134,8 @@ def prefixes(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     return docs.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, k int, prefix array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Those of pairs (a, b: doc_ids) whose sets link. Only documents in pairs are read out."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """doc_id and held (binary: the sorted shingles) of the documents in wanted, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,20 +144,62 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> Da
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     sets = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, held binary").dropDuplicates(["doc_id"])
-    sets = staged(sets, "sets", "uncompressed")
+    return staged(sets, "sets", "uncompressed")
+
+
+def _set(x: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), np.uint64)
+
+
+def scored(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """a, b, common and total (sum of the sets' sizes) of pairs (a, b) of a similarity of least per cent or more."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
+            common, total = [], []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(100 * common >= threshold * (len(x) + len(y) - common) and common > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
+                both = np.sort(np.concatenate([_set(x), _set(y)]))
+                common.append(int((both[1:] == both[:-1]).sum()))
+                total.append(len(both))
+            good = [c > 0 and 100 * c >= least * (t - c) for c, t in zip(common, total, strict=True)]
+            rows = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "common", "total"])
+            yield rows.filter(pa.array(good, pa.bool_()))
+
+    kind = pairs.schema["a"].dataType.simpleString()
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("held").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(tidy(check), f"a {kind}, b {kind}")
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(check), f"a {kind}, b {kind}, common long, total long")
+
+
+def family_differences(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """rep, root, n, d and differences (array<long>) of the members of large families of near pairs (a, b)."""
+    members = components(near).withColumnsRenamed({"node": "rep", "component": "root"})
+    large = members.groupBy("root").agg(F.count("*").alias("m")).where(F.col("m") >= FAMILY).select("root")
+    members = members.join(large, "root", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("rep"), "rep"))
+    few = members.withColumn("rank", rank).where(F.col("rank") <= CENTRE)
+    kind = near.schema["a"].dataType.simpleString()
+    held = sets.withColumnRenamed("doc_id", "rep")
+
+    def centre(rows: pa.Table) -> pa.Table:
+        shingle, n = np.unique(np.concatenate([_set(x) for x in rows["held"]]), return_counts=True)
+        return pa.table({"root": rows["root"].slice(0, 1), "centre": pa.array([shingle[2 * n > rows.num_rows].tobytes()], pa.binary())})
+
+    centres = few.join(held, "rep").select("root", "held").groupBy("root").applyInArrow(centre, f"root {kind}, centre binary")
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, close = [], []
+            for x, m in zip(batch.column("held"), batch.column("centre"), strict=True):
+                x, m = _set(x), _set(m)
+                more, less = np.setdiff1d(x, m, True), np.setdiff1d(m, x, True)
+                out.append(np.concatenate([more, mix(less ^ np.uint64(0x5851F42D4C957F2D))]))
+                close.append(100 * (len(x) - len(more)) >= SIMILAR * (len(m) + len(more)))
+            cuts = np.cumsum([0] + [len(x) for x in out]).astype(np.int32)
+            rows = [batch.column("rep"), batch.column("root"), pa.array([len(_set(x)) for x in batch.column("held")], pa.int64()), pa.array([len(x) for x in out], pa.int64()), pa.ListArray.from_arrays(pa.array(cuts), _signed(np.concatenate([np.zeros(0, np.uint64), *out])))]
+            yield pa.RecordBatch.from_arrays(rows, names=["rep", "root", "n", "d", "differences"]).filter(pa.array(close, pa.bool_()))
+
+    both = members.join(held, "rep").join(centres, "root").select("rep", "root", "held", "centre")
+    return staged(both.mapInArrow(tidy(differences), f"rep {kind}, root {kind}, n long, d long, differences array<long>"), "differences")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -176,17 +227,39 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     star = shared.where("rep > h.rep").select(F.col("rep").alias("a"), "n", "k", "i", F.col("h.rep").alias("b"), F.col("h.n").alias("n2"), F.col("h.k").alias("k2"), F.col("h.i").alias("i2")).where(fits)
     star = star.withColumn("k", F.least("k", "k2"))
     star = star.groupBy("a", "b").agg(F.count("*").alias("m"), F.first("k").alias("k")).where("m >= k").select("a", "b")
-    links = staged(verified(star, docs, size, threshold), "links")
-
-    own = components(links)
-    held = shared.join(own.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep")).select("token", "rep", "n", "k", "i", "c")
-    mixed = held.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("token")
+    star = staged(star, "star")
+    sets = sets_of(docs, star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size)
+    near = staged(scored(star, sets, min(SIMILAR, threshold)), "near")
+    links = near.where(f"100 * common >= {threshold} * (total - common)").select("a", "b")
+
+    family = family_differences(near.select("a", "b"), sets)
+    # what a class is too far from the centre to link by differences of its own; negative: how much it may lack
+    over = family.select("rep", "root", (F.col("d") * (100 + threshold) - F.col("n") * (100 - threshold)).alias("e"))
+    nearest = over.groupBy("root").agg(F.min(F.struct("e", "rep")).alias("m"))
+    links = staged(links.unionByName(over.join(nearest, "root").where("rep <> m.rep AND e + m.e <= 0").select(F.col("rep").alias("a"), F.col("m.rep").alias("b"))), "links")
+    own = components(links).withColumnsRenamed({"node": "rep", "component": "c"})
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.join(own, "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+
+    # in families: pairs of different components that share differences, all of them, so that counts give the exact intersection
+    apart = named(family.select("rep", "root", "n", "d", F.explode("differences").alias("token")))
+    mixed = apart.groupBy("root", "token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("root", "token")
+    apart = staged(apart.join(mixed, ["root", "token"], "left_semi"), "mixed-differences")
+    other = apart.select("root", "token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("c").alias("c2"))
+    shares = apart.join(other, ["root", "token"]).where("rep < rep2 AND c <> c2").groupBy("rep", "rep2").agg(F.count("*").alias("m"), *(F.first(x).alias(x) for x in ("n", "n2", "d", "d2")))
+    found = shares.where(f"{100 + threshold} * (d + d2 - 2 * m) <= {100 - threshold} * (n + n2)").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+
+    # by postings: pairs of different components that are not of one family
+    held = named(shared).join(family.select("rep", "root"), "rep", "left").withColumn("f", F.coalesce("root", "rep")).select("token", "rep", "n", "k", "i", "c", "f")
+    mixed = held.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("f").alias("f1"), F.max("f").alias("f2")).where("c1 < c2 AND f1 < f2").select("token")
     held = staged(held.join(mixed, "token", "left_semi"), "mixed-postings")
-    other = held.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("i").alias("i2"), F.col("c").alias("c2"))
-    met = held.join(other, "token").where("rep < rep2 AND c <> c2").where(fits)
+    other = held.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("i").alias("i2"), F.col("c").alias("c2"), F.col("f").alias("f2"))
+    met = held.join(other, "token").where("rep < rep2 AND c <> c2 AND f <> f2").where(fits)
     met = met.groupBy("rep", "rep2").agg(F.count("*").alias("m"), F.first(F.least("k", "k2")).alias("k")).where("m >= k")
-    more = verified(staged(met.select(F.col("rep").alias("a"), F.col("rep2").alias("b")), "candidates"), docs, size, threshold)
-    whole = components(links.unionByName(more))
+    met = staged(met.select(F.col("rep").alias("a"), F.col("rep2").alias("b")), "candidates")
+    more = scored(met, sets_of(docs, met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size), threshold).select("a", "b")
+    whole = components(links.unionByName(found).unionByName(more))
 
     by_class = classes.join(whole, classes["rep"] == whole["node"], "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = keys.join(by_class, ["n", "k1", "k2"], "left")
