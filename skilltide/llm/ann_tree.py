@@ -7,8 +7,9 @@ their centres, and leaves are visited in the order in which they leave the queue
 visits is widened until queries of a calibration sample, whose true neighbours come from brute
 force over all vectors, reach the wanted recall.
 
-Leaves of many vectors or queries are split into blocks, so that no group grows with a hot vector;
-blocks keep the best k for each query, and these are merged.
+Visits go in two rounds. The first leaves of a query give its k best so far; the rest then
+return only what is not below the last of these. Leaves of many vectors or queries are split into
+blocks, so that no group grows with a hot vector; a block returns k rows for each query at most.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from .common import shared_dir, staged, table, tidy
 
 SAMPLE, LEAF, BRANCH = 20_000, 32, 8
 #: Queries that calibrate, the recall they have to reach, and rows in a block of a leaf.
-CALIBRATION, RECALL, BLOCK = 100, 0.97, 4096
+CALIBRATION, RECALL, BLOCK = 200, 0.95, 4096
+#: Leaves of the first round.
+FIRST = 4
 
 
 @dataclass
@@ -188,7 +191,7 @@ class Index:
             for batch in batches:
                 for at in range(0, batch.num_rows, 500):
                     part = batch.slice(at, 500)
-                    leaves = []
+                    leaves, early = [], []
                     for q in _matrix(part.column("v")):
                         own, n = [], 0
                         for leaf in tree.walk(q):
@@ -196,10 +199,13 @@ class Index:
                                 break
                             own.append(leaf)
                             n += held[leaf]
-                        leaves.append([x for x in own if held[x]])
-                    yield pa.RecordBatch.from_arrays([part.column("query_id"), part.column("v"), pa.array(leaves, pa.list_(pa.int64()))], names=["query_id", "v", "leaves"])
+                        own = [x for x in own if held[x]]
+                        before = np.cumsum([0] + [held[x] for x in own])[:-1]
+                        leaves.append(own)
+                        early.append([i < FIRST or n <= k for i, n in enumerate(before)])
+                    yield pa.RecordBatch.from_arrays([part.column("query_id"), part.column("v"), pa.array(leaves, pa.list_(pa.int64())), pa.array(early, pa.list_(pa.bool_()))], names=["query_id", "v", "leaves", "early"])
 
-        asked = queries.mapInArrow(tidy(route), "query_id long, v array<double>, leaves array<long>").select("query_id", F.col("v").alias("q"), F.explode("leaves").alias("leaf"))
+        asked = queries.mapInArrow(tidy(route), "query_id long, v array<double>, leaves array<long>, early array<boolean>").select("query_id", F.col("v").alias("q"), F.explode(F.arrays_zip("leaves", "early")).alias("l")).select("query_id", "q", F.col("l.leaves").alias("leaf"), F.col("l.early").alias("early"))
         asked = staged(asked, "ann-queries")
         many = {r["leaf"]: r["count"] for r in asked.groupBy("leaf").count().collect()}
         split = {leaf: (max(1, -(-int(held[leaf]) // BLOCK)), -(-n // BLOCK)) for leaf, n in many.items() if held[leaf] > BLOCK or n > BLOCK}
@@ -215,17 +221,36 @@ class Index:
             mine = F.pmod(F.xxhash64(key), blocks(own)).cast("int")
             return df.withColumn("o", F.explode(F.sequence(F.lit(0), blocks(1 - own) - 1))).withColumn("m", mine).withColumnsRenamed({"m": "ab"[own], "o": "ab"[1 - own]})
 
-        left, right = dealt(self.indexed, "vec_id", 0), dealt(asked, "query_id", 1)
+        left = dealt(self.indexed, "vec_id", 0)
 
         def score(rows: pa.Table, asked: pa.Table) -> pa.Table:
-            out = []
+            """The best k of a block for each query, of those not below its floor."""
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
             if rows.num_rows and asked.num_rows:
                 ids, x = rows["vec_id"].to_numpy(), _matrix(rows["v"].combine_chunks())
-                out = [(i, *best(ids, x, i, q, k)) for i, q in zip(asked["query_id"].to_pylist(), _matrix(asked["q"].combine_chunks()), strict=True)]
-            return pa.table({"query_id": pa.array([i for i, f, _ in out for _ in f], pa.int64()), "vec_id": pa.array([x for _, f, _ in out for x in f], pa.int64()), "score": pa.array([x for _, _, s in out for x in s], pa.float64())})
-
-        found = left.groupBy("leaf", "a", "b").cogroup(right.groupBy("leaf", "a", "b")).applyInArrow(score, "query_id long, vec_id long, score double")
-        return top(found, k).select("query_id", "rank", "vec_id", "score")
+                own, q, floor = asked["query_id"].to_numpy(), _matrix(asked["q"].combine_chunks()), asked["floor"].to_numpy()
+                for at in range(0, len(own), 256):
+                    rough = q[at : at + 256] @ x.T
+                    rough[own[at : at + 256, None] == ids] = -np.inf
+                    bar = floor[at : at + 256].copy()
+                    if len(ids) > k:
+                        bar = np.maximum(bar, np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k])
+                    i, j = np.nonzero((rough >= (bar - 1e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(bar), bar, 0.0))))[:, None]) & np.isfinite(rough))
+                    exact = exact_scores(x[j], q[at + i])
+                    order = np.lexsort((ids[j], -exact, i))
+                    i, j, exact = i[order], j[order], exact[order]
+                    place = np.arange(len(i)) - np.searchsorted(i, i)
+                    out.append((own[at + i[place < k]], ids[j[place < k]], exact[place < k]))
+            return pa.table({n: pa.array(np.concatenate(c)) for n, c in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
+
+        def visited(some: DataFrame) -> DataFrame:
+            right = dealt(some, "query_id", 1)
+            return left.groupBy("leaf", "a", "b").cogroup(right.groupBy("leaf", "a", "b")).applyInArrow(score, "query_id long, vec_id long, score double")
+
+        first = staged(top(visited(asked.where("early").withColumn("floor", F.lit(float("-inf")))), k), "ann-first")
+        floors = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        late = asked.where("NOT early").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        return top(first.drop("rank").unionByName(visited(late)), k).select("query_id", "rank", "vec_id", "score")
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
