@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import added, slices, texts, tidy
+from .common import added, slices, table, texts, tidy
 
 #: Entries that a worker keeps.
 HELD = 1_000_000
@@ -73,8 +73,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
     A null or empty text has 0 bytes and 0 tokens. Columns of docs with the names of the
     results are replaced; repeated rows are counted each; no shuffle takes place.
     """
-    kept = [c for c in docs.columns if c not in {text, "n_bytes", "n_tokens", "over_limit"}]
-    docs = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("n_tokens"))
+    kept = [f for f in docs.schema if f.name not in {text, "n_bytes", "n_tokens", "over_limit"}]
+    docs = docs.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{text}`").alias("n_tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _held.get(tokenizer_path) or _held.setdefault(tokenizer_path, PieceCounter(tokenizer_path))
@@ -84,15 +84,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
                 size = pc.fill_null(pc.binary_length(part.column("n_tokens")), 0)
                 yield added(part, n_tokens=pa.array(n, pa.int64()), n_bytes=size.cast(pa.int64()), over_limit=pa.array([x > limit for x in n], pa.bool_()))
 
-    schema = docs.select(*kept).schema.simpleString()[7:-1] if kept else ""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) if schema else ""
-    return docs.mapInArrow(tidy(run), f"{fields + ', ' if fields else ''}n_tokens long, n_bytes long, over_limit boolean")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
+    return docs.mapInArrow(tidy(run), ", ".join([*fields, "n_tokens long", "n_bytes long", "over_limit boolean"]))
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .common import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
