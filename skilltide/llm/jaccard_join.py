@@ -218,15 +218,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     reps = classes.select(F.col("rep").alias("doc_id"))
     rows = prefixes(docs, size, threshold).join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     rows = staged(rows.select(F.col("doc_id").alias("rep"), "n", "k", F.posexplode("prefix").alias("i", "token")), "postings")
-    heads = rows.groupBy("token").agg(F.min(F.struct("rep", "n", "k", "i")).alias("h"), F.max("rep").alias("last")).where("h.rep < last")
-    shared = staged(rows.join(heads.select("token", "h"), "token"), "shared-postings")
+    heads = rows.groupBy("token").agg(F.min(F.struct("rep", "n", "k", "i")).alias("h"), F.max("rep").alias("last"), F.count("*").alias("posts")).where("h.rep < last")
+    shared = staged(rows.join(heads.select("token", "h", "posts"), "token"), "shared-postings")
 
     # of sizes that can link, and the token in the prefixes that a pair of these sizes needs
     least = f"({threshold} * (n + n2) + {99 + threshold}) div {100 + threshold} - least(k, k2)"
     fits = f"100 * least(n, n2) >= {threshold} * greatest(n, n2) AND i < n - ({least}) AND i2 < n2 - ({least})"
-    star = shared.where("rep > h.rep").select(F.col("rep").alias("a"), "n", "k", "i", F.col("h.rep").alias("b"), F.col("h.n").alias("n2"), F.col("h.k").alias("k2"), F.col("h.i").alias("i2")).where(fits)
-    star = star.withColumn("k", F.least("k", "k2"))
-    star = star.groupBy("a", "b").agg(F.count("*").alias("m"), F.first("k").alias("k")).where("m >= k").select("a", "b")
+    met = shared.where("rep > h.rep").select(F.col("rep").alias("a"), "n", "k", "i", F.col("h.rep").alias("b"), F.col("h.n").alias("n2"), F.col("h.k").alias("k2"), F.col("h.i").alias("i2"), "posts")
+    star = met.where(fits).groupBy("a", "b").agg(F.count("*").alias("m"), F.first(F.least("k", "k2")).alias("k")).where("m >= k").select("a", "b")
+    # in long postings one shared shingle is enough to see who is of the family
+    star = star.union(met.where(F.col("posts") >= FAMILY).select("a", "b")).distinct()
     star = staged(star, "star")
     sets = sets_of(docs, star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size)
     near = staged(scored(star, sets, min(SIMILAR, threshold)), "near")
