@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from .ann_tree import op6_ann_tree
 from .byte_bpe import op7_byte_bpe
-from .chat_format import OP1_SQL, op1_chat_format
+from .chat_format import op1_chat_format
 from .decontaminate import op3_decontaminate
 from .html_text import op8_html_text
 from .jaccard_join import op5_jaccard_join
 from .language_id import op9_language_id
+from .oracles import ORACLE_SQL
 from .suffix_dedup import op2_suffix_dedup
 from .token_counts import op10_token_counts
 from .token_files import op4_token_files
@@ -28,4 +29,4 @@ QUERIES = {
         op10_token_counts,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL}
+__all__ = ["ORACLE_SQL", "QUERIES"]
