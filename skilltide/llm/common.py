@@ -16,13 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 STEP_BYTES = 1 << 20
 
 
-#: Rows in an Arrow batch: texts can be long, and batches of the default 10,000 take much memory.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: texts can be long, and batches of the default 10,000 rows take much memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to the sizes above, unless they are smaller."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = spark.conf.get(key)
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,7 +51,12 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 
 def tidy(run):
-    """run for mapInArrow, with the memory that it took given back when a task ends: workers wait for more tasks as they are."""
+    """run for mapInArrow, with the memory that it took given back when a task ends: workers wait for more tasks as they are.
+
+    Called on the driver, it also bounds the batches that run will get.
+    """
+    if spark := SparkSession.getActiveSession():
+        bound_batches(spark)
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

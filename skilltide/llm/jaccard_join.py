@@ -227,7 +227,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     met = shared.where("rep > h.rep").select(F.col("rep").alias("a"), "n", "k", "i", F.col("h.rep").alias("b"), F.col("h.n").alias("n2"), F.col("h.k").alias("k2"), F.col("h.i").alias("i2"), "posts")
     star = met.where(fits).groupBy("a", "b").agg(F.count("*").alias("m"), F.first(F.least("k", "k2")).alias("k")).where("m >= k").select("a", "b")
     # in long postings one shared shingle is enough to see who is of the family
-    star = star.union(met.where(F.col("posts") >= FAMILY).select("a", "b")).distinct()
+    alike = f"100 * least(n, n2) >= {SIMILAR} * greatest(n, n2)"
+    star = star.union(met.where(F.col("posts") >= FAMILY).where(alike).select("a", "b")).distinct()
     star = staged(star, "star")
     sets = sets_of(docs, star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size)
     near = staged(scored(star, sets, min(SIMILAR, threshold)), "near")
