@@ -18,7 +18,8 @@ classes or more pairs do not meet by postings, of which they have most in common
 differ in from a centre, the shingles that most of a few members have; any centre gives right
 results. With d(x) differences and c shared ones, two classes have d(x) + d(y) - 2c shingles that
 are not in both. Pairs that link without a shared difference all link to the member that is
-nearest to the centre for its size, so this member meets all, and other pairs have to share one.
+nearest to the centre for its size, so this member meets all. Other pairs have to share one or
+more, the larger their own numbers the more, which prefixes of rare differences first make use of.
 """
 
 from __future__ import annotations
@@ -244,13 +245,18 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     def named(df: DataFrame) -> DataFrame:
         return df.join(own, "rep", "left").withColumn("c", F.coalesce("c", "rep"))
 
-    # in families: pairs of different components that share differences, all of them, so that counts give the exact intersection
+    # in families: pairs of different components that share so many differences as to link, found by prefixes of rare differences first
     apart = named(family.select("rep", "root", "n", "d", F.explode("differences").alias("token")))
-    mixed = apart.groupBy("root", "token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("root", "token")
-    apart = staged(apart.join(mixed, ["root", "token"], "left_semi"), "mixed-differences")
-    other = apart.select("root", "token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("c").alias("c2"))
-    shares = apart.join(other, ["root", "token"]).where("rep < rep2 AND c <> c2").groupBy("rep", "rep2").agg(F.count("*").alias("m"), *(F.first(x).alias(x) for x in ("n", "n2", "d", "d2")))
-    found = shares.where(f"{100 + threshold} * (d + d2 - 2 * m) <= {100 - threshold} * (n + n2)").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    often = apart.groupBy("root", "token").agg(F.count("*").alias("often"), F.min("c").alias("c1"), F.max("c").alias("c2"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("often", "token")) - 1
+    apart = apart.join(often, ["root", "token"]).withColumn("i", place).where("c1 < c2").select("root", "token", "rep", "n", "d", "i", "c")
+    apart = staged(apart, "mixed-differences")
+    other = apart.select("root", "token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("i").alias("i2"), F.col("c").alias("c2"))
+    shared_least = f"greatest(1, ({100 + threshold} * (d + d2) - {100 - threshold} * (n + n2) + {2 * (100 + threshold) - 1}) div {2 * (100 + threshold)})"
+    pairs = apart.join(other, ["root", "token"]).where(f"rep < rep2 AND c <> c2 AND i <= d - {shared_least} AND i2 <= d2 - {shared_least}").select("rep", "rep2").distinct()
+    side = family.select("rep", "n", "d", "differences")
+    both = pairs.join(side, "rep").join(side.toDF("rep2", "n2", "d2", "differences2"), "rep2")
+    found = both.where(f"{100 + threshold} * (d + d2 - 2 * size(array_intersect(differences, differences2))) <= {100 - threshold} * (n + n2)").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
 
     # by postings: pairs of different components that are not of one family
     held = named(shared).join(family.select("rep", "root"), "rep", "left").withColumn("f", F.coalesce("root", "rep")).select("token", "rep", "n", "k", "i", "c", "f")
