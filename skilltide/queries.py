@@ -105,7 +105,8 @@ def coverage_metrics(spark, sf):
 
 
 def _lifecycle(spark, sf, as_of=None):
-    return lifecycle.monthly_lifecycle(freq(spark, sf), testdata.families(spark, sf, True), as_of).drop("lifecycle_reason")
+    f = stored(freq(spark, sf), "frequency")
+    return lifecycle.monthly_lifecycle(f, testdata.families(spark, sf, True), as_of).drop("lifecycle_reason")
 
 
 @query
