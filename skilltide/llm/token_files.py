@@ -35,6 +35,19 @@ HELD = 3_000_000
 _held: dict[str, WordIds] = {}
 
 
+def _roomy(x: np.ndarray, n: int) -> np.ndarray:
+    """x with room for n items."""
+    while n > len(x):
+        x = np.concatenate([x, np.zeros_like(x)])
+    return x
+
+
+def _put(known: tuple[np.ndarray, np.ndarray], keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their rows with others put in place."""
+    place = np.searchsorted(known[0], keys)
+    return np.insert(known[0], place, keys), np.insert(known[1], place, rows)
+
+
 #: a-z and 0-9
 PLAIN = np.isin(np.arange(256), [*range(97, 123), *range(48, 58)])
 
@@ -65,8 +78,9 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        # sorted hashes and their rows: most of them, and the recent ones, which are put to them now and then
+        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
+        self.start, self.size, self.units = np.zeros(1024, np.int32), np.zeros(1024, np.int32), 0
         self.flat, self.used = np.zeros(1024, np.uint32), 0
         self.near, self.near_at = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64)
 
@@ -100,20 +114,25 @@ class WordIds:
 
     def _rows(self, units: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> np.ndarray:
         """The rows of start and size of units, given by ascending hash and place in data; new ones are encoded."""
-        at = np.searchsorted(self.keys, units)
-        new = np.flatnonzero(np.append(self.keys, 0)[at] != units) if len(self.keys) else np.arange(len(units))
+        row = np.full(len(units), -1, np.int64)
+        for keys, rows in self.known:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, units), len(keys) - 1)
+                row = np.where(keys[at] == units, rows[at], row)
+        new = np.flatnonzero(row < 0)
         if len(new):
             raw, others = data.tobytes(), np.append(0, np.cumsum((data < 97) | (data > 122)))
             plain = others[ends[new]] == others[starts[new]]
             ids, size = self._encode([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], plain)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat, self.start, self.size = (_roomy(x, n) for x, n in ((self.flat, self.used + len(ids)), (self.start, self.units + len(new)), (self.size, self.units + len(new))))
+            row[new] = np.arange(self.units, self.units + len(new))
             self.flat[self.used : self.used + len(ids)] = ids
-            self.keys, self.row = np.insert(self.keys, at[new], units[new]), np.insert(self.row, at[new], len(self.size) + np.arange(len(new)))
-            self.start, self.size = np.concatenate([self.start, (self.used + np.cumsum(size) - size).astype(np.int32)]), np.concatenate([self.size, size.astype(np.int32)])
-            self.used += len(ids)
-            at = np.searchsorted(self.keys, units)
-        return self.row[at]
+            self.start[row[new]], self.size[row[new]] = self.used + np.cumsum(size) - size, size
+            self.used, self.units = self.used + len(ids), self.units + len(new)
+            most, recent = self.known
+            recent = _put(recent, units[new], row[new])
+            self.known = [most, recent] if len(recent[0]) < max(50_000, len(most[0]) // 8) else [_put(most, *recent), (recent[0][:0], recent[1][:0])]
+        return row
 
     def encode(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts behind each other, and how many each has."""
@@ -132,7 +151,7 @@ class WordIds:
         row = np.where(self.near[slot] == hashes, self.near_at[slot], -1)
         rare = np.flatnonzero(row < 0)
         units, first, which = np.unique(hashes[rare], return_index=True, return_inverse=True)
-        if len(self.keys) + len(units) > self.held:
+        if self.units and self.units + len(units) > self.held:
             self._forget()
             return self.encode(blobs)
         row[rare] = self._rows(units, starts[rare[first]], ends[rare[first]], found.data)[which]
@@ -267,6 +286,7 @@ def pack(ids: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> tuple[bytes,
     at = ends - size
     value = words[ids] << (64 - size - (at & 31)).astype(np.uint64)
     cell, n = at >> 5, (int(ends[-1]) + 31 >> 5) + 1 if len(ids) else 1
+    # code words share no bits, so sums put them together
     held = np.bincount(cell, (value >> np.uint64(32)).astype(np.float64), n) + np.bincount(cell + 1, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), n)[:n]
     return held[: n - 1].astype(">u4").tobytes(), at[::STRIDE]
 
