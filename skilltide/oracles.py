@@ -359,7 +359,7 @@ SELECT p_partkey, guard_status, CASE WHEN guard_status = 'new_family' THEN 'new_
     "mention_rollup": f"""WITH {PARTS}, o AS (SELECT p_brand AS job_id, lower(a) AS skill_key, p_name AS sentence, z AS span_text, length(p_name) AS span_end, min(a) AS k, max(p_size / 50.0::DOUBLE) AS c, max((p_size > 25)::INT) AS r FROM parts GROUP BY ALL)
 SELECT job_id, skill_key, min(k) AS skill_keyword, CASE WHEN max(r) = 1 THEN 'required' ELSE 'preferred' END AS skill_type, count(*) AS mention_count, max(c) AS max_confidence, count(DISTINCT sentence) AS evidence_count, array_to_string(list_sort(list(DISTINCT span_text)), '; ') AS span_texts FROM o GROUP BY ALL""",
     "normalize_cascade": f"""WITH {DICTIONARY}, {PARTS}, r AS (SELECT p_partkey, x.s AS xs, x.d AS xd, y.s AS ys, y.d AS yd FROM parts LEFT JOIN dic x ON x.k = lower(a) LEFT JOIN dic y ON y.k = lower(z))
-SELECT p_partkey, coalesce(xs, ys, '') AS normalized_skill, coalesce(xd, yd, '') AS kg_display_skill, CASE WHEN coalesce(xs, ys) IS NULL THEN 'unresolved' ELSE 'normalized' END AS normalization_status, CASE WHEN coalesce(xs, ys) IS NULL THEN 0.0 ELSE 1.0 END AS normalization_confidence FROM r""",
+SELECT p_partkey, coalesce(xs, ys, '') AS normalized_skill, coalesce(xd, yd, '') AS kg_display_skill, CASE WHEN coalesce(xs, ys) IS NULL THEN 'unresolved' ELSE 'normalized' END AS normalization_status, CASE WHEN coalesce(xs, ys) IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS normalization_confidence FROM r""",
     "review_flags": f"""WITH {DICTIONARY}, {PARTS} SELECT a AS normalized_skill, (p_size / 50.0::DOUBLE < 0.8::DOUBLE OR lower(a) NOT IN (SELECT k FROM dic)) AS needs_review, count(*) AS n FROM parts GROUP BY ALL""",
     "raw_json_normalize": "SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events",
     "publish_month_audit": "SELECT strftime(ts, '%Y-%m') AS month, strftime(ts, '%Y') AS recruitment_year, count(*) AS n_rows, count(*) FILTER (value < 10) AS blank_rows FROM events GROUP BY ALL",
