@@ -82,7 +82,7 @@ class WordIds:
         self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
         self.start, self.size, self.units = np.zeros(1024, np.int32), np.zeros(1024, np.int32), 0
         self.flat, self.used = np.zeros(1024, np.uint32), 0
-        self.near, self.near_at = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64)
+        self.near, self.near_at = np.zeros(1 << 18, np.uint64), np.zeros(1 << 18, np.int64)
 
     def _alone(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of units behind each other, and how many each has."""
@@ -147,7 +147,7 @@ class WordIds:
         order = np.argsort(starts, kind="stable")
         starts, ends, owner = starts[order], ends[order], owner[order]
         hashes = span_hash(found.sums, starts, ends)
-        slot = (hashes >> np.uint64(48)).astype(np.int64)  # frequent units are found in a small table first
+        slot = (hashes >> np.uint64(46)).astype(np.int64)  # frequent units are found in a small table first
         row = np.where(self.near[slot] == hashes, self.near_at[slot], -1)
         rare = np.flatnonzero(row < 0)
         units, first, which = np.unique(hashes[rare], return_index=True, return_inverse=True)
@@ -172,12 +172,12 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end: int = 1) -> tuple[DataFr
 
     The first row of each Arrow batch has the batch's counts of ids (counts: binary), a column of its own.
 
-    Null texts count as empty, null doc_ids come first, rows of one doc_id go by a hash of the text.
+    Null texts count as empty, null doc_ids come first, rows of one doc_id are in the order that the stored table has.
     """
     from tokenizers import Tokenizer
 
     dtype = "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _held.get(tokenizer_path) or _held.setdefault(tokenizer_path, WordIds(tokenizer_path))
