@@ -4,7 +4,7 @@ Pages are parsed to a tree that keeps what browsers would keep of broken markup.
 are never article text (menus, adverts, forms, scripts and the like, by tag, role or the words of
 class and id) are left out. For each node left, its characters per tag are adjusted for links;
 the node with the largest sum of its children's densities is the core of the article, and the
-path from it to the body gives the threshold up to which it is widened.
+path from it to the body gives the threshold that other subtrees have to reach to be kept.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,11 +33,12 @@ SCOPES = frozenset("article aside body div dl footer header main nav ol section
 TAGS_OUT = frozenset("head script style nav footer aside form noscript iframe template button select textarea input svg canvas object video audio dialog menu title".split())
 ROLES_OUT = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 WORDS_OUT = frozenset("ad ads adv advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification paywall popup promo recommended related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "chars", "links", "heads", "tags", "link_tags", "block", "body_share", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.parts = tag, parent, []
@@ -127,8 +129,8 @@ def parse(page: str) -> Node:
     return root
 
 
-def measure(root: Node) -> list[Node]:
-    """All nodes, children before parents, with characters, links, tags and density; the root comes last."""
+def measure(root: Node, body_share: float | None = None) -> list[Node]:
+    """All nodes, children before parents, with characters, links, headings, tags and density; the root comes last."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -141,8 +143,12 @@ def measure(root: Node) -> list[Node]:
         node.tags = sum(x.tags + 1 for x in below)
         node.link_tags = sum(x.link_tags + (x.tag == "a") for x in below)
         node.links = node.chars if node.tag == "a" else sum(x.links for x in below)
-    body_share = root.links / root.chars if root.chars else 0.0
+        node.heads = node.chars if node.tag in HEADINGS else sum(x.heads for x in below)
+        node.block = node.tag in BLOCKS or any(x.block for x in below)
+    if body_share is None:
+        body_share = root.links / root.chars if root.chars else 0.0
     for node in order:
+        node.body_share = body_share
         c, lc, t, lt = node.chars, node.links, max(1, node.tags), max(1, node.link_tags)
         if not c:
             node.density = 0.0
@@ -153,24 +159,65 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def article(root: Node) -> Node:
-    """The node with the largest density sum, widened along its path to the body."""
+def mostly_links(node: Node) -> bool:
+    return 2 * node.links > node.chars
+
+
+def units(node: Node) -> list[Node]:
+    """A node's blocks, and what is loose between them as nodes of their own, measured."""
+    out: list[Node] = []
+    for block, parts in groupby(node.parts, lambda x: isinstance(x, Node) and x.block):
+        if block:
+            out += parts
+        else:
+            out.append(Node("span", node))
+            out[-1].parts += parts
+            measure(out[-1], node.body_share)
+    return [x for x in out if x.chars]
+
+
+def article(root: Node) -> list[Node]:
+    """The parts of the article, in order.
+
+    The node with the largest density sum is kept, in the whole of its outermost <article>, or else
+    its <main>. The least density on its path to the body is the threshold; every other subtree that
+    reaches it is kept too, and articles beside the kept one if they are not mostly links. What lies
+    between kept parts of one node, or between them and the heading before, is kept unless mostly links.
+    """
     order = measure(root)
     best = max(reversed(order), key=lambda n: n.total)
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    body = next((n for n in path if n.tag == "body"), root)
-    named = next((n for n in path if n.tag == "article"), None) or next((n for n in path if n.tag == "main"), None)
-    if named is not None:
-        return named
-    threshold = min(body.density, *(n.density for n in path))
-    for node in path:
-        if node is body:
-            break
-        if node.density >= threshold:
-            best = node
-    return best if best.chars >= 0.5 * body.chars else body if body.density >= threshold and best.chars < 0.2 * body.chars else best
+    body = next((i for i, n in enumerate(path) if n.tag == "body"), len(path) - 1)
+    threshold = min(n.density for n in path[: body + 1])
+    named = [n for n in path if n.tag == "article"][-1:] or [n for n in path if n.tag == "main"][:1]
+    best = (named or [n for n in path if n.block])[0]
+    above = set(map(id, path[path.index(best) + 1 :]))
+
+    # from the body down: nodes that are opened, with their units and what is kept of each
+    found: dict[int, list[Node]] = {}
+    stack: list[tuple[Node, list[Node] | None]] = [(path[-1], None)]
+    while stack:
+        node, below = stack.pop()
+        if node is best or id(node) not in above and (node.density >= threshold or node.tag == best.tag == "article" and node.parent is best.parent and not mostly_links(node)):
+            found[id(node)] = [node]
+        elif below is None:
+            below = units(node) if node.block else []
+            stack.append((node, below))
+            stack += [(x, None) for x in below]
+        else:
+            got = [found[id(x)] for x in below]
+            kept = [i for i, g in enumerate(got) if g]
+            if kept:
+                first = next((i for i in range(kept[0] - 1, -1, -1) if below[i].heads == below[i].chars), kept[0])
+                while first and below[first - 1].heads == below[first - 1].chars:
+                    first -= 1
+                for i in range(first, kept[-1]):
+                    got[i] = got[i] or ([] if mostly_links(below[i]) else [below[i]])
+            whole = node.tag == "article" and kept
+            found[id(node)] = [node] if whole else [x for g in got for x in g]
+    return found[id(path[-1])]
 
 
 def blocks(node: Node) -> list[str]:
@@ -194,7 +241,7 @@ def blocks(node: Node) -> list[str]:
 
 
 def extract_text(page: str) -> str:
-    return "\n\n".join(blocks(article(parse(page)))) if page else ""
+    return "\n\n".join(b for n in article(parse(page)) for b in blocks(n)) if page else ""
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:

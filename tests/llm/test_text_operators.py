@@ -175,6 +175,30 @@ def test_html(spark):
     assert [r.text for r in rows][:4] == ["", "", "no tags at all", ""] and rows[6].text == "deep" and all(r.n_chars == len(r.text) for r in rows)
 
 
+def paragraphs(first, n):
+    """n paragraphs of 40 words, and their texts."""
+    texts = [" ".join(f"word{(first * 1000 + i * 40 + j) * 7919 % 9973}" for j in range(40)) + "." for i in range(n)]
+    return "".join(f"<p>{t}</p>" for t in texts), texts
+
+
+LINKS = "<ul>" + "".join(f"<li><a href=/{i}>Link number {i}</a></li>" for i in range(12)) + "</ul>"
+
+
+def test_html_of_several_parts():
+    (a, x), (b, y), (c, z) = paragraphs(1, 5), paragraphs(2, 5), paragraphs(3, 4)
+    pages = {
+        f"<body><h1>Title</h1><div>{a}</div><div>{b}</div></body>": ["Title", *x, *y],
+        f"<body>{LINKS}<h1>Title</h1><p>By someone</p><div>{a}</div><p>Short.</p>{LINKS}<div>{b}</div><div>{c}</div>{LINKS}</body>": ["Title", "By someone", *x, "Short.", *y, *z],
+        f"<body><main><h1>Title</h1><article>{a}</article><article>{b}</article><article><p>Short end.</p></article></main>{LINKS}</body>": ["Title", *x, *y, "Short end."],
+        f"<body>{LINKS}<article><div>{a}</div><p>Short end.</p></article></body>": [*x, "Short end."],
+        f"<body><div><div><h1>Title</h1></div><div>{a}</div></div>{LINKS}<div><div>{b}</div></div></body>": ["Title", *x, *y],
+        f"<body><div>{a}</div>{y[0]} <b>{y[1]}</b> {y[2]}{LINKS}</body>": [*x, " ".join(y[:3])],
+        f"<main><div>{a}</div><p>Short end.</p></main>": [*x, "Short end."],
+    }
+    for page, wanted in pages.items():
+        assert html_text.extract_text(page).split("\n\n") == wanted, page
+
+
 def test_language_id(spark):
     found = QUERIES["op9_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in found if r.held_out]
