@@ -1,9 +1,9 @@
 """HTML extraction by composite text density.
 
 Pages are parsed to a tree that keeps what browsers would keep of broken markup. Subtrees that
-are never article text (menus, adverts, forms, scripts and the like, by tag, role or the words of
-class and id) are left out. For each node left, its characters per tag are adjusted for links;
-the node with the largest sum of its children's densities is the core of the article, and the
+are never article text (menus, adverts, forms, scripts and the like, by tag, role or the names in
+class and id) are left out, by class and id only if they hold no article and little of the page.
+For each node left, its characters per tag are adjusted for links; the node with the largest sum of its children's densities is the core of the article, and the
 path from it to the body gives the threshold that other subtrees have to reach to be kept.
 """
 
@@ -29,19 +29,23 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 #: A start tag ends an open element of these tags, searched up to the tags behind.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("article aside body div dl footer header main nav ol section table td th ul blockquote form".split())
-#: Never article text: tags, roles, and words of class and id.
+#: Never article text: tags, roles, and what names of class and id end in.
 TAGS_OUT = frozenset("head script style nav footer aside form noscript iframe template button select textarea input svg canvas object video audio dialog menu title".split())
 ROLES_OUT = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 WORDS_OUT = frozenset("ad ads adv advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification paywall popup promo recommended related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+#: A name of several words goes by its last word that is none of ENDS, and a name with one of NAMES_OF_OTHERS says nothing of the node itself.
+ENDS = frozenset("area bar block box button buttons container content form group holder icon icons inner item items left link links list module outer panel posts right row section slot top bottom unit wrap wrapper".split())
+NAMES_OF_OTHERS = frozenset("has no not with without".split())
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "chars", "links", "heads", "tags", "link_tags", "block", "body_share", "density", "total")
+    __slots__ = ("tag", "parent", "beside", "parts", "chars", "links", "heads", "tags", "link_tags", "block", "body_share", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None) -> None:
-        self.tag, self.parent, self.parts = tag, parent, []
+    def __init__(self, tag: str, parent: Node | None, beside: bool = False) -> None:
+        self.tag, self.parent, self.beside, self.parts = tag, parent, beside, []
 
 
 def left_out(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -54,15 +58,26 @@ def left_out(tag: str, attributes: str, inside_article: bool) -> bool:
         name = name.lower()
         if name == "hidden" or name == "role" and value in ROLES_OUT or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id") and not WORDS_OUT.isdisjoint(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value))):
-            return True
-        if name in ("class", "id") and not inside_article and "header" in re.split(r"[^a-z]+", value):
-            return True
+    return False
+
+
+def beside(attributes: str, inside_article: bool) -> bool:
+    """If a name in class or id says that the node is beside the article."""
+    for name, *values in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for token in next((v for v in values if v), "").split():
+                words = [w.lower() for w in WORD.findall(token)]
+                if not NAMES_OF_OTHERS.isdisjoint(words):
+                    continue
+                while len(words) > 1 and words[-1] in ENDS:
+                    words.pop()
+                if words and (words[-1] in WORDS_OUT or words[-1] == "header" and not inside_article):
+                    return True
     return False
 
 
 def parse(page: str) -> Node:
-    """The tree without the subtrees that are left out; parts of a node are nodes and texts."""
+    """The tree without the subtrees that are left out by tag and role; parts of a node are nodes and texts."""
     root = Node("html", None)
     stack: list[tuple[str, Node | None]] = [("html", root)]  # None: inside a subtree that is left out
     articles, at = 0, 0
@@ -110,7 +125,7 @@ def parse(page: str) -> Node:
         above = stack[-1][1]
         node = None
         if above is not None and not left_out(tag, attributes, articles > 0):
-            node = Node(tag, above)
+            node = Node(tag, above, bool(attributes) and beside(attributes, articles > 0))
             above.parts.append(node)
         if tag in RAW:
             found = re.compile(f"</{tag}", re.I).search(page, at)
@@ -159,6 +174,24 @@ def measure(root: Node, body_share: float | None = None) -> list[Node]:
     return order
 
 
+def cut(order: list[Node]) -> bool:
+    """Takes out the measured nodes that are beside the article by class or id; if there were any.
+
+    One stays if it holds an <article> or <main> that has text and is not itself beside. On pages
+    without these it stays if it holds most of the page's characters outside links.
+    """
+    root, holds, out = order[-1], set(), set()
+    for node in order:  # children before parents
+        if (node.tag in ("article", "main") and node.chars and not node.beside or node in holds) and node.parent is not None:
+            holds |= {node, node.parent}
+    for node in order:
+        if node.beside and node.tag not in KEPT - {"p"} and node not in holds and (holds or 2 * (node.chars - node.links) <= root.chars - root.links):
+            out.add(node)
+    for parent in {n.parent for n in out}:
+        parent.parts = [x for x in parent.parts if x not in out]
+    return bool(out)
+
+
 def mostly_links(node: Node) -> bool:
     return 2 * node.links > node.chars
 
@@ -185,6 +218,8 @@ def article(root: Node) -> list[Node]:
     between kept parts of one node, or between them and the heading before, is kept unless mostly links.
     """
     order = measure(root)
+    if cut(order):
+        order = measure(root)
     best = max(reversed(order), key=lambda n: n.total)
     path = [best]
     while path[-1].parent is not None:

@@ -199,6 +199,20 @@ def test_html_of_several_parts():
         assert html_text.extract_text(page).split("\n\n") == wanted, page
 
 
+def test_html_names_of_wrappers():
+    (a, x), (b, y), (c, z) = paragraphs(1, 5), paragraphs(2, 5), paragraphs(3, 1)
+    for name in ("class='content has-sidebar'", "class='site no-sidebar'", "class=page-with-comments", "id='related-research'", "class='social-history'", "class=sidebar", "id=comments"):
+        assert html_text.extract_text(f"<body><div {name}><article>{a}</article></div></body>").split("\n\n") == x, name
+        assert html_text.extract_text(f"<body>{LINKS}<div {name}>{a}</div></body>").split("\n\n") == x, name
+    for name in ("has-sidebar", "related-research", "social-history"):
+        assert html_text.extract_text(f"<article>{a}<section class='{name}'>{b}</section>{c}</article>").split("\n\n") == x + y + z, name
+    for name in ("siteFooter", "cookieNotice", "adBox", "site-footer", "ad_1", "related-posts", "comments", "leftSidebar", "sidebar-content"):
+        assert html_text.extract_text(f"<body><article>{a}<div class='x {name}'>{c}</div></article></body>").split("\n\n") == x, name
+    assert html_text.extract_text(f"<body><div class=ad>{a}</div><article>{c}</article></body>").split("\n\n") == z
+    said = f"<ol class=comment-list><li class=comment><article class=comment-body>{c}</article></ol>"
+    assert html_text.extract_text(f"<body><article>{a}</article>{said}</body>").split("\n\n") == x
+
+
 def test_language_id(spark):
     found = QUERIES["op9_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in found if r.held_out]
