@@ -3,8 +3,9 @@
 Pages are parsed to a tree that keeps what browsers would keep of broken markup. Subtrees that
 are never article text (menus, adverts, forms, scripts and the like, by tag, role or the names in
 class and id) are left out, by class and id only if they hold no article and little of the page.
-For each node left, its characters per tag are adjusted for links; the node with the largest sum of its children's densities is the core of the article, and the
-path from it to the body gives the threshold that other subtrees have to reach to be kept.
+For each node left, its characters per tag are adjusted for links; the node with the largest sum
+of its children's densities is the core of the article, and the path from it to the body gives
+the threshold that other subtrees have to reach to be kept.
 """
 
 from __future__ import annotations

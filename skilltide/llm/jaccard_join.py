@@ -258,8 +258,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     both = pairs.join(side, "rep").join(side.toDF("rep2", "n2", "d2", "differences2"), "rep2")
     found = both.where(f"{100 + threshold} * (d + d2 - 2 * size(array_intersect(differences, differences2))) <= {100 - threshold} * (n + n2)").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
 
-    # by postings: pairs of different components that are not of one family
-    held = named(shared).join(family.select("rep", "root"), "rep", "left").withColumn("f", F.coalesce("root", "rep")).select("token", "rep", "n", "k", "i", "c", "f")
+    # by postings: pairs of different components that are not of one family; a root that is not in its family itself, for its distance to the centre, stands alone
+    held = named(shared).join(family.select("rep", "root"), "rep", "left").withColumn("f", F.struct(F.col("root").isNull(), F.coalesce("root", "rep"))).select("token", "rep", "n", "k", "i", "c", "f")
     mixed = held.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min("f").alias("f1"), F.max("f").alias("f2")).where("c1 < c2 AND f1 < f2").select("token")
     held = staged(held.join(mixed, "token", "left_semi"), "mixed-postings")
     other = held.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("i").alias("i2"), F.col("c").alias("c2"), F.col("f").alias("f2"))

@@ -166,6 +166,18 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, seed, family, size, thre
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows, size, threshold)
 
 
+def test_jaccard_of_a_root_far_from_its_family(spark, monkeypatch):
+    """30 has the least id of a family, is too far from its centre, and 20 holds all that 30 shares with 31."""
+    monkeypatch.setattr(jaccard_join, "FAMILY", 8)
+    base, tail, own, filler = ([f"{k}{i}" for i in range(n)] for k, n in (("c", 200), ("w", 45), ("q", 14), ("f", 500)))
+    rows = [(i, [f"a{i}x{j}" for j in range(5)] + filler + ["z"] + base[162:] + ["z"] + tail) for i in range(20)]
+    rows += [(20, base[:150] + tail + ["z"] + filler), (30, base[:150] + tail + own), (31, base[:162] + tail)]
+    rows += [(40 + j, base[: 195 - j] + [f"m{j}"] + base[196 - j :] + (own if j < 2 else [])) for j in range(12)]
+    rows = [(i, " ".join(x)) for i, x in rows]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs(spark, rows)).collect()}
+    assert found == brute_components(rows, 4, 85) and found[31][1] == 30
+
+
 def test_jaccard_of_odd_tables(spark):
     assert jaccard_join.near_duplicates(docs(spark, [])).count() == 0
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "A B c d e")]
