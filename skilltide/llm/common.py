@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -33,19 +34,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; set here only where the cluster names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors see: the session's spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a local master gets a new folder of this machine; on a cluster that is an error.
+    """
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else "/tmp/checkpoints/skilltide"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="shared-")
+    if not held.isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: later jobs neither recompute it nor depend on the executors that made it."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -4,7 +4,8 @@ Benchmark texts are cut into item-sized windows of words, and each window into s
 document holds a window only if it holds all its shingles, so that a prefix of one shingle is
 necessary and enough to find it: the rarest, by counts over all documents. Occurrences of a
 prefix shingle give candidates; the shingle's place in the window gives the start, which has to
-lie inside the document with room for the window; the words there are then compared one by one.
+lie inside the document with room for the window; the words there are then compared one by one,
+first by their hashes, then by their bytes, so that colliding hashes never make a hit.
 
 The benchmark's windows are broadcast in blocks of a fixed number of windows, as many blocks as
 the benchmark needs, so no broadcast grows with a table.
@@ -21,17 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import added, blobs, slices, staged, table, tidy
-from .words import ALNUM, shingles, words
+from .words import ALNUM, same_bytes, shingles, words
 
 WINDOW, SHINGLE = 13, 4
-#: Windows in one block, of about 150 bytes each.
+#: Windows in one block, of about 300 bytes each.
 BLOCK = 100_000
 #: Candidates compared at a time.
 STEP = 1 << 16
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Columns item_id and words (binary: the word hashes of a window), distinct.
+    """Columns item_id and words (binary: a window's lower-case words with single spaces), distinct.
 
     An item of fewer words than a window, but not none, is one window. Rows without item_id or
     text have none.
@@ -41,11 +42,13 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 found = words(blobs(part), ALNUM)
+                raw = found.data.tobytes()
+                said = [raw[a:b] for a, b in zip(found.starts.tolist(), found.ends.tolist(), strict=True)]
                 ids, out = [], []
                 for item, a, b in zip(part.column("item_id").to_pylist(), found.first[:-1], found.first[1:], strict=True):
                     for start in range(a, max(b - window, a) + 1) if b > a else ():
                         ids.append(item)
-                        out.append(found.hashes[start : min(start + window, b)].tobytes())
+                        out.append(b" ".join(said[start : min(start + window, b)]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.binary())], names=["item_id", "words"])
 
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
@@ -54,22 +57,36 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 @dataclass
 class Block:
-    """Windows as rows of word hashes with their lengths; of each, its items."""
+    """Windows as rows of word hashes with their lengths and items; first: the place of each window's first word in starts and ends of data."""
 
     words: np.ndarray
     size: np.ndarray
     items: list[list[str]]
+    first: np.ndarray
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def equal(self, windows: np.ndarray, found, places: np.ndarray) -> np.ndarray:
+        """Whether the words of windows and those from places on in found have the same bytes."""
+        size = self.size[windows]
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        own, theirs = np.repeat(self.first[windows], size) + inside, np.repeat(places, size) + inside
+        n = self.ends[own] - self.starts[own]
+        same = n == found.ends[theirs] - found.starts[theirs]
+        same[same] = same_bytes(self.data, self.starts[own[same]], found.data, found.starts[theirs[same]], n[same])
+        return np.logical_and.reduceat(same, np.cumsum(size) - size) if len(size) else same
 
 
 def read_block(windows: DataFrame) -> Block:
     by_words: dict[bytes, list[str]] = {}
     for row in windows.collect():
         by_words.setdefault(bytes(row["words"]), []).append(row["item_id"])
-    size = np.array([len(w) // 8 for w in by_words], np.int64)
+    found = words(list(by_words), ALNUM)
+    first, size = found.first[:-1], np.diff(found.first)
     held = np.zeros((len(by_words), max([WINDOW, *size])), np.uint64)
-    for row, w in zip(held, by_words, strict=True):
-        row[: len(w) // 8] = np.frombuffer(w, np.uint64)
-    return Block(held, size, [sorted(x) for x in by_words.values()])
+    held[np.arange(held.shape[1]) < size[:, None]] = found.hashes
+    return Block(held, size, [sorted(x) for x in by_words.values()], first, found.data, found.starts.astype(np.int32), found.ends.astype(np.int32))
 
 
 class Lookup:
@@ -167,6 +184,8 @@ def occurrences(found, prefixes: Prefixes) -> tuple[np.ndarray, np.ndarray]:
             for i in range(block.words.shape[1]):
                 same = (block.size[w] <= i) | (found.hashes[np.minimum(s + i, n_words - 1)] == block.words[w, i])
                 w, s = w[same], s[same]
+            same = block.equal(w, found, s)
+            w, s = w[same], s[same]
             starts.append(s)
             rows.append(w)
     none = np.zeros(0, np.int64)

@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from .common import blobs, slices, staged, table, tidy
 from .gsaca import suffix_array
-from .words import mix, span_hash, sums
+from .words import mix, rolling_hash, span_hash, sums
 
 LENGTH, GRAM, STEP = 100, 32, 16
 #: Runs of one anchor in an array, bytes in an array, anchors settled at a time in a task.
@@ -41,9 +41,8 @@ def anchor_runs(data: list[bytes]) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if len(flat) < LENGTH:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    held = sums(flat)
     n = len(flat) - GRAM + 1
-    grams = span_hash(held, np.arange(n), np.arange(GRAM, len(flat) + 1))
+    grams = rolling_hash(sums(flat), np.arange(n), np.arange(GRAM, len(flat) + 1))  # chooses anchors, decides nothing
     least = grams >> np.uint64(32) << np.uint64(32) | np.arange(n, dtype=np.uint64)  # by hash, then leftmost
     reach, width = 1, LENGTH - GRAM + 1
     while 2 * reach <= width:
@@ -58,7 +57,7 @@ def anchor_runs(data: list[bytes]) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])])) if len(own) else none
     count = np.diff(np.append(first, len(own)))
     start = window[first]
-    h = span_hash(held, start, start + count + LENGTH - 1) + mix((own[first] - start).astype(np.uint64))
+    h = span_hash(flat, start, start + count + LENGTH - 1) + mix((own[first] - start).astype(np.uint64))
     return owner[first], start - (ends - size)[owner[first]], count, grams[own[first]], h
 
 
@@ -197,8 +196,14 @@ def repeats(runs: list[bytes], doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarr
     key = mix(head[:, 0] + np.uint64(0x9E3779B97F4A7C15)) + mix(head[:, 1] ^ mix(kind.astype(np.uint64) * np.uint64(STEP + 1) + r.astype(np.uint64)))
     run, at = owner[window], place[window]
     order = np.lexsort((s[run] + at, doc[run], key))
+    parts = (head[:, 0], head[:, 1], kind, r)
+    same = lambda x: x[order][1:] == x[order][:-1]
+    equal = same(key)
+    if (equal & ~np.logical_and.reduce([same(x) for x in parts])).any():  # colliding keys
+        order = np.lexsort((s[run] + at, doc[run], *parts))
+        equal = np.logical_and.reduce([same(x) for x in parts])
     again = np.zeros(len(window), bool)
-    again[order[1:]] = key[order][1:] == key[order][:-1]
+    again[order[1:]] = equal
     return run, at, again, window
 
 
@@ -215,7 +220,7 @@ def sort_runs(runs: DataFrame) -> DataFrame:
             start = s[own] + at
             d, a, b = merged(doc[own[again]], start[again], start[again] + LENGTH)
             first = ~again & (salt[own] > 0)
-            w = span_hash(sums(np.frombuffer(b"".join(data), np.uint8)), window[first], window[first] + LENGTH)
+            w = span_hash(np.frombuffer(b"".join(data), np.uint8), window[first], window[first] + LENGTH)
             for columns in ((d, a, b, None, None), (doc[own[first]], start[first], start[first] + LENGTH, k[own[first]], w.view(np.int64))):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), *(pa.array([None] * len(d) if x is None else x, pa.int64()) for x in columns[3:])], names=["doc_id", "s", "e", "k", "w"])
 

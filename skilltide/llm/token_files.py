@@ -1,8 +1,10 @@
 """Token ids as files: canonical length-limited Huffman codes of ids from global counts, in
 independent blocks with bit-offset checkpoints, decoded by table.
 
-A file set is a Parquet folder of blocks, so that any store that Spark writes to can hold it,
-and a code book of ids and code lengths. A block holds whole documents, about BLOCK ids:
+A file set is a folder with two Parquet tables, so that any store that Spark writes to can hold it,
+and its path is all that a reader needs. book has a row for each id that occurs: id, and length of
+its code word in bits; the code words follow from these. blocks holds whole documents, about BLOCK
+ids in a row:
 
     part, seq       range partition, and place in it of the block's first document
     doc_ids, sizes  of its documents, with the end id
@@ -22,16 +24,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blobs, slices, staged, table, tidy
-from .words import VISIBLE, span_hash, words
+from .common import blobs, fresh, slices, staged, table, tidy
+from .words import VISIBLE, same_bytes, span_hash, words
 
 BLOCK, STRIDE = 1 << 16, 128
-#: Units of which a worker keeps the ids, of about 30 bytes each; results do not depend on it.
-HELD = 3_000_000
+#: Units of which a worker keeps bytes and ids, of about 50 bytes each; results do not depend on it.
+HELD, HELD_BYTES = 3_000_000, 1 << 28
 _held: dict[str, WordIds] = {}
 
 
@@ -58,7 +60,8 @@ class WordIds:
     For tokenizers that lower-case, in which no token reaches over a space or line feed, nor from
     an ASCII letter or digit to a sign behind it, and in which tokens with END end a run of
     letters. A unit is a word between white space, or such a word without the signs that end it,
-    or these signs. Units are known by 64-bit hashes in sorted arrays. New ones of a-z only, of
+    or these signs. Units are found by 64-bit hashes in sorted arrays and compared by their bytes;
+    texts in which a hash finds another unit go whole. New ones of a-z only, of
     which the normalizer and the byte level change nothing, are encoded many in one text, without
     those two; others alone. Texts with ``<|`` may hold special strings and go whole.
     """
@@ -82,6 +85,7 @@ class WordIds:
         self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
         self.start, self.size, self.units = np.zeros(1024, np.int32), np.zeros(1024, np.int32), 0
         self.flat, self.used = np.zeros(1024, np.uint32), 0
+        self.said, self.said_at, self.said_size, self.said_used = np.zeros(1024, np.uint8), np.zeros(1024, np.int32), np.zeros(1024, np.int32), 0
         self.near, self.near_at = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64)
 
     def _alone(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,15 +132,20 @@ class WordIds:
             row[new] = np.arange(self.units, self.units + len(new))
             self.flat[self.used : self.used + len(ids)] = ids
             self.start[row[new]], self.size[row[new]] = self.used + np.cumsum(size) - size, size
+            n = ends[new] - starts[new]
+            self.said, self.said_at, self.said_size = (_roomy(x, k) for x, k in ((self.said, self.said_used + int(n.sum())), (self.said_at, self.units + len(new)), (self.said_size, self.units + len(new))))
+            self.said_at[row[new]], self.said_size[row[new]] = self.said_used + np.cumsum(n) - n, n
+            self.said[self.said_used : self.said_used + n.sum()] = data[np.repeat(starts[new] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            self.said_used += int(n.sum())
             self.used, self.units = self.used + len(ids), self.units + len(new)
             most, recent = self.known
             recent = _put(recent, units[new], row[new])
             self.known = [most, recent] if len(recent[0]) < max(50_000, len(most[0]) // 8) else [_put(most, *recent), (recent[0][:0], recent[1][:0])]
         return row
 
-    def encode(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts behind each other, and how many each has."""
-        whole = {i: self._alone([b])[0] for i, b in enumerate(blobs) if b"<|" in b}
+    def encode(self, blobs: list[bytes], alone: frozenset[int] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts behind each other, and how many each has. alone: texts that go whole."""
+        whole = {i: self._alone([b])[0] for i, b in enumerate(blobs) if b"<|" in b or i in alone}
         found = words([b"" if i in whole else b for i, b in enumerate(blobs)], VISIBLE)
         data = found.data
         kept = PLAIN[data]
@@ -146,16 +155,22 @@ class WordIds:
         owner = np.concatenate([found.owner, found.owner[cut]])
         order = np.argsort(starts, kind="stable")
         starts, ends, owner = starts[order], ends[order], owner[order]
-        hashes = span_hash(found.sums, starts, ends)
+        hashes = span_hash(data, starts, ends)
         slot = (hashes >> np.uint64(48)).astype(np.int64)  # frequent units are found in a small table first
         row = np.where(self.near[slot] == hashes, self.near_at[slot], -1)
         rare = np.flatnonzero(row < 0)
         units, first, which = np.unique(hashes[rare], return_index=True, return_inverse=True)
-        if self.units and self.units + len(units) > self.held:
+        if self.units and (self.units + len(units) > self.held or self.said_used > HELD_BYTES):
             self._forget()
-            return self.encode(blobs)
+            return self.encode(blobs, alone)
         row[rare] = self._rows(units, starts[rare[first]], ends[rare[first]], found.data)[which]
         self.near[slot[rare]], self.near_at[slot[rare]] = hashes[rare], row[rare]
+        n = ends - starts
+        same = self.said_size[row] == n
+        long = np.flatnonzero(same & (n > 8))  # shorter ones of one length have hashes of their own
+        same[long] = same_bytes(self.said, self.said_at[row[long]], found.data, starts[long], n[long])
+        if not same.all():
+            return self.encode(blobs, alone.union(owner[~same].tolist()))
         size = self.size[row]
         last = np.cumsum(size, dtype=np.int32)
         ids = self.flat[np.repeat(self.start[row] - last + size, size) + np.arange(last[-1] if len(last) else 0, dtype=np.int32)]
@@ -309,9 +324,12 @@ def unpack(blocks: list[tuple[bytes, np.ndarray, int]], decoder: tuple[np.ndarra
     return [out[:, a:b].T.ravel()[:n] for (_, _, n), a, b in zip(blocks, lanes[:-1], lanes[1:], strict=True)]
 
 
-def write(ids: DataFrame, dtype: str, end: int = 1, name: str = "token-file") -> tuple[DataFrame, CodeBook]:
-    """Writes tokenize()'s table as blocks in the shared folder; gives the files' rows and their code book."""
+def write(ids: DataFrame, dtype: str, end: int = 1, path: str | None = None) -> str:
+    """Writes tokenize()'s table as a file set and gives its path, a new one in the shared folder if none is given."""
+    spark = ids.sparkSession
+    path = path or fresh(spark, "token-file")
     book = CodeBook.of(*count_ids(ids, end))
+    spark.createDataFrame([(int(i), int(n)) for i, n in zip(book.ids, book.lengths, strict=True)], "id long, length int").coalesce(1).write.parquet(f"{path}/book")  # as many rows as the vocabulary at most
     shared = ids.sparkSession.sparkContext.broadcast(book)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,21 +355,27 @@ def write(ids: DataFrame, dtype: str, end: int = 1, name: str = "token-file") ->
 
     kind = ids.schema["doc_id"].dataType.simpleString()
     rows = ids.drop("counts").mapInArrow(tidy(run), f"part int, seq long, doc_ids array<{kind}>, sizes array<long>, checkpoints binary, payload binary")
-    return staged(rows, name, "uncompressed"), book
+    rows.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    return path
 
 
-def read(files: DataFrame, book: CodeBook) -> DataFrame:
-    """part, seq, doc_id, n_tokens and ids (array<int>) of each document in the files."""
-    return _read(files, book, "ids array<int>", lambda ids: pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
+def read_book(spark: SparkSession, path: str) -> CodeBook:
+    rows = spark.read.parquet(f"{path}/book").orderBy("id").toPandas()
+    return CodeBook(rows["id"].to_numpy(np.int64), rows["length"].to_numpy(np.int64))
 
 
-def read_checksums(files: DataFrame, book: CodeBook) -> DataFrame:
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """part, seq, doc_id, n_tokens and ids (array<int>) of each document in the file set at path."""
+    return _read(spark, path, "ids array<int>", lambda ids: pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
+
+
+def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     """As read(), with ids_crc32 over the ids as little-endian unsigned 32-bit integers instead of the ids."""
-    return _read(files, book, "ids_crc32 long", lambda ids: pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()))
+    return _read(spark, path, "ids_crc32 long", lambda ids: pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()))
 
 
-def _read(files: DataFrame, book: CodeBook, field: str, made) -> DataFrame:
-    shared = files.sparkSession.sparkContext.broadcast(book)
+def _read(spark: SparkSession, path: str, field: str, made) -> DataFrame:
+    files, shared = spark.read.parquet(f"{path}/blocks"), spark.sparkContext.broadcast(read_book(spark, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = shared.value.decoder()
@@ -370,9 +394,9 @@ def _read(files: DataFrame, book: CodeBook, field: str, made) -> DataFrame:
     return files.mapInArrow(tidy(run), f"part int, seq long, doc_id {kind}, n_tokens long, {field}")
 
 
-def with_starts(documents: DataFrame, files: DataFrame) -> DataFrame:
-    """documents, as read from files, with start, the number of ids of all documents before it: sums by part from the files' sizes, then inside each part."""
-    parts = files.groupBy("part").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
+def with_starts(documents: DataFrame, path: str) -> DataFrame:
+    """documents, as read from path, with start, the number of ids of all documents before it: sums by part from the blocks' sizes, then inside each part."""
+    parts = documents.sparkSession.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -384,5 +408,5 @@ def op4_token_files(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ids, dtype = tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
-    files, book = write(ids, dtype)
-    return with_starts(read_checksums(files, book), files).select("doc_id", "start", "n_tokens", "ids_crc32")
+    path = write(ids, dtype)
+    return with_starts(read_checksums(spark, path), path).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from skilltide.llm import byte_bpe, chat_format, html_text, language_id, token_counts, token_files
+from skilltide.llm import byte_bpe, chat_format, decontaminate, html_text, jaccard_join, language_id, token_counts, token_files
 from skilltide.llm.queries import ORACLE_SQL, QUERIES
 
 from ..conftest import rows_by_name
@@ -125,10 +125,11 @@ def test_token_files(spark, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK", 50)
     texts = ODD * 3
     ids, dtype = token_files.tokenize(docs(spark, texts).repartition(3), WORDS)
-    files, book = token_files.write(ids, dtype)
-    assert files.count() > 3
-    rows = token_files.with_starts(token_files.read(files, book), files).orderBy("doc_id").collect()
-    sums = {r.doc_id: r.ids_crc32 for r in token_files.read_checksums(files, book).collect()}
+    path = token_files.write(ids, dtype)
+    other = spark.newSession()  # all that a reader gets is the path
+    assert other.read.parquet(f"{path}/blocks").count() > 3
+    rows = token_files.with_starts(token_files.read(other, path), path).orderBy("doc_id").collect()
+    sums = {r.doc_id: r.ids_crc32 for r in token_files.read_checksums(other, path).collect()}
     library, at = Tokenizer.from_file(WORDS), 0
     for r, t in zip(rows, texts, strict=True):
         want = library.encode(t or "", add_special_tokens=False).ids + [1]
@@ -136,7 +137,49 @@ def test_token_files(spark, monkeypatch):
         assert sums[r.doc_id] == zlib.crc32(np.array(want, "<u4").tobytes())
         at += len(want)
     ids, dtype = token_files.tokenize(docs(spark, []), WORDS)
-    assert token_files.write(ids, dtype)[0].count() == 0
+    assert token_files.read(spark, token_files.write(ids, dtype)).count() == 0
+
+
+def test_token_files_of_odd_ids(spark):
+    rows = spark.createDataFrame([(None, "b a"), (3, "x"), (3, None), (3, "x"), (1, "y" * 70_000)], "doc_id long, text string")
+    found = token_files.with_starts(token_files.read(spark, path := token_files.write(*token_files.tokenize(rows, WORDS))), path).orderBy("start").collect()
+    assert [r.doc_id for r in found] == [None, 1, 3, 3, 3] and sorted(r.n_tokens for r in found[2:]) == [1, 2, 2]
+    assert [r.start for r in found] == np.cumsum([0] + [r.n_tokens for r in found[:-1]]).tolist()
+
+
+def thue_morse(sign=b"a"):
+    """1,024 letters; with its complement a pair that any polynomial hash modulo 2**64 maps to one value."""
+    for _ in range(10):
+        sign += bytes(97 + 98 - c for c in sign)
+    return sign.decode()
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    a, b = thue_morse(b"a"), thue_morse(b"b")
+    held, library = token_files.WordIds(WORDS), Tokenizer.from_file(WORDS)
+    ids, counts = held.encode([a.encode(), b.encode()])
+    assert ids[: counts[0]].tolist() == library.encode(a, add_special_tokens=False).ids and ids[counts[0] :].tolist() == library.encode(b, add_special_tokens=False).ids
+    groups = jaccard_join.near_duplicates(spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in groups} == {1: 1, 2: 2, 3: 1}
+    bench = spark.createDataFrame([(9, a)], "item_id long, text string")
+    hits = decontaminate.contamination(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string"), bench).collect()
+    assert {r.doc_id: r.n_hit for r in hits} == {1: 1, 2: 0}
+
+
+def test_units_with_colliding_hashes(monkeypatch):
+    real = token_files.span_hash
+    monkeypatch.setattr(token_files, "span_hash", lambda data, starts, ends: np.where(ends - starts > 8, real(data, starts, ends) % np.uint64(5), real(data, starts, ends)))
+    held, library = token_files.WordIds(WORDS), Tokenizer.from_file(WORDS)
+    texts = ["alphabetagamma betagammadelta", "internationalization of the internationally known", "short word", "", "alphabetagamma betagammadelto a b c"]
+    for _ in range(2):
+        ids, counts = held.encode([t.encode() for t in texts])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_windows_are_compared_by_bytes():
+    block = decontaminate.Block(np.zeros((2, 13), np.uint64), np.array([2, 1]), [["1"], ["2"]], np.array([0, 2]), np.frombuffer(b" red car blue ", np.uint8), np.array([1, 5, 9]), np.array([4, 8, 13]))
+    found = real([b"a red  car", b"a car red", b"Blue"], decontaminate.ALNUM)
+    assert block.equal(np.array([0, 0, 1]), found, np.array([1, 3, 6])).tolist() == [True, False, True]
 
 
 def test_chat_layouts_and_escapes(spark):
