@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from skilltide.llm import ann_tree, components, decontaminate, jaccard_join, suffix_dedup
@@ -208,36 +209,54 @@ def vectors(spark, x, ids=None):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 
 
-def test_neighbours_reach_the_recall(spark, monkeypatch):
-    monkeypatch.setattr(ann_tree, "BLOCK", 100)
-    rng = np.random.default_rng(0)
-    x = np.concatenate([rng.normal(0, 1, (5, 16))[rng.integers(0, 5, 800)] + rng.normal(0, 0.4, (800, 16)), np.tile(rng.normal(0, 1, (1, 16)), (300, 1))]).astype(np.float32)
-    odd = [None, [], [float("nan")] * 16, [0.0] * 16, [float("inf")] + [1.0] * 15, [1.0] * 3, [None] + [1.0] * 15]
-    df = vectors(spark, x.tolist()).unionByName(vectors(spark, odd, range(5000, 5000 + len(odd))))
-    index = ann_tree.Index(df)
-    found = index.search(index.vectors.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "v")).collect()
+def recall(found, x, k=20):
+    """Share of true neighbours found by all queries; checks ranks, scores and order."""
     by = {}
     for r in found:
         by.setdefault(r.query_id, []).append(r)
     x, right = x.astype(float), []
-    assert set(by) == set(range(0, 1100, 20))
+    assert set(by) == set(range(0, len(x), 20))
     for q, rows in by.items():
         rows.sort(key=lambda r: r["rank"])
         scores = (x * x[q]).sum(1)
         scores[q] = -np.inf
-        best = np.lexsort((np.arange(len(x)), -scores))[:20]
-        right.append(len({r.vec_id for r in rows} & set(best.tolist())) / 20)
-        assert [r["rank"] for r in rows] == list(range(1, 21)) and np.allclose([r.score for r in rows], scores[[r.vec_id for r in rows]], atol=1e-12)
+        best = np.lexsort((np.arange(len(x)), -scores))[:k]
+        right.append(len({r.vec_id for r in rows} & set(best.tolist())) / k)
+        assert [r["rank"] for r in rows] == list(range(1, k + 1)) and np.allclose([r.score for r in rows], scores[[r.vec_id for r in rows]], atol=1e-12)
         assert [(-r.score, r.vec_id) for r in rows] == sorted((-r.score, r.vec_id) for r in rows)
-    assert np.mean(right) >= 0.9
+    return np.mean(right)
+
+
+def test_neighbours_reach_the_recall(spark, monkeypatch):
+    for name, value in (("CELL", 100), ("BLOCK", 20), ("RUN", 2), ("STEP", 7)):
+        monkeypatch.setattr(ann_tree, name, value)
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(0, 1, (5, 16))[rng.integers(0, 5, 800)] + rng.normal(0, 0.4, (800, 16)), np.tile(rng.normal(0, 1, (1, 16)), (300, 1))]).astype(np.float32)
+    odd = [None, [], [float("nan")] * 16, [0.0] * 16, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15]
+    df = vectors(spark, x.tolist()).unionByName(vectors(spark, odd, range(5000, 5000 + len(odd))))
+    assert recall(ann_tree.nearest(df).collect(), x) >= 0.9
+
+
+def test_many_neighbours_with_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann_tree, "BLOCK", 20)
+    rng = np.random.default_rng(1)
+    x = (rng.normal(0, 1, (200, 16))[rng.integers(0, 200, 20_000)] + rng.normal(0, 0.3, (20_000, 16))).astype(np.float32)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    assert recall(ann_tree.nearest(rows).collect(), x) >= 0.9
 
 
 def test_few_vectors(spark):
-    index = ann_tree.Index(vectors(spark, [[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]], [0, 1, 2]))
-    found = index.search(index.vectors.where("vec_id = 0").selectExpr("vec_id AS query_id", "v")).collect()
+    found = ann_tree.nearest(vectors(spark, [[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]], [0, 1, 2])).collect()
     assert [(r.vec_id, r["rank"]) for r in sorted(found, key=lambda r: r["rank"])] == [(1, 1), (2, 2)]
-    empty = ann_tree.Index(vectors(spark, []))
-    assert empty.search(empty.vectors.selectExpr("vec_id AS query_id", "v")).count() == 0
+    assert ann_tree.nearest(vectors(spark, [])).count() == 0
+    assert ann_tree.nearest(vectors(spark, [[1.0]], [20])).count() == 0
+
+
+def test_vectors_with_repeated_ids_ties_and_lengths(spark):
+    rows = [([1.0, 0.0], 0), ([1.0, 0.0], 0), ([2.0, 0.0], 3), ([2.0, 0.0], 1), ([2.0, 0.0], 3), ([0.0, 1.0], 2), ([1.0] * 3, 20), ([2.0] * 3, 5), ([0.0] * 3, 6)]
+    df = vectors(spark, [v for v, _ in rows], [i for _, i in rows]).selectExpr("*", "1 AS score")
+    found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann_tree.nearest(df).collect())
+    assert found == [(0, 1, 1, 2.0), (0, 2, 3, 2.0), (0, 3, 3, 2.0), (0, 4, 2, 0.0), (20, 1, 5, 6.0)]
 
 
 def test_pipeline_keeps_and_drops(spark):

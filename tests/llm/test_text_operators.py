@@ -178,7 +178,7 @@ def test_units_with_colliding_hashes(monkeypatch):
 
 def test_windows_are_compared_by_bytes():
     block = decontaminate.Block(np.zeros((2, 13), np.uint64), np.array([2, 1]), [["1"], ["2"]], np.array([0, 2]), np.frombuffer(b" red car blue ", np.uint8), np.array([1, 5, 9]), np.array([4, 8, 13]))
-    found = real([b"a red  car", b"a car red", b"Blue"], decontaminate.ALNUM)
+    found = decontaminate.words([b"a red  car", b"a car red", b"Blue"], decontaminate.ALNUM)
     assert block.equal(np.array([0, 0, 1]), found, np.array([1, 3, 6])).tolist() == [True, False, True]
 
 
