@@ -70,21 +70,22 @@ def test_bpe_round_trip(spark):
     assert byte_bpe.digests(docs(spark, [])).count() == 0
 
 
-def test_token_counts(spark):
-    library = Tokenizer.from_file(JSON)
-    rows = {r.doc_id: r for r in token_counts.count_tokens(docs(spark, ODD, True), JSON, limit=5).collect()}
-    for i, t in enumerate(ODD):
+@pytest.mark.parametrize("known", [0, 3, 200_000])
+def test_token_counts(spark, monkeypatch, known):
+    monkeypatch.setattr(token_counts, "FREQUENT", known)
+    library, said = Tokenizer.from_file(JSON), [*ODD, "clash of names " * 400, "one one two"]
+    clash = docs(spark, said, True).selectExpr("*", "doc_id AS row", "text AS rare", "1 AS sum", "doc_id AS `a.b`")
+    found = token_counts.count_tokens(clash.unionByName(clash), JSON, limit=5)
+    assert found.columns == ["doc_id", "row", "rare", "sum", "a.b", "n_bytes", "n_tokens", "over_limit"]
+    rows = found.collect()
+    assert len(rows) == 2 * len(said)
+    for r in rows:
+        t = said[r.doc_id]
         n = len(library.encode(t or "", add_special_tokens=False).ids)
-        assert (rows[i].n_tokens, rows[i].n_bytes, rows[i].over_limit) == (n, len((t or "").encode()), n > 5)
+        assert (r.n_tokens, r.n_bytes, r.over_limit, r.row, r.rare) == (n, len((t or "").encode()), n > 5, r.doc_id, t)
     assert token_counts.count_tokens(docs(spark, []), JSON).count() == 0
 
 
-def test_counts_with_a_full_table():
-    counter, library = token_counts.PieceCounter(JSON, held=3), Tokenizer.from_file(JSON)
-    texts = ["one two three four", "five six seven", "one two"]
-    assert counter.totals(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
-
-
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="aAbzé.,'* \n\tİ1<|>ß́“”!- 中", max_size=40), max_size=5))
 def test_word_ids_equal_the_library(texts):
