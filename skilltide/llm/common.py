@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on.
 STEP_BYTES = 1 << 20
@@ -54,13 +55,43 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of stored copies, by scratch() that is open.
+_scratch: list[list[str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the copies that staged() makes inside; what was made of them has to be written by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            delete(spark, path)
+
+
 def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: later jobs neither recompute it nor depend on the executors that made it."""
     path = fresh(df.sparkSession, name)
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Frees what the process no longer uses."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run):
     """run for mapInArrow, with the memory that it took given back when a task ends: workers wait for more tasks as they are.
 
@@ -73,14 +104,25 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return wrapped
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with _key: the doc_id, but null in rows whose text is not the least of their doc_id.
+
+    So rows that repeat a document all have its key, and texts that share a doc_id with another do not.
+    Null texts count as empty.
+    """
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return docs.withColumn("_key", F.col("doc_id"))
+    said = F.coalesce("text", F.lit(""))
+    least = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(said).alias("_least"))
+    return docs.join(least, "doc_id", "left").withColumn("_key", F.when(F.col("_least").isNull() | (said == F.col("_least")), F.col("doc_id"))).drop("_least")
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about limit bytes of text; a row is never cut."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

@@ -119,23 +119,25 @@ def cut(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, each: int = WINDOWS) -> ByteConvNet | None:
-    """A network for the languages in labelled (doc_id, text, lang); None if there are none."""
-    labelled = labelled.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id").distinct()
+    """A network for the languages in labelled (doc_id, text, lang); None if there are none.
+
+    Rows without doc_id, text or lang, and empty texts, teach nothing; rows that say the same count once.
+    """
+    labelled = labelled.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text <> '' AND doc_id IS NOT NULL")
+    # about twice the sample by a share of the hash, so that no more than that is ranked of a language
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    some = labelled.join(counts, "lang").where(place * F.col("n") <= (2 * sample) << 40).select("doc_id", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, langs, out = [], [], []
-            for doc, lang, text in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), blobs(batch), strict=True):
-                for at in np.unique(np.linspace(0, max(0, len(text) - LENGTH), each).astype(int)) if text else ():
-                    ids.append(doc)
-                    langs.append(lang)
-                    out.append(text[at : at + LENGTH].ljust(LENGTH, b"\0"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type), pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["doc_id", "lang", "window"])
+            out = [[text[at : at + LENGTH].ljust(LENGTH, b"\0") for at in np.unique(np.linspace(0, max(0, len(text) - LENGTH), each).astype(int))] for text in blobs(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(out, pa.list_(pa.binary()))], names=["doc_id", "lang", "windows"])
 
     kind = labelled.schema["doc_id"].dataType.simpleString()
-    rows = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(tidy(run), f"doc_id {kind}, lang string, window binary").toArrow()
+    made = some.mapInArrow(tidy(run), f"doc_id {kind}, lang string, windows array<binary>").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id", "windows"))
+    rows = made.withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang", F.explode("windows").alias("window")).toArrow()
     if not rows.num_rows:
         return None
     rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("window", "ascending")])

@@ -4,7 +4,8 @@ in a smaller doc_id or before in the same document.
 1. Each document is cut at anchors: the least of all hashes of GRAM bytes in a window of LENGTH.
    Equal windows have the same anchor at the same place, so only windows with equal anchors are
    compared. An anchor stands for a run of windows; runs equal as a whole are settled by their
-   hash, first inside each task, then over all. That leaves runs whose anchor recurs but which differ.
+   hash, first inside each task, then over all, where they pass in order and only BLOCK of an
+   anchor are held. That leaves runs whose anchor recurs but which differ.
 2. Their bytes are fetched, and blocks of them go to suffix arrays (gsaca). The symbols are short
    strings that end at white space or after STEP bytes without, so that where a symbol starts
    depends only on the bytes before; windows between symbol starts are their next suffix, up to
@@ -21,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import blobs, slices, staged, table, tidy
+from .common import blobs, keyed, slices, staged, table, tidy
 from .gsaca import suffix_array
 from .words import mix, rolling_hash, span_hash, sums
 
@@ -77,14 +79,15 @@ def merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, n
 
 def _rows(doc: np.ndarray, s: np.ndarray, e: np.ndarray, k: np.ndarray | None = None, salt: np.ndarray | None = None) -> pa.RecordBatch:
     none = [None] * len(doc)
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(none if k is None else k.view(np.int64), pa.int64()), pa.array(none if salt is None else salt, pa.int32())], names=["doc_id", "s", "e", "k", "salt"])
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(none if k is None else k, pa.int64()), pa.array(none if salt is None else salt, pa.int32())], names=["doc_id", "s", "e", "k", "salt"])
 
 
 def _firsts(k: np.ndarray, h: np.ndarray, doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by anchor, run, document and start; and in it, which are the first of their run."""
+    """Places of the first of each run, by document and start, and of its later ones; copies of a row are neither."""
     order = np.lexsort((s, doc, h, k))
-    a, b = k[order], h[order]
-    return order, np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(order)]
+    new = np.concatenate([[True], (np.diff(k[order]) != 0) | (np.diff(h[order]) != 0)])[: len(order)]
+    other = np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(s[order]) != 0)])[: len(order)]
+    return order[new], order[~new & other]
 
 
 def settle_runs(docs: DataFrame) -> DataFrame:
@@ -95,8 +98,7 @@ def settle_runs(docs: DataFrame) -> DataFrame:
 
         def settled() -> Iterator[pa.RecordBatch]:
             k, h, doc, s, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, first = _firsts(k, h, doc, s)
-            keep, gone = order[first], order[~first]
+            keep, gone = _firsts(k, h, doc, s)
             d, a, b = merged(doc[gone], s[gone], s[gone] + n[gone] + LENGTH - 1)
             # settled spans travel under keys of their own
             for rows in ((k[keep], h[keep], doc[keep], s[keep], n[keep]), (mix(d.view(np.uint64) + a.astype(np.uint64)), np.zeros(len(d), np.uint64), d, a, a - b)):
@@ -113,30 +115,44 @@ def settle_runs(docs: DataFrame) -> DataFrame:
             yield from settled()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = list(batches)
-        if not tables:
-            return
-        columns = pa.Table.from_batches(tables)
-        k, h, doc, s, n = (columns[c].to_numpy() for c in ("k", "h", "doc_id", "s", "n"))
-        del tables, columns
-        ready = n < 0
-        yield _rows(doc[ready], s[ready], s[ready] - n[ready])
-        k, h, doc, s, n = (x[~ready] for x in (k, h, doc, s, n))
-        order, first = _firsts(k, h, doc, s)
-        gone = order[~first]
-        yield _rows(*merged(doc[gone], s[gone], s[gone] + n[gone] + LENGTH - 1))
-        lead = order[first]
-        new = np.concatenate([[True], k[lead][1:] != k[lead][:-1]])[: len(lead)]
-        group = np.cumsum(new) - 1
-        many = np.bincount(group, minlength=1)
-        place = np.arange(len(lead)) - np.flatnonzero(new)[group]
-        salt = np.where(many[group] > BLOCK, place // BLOCK + 1, 0)  # 0: all runs of the anchor are in one array
-        some = many[group] > 1
-        lead = lead[some]
-        yield _rows(doc[lead], s[lead], s[lead] + n[lead] + LENGTH - 1, k[lead], salt[some].astype(np.int32))
-
-    runs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(local), "k long, h long, doc_id long, s int, n int")
-    return runs.repartition("k").mapInArrow(tidy(whole), SPAN)
+        """Rows come in order. Of an anchor, no more than BLOCK runs wait until it is known whether there are more."""
+        last = None
+        wait = [np.zeros(0, np.int64)] * 4
+        gone_k, gone = None, 0  # an anchor of which so many runs have left already
+        for batch in batches:
+            k, h, doc, s, n = (batch.column(c).to_numpy() for c in ("k", "h", "doc_id", "s", "n"))
+            ready = n < 0
+            yield _rows(doc[ready], s[ready], s[ready] - n[ready])
+            k, h, doc, s, n = (x[~ready] for x in (k, h, doc, s, n))
+            if not len(k):
+                continue
+            same = [np.concatenate([[last is not None and last[i] == x[0]], x[1:] == x[:-1]]) for i, x in enumerate((k, h, doc, s))]
+            again = same[0] & same[1]
+            copy = again & same[2] & same[3]  # of a row
+            last = (k[-1], h[-1], doc[-1], s[-1])
+            yield _rows(*merged(*(x[again & ~copy] for x in (doc, s, s + n + LENGTH - 1))))
+            k, doc, s, n = (np.concatenate([w, x[~again]]) for w, x in zip(wait, (k, doc, s, n), strict=True))
+            if not len(k):
+                continue
+            cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            size = np.diff(np.append(cuts, len(k)))
+            before = np.where(k[cuts] == gone_k, gone, 0) if gone_k is not None else np.zeros(len(cuts), np.int64)
+            many = np.repeat(size + before, size)
+            place = np.arange(len(k)) - np.repeat(cuts - before, size)
+            salt = np.where(many > BLOCK, place // BLOCK + 1, 0)  # 0: all runs of the anchor are in one array
+            leaves = many > 1
+            if many[-1] > BLOCK:
+                gone_k, gone, wait = k[-1], int(many[-1]), [x[:0] for x in (k, doc, s, n)]
+            else:
+                wait = [x[cuts[-1] :] for x in (k, doc, s, n)]
+                leaves[cuts[-1] :] = False
+            yield _rows(doc[leaves], s[leaves], s[leaves] + n[leaves] + LENGTH - 1, k[leaves], salt[leaves].astype(np.int32))
+        k, doc, s, n = wait
+        if len(k) > 1:
+            yield _rows(doc, s, s + n + LENGTH - 1, k, np.zeros(len(k), np.int32))
+
+    runs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(tidy(local), "k long, h long, doc_id long, s int, n int")
+    return runs.repartition("k").sortWithinPartitions("k", "h", "doc_id", "s").mapInArrow(tidy(whole), SPAN)
 
 
 def repeats(runs: list[bytes], doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -253,45 +269,51 @@ def fetch_runs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id and spans (array of s and e, bytes) of all documents with repeats; spans may overlap."""
+    """doc_id and spans (array of s and e, bytes) of all documents (doc_id long, text) with repeats; spans may overlap."""
     found = staged(settle_runs(docs), "runs")
-    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # a shuffle of its own brings runs together that the fetch has in other partitions; copies of a row give the same run
-    sorted_runs = staged(sort_runs(fetch_runs(texts, found.where("k IS NOT NULL"))), "sorted-runs")
+    sorted_runs = staged(sort_runs(fetch_runs(docs.where("text IS NOT NULL"), found.where("k IS NOT NULL"))), "sorted-runs")
     rank = F.row_number().over(Window.partitionBy("k", "w").orderBy("doc_id", "s"))  # a row for each array
     met = sorted_runs.where("w IS NOT NULL").withColumn("rank", rank).where("rank > 1")
     spans = found.where("k IS NULL").select("doc_id", "s", "e").unionByName(sorted_runs.where("w IS NULL").select("doc_id", "s", "e")).unionByName(met.select("doc_id", "s", "e"))
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
+ADDED = {"kept": "binary", "kept_text": "string", "n_bytes": "long", "n_removed": "long", "n_spans": "long"}
+
+
 def unrepeated(docs: DataFrame) -> DataFrame:
     """docs with kept (binary: the bytes left), kept_text (their whole characters), n_bytes, n_removed and n_spans (maximal removed runs).
 
-    Null texts count as empty. Rows with null doc_id stay whole and remove nothing. Rows that
-    repeat a doc_id count as one document, so they have to have the same text. Texts of fewer
-    than LENGTH bytes stay whole. Columns of docs with the names of results are replaced.
+    Null texts count as empty, and texts of fewer than LENGTH bytes stay whole. Rows that repeat a
+    doc_id and its text count as one document and lose the same bytes. Rows with a null doc_id, and
+    those whose doc_id has another, lesser text, stay whole and remove nothing. Columns of docs with
+    the names of results are replaced, all others pass; an empty table gives an empty one.
     """
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in {"kept", "kept_text", "n_bytes", "n_removed", "n_spans"}))
-    spans = repeated_spans(docs).withColumnRenamed("doc_id", "_doc")
-    both = docs.join(spans, docs["doc_id"].cast("long") == spans["_doc"], "left").drop("_doc").withColumnRenamed("spans", "kept")
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ADDED))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    said = keyed(docs.select("doc_id", "text", F.struct(*others).alias("row"))).select(F.col("_key").cast("long").alias("doc_id"), "text", "row")
+    both = said.join(repeated_spans(said.select("doc_id", "text")), "doc_id", "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                kept, said, counts = [], [], []
-                for data, spans in zip(blobs(part), part.column("kept").to_pylist(), strict=True):
+                kept, left, counts = [], [], []
+                for data, spans in zip(blobs(part), part.column("spans").to_pylist(), strict=True):
                     _, s, e = merged(*np.array([(0, x["s"], x["e"]) for x in spans or ()], np.int64).reshape(-1, 3).T)
                     cuts = [0, *np.stack([s, e], 1).ravel().tolist(), len(data)]
                     pieces = [data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
                     kept.append(b"".join(pieces))
-                    said.append("".join(p.decode(errors="ignore") for p in pieces))
+                    left.append("".join(p.decode(errors="ignore") for p in pieces))
                     counts.append((len(data), int((e - s).sum()), len(s)))
-                own = {n: part.column(n) for n in part.schema.names if n != "kept"}
-                own |= {"kept": pa.array(kept, pa.binary()), "kept_text": pa.array(said, pa.string())} | {n: pa.array([c[i] for c in counts], pa.int64()) for i, n in enumerate(("n_bytes", "n_removed", "n_spans"))}
-                yield pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["kept binary", "kept_text string", "n_bytes long", "n_removed long", "n_spans long"]
-    return both.mapInArrow(tidy(run), ", ".join(fields))
+                own = [part.column("row"), part.column("text"), pa.array(kept, pa.binary()), pa.array(left, pa.string()), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(3))]
+                yield pa.RecordBatch.from_arrays(own, names=["row", "text", *ADDED])
+
+    schema = T.StructType([both.schema["row"], both.schema["text"]])
+    for name, kind in ADDED.items():
+        schema = schema.add(name, kind)
+    found = both.mapInArrow(tidy(run), schema)
+    return found.select(*(F.col("text" if c == "text" else f"row.`{c}`") for c in docs.columns), *ADDED)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:

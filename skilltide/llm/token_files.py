@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blobs, fresh, slices, staged, table, tidy
+from .common import blobs, fresh, give_back, slices, staged, table, tidy
 from .words import VISIBLE, same_bytes, span_hash, words
 
 BLOCK, STRIDE = 1 << 16, 128
@@ -37,6 +37,13 @@ HELD, HELD_BYTES = 3_000_000, 1 << 28
 _held: dict[str, WordIds] = {}
 
 
+def _forget_units() -> None:
+    """Gives a worker's units back: writing and reading files needs none."""
+    if _held:
+        _held.clear()
+        give_back()
+
+
 def _roomy(x: np.ndarray, n: int) -> np.ndarray:
     """x with room for n items."""
     while n > len(x):
@@ -82,11 +89,11 @@ class WordIds:
 
     def _forget(self) -> None:
         # sorted hashes and their rows: most of them, and the recent ones, which are put to them now and then
-        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
+        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2
         self.start, self.size, self.units = np.zeros(1024, np.int32), np.zeros(1024, np.int32), 0
         self.flat, self.used = np.zeros(1024, np.uint32), 0
         self.said, self.said_at, self.said_size, self.said_used = np.zeros(1024, np.uint8), np.zeros(1024, np.int32), np.zeros(1024, np.int32), 0
-        self.near, self.near_at = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64)
+        self.near, self.near_at = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
 
     def _alone(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of units behind each other, and how many each has."""
@@ -333,6 +340,7 @@ def write(ids: DataFrame, dtype: str, end: int = 1, path: str | None = None) ->
     shared = ids.sparkSession.sparkContext.broadcast(book)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_units()
         words, sizes = shared.value.encoder()
         held: list[tuple[int, int, object, np.ndarray]] = []
         n_ids = 0
@@ -378,6 +386,7 @@ def _read(spark: SparkSession, path: str, field: str, made) -> DataFrame:
     files, shared = spark.read.parquet(f"{path}/blocks"), spark.sparkContext.broadcast(read_book(spark, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_units()
         decoder = shared.value.decoder()
         for batch in batches:
             for first in range(0, batch.num_rows, 16):

@@ -87,6 +87,17 @@ def test_dedup_of_odd_tables(spark):
     assert (rows[1].n_removed, rows[2].n_removed, rows[None].n_removed) == (119, 110, 0) and rows[2].kept_text == ""
 
 
+def test_dedup_of_repeated_rows_and_clashing_columns(spark):
+    line = "".join(f"{i} " for i in range(60))
+    rows = [(1, line), (2, "b " + line), (2, "b " + line), (2, "c " + line), (3, None), (3, None)]
+    clash = docs(spark, rows).selectExpr("doc_id", "text", "doc_id AS _doc", "1 AS spans", "2 AS row", "3 AS k", "text AS _least", "4 AS `a.b`")
+    found = suffix_dedup.unrepeated(clash)
+    assert found.columns[:8] == clash.columns
+    got = sorted((r.doc_id, r.text or "", r.n_removed, r._doc, r.spans, r.row) for r in found.collect())
+    n = len(line)
+    assert got == [(1, line, 0, 1, 1, 2), (2, "b " + line, n, 2, 1, 2), (2, "b " + line, n, 2, 1, 2), (2, "c " + line, 0, 2, 1, 2), (3, "", 0, 3, 1, 2), (3, "", 0, 3, 1, 2)]
+
+
 def brute_items(texts, items):
     windows = {}
     for i, t in items:
