@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: a > b. Large: each node links its larger neighbours to the least of all; small: itself and its smaller ones."""
@@ -23,13 +25,14 @@ def components(links: DataFrame) -> DataFrame:
     """Columns node and component (the least node that links reach), for all nodes in links (columns a and b, any order).
 
     Self links and repeated links do no harm; nulls are left out; no links give no rows.
-    Each round is written to the checkpoint folder, and no set of nodes meets in one task: the
+    Each round is stored in the shared folder, and no set of nodes meets in one task: the
     least neighbour is found by partial aggregates, and joins on a node of many links are split.
     """
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct().checkpoint()
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
+    edges = staged(edges, "edges")
     before = None
     while True:
-        edges = _star(_star(edges, True), False).checkpoint()
+        edges = staged(_star(_star(edges, True), False), "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

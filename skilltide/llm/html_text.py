@@ -40,12 +40,17 @@ NAMES_OF_OTHERS = frozenset("has no not with without".split())
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
+#: The words that take a paragraph out of an article by its class or id; by others it goes only if it is mostly links.
+ADVERTS = frozenset("ad ads adv advert adverts advertisement adsense promo sponsor sponsored".split())
+#: Share of the least density on the path to the body that other subtrees have to reach. A density grows with
+#: the length of paragraphs and slowly with their number; half admits blocks whose paragraphs are half as long.
+SHARE = 0.5
 
 
 class Node:
     __slots__ = ("tag", "parent", "beside", "parts", "chars", "links", "heads", "tags", "link_tags", "block", "body_share", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, beside: bool = False) -> None:
+    def __init__(self, tag: str, parent: Node | None, beside: str = "") -> None:
         self.tag, self.parent, self.beside, self.parts = tag, parent, beside, []
 
 
@@ -62,8 +67,8 @@ def left_out(tag: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
-def beside(attributes: str, inside_article: bool) -> bool:
-    """If a name in class or id says that the node is beside the article."""
+def beside(attributes: str, inside_article: bool) -> str:
+    """The word by which a name in class or id says that the node is beside the article, or an empty one."""
     for name, *values in ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id"):
             for token in next((v for v in values if v), "").split():
@@ -73,8 +78,8 @@ def beside(attributes: str, inside_article: bool) -> bool:
                 while len(words) > 1 and words[-1] in ENDS:
                     words.pop()
                 if words and (words[-1] in WORDS_OUT or words[-1] == "header" and not inside_article):
-                    return True
-    return False
+                    return words[-1]
+    return ""
 
 
 def parse(page: str) -> Node:
@@ -126,7 +131,8 @@ def parse(page: str) -> Node:
         above = stack[-1][1]
         node = None
         if above is not None and not left_out(tag, attributes, articles > 0):
-            node = Node(tag, above, bool(attributes) and beside(attributes, articles > 0))
+            word = beside(attributes, articles > 0) if attributes else ""
+            node = Node(tag, above, "links" if word and tag == "p" and articles > 0 and word not in ADVERTS else word)
             above.parts.append(node)
         if tag in RAW:
             found = re.compile(f"</{tag}", re.I).search(page, at)
@@ -186,7 +192,7 @@ def cut(order: list[Node]) -> bool:
         if (node.tag in ("article", "main") and node.chars and not node.beside or node in holds) and node.parent is not None:
             holds |= {node, node.parent}
     for node in order:
-        if node.beside and node.tag not in KEPT - {"p"} and node not in holds and (holds or 2 * (node.chars - node.links) <= root.chars - root.links):
+        if node.beside and (node.beside != "links" or mostly_links(node)) and node.tag not in KEPT - {"p"} and node not in holds and (holds or 2 * (node.chars - node.links) <= root.chars - root.links):
             out.add(node)
     for parent in {n.parent for n in out}:
         parent.parts = [x for x in parent.parts if x not in out]
@@ -214,8 +220,8 @@ def article(root: Node) -> list[Node]:
     """The parts of the article, in order.
 
     The node with the largest density sum is kept, in the whole of its outermost <article>, or else
-    its <main>. The least density on its path to the body is the threshold; every other subtree that
-    reaches it is kept too, and articles beside the kept one if they are not mostly links. What lies
+    its <main>. SHARE of the least density on its path to the body is the threshold; every other subtree
+    that reaches it is kept too, and articles beside the kept one if they are not mostly links. What lies
     between kept parts of one node, or between them and the heading before, is kept unless mostly links.
     """
     order = measure(root)
@@ -226,7 +232,7 @@ def article(root: Node) -> list[Node]:
     while path[-1].parent is not None:
         path.append(path[-1].parent)
     body = next((i for i, n in enumerate(path) if n.tag == "body"), len(path) - 1)
-    threshold = min(n.density for n in path[: body + 1])
+    threshold = SHARE * min(n.density for n in path[: body + 1])
     named = [n for n in path if n.tag == "article"][-1:] or [n for n in path if n.tag == "main"][:1]
     best = (named or [n for n in path if n.block])[0]
     above = set(map(id, path[path.index(best) + 1 :]))

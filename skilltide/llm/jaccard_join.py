@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blobs, shared_dir, slices, staged, table, tidy
+from .common import blobs, keyed, shared_dir, slices, staged, table, tidy
 from .components import components
 from .words import VISIBLE, mix, shingles, words
 
@@ -62,16 +62,17 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def set_keys(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n and a 128-bit key of each document's shingle set."""
+    """doc_id, own, n and a 128-bit key of each document's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(blobs(part), size)
                 k = [np.array([f(s).sum(dtype=np.uint64) for s in sets], np.uint64) for f in (lambda s: mix(s), lambda s: mix(s ^ np.uint64(0x5851F42D4C957F2D)))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed(k[0]), _signed(k[1])], names=["doc_id", "n", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("own"), pa.array([len(s) for s in sets], pa.int64()), _signed(k[0]), _signed(k[1])], names=["doc_id", "own", "n", "k1", "k2"])
 
-    return docs.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, k1 long, k2 long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(tidy(run), f"doc_id {kind}, own {kind}, n long, k1 long, k2 long")
 
 
 def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
@@ -174,10 +175,13 @@ def scored(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 def family_differences(near: DataFrame, sets: DataFrame) -> DataFrame:
     """rep, root, n, d and differences (array<long>) of the members of large families of near pairs (a, b)."""
     members = components(near).withColumnsRenamed({"node": "rep", "component": "root"})
-    large = members.groupBy("root").agg(F.count("*").alias("m")).where(F.col("m") >= FAMILY).select("root")
+    large = members.groupBy("root").agg(F.count("*").alias("m")).where(F.col("m") >= FAMILY)
+    # about twice the members needed, and the root, so that no more than that is ranked of a family
+    place = F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) / (1 << 40)
+    some = members.join(large, "root").where((place * F.col("m") <= 2 * CENTRE) | (F.col("rep") == F.col("root")))
+    rank = F.row_number().over(Window.partitionBy("root").orderBy(place, "rep"))
+    few = some.withColumn("rank", rank).where(F.col("rank") <= CENTRE)
     members = members.join(large, "root", "left_semi")
-    rank = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("rep"), "rep"))
-    few = members.withColumn("rank", rank).where(F.col("rank") <= CENTRE)
     kind = near.schema["a"].dataType.simpleString()
     held = sets.withColumnRenamed("doc_id", "rep")
 
@@ -208,11 +212,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
 
     Documents link if 100 * intersection >= threshold * union of their sets of distinct
     shingles of size words; component_id is the least doc_id that links reach. Empty sets (null,
-    empty or blank texts) link with nothing. Rows with a null doc_id keep a null component;
-    rows with the same doc_id have to have the same text. Other columns are left out.
+    empty or blank texts) link with nothing. Rows with a null doc_id keep a null component. Rows
+    that repeat a document have its component; one whose doc_id has another, lesser text links with
+    nothing. Other columns are left out, and an empty table gives an empty one.
     """
     shared_dir(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = keyed(docs.select("doc_id", "text")).select(F.col("_key").alias("doc_id"), F.col("doc_id").alias("own"), "text")
     keys = staged(set_keys(docs, size), "set-keys")
     classes = keys.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     classes = staged(classes, "classes")
@@ -246,10 +251,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
         return df.join(own, "rep", "left").withColumn("c", F.coalesce("c", "rep"))
 
     # in families: pairs of different components that share so many differences as to link, found by prefixes of rare differences first
+    # no partner asks for fewer shared differences than the nearest to the centre would
+    fewest = over.join(nearest, "root").select("rep", F.greatest(F.lit(1), F.floor((F.col("e") + F.col("m.e") + 2 * (100 + threshold) - 1) / (2 * (100 + threshold)))).alias("fewest"))
     apart = named(family.select("rep", "root", "n", "d", F.explode("differences").alias("token")))
     often = apart.groupBy("root", "token").agg(F.count("*").alias("often"), F.min("c").alias("c1"), F.max("c").alias("c2"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("often", "token")) - 1
-    apart = apart.join(often, ["root", "token"]).withColumn("i", place).where("c1 < c2").select("root", "token", "rep", "n", "d", "i", "c")
+    apart = apart.join(often, ["root", "token"]).withColumn("i", place).where("c1 < c2").join(fewest, "rep").where("i <= d - fewest").select("root", "token", "rep", "n", "d", "i", "c")
     apart = staged(apart, "mixed-differences")
     other = apart.select("root", "token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("i").alias("i2"), F.col("c").alias("c2"))
     shared_least = f"greatest(1, ({100 + threshold} * (d + d2) - {100 - threshold} * (n + n2) + {2 * (100 + threshold) - 1}) div {2 * (100 + threshold)})"
@@ -271,7 +278,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
 
     by_class = classes.join(whole, classes["rep"] == whole["node"], "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = keys.join(by_class, ["n", "k1", "k2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    return out.select(F.col("own").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(linked, F.col("component_id")).otherwise(F.col("own")).alias("component_id"))
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

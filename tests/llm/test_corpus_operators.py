@@ -192,8 +192,9 @@ def test_jaccard_of_a_root_far_from_its_family(spark, monkeypatch):
 
 def test_jaccard_of_odd_tables(spark):
     assert jaccard_join.near_duplicates(docs(spark, [])).count() == 0
-    rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "A B c d e")]
-    assert sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard_join.near_duplicates(docs(spark, rows)).collect()) == [(0, 0), (1, 1), (1, 1), (2, 1)]
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, "A B c d e"), (2, "z y x w v"), (3, "z y x w v"), (4, "far " * 300_000), (5, "FAR " * 300_000 + "end")]
+    clash = docs(spark, rows).selectExpr("*", "7 AS own", "8 AS n", "9 AS _key")
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard_join.near_duplicates(clash).collect()) == [(0, 0), (1, 1), (1, 1), (2, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
 
 
 def test_components(spark):
@@ -270,7 +271,44 @@ def test_vectors_with_repeated_ids_ties_and_lengths(spark):
     assert found == [(0, 1, 1, 2.0), (0, 2, 3, 2.0), (0, 3, 3, 2.0), (0, 4, 2, 0.0), (20, 1, 5, 6.0)]
 
 
+def test_pipeline_stages_of_odd_tables(spark):
+    import corpus_pipeline as pipeline
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    said = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, said, "en", "s", 9), (1, said, "en", "s", 9), (2, said, None, "s", 9), (None, said, "en", None, None), (3, None, "en", "s", 0), (4, "", None, "s", 0), (5, "12 3!", "de", "s", 5), (6, said + " end", "en", "s", 9), (6, "another", "en", "s", 9)]
+    kept = {
+        "language ID": [1, 1, 2, None, 6, 6],
+        "n-gram Jaccard join": [1, None, 3, 4, 5, 6],
+        "suffix-array dedup": [1, 1, None, 3, 4, 5, 6, 6],
+        "benchmark decontamination": [1, 1, 2, None, 3, 4, 5, 6, 6],
+        "byte-level BPE": [1, 1, 2, None, 3, 4, 5, 6, 6],
+    }
+    order = lambda ids: sorted(ids, key=lambda i: i or 0)
+    for name, stage in pipeline.STAGES:
+        found = stage(spark, spark.createDataFrame(rows, columns), SF).collect()
+        assert order(r.doc_id for r in found) == order(kept[name]), name
+        assert stage(spark, spark.createDataFrame([], columns), SF).count() == 0, name
+        if name == "language ID":
+            assert {r.lang for r in found} == {"en"}  # null in 2
+        if name == "n-gram Jaccard join":
+            assert [r.text for r in found if r.doc_id == 6] == ["another"]
+    unlabelled = spark.createDataFrame([(i, t, None, s, n) for i, t, _, s, n in rows], columns)
+    assert order(r.doc_id for r in pipeline.identify_language(spark, unlabelled, SF).collect()) == order(kept["language ID"])
+
+
+def test_pipeline_leaves_one_copy(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as pipeline
+    from skilltide.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    assert pipeline.run(spark, SF).count() > 0
+    assert [p.name[:4] for p in tmp_path.iterdir()] == ["byte"]
+
+
 def test_pipeline_keeps_and_drops(spark):
+    from pyspark.sql import functions as F
+
     import corpus_pipeline as pipeline
     from skilltide.llm.common import staged
 
@@ -282,6 +320,11 @@ def test_pipeline_keeps_and_drops(spark):
         seen[name] = (before, kept)
         if name != pipeline.STAGES[-1][0]:
             assert kept.columns == docs_in.columns
+    from skilltide.llm import language_id
+
+    before, after = seen["language ID"]
+    judged = language_id.predict(before, language_id.train(before.where(~language_id.held_out(F.col("doc_id"))))).collect()
+    assert {r.doc_id for r in after.collect()} == {r.doc_id for r in judged if r.lang_pred != "und" and r.score >= 0.5}
     before, after = seen["n-gram Jaccard join"]
     groups = brute_components([(r.doc_id, r.text) for r in before.collect()], 5, 80)
     assert {r.doc_id for r in after.collect()} == {c for _, c in groups.values()}

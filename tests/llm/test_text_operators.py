@@ -243,6 +243,95 @@ def test_html_of_several_parts():
         assert html_text.extract_text(page).split("\n\n") == wanted, page
 
 
+def test_html_of_parts_beside_each_other():
+    (a, x), (b, y), (c, z) = paragraphs(1, 5), paragraphs(2, 3), paragraphs(3, 3)
+    pages = {
+        f"<body><div>{a}</div><div>{b}</div></body>": x + y,
+        f"<body><h1>Title</h1><div>{a}</div></body>": ["Title", *x],
+        f"<body><div class=wrap><div>{a}</div>{LINKS}</div></body>": x,
+        f"<body><div class=wrap><article>{a}</article>{LINKS}</div></body>": x,
+        f"<article>{a}<p class=related>{z[0]}</p><p class=share>{z[1]}</p><p class=notice>{z[2]}</p><p class=ad>Buy</p><p class=share><a href=x>Share</a></p></article>": x + z,
+    }
+    for page, wanted in pages.items():
+        assert html_text.extract_text(page).split("\n\n") == wanted, page
+
+
+def random_tree(rng, depth):
+    """A tree as (tag, parts) with texts and nodes in turn."""
+    tags = ["div", "div", "section", "p", "b", "a"] if depth else ["p", "b", "a"]
+    tag = rng.choice(tags)
+    parts = [" ".join(rng.choice(["word", "longer", "a", "text"]) for _ in range(rng.choice([0, 2, 9, 40]))) for _ in range(rng.randint(1, 2))]
+    if tag in ("div", "section") or tag == "p" and depth == 1:
+        parts += [random_tree(rng, depth - 1) for _ in range(rng.randint(0, 4))] if tag != "p" else [("b", ["bold"])]
+    return tag, parts
+
+
+def written(tree):
+    return tree if isinstance(tree, str) else f"<{tree[0]}>" + "".join(map(written, tree[1])) + f"</{tree[0]}>"
+
+
+def brute_density(tree, share):
+    """Density of a node and sum of its children's, by the formula, each number counted anew."""
+
+    def count(t, chars=lambda x: len("".join(x.split())), node=lambda tag: 0, inside=lambda tag: True):
+        if isinstance(t, str):
+            return chars(t)
+        return node(t[0]) + sum(count(x, chars, node, inside) for x in t[1])
+
+    def link_chars(t, inside=False):
+        if isinstance(t, str):
+            return len("".join(t.split())) if inside else 0
+        return sum(link_chars(x, inside or t[0] == "a") for x in t[1])
+
+    def density(t):
+        c, lc = count(t), link_chars(t)
+        below = [x for x in t[1] if not isinstance(x, str)]
+        tags = max(1, sum(count(x, lambda _: 0, lambda _: 1) for x in below))
+        links = max(1, sum(count(x, lambda _: 0, lambda tag: tag == "a") for x in below))
+        if not c:
+            return 0.0
+        ratio = c / max(1, lc) * tags / links
+        return c / tags * np.log(max(1.0, ratio) + 1e-9) / np.log(c / max(1, c - lc) * lc + share * c + np.e)
+
+    return density(tree), sum(density(x) for x in tree[1] if not isinstance(x, str))
+
+
+def test_html_density_equals_brute_force():
+    rng = random.Random(5)
+    for _ in range(150):
+        tree = ("body", [random_tree(rng, 3) for _ in range(rng.randint(1, 4))])
+        root = html_text.parse(written(tree))
+        order = html_text.measure(root)
+        share = root.links / root.chars if root.chars else 0.0
+
+        def check(node, t):
+            d, total = brute_density(t, share)
+            assert np.isclose(node.density, d) and np.isclose(node.total, total)
+            nodes = [x for x in node.parts if not isinstance(x, str)]
+            inner = [x for x in t[1] if not isinstance(x, str)]
+            assert [n.tag for n in nodes] == [x[0] for x in inner]
+            for n, x in zip(nodes, inner):
+                check(n, x)
+
+        body = next(n for n in order if n.tag == "body")
+        check(body, tree)
+        # all blocks that reach the share of the least density on the path are in the text
+        best = max(reversed(order), key=lambda n: n.total)
+        path = [best]
+        while path[-1].tag != "body" and path[-1].parent is not None:
+            path.append(path[-1].parent)
+        least = html_text.SHARE * min(n.density for n in path)
+        got = html_text.extract_text(written(tree))
+        for n in order:
+            if n.block and n.tag not in ("html", "body") and n not in path and n.density >= least and n.chars:
+                assert "".join("".join(html_text.blocks(n)).split()) in "".join(got.split())
+
+
+def test_html_of_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "<p>a b", "x", 5, "y")] * 2, "page_id int, html string, text string, n_chars int, url string")
+    assert [(r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract(rows).collect()] == [(1, "y", "a b", 3)] * 2
+
+
 def test_html_names_of_wrappers():
     (a, x), (b, y), (c, z) = paragraphs(1, 5), paragraphs(2, 5), paragraphs(3, 1)
     for name in ("class='content has-sidebar'", "class='site no-sidebar'", "class=page-with-comments", "id='related-research'", "class='social-history'", "class=sidebar", "id=comments"):
@@ -257,6 +346,30 @@ def test_html_names_of_wrappers():
     assert html_text.extract_text(f"<body><article>{a}</article>{said}</body>").split("\n\n") == x
 
 
+def test_convolution_equals_brute_force():
+    rng = np.random.default_rng(2)
+    net = language_id.ByteConvNet(["x", "y", "z"], {w: rng.normal(0, 1, (w, 256, language_id.FILTERS)) for w in language_id.WIDTHS}, rng.normal(0, 1, (3 * language_id.FILTERS, 3)), rng.normal(0, 1, 3))
+    windows = rng.integers(0, 256, (5, language_id.LENGTH)).astype(np.uint8)
+    found = net.tables().probabilities(windows)
+    for row, got in zip(windows, found):
+        pooled = []
+        for w, f in net.filters.items():
+            pooled += [max(sum(f[j, row[p + j], k] for j in range(w)) for p in range(len(row) - w + 1)) for k in range(language_id.FILTERS)]
+        z = np.tanh(np.array(pooled)) @ net.dense + net.bias
+        assert np.allclose(got, np.exp(z) / np.exp(z).sum(), atol=1e-4)
+
+
+def test_language_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "the and of", "en"), (1, "the and of", "en"), (2, "le la les", "fr"), (None, "x", "en"), (3, None, "en"), (4, "y", None)]
+    df = spark.createDataFrame([(*r, 1.0, "q", 2) for r in rows], "doc_id long, text string, lang string, score double, lang_pred string, windows int")
+    net = language_id.train(df)
+    assert net.langs == ["en", "fr"]
+    found = language_id.predict(df, net)
+    assert sorted(found.columns) == sorted(df.columns) and found.count() == 6 and {r.lang_pred for r in found.where("doc_id = 3").collect()} == {"und"}
+    one = language_id.train(df.where("lang = 'fr'"))
+    assert {r.lang_pred for r in language_id.predict(df.where("text IS NOT NULL"), one).collect()} == {"fr"}
+
+
 def test_language_id(spark):
     found = QUERIES["op9_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in found if r.held_out]
