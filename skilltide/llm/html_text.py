@@ -35,7 +35,7 @@ TAGS_OUT = frozenset("head script style nav footer aside form noscript iframe te
 ROLES_OUT = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 WORDS_OUT = frozenset("ad ads adv advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification paywall popup promo recommended related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 #: A name of several words goes by its last word that is none of ENDS, and a name with one of NAMES_OF_OTHERS says nothing of the node itself.
-ENDS = frozenset("area bar block box button buttons container content form group holder icon icons inner item items left link links list module outer panel posts right row section slot top bottom unit wrap wrapper".split())
+ENDS = frozenset("area author bar block body box button buttons container content entry form group holder icon icons inner item items left link links list meta module outer panel posts right row section slot text thread top bottom unit wrap wrapper".split())
 NAMES_OF_OTHERS = frozenset("has no not with without".split())
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
