@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.text import clean_items, clean_text, ratio
+from ..functions.text import clean_items, clean_text, number, ratio, whole_number
+from ..schemas import FREQUENCY, conform
 
 JOB = ["standard_job"]
 PAIR = ["standard_job", "skill"]
 CELL = ["standard_job", "month"]
 
 
+def normalize_frequency(frequency: DataFrame) -> DataFrame:
+    """The frequency columns of a table of text: clean keys, counts and ratios as numbers, 0 where they are none; rows without a key are left out."""
+    text = conform(frequency, T.StructType([T.StructField(f.name, T.StringType()) for f in FREQUENCY]))
+    kinds = {f.name: clean_text(F.col(f.name)) if isinstance(f.dataType, T.StringType) else whole_number(F.col(f.name)) if isinstance(f.dataType, T.LongType) else number(F.col(f.name)) for f in FREQUENCY}
+    return text.select(*(c.alias(name) for name, c in kinds.items())).where("month <> '' AND standard_job <> '' AND skill <> ''")
+
+
 def normalize_events(events: DataFrame) -> DataFrame:
     """Clean text in every column; skills may be an array or a list with semicolons."""
     skills = F.col("skills") if dict(events.dtypes)["skills"].startswith("array") else F.split(F.coalesce("skills", F.lit("")), ";")
@@ -36,6 +45,17 @@ def monthly_skill_count(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy(*CELL, "skill").agg(F.countDistinct("job_id").alias("monthly_skill_count"))
 
 
+def posting_counts(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """monthly_jd_count() and monthly_skill_count() of events in one pass: an event counts for its cell and for each of its skills.
+
+    Which of both a row is for is told by an aggregate, so that no filter moves below the shuffle and both sides read the same one.
+    """
+    rows = events.select("job_id", *CELL, F.explode(F.concat(F.array(F.lit(None).cast("string")), F.filter(F.array_distinct("skills"), lambda x: x.isNotNull()))).alias("skill"))
+    counted = rows.groupBy(*CELL, "skill").agg(F.countDistinct("job_id").alias("n"), F.max(F.col("skill").isNull()).alias("_cell"))
+    cells = counted.where("_cell").select(*CELL, F.col("n").alias("monthly_jd_count"))
+    return cells, counted.where("NOT _cell").select(*CELL, "skill", F.col("n").alias("monthly_skill_count"))
+
+
 def first_months(counts: DataFrame) -> DataFrame:
     return counts.groupBy(*PAIR).agg(F.min("month").alias("first_month"))
 
@@ -68,9 +88,8 @@ def monthly_frequency(events: DataFrame) -> DataFrame:
     Jobs without any skill have no rows. The grid is an equi join on the job with a range on the
     month, so that its size is that of the result; nothing is made dense.
     """
-    events = valid_events(events)
-    cells = with_cumulative_jd(monthly_jd_count(events))
-    counts = monthly_skill_count(explode_skills(events))
+    cells, counts = posting_counts(valid_events(events))
+    cells = with_cumulative_jd(cells)
     first = first_months(counts).withColumnRenamed("standard_job", "_job")
     grid = cells.join(first, (F.col("standard_job") == F.col("_job")) & (F.col("month") >= F.col("first_month"))).drop("_job", "first_month")
     grid = grid.join(counts, [*PAIR, "month"], "left").withColumn("monthly_skill_count", F.coalesce("monthly_skill_count", F.lit(0).cast("long")))
@@ -99,16 +118,15 @@ def dense_frequency(events: DataFrame, taxonomy: DataFrame, start: str | None =
 
     Ratios have four places. Jobs outside the taxonomy stay, with an empty category.
     """
-    valid = valid_events(events)
-    mentions = explode_skills(valid)
-    pairs = mentions.select(*PAIR)
+    postings, counts = posting_counts(valid_events(events))
+    pairs = counts.select(*PAIR)
     if universe is not None:
         pairs = pairs.union(universe.select(clean_text(F.col("standard_job")).alias("standard_job"), clean_text(F.col("skill")).alias("skill")).where("standard_job <> '' AND skill <> ''"))
     months = F.broadcast(calendar(events, start, end))
     jobs = pairs.select("standard_job").distinct()
     zero = F.lit(0).cast("long")
-    cells = jobs.join(months).join(monthly_jd_count(valid), CELL, "left").withColumn("monthly_jd_count", F.coalesce("monthly_jd_count", zero))
-    grid = with_cumulative_jd(cells).join(pairs.distinct(), "standard_job").join(monthly_skill_count(mentions), [*PAIR, "month"], "left")
+    cells = jobs.join(months).join(postings, CELL, "left").withColumn("monthly_jd_count", F.coalesce("monthly_jd_count", zero))
+    grid = with_cumulative_jd(cells).join(pairs.distinct(), "standard_job").join(counts, [*PAIR, "month"], "left")
     grid = grid.withColumn("monthly_skill_count", F.coalesce("monthly_skill_count", zero))
     named = with_frequencies(grid, 10_000).join(taxonomy.select("standard_job", "standard_category").distinct(), "standard_job", "left")
     return named.select("month", "month_index", "standard_job", F.coalesce("standard_category", F.lit("")).alias("standard_category"), *COLUMNS[2:])

@@ -84,10 +84,19 @@ def fallback_diff(profile: DataFrame, job: str, from_month: str, to_month: str)
     return out.withColumns({"standard_job": F.lit(job), "from_month": F.lit(from_month), "to_month": F.lit(to_month), "frequency_delta": F.col(b) - F.col(a)})
 
 
+def latest_months(frequency: DataFrame) -> DataFrame:
+    """standard_job and month of each job's last month."""
+    return frequency.groupBy("standard_job").agg(F.max("month").alias("month"))
+
+
 def current_profile(profile: DataFrame) -> DataFrame:
-    """The skills that each job has in its latest month."""
-    latest = F.max("month").over(Window.partitionBy("standard_job"))
-    return profile.withColumn("_latest", latest).where("month = _latest AND monthly_skill_count > 0").drop("_latest")
+    """The skills that each job has in its latest month; a job is one row of the aggregate, so no history meets in one task."""
+    return profile.join(latest_months(profile), ["standard_job", "month"], "left_semi").where("monthly_skill_count > 0")
+
+
+def current_snapshots(frequency: DataFrame, pool: DataFrame | None = None, rules: R.ProfileRules = R.ProfileRules()) -> DataFrame:
+    """current_profile() of the snapshots of a frequency table: only the last months are ranked."""
+    return current_profile(snapshots(frequency.join(latest_months(frequency), ["standard_job", "month"], "left_semi"), pool, rules))
 
 
 def apply_overrides(current: DataFrame, overrides: DataFrame) -> DataFrame:

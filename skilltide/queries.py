@@ -213,7 +213,7 @@ def profile_diff(spark, sf):
 
 @query
 def current_profile(spark, sf):
-    return profile.current_profile(_snapshots(spark, sf, True))
+    return profile.current_snapshots(freq(spark, sf), testdata.families(spark, sf, True))
 
 
 @query

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str = "") -> str:
-    """A new path in the cluster's checkpoint folder; only where none is set, as in tests, a local one is taken."""
+    """A new path in the folder that spark.checkpoint.dir or the context's checkpoint folder names.
+
+    Where neither is set, a local master gets a new folder of this machine; on a cluster that is an error.
+    """
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else "/tmp/checkpoints/skilltide")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="shared-")
+        spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/{name or 'table'}-{uuid.uuid4().hex}"
 
 
