@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import clean_items, clean_text, number, ratio, whole_number
 from ..schemas import FREQUENCY, conform
+from ..sources.shared import stored
 
 JOB = ["standard_job"]
 PAIR = ["standard_job", "skill"]
@@ -48,12 +49,12 @@ def monthly_skill_count(mentions: DataFrame) -> DataFrame:
 def posting_counts(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """monthly_jd_count() and monthly_skill_count() of events in one pass: an event counts for its cell and for each of its skills.
 
-    Which of both a row is for is told by an aggregate, so that no filter moves below the shuffle and both sides read the same one.
+    The counts are stored: what follows reads them several times, and they are small against the events.
     """
     rows = events.select("job_id", *CELL, F.explode(F.concat(F.array(F.lit(None).cast("string")), F.filter(F.array_distinct("skills"), lambda x: x.isNotNull()))).alias("skill"))
-    counted = rows.groupBy(*CELL, "skill").agg(F.countDistinct("job_id").alias("n"), F.max(F.col("skill").isNull()).alias("_cell"))
-    cells = counted.where("_cell").select(*CELL, F.col("n").alias("monthly_jd_count"))
-    return cells, counted.where("NOT _cell").select(*CELL, "skill", F.col("n").alias("monthly_skill_count"))
+    counted = stored(rows.groupBy(*CELL, "skill").agg(F.countDistinct("job_id").alias("n")), "posting-counts")
+    cells = counted.where("skill IS NULL").select(*CELL, F.col("n").alias("monthly_jd_count"))
+    return cells, counted.where("skill IS NOT NULL").select(*CELL, "skill", F.col("n").alias("monthly_skill_count"))
 
 
 def first_months(counts: DataFrame) -> DataFrame:
