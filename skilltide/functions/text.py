@@ -40,10 +40,6 @@ def month_number(month: Column) -> Column:
     return F.substring(month, 1, 4).cast("int") * 12 + F.substring(month, 6, 2).cast("int") - 1
 
 
-def month_text(number: Column) -> Column:
-    return F.format_string("%04d-%02d", F.floor(number / 12).cast("int"), (F.pmod(number, F.lit(12)) + 1).cast("int"))
-
-
 def is_month(c: Column) -> Column:
     return c.rlike(r"^\d{4}-(0[1-9]|1[0-2])$")
 
@@ -121,29 +117,11 @@ def normalize_level(title: Column) -> Column:
     return F.when(contains_any(title, TECHNICAL) & ~contains_any(title, NOT_ENGINEERS), clean_text(plain)).otherwise(title)
 
 
-def sections(text: Column, markers: tuple[str, ...]) -> Column:
-    """The lines of text that start with a marker, joined by line feeds."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim)
-    return F.array_join(F.filter(lines, lambda x: F.coalesce(*(F.when(x.startswith(m), F.lit(True)) for m in markers), F.lit(False))), "\n")
-
-
-def sentences(text: Column, limit: int = 40) -> Column:
-    """The non-empty sentences of a text, limit at most."""
-    parts = F.transform(F.split(clean_text(text), r"(?<=[。！？!?;；.])\s*"), F.trim)
-    return F.slice(F.filter(parts, lambda x: x != ""), 1, limit)
-
-
-def keyword_pattern(keyword: Column) -> Column:
-    """A regular expression for a keyword as a word of its own: ASCII ones have no word sign beside them."""
-    quoted = F.regexp_replace(keyword, r"([^\p{L}\p{N}\s])", r"\\$1")
-    edge = "[A-Za-z0-9_+#.-]"
-    return F.when(keyword.rlike(r"^[\x00-\x7F]+$"), F.concat(F.lit(f"(?i)(?<!{edge})"), quoted, F.lit(f"(?!{edge})"))).otherwise(F.concat(F.lit("(?i)"), quoted))
-
-
-def context(text: Column, start: Column, size: Column, reach: int = 18) -> Column:
-    """What stands around a span: reach signs before and behind it."""
-    first = F.greatest(start - reach, F.lit(0))
-    return F.substring(text, (first + 1).cast("int"), (start + size + reach - first).cast("int"))
+def split_sentences(text: Column) -> Column:
+    """The sentences of a text: cut at line ends and 。！？；;, without white space, colons, dashes, commas and list marks around them."""
+    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), r"[\n。！？；;]+")
+    kept = F.filter(parts, lambda x: clean_text(x) != "")
+    return F.transform(kept, lambda x: F.regexp_replace(x, r"^[ \t:\-—，,、)]+|[ \t:\-—，,、)]+$", ""))
 
 
 def contains_any(text: Column, terms: tuple[str, ...]) -> Column:
@@ -156,11 +134,3 @@ def contains_all_groups(text: Column, groups: tuple[tuple[str, ...], ...]) -> Co
     for terms in groups:
         out = out & contains_any(text, terms)
     return out
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays, 0 if either has no length."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    size = norm(a) * norm(b)
-    return F.when(size > 0, dot / size).otherwise(0.0)

@@ -5,13 +5,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import clean_text, sentences
+from ..functions.text import clamp, clean_text, number, split_sentences
 from .pool import first_alias
+from .routing import head_candidates, small
+
+#: Text fields of a job in the order in which they are read; the title is one sentence. Fixed names.
+FIELDS = ("job_title", "job_description", "requirements", "qualification", "responsibility")
+#: Keywords up to which a dictionary is broadcast; a larger one is joined by the heads of its keywords, with the same results.
+BROADCAST = 50_000
 
 #: What makes a broad phrase technical, and phrases that are broad.
 ACTIONS = ("开发", "设计", "实现", "搭建", "构建", "训练", "推理", "部署", "调优", "优化", "治理", "测试", "运维", "分析", "建模", "编排", "集成", "研发", "工程化")
@@ -22,9 +29,19 @@ REJECTED = ("请求合并", "资源压缩", "权限校验", "防注入", "接口
 REJECTED_PATTERNS = (r"^(高性能|高并发|高可用|高兼容|稳定性|可用性|可靠性|安全性|一致性)$", r"(经验|能力|意识|思维|热情|抗压|沟通|协作)$", r"(设计|封装|调试|联调|维护|迭代|落地|实现|保障)$", r"(优化策略|适配方案|缓存策略|调试工具)$")
 
 
-def sentence_units(texts: DataFrame, key: str = "job_id", column: str = "text", limit: int = 40) -> DataFrame:
-    """key, sentence_id (S001 and on) and sentence, limit of each text at most."""
-    return texts.select(key, F.posexplode(sentences(F.col(column), limit)).alias("at", "sentence")).select(key, F.format_string("S%03d", F.col("at") + 1).alias("sentence_id"), "sentence")
+def sentence_units(jobs: DataFrame, limit: int | None = None) -> DataFrame:
+    """job_id, sentence_id (job::field::0001 and on), evidence_field, place and text of all sentences of a job's FIELDS.
+
+    Absent fields are empty. limit keeps the first sentences of each job, for callers with a bounded prompt.
+    """
+    have = set(jobs.columns)
+    said = lambda f: clean_text(F.col(f)) if f in have else F.lit("")
+    parts = [F.when(said(f) == "", F.array().cast("array<string>")).otherwise(F.array(said(f)) if f == "job_title" else split_sentences(said(f))) for f in FIELDS]
+    numbered = lambda f, c: F.transform(c, lambda x, i: F.struct(F.lit(f).alias("field"), (i + 1).cast("int").alias("n"), x.alias("text")))
+    items = F.concat(*(numbered(f, c) for f, c in zip(FIELDS, parts, strict=True)))
+    rows = jobs.select(clean_text(F.col("job_id")).alias("job_id"), F.posexplode(F.slice(items, 1, limit) if limit else items).alias("place", "s"))
+    name = F.coalesce(F.nullif("job_id", F.lit("")), F.lit("job"))
+    return rows.select("job_id", F.format_string("%s::%s::%04d", name, F.col("s.field"), F.col("s.n")).alias("sentence_id"), F.col("s.field").alias("evidence_field"), "place", F.col("s.text").alias("text"))
 
 
 def _pattern(keyword: str) -> re.Pattern[str] | None:
@@ -47,34 +64,109 @@ def find_mentions(sentence: str, patterns: list[tuple[re.Pattern[str], int]], br
     return found
 
 
-def dictionary_mentions(units: DataFrame, dictionary: DataFrame, limit: int = 50_000) -> DataFrame:
-    """units with a row for each dictionary match: span_text, span_start, span_end and the entry's columns.
+class Matcher:
+    """Dictionary entries that may occur in a text, found by one automaton over lower-case keywords, longest keywords first."""
 
-    Longer keywords come first, of equal length the larger by code points. The dictionary is kept
-    by people and small; one of more than limit keywords is an error, not a broadcast.
-    """
-    entries = [r.asDict() for r in first_alias(dictionary, "skill_keyword").select(*(clean_text(F.col(c)).alias(c) for c in ("skill_keyword", "normalized_skill", "kg_display_skill"))).limit(limit + 1).collect()]
-    if len(entries) > limit:
-        raise ValueError(f"the dictionary has more than {limit} keywords")
-    entries.sort(key=lambda e: (len(e["skill_keyword"]), e["skill_keyword"]), reverse=True)
-    broad = {i for i, e in enumerate(entries) if any(re.search(p, e["skill_keyword"]) for p in BROAD)}
-    shared = units.sparkSession.sparkContext.broadcast((entries, broad))
+    def __init__(self, entries: list[tuple[str, ...]]) -> None:
+        entries = sorted(entries, key=lambda e: (len(e[0]), e[0].lower()), reverse=True)
+        self.entries = [e for e in entries if _pattern(e[0]) is not None]
+        self.patterns = [_pattern(e[0]) for e in self.entries]
+        self.broad = {i for i, e in enumerate(self.entries) if any(re.search(p, e[0]) for p in BROAD)}
+        self.automaton = ahocorasick.Automaton()
+        for i, e in enumerate(self.entries):
+            self.automaton.add_word(e[0].lower(), i)
+        if self.entries:
+            self.automaton.make_automaton()
+
+    def near(self, text: str) -> list[tuple[re.Pattern[str], int]]:
+        found = {i for _, i in self.automaton.iter(text.lower())} if self.entries else set()
+        return [(self.patterns[i], i) for i in sorted(found)]
+
+    def mentions(self, sentence: str) -> list[tuple[int, int, tuple[str, ...]]]:
+        return [(a, b, self.entries[i]) for a, b, i in find_mentions(sentence, self.near(sentence), self.broad)]
+
+    def hits(self, text: str) -> list[str]:
+        """Keywords whose pattern is anywhere in the text, overlaps or not."""
+        return [self.entries[i][0] for p, i in self.near(text) if p.search(text)]
+
+
+ENTRY = ("skill_keyword", "normalized_skill", "kg_display_skill")
+
+
+def _entries(dictionary: DataFrame) -> DataFrame:
+    return first_alias(dictionary).select(*(clean_text(F.col(c)).alias(c) for c in ENTRY))
+
+
+def _with_entries(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """texts (text, distinct) with _near: the entries whose keyword a text contains, case aside."""
+    keyed = texts.select("text", F.sha2("text", 256).alias("_key"))
+    words = entries.select(F.lower("skill_keyword").alias("keyword"), F.struct(*ENTRY).alias("e"))
+    pairs = head_candidates(keyed.select("_key", F.lower("text").alias("text")), ["_key"], words.select("keyword"))
+    near = pairs.join(words, "keyword").groupBy("_key").agg(F.collect_list("e").alias("_near"))  # as many as the text contains
+    return keyed.join(near, "_key").drop("_key")
+
+
+def _matched(texts: DataFrame, dictionary: DataFrame, found, fields: str) -> DataFrame:
+    """text and what found(matcher, text) gives for each distinct text of texts (text)."""
+    entries, texts = _entries(dictionary), texts.where("text <> ''").select("text").distinct()
+    names = [f.split()[0] for f in fields.split(", ")]
+    if small(entries, BROADCAST):
+        shared = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in entries.collect()])
+        rows = texts.withColumn("_near", F.lit(None).cast("array<struct<skill_keyword:string,normalized_skill:string,kg_display_skill:string>>"))
+    else:
+        shared, rows = None, _with_entries(texts, entries)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        entries, broad = shared.value
-        patterns = [(p, i) for i, e in enumerate(entries) if (p := _pattern(e["skill_keyword"])) is not None]
-        lowered = [(e["skill_keyword"].lower(), x) for x in patterns for e in (entries[x[1]],)]
+        whole = Matcher(shared.value) if shared is not None else None
         for frame in frames:
-            rows = []
-            for row in frame.to_dict("records"):
-                said = row["sentence"] or ""
-                low = said.lower()
-                near = [x for keyword, x in lowered if keyword in low]  # a plain search before the pattern
-                rows += [{**row, "span_text": said[a:b], "span_start": a, "span_end": b, **entries[i]} for a, b, i in find_mentions(said, near, broad)]
-            yield pd.DataFrame(rows, columns=[*frame.columns, "span_text", "span_start", "span_end", "skill_keyword", "normalized_skill", "kg_display_skill"])
+            out = []
+            for text, near in zip(frame["text"], frame["_near"], strict=True):
+                matcher = whole or Matcher([tuple(e[c] for c in ENTRY) for e in near])
+                out += [(text, *x) for x in found(matcher, text)]
+            yield pd.DataFrame(out, columns=["text", *names])
+
+    return rows.mapInPandas(run, f"text string, {fields}")
 
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema)
-    return units.mapInPandas(run, f"{own}, span_text string, span_start int, span_end int, skill_keyword string, normalized_skill string, kg_display_skill string")
+
+def dictionary_mentions(units: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """units (text and others) with a row for each dictionary match of their text.
+
+    Longer keywords come first, of equal length the larger one, and a match never overlaps an
+    earlier one. Of a keyword the dictionary's first entry counts. Each distinct text is searched once.
+    """
+    found = _matched(units, dictionary, lambda m, t: [(t[a:b], a, b, *e) for a, b, e in m.mentions(t)], "span_text string, span_start int, span_end int, skill_keyword string, normalized_skill_candidate string, kg_display_skill_candidate string")
+    fixed = {"skill_type": F.lit("required"), "confidence": F.lit(1.0), "reason": F.lit("dictionary_literal_match"), "match_method": F.lit("dictionary_literal"), "dictionary_skill_keyword": F.col("skill_keyword")}
+    return units.join(found, "text").withColumns(fixed)
+
+
+def dictionary_hints(mentions: DataFrame, limit: int = 160) -> DataFrame:
+    """job_id, skill_keyword and family of the first mention of each keyword of a job, limit of them, for prompts; mentions have place and span_start."""
+    order = lambda *by: Window.partitionBy(*by).orderBy("place", F.desc(F.length("skill_keyword")), F.desc(F.lower("skill_keyword")), "span_start")
+    firsts = mentions.withColumn("_n", F.row_number().over(order("job_id", F.lower("skill_keyword")))).where("_n = 1")
+    return firsts.withColumn("place", F.row_number().over(order("job_id"))).where(F.col("place") <= limit).select("job_id", "place", "skill_keyword", F.col("kg_display_skill_candidate").alias("kg_display_skill"))
+
+
+def validate_mentions(mentions: DataFrame, units: DataFrame) -> DataFrame:
+    """mentions (job_id, sentence_id, span_text and what else a finder gives) with their sentence, or with the error that keeps them out.
+
+    A span lies where it first occurs in its sentence. Types other than preferred are required, a
+    missing confidence is 0.80, and all are brought into 0 to 1.
+    """
+    have = set(mentions.columns)
+    own = lambda c, default="": F.coalesce(F.nullif(clean_text(F.col(c)), F.lit("")), F.lit(default)) if c in have else F.lit(default)
+    said = units.select(F.col("job_id").alias("_job"), F.col("sentence_id").alias("_id"), F.col("text").alias("evidence_sentence"), "evidence_field")
+    span = own("span_text")
+    taken = mentions.drop("evidence_sentence", "evidence_field", "text", "place")
+    rows = taken.join(said, (F.col("job_id") == F.col("_job")) & (own("sentence_id") == F.col("_id")), "left")
+    start = F.instr(F.col("evidence_sentence"), span) - 1
+    error = F.when(F.col("_id").isNull(), F.concat(F.lit("unknown sentence_id: "), own("sentence_id"))).when(span == "", "empty span_text").when(F.coalesce(start, F.lit(-1)) < 0, F.concat(F.lit("span not found: "), span))
+    confidence = clamp(F.coalesce(F.nullif(number(F.col("confidence").cast("string")), F.lit(0.0)), F.lit(0.8))) if "confidence" in have else F.lit(0.8)
+    return rows.select(
+        "job_id", own("sentence_id").alias("sentence_id"), own("skill_keyword").alias("_word"), span.alias("span_text"), start.cast("int").alias("span_start"), (start + F.length(span)).cast("int").alias("span_end"),
+        *(own(c).alias(c) for c in ("dictionary_skill_keyword", "normalized_skill_candidate", "kg_display_skill_candidate")),
+        F.when(own("skill_type") == "preferred", "preferred").otherwise("required").alias("skill_type"),
+        F.coalesce("evidence_sentence", F.lit("")).alias("evidence_sentence"), F.coalesce("evidence_field", F.lit("")).alias("evidence_field"), confidence.alias("confidence"), own("match_method", "llm_api_extraction").alias("match_method"), error.alias("error"),
+    ).withColumn("skill_keyword", F.coalesce(F.nullif("_word", F.lit("")), "span_text")).drop("_word")
 
 
 def merge_mentions(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
@@ -87,30 +179,69 @@ def merge_mentions(first: DataFrame, second: DataFrame, keys: list[str]) -> Data
 def mention_rollup(mentions: DataFrame) -> DataFrame:
     """One row for each job and keyword, case aside: required before preferred, highest confidence, distinct evidence.
 
-    Evidence is deduplicated first, so that lists hold as many items as there are distinct ones.
+    mentions: validate_mentions() without errors; place, if there, is their order, else the
+    sentence and the span are. Evidence is deduplicated first, so that lists hold as many items as
+    there are distinct ones, in the order of their first mention; dictionary columns are those of
+    the first mention that has any.
     """
-    key = F.lower("skill_keyword")
-    once = mentions.where("job_id <> '' AND skill_keyword <> ''").groupBy("job_id", key.alias("skill_key"), "sentence", "span_text", "span_start", "span_end").agg(
-        F.min("skill_keyword").alias("skill_keyword"), F.max("confidence").alias("confidence"), F.max((F.col("skill_type") != "preferred").cast("int")).alias("required")
+    at = F.struct(*(c for c in ("place", "evidence_sentence", "span_start", "span_text") if c in mentions.columns))
+    rows = mentions.where("job_id <> '' AND skill_keyword <> ''").withColumns({"skill_key": F.lower("skill_keyword"), "_at": at})
+    linked = ["dictionary_skill_keyword", "normalized_skill_candidate", "kg_display_skill_candidate"]
+    entry = F.struct(*linked)
+    once = rows.groupBy("job_id", "skill_key", "evidence_sentence", "evidence_field", "span_text", "span_start", "span_end").agg(
+        F.min("_at").alias("_at"), F.min_by("skill_keyword", F.struct("_at", "skill_keyword")).alias("skill_keyword"), F.min_by("match_method", F.struct("_at", "match_method")).alias("match_method"), F.max("confidence").alias("confidence"),
+        F.max((F.col("skill_type") != "preferred").cast("int")).alias("required"), F.min_by(entry, F.struct(F.col("dictionary_skill_keyword") == "", F.col("_at"), entry)).alias("_entry"),
     )
-    texts = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "; ")
-    return once.groupBy("job_id", "skill_key").agg(
-        F.min("skill_keyword").alias("skill_keyword"),
+    firsts = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col(c).alias("x")))), lambda y: y["x"])).alias(f"{c}s")
+    out = once.groupBy("job_id", "skill_key").agg(
+        F.min_by("skill_keyword", F.struct("_at", "skill_keyword")).alias("skill_keyword"),
+        F.min_by("_entry", F.struct(F.col("_entry.dictionary_skill_keyword") == "", F.col("_at"), F.col("_entry"))).alias("_entry"),
         F.when(F.max("required") == 1, "required").otherwise("preferred").alias("skill_type"),
         F.count("*").alias("mention_count"),
         F.max("confidence").alias("max_confidence"),
-        F.countDistinct("sentence").alias("evidence_count"),
-        texts("span_text").alias("span_texts"),
+        F.countDistinct("evidence_sentence").alias("evidence_count"),
+        firsts("evidence_sentence"), firsts("evidence_field"), firsts("span_text"), firsts("match_method"),
     )
+    return out.select("*", *(F.col(f"_entry.{c}").alias(c) for c in linked)).drop("_entry")
 
 
 def alias_link(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """mentions with dictionary_skill_keyword: the keyword itself, else the span, as dictionary entries; empty if neither is one."""
-    words = first_alias(dictionary, "skill_keyword").select(F.lower(clean_text(F.col("skill_keyword"))).alias("_k"), clean_text(F.col("skill_keyword")).alias("_w"))
+    """mentions with dictionary_skill_keyword, normalized_skill_candidate and kg_display_skill_candidate of the entry they stand for.
+
+    That is the entry of the keyword, else of the span, else the only one whose pattern is in the
+    span; empty if there is none or more than one.
+    """
+    words = _entries(dictionary).select(F.lower("skill_keyword").alias("_k"), F.struct(*ENTRY).alias("_w"))
     by = lambda c: words.select(F.col("_k").alias(f"_{c}"), F.col("_w").alias(f"w_{c}"))
-    out = mentions.withColumns({"_keyword": F.lower(clean_text(F.col("skill_keyword"))), "_span": F.lower(clean_text(F.col("span_text")))})
+    span = clean_text(F.col("span_text"))
+    out = mentions.withColumns({"_keyword": F.lower(clean_text(F.col("skill_keyword"))), "_span": F.lower(span), "_text": span})
     out = out.join(by("keyword"), "_keyword", "left").join(by("span"), "_span", "left")
-    return out.withColumn("dictionary_skill_keyword", F.coalesce("w_keyword", "w_span", F.lit(""))).drop("_keyword", "_span", "w_keyword", "w_span")
+    open_spans = out.where("w_keyword IS NULL AND w_span IS NULL").select(F.col("_text").alias("text"))
+    hits = _matched(open_spans, dictionary, lambda m, t: [(h,) for h in m.hits(t)], "hit string")
+    only = hits.groupBy(F.col("text").alias("_text")).agg(F.count("*").alias("_n"), F.min(F.lower("hit")).alias("_hit")).where("_n = 1").drop("_n")
+    out = out.join(only, "_text", "left").join(by("hit"), "_hit", "left")
+    entry = F.coalesce("w_keyword", "w_span", "w_hit")
+    named = {"dictionary_skill_keyword": "skill_keyword", "normalized_skill_candidate": "normalized_skill", "kg_display_skill_candidate": "kg_display_skill"}
+    return out.withColumns({c: F.coalesce(entry[e], F.lit("")) for c, e in named.items()}).drop("_keyword", "_span", "_text", "_hit", "w_keyword", "w_span", "w_hit")
+
+
+def dictionary_summary(dictionary: DataFrame, categories: int = 28, examples: int = 14) -> DataFrame:
+    """kg_display_skill, keyword_count and example_skill_keywords (text) of the categories with most keywords, case aside; ties by name."""
+    word, family = clean_text(F.col("skill_keyword")), clean_text(F.col("kg_display_skill"))
+    order = F.col("row_order") if "row_order" in dictionary.columns else word
+    rows = dictionary.where(word != "").select(F.coalesce(F.nullif(family, F.lit("")), F.lit("uncategorized")).alias("kg_display_skill"), word.alias("w"), order.alias("o"))
+    once = rows.groupBy("kg_display_skill", F.lower("w").alias("k")).agg(F.min(F.struct("o", "w")).alias("f"))
+    place = F.row_number().over(Window.partitionBy("kg_display_skill").orderBy("f"))
+    listed = once.withColumn("n", place).groupBy("kg_display_skill").agg(F.count("*").alias("keyword_count"), F.array_sort(F.collect_list(F.when(F.col("n") <= examples, F.struct("n", "f.w")))).alias("e"))
+    top = listed.orderBy(F.desc("keyword_count"), "kg_display_skill").limit(categories)
+    return top.select("kg_display_skill", "keyword_count", F.array_join(F.transform("e", lambda x: x["w"]), "; ").alias("example_skill_keywords"))
+
+
+def commonest_category(labelled: DataFrame) -> DataFrame:
+    """normalized_skill, category (the most frequent, ties by name) and gold_count of labelled mentions."""
+    family = F.coalesce(F.nullif(clean_text(F.col("category")), F.lit("")), F.lit("未分类"))
+    counted = labelled.groupBy("normalized_skill", family.alias("category")).agg(F.count("*").alias("n"))
+    return counted.groupBy("normalized_skill").agg(F.min_by("category", F.struct(-F.col("n"), "category")).alias("category"), F.sum("n").alias("gold_count"))
 
 
 def normalize_skills(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -119,7 +250,7 @@ def normalize_skills(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
     A candidate that is a known skill wins; then, field by field, a keyword of the dictionary and
     a known skill. The dictionary is joined four times by equality, whatever its size.
     """
-    entries = first_alias(dictionary, "skill_keyword").select(*(clean_text(F.col(c)).alias(c) for c in ("skill_keyword", "normalized_skill", "kg_display_skill")))
+    entries = _entries(dictionary)
     known = entries.where("normalized_skill <> ''").groupBy(F.lower("normalized_skill").alias("k")).agg(F.min("normalized_skill").alias("s"), F.min("kg_display_skill").alias("d"))
     aliases = entries.where("normalized_skill <> ''").select(F.lower("skill_keyword").alias("k"), F.col("normalized_skill").alias("s"), F.col("kg_display_skill").alias("d"))
     both = aliases.select("k", F.struct("s", "d").alias("alias")).join(known.select("k", F.struct("s", "d").alias("known")), "k", "full")
@@ -137,6 +268,38 @@ def normalize_skills(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
     return out.drop("_p", *(f"{p}_{f}" for f in fields for p in "ak"))
 
 
+def normalize_with(rows: DataFrame, dictionary: DataFrame, fallback=None) -> DataFrame:
+    """normalize_skills(); rows that stay unresolved get what fallback gives for their keywords.
+
+    fallback takes distinct skill_keyword and gives skill_keyword, normalized_skill,
+    kg_display_skill, normalization_status, normalization_method and normalization_confidence.
+    """
+    out = normalize_skills(rows, dictionary)
+    if fallback is None:
+        return out
+    names = ["normalized_skill", "kg_display_skill", "normalization_status", "normalization_method", "normalization_confidence"]
+    asked = out.where("normalization_status = 'unresolved'").select("skill_keyword").distinct()
+    told = fallback(asked).select(F.col("skill_keyword").alias("_k"), F.struct(*names).alias("_t"))
+    both = out.join(told, (F.col("skill_keyword") == F.col("_k")) & (F.col("normalization_status") == "unresolved"), "left")
+    return both.withColumns({c: F.coalesce(F.col("_t")[c], F.col(c)) for c in names}).drop("_k", "_t")
+
+
+def job_skills(jobs: DataFrame, dictionary: DataFrame, extractor=None, fallback=None) -> DataFrame:
+    """Skills of jobs from their texts: dictionary matches and what extractor finds, validated, linked, rolled up and normalised.
+
+    extractor takes sentence_units() and gives mentions (job_id, sentence_id, span_text, skill_keyword
+    and more); of equal mentions the dictionary's counts. fallback: see normalize_with().
+    """
+    units = sentence_units(jobs)
+    found = dictionary_mentions(units, dictionary)
+    if extractor is not None:
+        found = merge_mentions(found, extractor(units), ["job_id", "sentence_id", "span_text", "skill_keyword"])
+    valid = validate_mentions(found, units).where("error IS NULL").drop("error")
+    spans = F.array_join("span_texts", "; ").alias("span_text")
+    rolled = mention_rollup(alias_link(valid, dictionary))
+    return normalize_with(rolled.select("*", spans), dictionary, fallback)
+
+
 def admit_new_skills(proposed: DataFrame, families: DataFrame) -> DataFrame:
     """proposed (skill, kg_display_skill) with admitted and the reason; families: kg_display_skill."""
     have = families.select(clean_text(F.col("kg_display_skill")).alias("_f")).distinct()
@@ -165,8 +328,9 @@ def review_flags(skills: DataFrame, pool: DataFrame, low: float = 0.80) -> DataF
 
 
 def confirmed_skills(reviewed: DataFrame) -> DataFrame:
-    """Reviewed skills that are not declared invalid; one without a name or family is an error."""
-    left = reviewed.where("decision <> 'invalid'")
-    error = F.when((clean_text(F.col("normalized_skill")) == "") | (clean_text(F.col("kg_display_skill")) == ""), F.raise_error(F.lit("a confirmed skill lacks its name or family")).cast("boolean"))
-    kept = left.withColumn("_e", error).where("_e IS NULL").drop("_e")
-    return kept
+    """Reviewed skills that are not declared invalid. One without a name or family, and a review_id of which none is left, is an error."""
+    left = F.coalesce(F.col("decision"), F.lit("")) != "invalid"
+    bare = left & ((clean_text(F.col("normalized_skill")) == "") | (clean_text(F.col("kg_display_skill")) == ""))
+    valid = F.count_if(left).over(Window.partitionBy("review_id"))  # a review has a few skills
+    error = F.when(bare, F.raise_error(F.lit("a confirmed skill lacks its name or family")).cast("boolean")).when(valid == 0, F.raise_error(F.lit("at least one valid skill is required")).cast("boolean"))
+    return reviewed.withColumn("_e", error).where(F.col("_e").isNull() & left).drop("_e")

@@ -56,6 +56,11 @@ def skill_pool(events: DataFrame, categories: DataFrame, universe: DataFrame, so
     return fold(named.withColumns({"standard_category": F.coalesce("standard_category", F.lit("")), "source": F.lit(source)}))
 
 
+def alphabetical(pool: DataFrame) -> DataFrame:
+    """A pool with its lists of categories, jobs and sources in alphabetical order."""
+    return pool.withColumns({c: join_list(F.array_sort(F.filter(F.split(c, "; "), lambda x: x != ""))) for c in ("standard_categories", "standard_jobs", "sources")})
+
+
 def mention_jobs(events: DataFrame) -> DataFrame:
     """skill_key and job_id of all mentions, the pool's source_job_ids as rows."""
     return explode_skills(valid_events(events)).select(F.lower("skill").alias("skill_key"), "job_id").distinct()
@@ -89,7 +94,8 @@ def merge_pool(pool: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def first_alias(dictionary: DataFrame, order: str = "row_order") -> DataFrame:
-    """A skill dictionary with each keyword once, case aside: the first in the file."""
-    rank = F.row_number().over(Window.partitionBy(F.lower(clean_text(F.col("skill_keyword")))).orderBy(order))
+def first_alias(dictionary: DataFrame) -> DataFrame:
+    """A skill dictionary with each keyword once, case aside: the first in the file, by row_order; by its columns in tables without that."""
+    order = ["row_order"] if "row_order" in dictionary.columns else ["skill_keyword", "normalized_skill", "kg_display_skill"]
+    rank = F.row_number().over(Window.partitionBy(F.lower(clean_text(F.col("skill_keyword")))).orderBy(*order))
     return dictionary.where(clean_text(F.col("skill_keyword")) != "").withColumn("_n", rank).where("_n = 1").drop("_n")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import rules as R
-from ..functions.text import ratio_change
+from ..functions.text import ratio_change, stable_id
+from ..schemas import OVERRIDES, conform
 from .lifecycle import pool_lookup
 
 
@@ -73,15 +74,35 @@ def profile_diff(profile: DataFrame, months: DataFrame | None = None, rules: R.P
     return both.withColumns({"frequency_delta": b - a, "frequency_delta_ratio": ratio_change(b, a), "is_stable_core": F.when(F.col("change_type") == R.STABLE, "1").otherwise("0")}).drop("from_core", "to_core")
 
 
+def with_change(both: DataFrame) -> DataFrame:
+    """Rows of both months of a full join with change_type by presence and frequency, and frequency_delta; absent frequencies are 0."""
+    a, b = "from_monthly_skill_frequency", "to_monthly_skill_frequency"
+    kind = F.when(F.col(a).isNull(), R.ADDED).when(F.col(b).isNull(), R.REMOVED).when(F.col(b) > F.col(a), R.UP).when(F.col(b) < F.col(a), R.DOWN).otherwise(R.STABLE)
+    return both.withColumn("change_type", kind).na.fill(0.0, [a, b]).withColumn("frequency_delta", F.col(b) - F.col(a))
+
+
+def save_overrides(stored: DataFrame, changes: DataFrame, now: str) -> DataFrame:
+    """stored overrides with changes (standard_job, skill, action, kg_display_skill and more) behind them, as of now.
+
+    Changes without a skill or with another action are left out; adding or updating a skill
+    without a family is an error. Older overrides of the same skill stay, and the newest counts.
+    """
+    have = set(changes.columns)
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) if c in have else F.lit("")
+    action, skill, family = F.lower(text("action")), text("skill"), text("kg_display_skill")
+    error = F.when((action != "delete") & (family == ""), F.raise_error(F.concat(F.lit("kg_display_skill is required for "), skill)).cast("boolean"))
+    rows = changes.where(action.isin("add", "update", "delete") & (skill != "")).withColumn("_e", error).where("_e IS NULL")
+    new = rows.select(stable_id(text("standard_job"), skill, action, F.lit(now)).alias("override_id"), text("standard_job").alias("standard_job"), skill.alias("skill"), action.alias("action"), text("new_skill").alias("new_skill"), family.alias("kg_display_skill"), text("note").alias("note"), F.lit(now).alias("updated_at"))
+    return conform(stored, OVERRIDES).unionByName(conform(new, OVERRIDES))
+
+
 def fallback_diff(profile: DataFrame, job: str, from_month: str, to_month: str) -> DataFrame:
     """Differences of two months by presence and frequency alone, for pairs that are not stored."""
     rows = profile.where((F.col("standard_job") == job) & (F.col("monthly_skill_count") > 0))
     side = lambda month, name: rows.where(F.col("month") == month).select("skill", F.col("monthly_skill_frequency").alias(f"{name}_monthly_skill_frequency"), F.col("monthly_skill_count").alias(f"{name}_monthly_skill_count"))
-    a, b = "from_monthly_skill_frequency", "to_monthly_skill_frequency"
     both = side(from_month, "from").join(side(to_month, "to"), "skill", "full")
-    kind = F.when(F.col(a).isNull(), R.ADDED).when(F.col(b).isNull(), R.REMOVED).when(F.col(b) > F.col(a), R.UP).when(F.col(b) < F.col(a), R.DOWN).otherwise(R.STABLE)
-    out = both.withColumn("change_type", kind).na.fill(0.0, [a, b]).na.fill(0, ["from_monthly_skill_count", "to_monthly_skill_count"])
-    return out.withColumns({"standard_job": F.lit(job), "from_month": F.lit(from_month), "to_month": F.lit(to_month), "frequency_delta": F.col(b) - F.col(a)})
+    out = with_change(both).na.fill(0, ["from_monthly_skill_count", "to_monthly_skill_count"])
+    return out.withColumns({"standard_job": F.lit(job), "from_month": F.lit(from_month), "to_month": F.lit(to_month)})
 
 
 def latest_months(frequency: DataFrame) -> DataFrame:

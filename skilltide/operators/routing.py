@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import rules as R
-from ..functions.text import clean_text, contains_all_groups, contains_any
+from ..functions.text import clamp, clean_text, contains_all_groups, contains_any
 
 #: Rows up to which a side is broadcast; a larger one is joined in another way.
 SMALL = 20_000
@@ -20,6 +20,36 @@ SMALL = 20_000
 NEW_FAMILY_RULES = (
     ("new_family_robotics", ("机器人", "具身", "具身智能", "Robotaxi", "Robotics", "无人机", "传感器工程师"), ("机器人",)),
     ("new_family_autonomous_driving", ("自动驾驶", "无人车", "车云协同", "域控制器", "数据闭环", "汽车法规"), ("自动驾驶",)),
+    ("new_family_multimedia_graphics_audio_video", ("音视频", "图形渲染", "图形显示", "图像传感器", "图像评测", "技术美术", "UE5", "游戏引擎", "Camera", "相机色彩", "图像调校", "视频编解码", "GPU渲染", "PCG技术美术", "虚拟人交互"), ("多媒体",)),
+)
+#: Jobs that a title can announce (name, groups of terms of which each has to occur, excluded terms, jobs that cover it).
+POTENTIAL_JOB_RULES = (
+    ("gap_llm_test_quality", (("AI", "Agent", "智能体", "大模型", "模型", "LLM", "AIGC", "MaaS", "Agent Harness", "RL Data", "AI基建"), ("测试", "评测", "质量", "QA", "Harness", "RL Data", "基建")), (), ("大模型测试工程师",)),
+    ("gap_multimodal_algorithm", (("多模态", "跨模态", "Omni", "多模", "VLM"), ("算法", "研究", "模型", "理解", "生成", "推荐", "交互", "内容安全", "策略", "推理")), (), ("多模态算法工程师",)),
+    ("gap_aigc_algorithm", (("AIGC", "生成式AI", "生成式影像", "生成式视频", "数字人"), ("算法", "生成", "影像", "视频", "数字人", "技术专家")), ("应用开发", "应用研发", "产品"), ("AIGC算法工程师",)),
+    ("gap_search_algorithm", (("搜索", "展示召回"), ("算法", "排序", "召回", "架构", "引擎", "AI搜索", "搜索产品")), (), ("搜索算法工程师",)),
+    ("gap_data_mining", (("数据挖掘",),), (), ("数据挖掘算法工程师",)),
+    ("gap_data_governance", (("数据治理", "数据质量", "数据采集", "数据标注", "标注", "地图测绘"),), (), ("数据治理工程师",)),
+    ("gap_go_development", (("Go", "Golang", "GO开发", "Go开发"), ("开发", "研发", "工程师", "后端", "服务端")), (), ("Go开发工程师",)),
+    ("gap_python_development", (("Python",), ("开发", "研发", "工程师", "后端", "服务端")), (), ("Python开发工程师",)),
+    ("gap_devops", (("DevOps", "SRE", "运维开发", "云原生运维", "平台运维", "工程效能", "研发效能", "构建优化"),), (), ("DevOps工程师",)),
+    ("gap_chip_verification", (("芯片", "IC", "SoC", "SOC", "IP", "CPU", "DPU", "DFT", "原型验证", "存储系统验证"), ("验证", "DFT")), (), ("芯片验证工程师",)),
+    ("gap_thermal_design", (("热设计", "散热", "热仿真", "热管理", "仿真工程师"),), (), ("热设计工程师",)),
+    (
+        "gap_llm_application",
+        (
+            ("大模型应用", "LLM应用", "RAG", "知识库问答", "Prompt工程", "提示词工程", "AI科学计算", "AI Coding", "存储优化", "UGC", "引擎工程师", "不动产技术"),
+            ("开发", "研发", "工程", "后端", "应用", "科学计算", "Coding", "存储优化", "引擎", "技术负责人"),
+        ),
+        ("Agent", "智能体", "Agentic"),
+        ("大模型应用工程师",),
+    ),
+    (
+        "gap_misc_platform_and_experience",
+        (("安全策略", "安全与隐私保护工程师", "用户体验", "供应链交付", "基础设施平台", "内存系统验证", "数据生产", "SNIC软件应用", "增程器设计验证", "视频大模型编导", "Agent工程师", "大模型Agent框架", "视觉创作Agent技术专家"),),
+        (),
+        (),
+    ),
 )
 
 
@@ -28,22 +58,30 @@ def small(df: DataFrame, limit: int = SMALL) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def head_candidates(texts: DataFrame, keys: list[str], words: DataFrame, size: int = 3) -> DataFrame:
+    """keys and keyword of the words (keyword, lower case, not empty) that a text (keys, text, lower case) contains.
+
+    An equi join of the first size signs of keywords with those of all places of the texts. Places
+    carry the keys alone; the texts come back to the pairs whose heads met.
+    """
+    short = words.withColumn("_size", F.least(F.length("keyword"), F.lit(size))).withColumn("_head", F.expr("substring(keyword, 1, _size)"))
+    heads = texts.select(*keys, "text", F.explode(F.sequence(F.lit(1), F.lit(size))).alias("_size"))
+    heads = heads.select(*keys, "_size", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(1, length(text) - _size + 1)), i -> substring(text, i, _size))"))).alias("_head"))
+    return heads.join(short, ["_size", "_head"]).select(*keys, "keyword").join(texts, keys).where("instr(text, keyword) > 0").select(*keys, "keyword").distinct()
+
+
 def keyword_matches(postings: DataFrame, keywords: DataFrame, fields: dict[str, int]) -> DataFrame:
     """job_id, standard_job, field and keyword of each keyword that a field contains, case aside.
 
-    Few keywords are broadcast. More are joined by their first three signs with those of all
-    places in the fields, an equi join whose size is that of the texts.
+    SMALL keywords at most are broadcast; more are joined by their heads, with the same results.
     """
     names = list(fields)
     texts = postings.select("job_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.lower(clean_text(F.col(c))) for c in names)))).alias("field", "text"))
     words = keywords.select("standard_job", F.lower(clean_text(F.col("keyword"))).alias("keyword")).where("keyword <> ''").distinct()
     if small(words):
         return texts.join(F.broadcast(words), F.expr("instr(text, keyword) > 0")).select("job_id", "standard_job", "field", "keyword")
-    key = 3
-    short = words.withColumn("size", F.least(F.length("keyword"), F.lit(key))).withColumn("head", F.expr("substring(keyword, 1, size)"))
-    heads = texts.select("job_id", "field", "text", F.explode(F.sequence(F.lit(1), F.lit(key))).alias("size"))
-    heads = heads.withColumn("head", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(1, length(text) - size + 1)), i -> substring(text, i, size))"))))
-    return heads.join(short, ["size", "head"]).where("instr(text, keyword) > 0").select("job_id", "standard_job", "field", "keyword").distinct()
+    found = head_candidates(texts, ["job_id", "field"], words.select("keyword").distinct())
+    return found.join(words, "keyword").select("job_id", "standard_job", "field", "keyword")
 
 
 def seed_scores(postings: DataFrame, keywords: DataFrame, priorities: DataFrame, rules: R.SeedRules = R.SeedRules()) -> DataFrame:
@@ -166,7 +204,7 @@ def route(candidates: DataFrame, decisions: DataFrame | None = None, rules: R.Ro
     return out.select("job_id", status.alias("route_status"), F.coalesce(job, F.lit("")).alias("standard_job"), "top_job", "top_score", "margin", reason.alias("route_reason"))
 
 
-def gap_guard(titles: DataFrame, known_jobs: tuple[str, ...], known_categories: tuple[str, ...], families=NEW_FAMILY_RULES, potential=()) -> DataFrame:
+def gap_guard(titles: DataFrame, known_jobs: tuple[str, ...], known_categories: tuple[str, ...], families=NEW_FAMILY_RULES, potential=POTENTIAL_JOB_RULES) -> DataFrame:
     """titles (job_id, title) with guard_status and guard_rule of the first rule that a title meets, null if none.
 
     families: (name, terms, covering categories); potential: (name, groups of terms of which each
@@ -181,6 +219,73 @@ def gap_guard(titles: DataFrame, known_jobs: tuple[str, ...], known_categories:
     return titles.withColumns({"guard_status": status, "guard_rule": rule})
 
 
-def review_status(score: Column, margin: Column, rank_agrees: Column, floor: float = 0.45, sure: float = 0.82, gap: float = 0.03) -> Column:
-    """Who looks at a government route: a person below the floor, else a judge with the reason."""
-    return F.when(score < floor, "human_review").when(~rank_agrees, "judge: evidence and similarity disagree").when(margin < gap, "judge: candidates are close").when(score < sure, "judge: middle score").otherwise("judge: confirm")
+def category_texts(taxonomy: DataFrame) -> DataFrame:
+    """standard_category and profile: the category, then the titles and keywords of its jobs in order.
+
+    taxonomy: standard_job, standard_category, match_keywords, and row_order or else by title; a category has as many jobs as the taxonomy gives it.
+    """
+    order = F.col("row_order") if "row_order" in taxonomy.columns else F.col("standard_job")
+    said = F.filter(F.array("standard_job", F.coalesce("match_keywords", F.lit(""))), lambda x: x != "")
+    listed = taxonomy.groupBy("standard_category").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), said.alias("x")))).alias("l"))
+    return listed.select("standard_category", F.concat_ws(" ", "standard_category", F.flatten(F.transform("l", lambda x: x["x"]))).alias("profile"))
+
+
+def route_review(postings: DataFrame, scores: DataFrame, keywords: DataFrame, top: int = 5, floor: float = 0.45) -> DataFrame:
+    """One row for each posting with its best jobs and categories, the keyword evidence of the best, and who has to decide.
+
+    postings: job_id, cleaned_job_title, routing_text and others, which are kept; scores: job_id,
+    name, category and score of all jobs of the taxonomy for the cleaned title; keywords:
+    standard_job and keyword. Jobs rank by score, then by their keywords in the routing text, then
+    by name. A title that was not cleaned is an error.
+    """
+    if top < 2:
+        raise ValueError("top has to be 2 or more")
+    bare = F.when(clean_text(F.col("cleaned_job_title")) == "", F.raise_error(F.lit("titles have to be cleaned before they are routed")).cast("boolean"))
+    postings = postings.withColumn("_bare", bare).where("_bare IS NULL").drop("_bare")
+    hits = keyword_matches(postings, keywords, {"routing_text": 1}).groupBy("job_id", F.col("standard_job").alias("name")).agg(F.array_sort(F.collect_set("keyword")).alias("evidence"))
+    rows = scores.select("job_id", "name", "category", clamp(F.col("score")).alias("score")).join(hits, ["job_id", "name"], "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+    place = (F.desc("score"), F.desc(F.size("evidence")), F.asc("name"))
+    rows = rows.withColumns({"n": F.row_number().over(Window.partitionBy("job_id").orderBy(*place)), "in_category": F.row_number().over(Window.partitionBy("job_id", "category").orderBy(*place))})
+    rows = rows.withColumn("c", F.when(F.col("in_category") == 1, F.sum((F.col("in_category") == 1).cast("int")).over(Window.partitionBy("job_id").orderBy("n"))))
+    job = F.struct("n", F.struct(F.col("name").alias("standard_job"), "category", "score", F.col("evidence").alias("keyword_evidence")).alias("x"))
+    category = F.struct("c", F.struct(F.col("category").alias("standard_category"), "score", F.col("name").alias("top_standard_job")).alias("x"))
+    listed = lambda c: F.transform(F.array_sort(c), lambda y: y["x"])
+    best = rows.where((F.col("n") <= top) | (F.col("c") <= top)).groupBy("job_id").agg(
+        listed(F.collect_list(F.when(F.col("n") <= top, job))).alias("_jobs"), listed(F.collect_list(F.when(F.col("c") <= top, category))).alias("_categories")
+    )
+    one, two = F.col("_jobs")[0], F.try_element_at(F.col("_jobs"), F.lit(2))
+    margin = F.coalesce(one["score"] - two["score"], F.lit(1.0))
+    judged = F.when(F.size(one["keyword_evidence"]) == 0, "semantic candidate has no exact government dictionary keyword evidence").when(margin < 0.05, "top1/top2 semantic margin is below 0.05").otherwise("government routes require LLM adjudication before formal event assignment")
+    low = one["score"] < floor
+    return postings.join(best, "job_id").withColumns(
+        {
+            "top_categories_json": F.to_json("_categories"),
+            "top_jobs_json": F.to_json("_jobs"),
+            "top1_standard_category": one["category"],
+            "top1_standard_job": one["standard_job"],
+            "top1_score": F.round(one["score"], 6),
+            "top2_standard_job": F.coalesce(two["standard_job"], F.lit("")),
+            "top2_score": F.coalesce(F.round(two["score"], 6), F.lit(0.0)),
+            "top1_margin": F.round(margin, 6),
+            "top1_keyword_evidence": F.array_join(one["keyword_evidence"], "; "),
+            "route_status": F.when(low, "needs_human_review").otherwise("needs_llm_adjudication"),
+            "route_reason": F.when(low, f"top1 text2vec score below candidate floor {floor:.2f}").otherwise(judged),
+            "selected_standard_category": F.lit(""),
+            "selected_standard_job": F.lit(""),
+        }
+    ).drop("_jobs", "_categories")
+
+
+def validated_decisions(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """A judge's decisions (job_id, decision_status, decision_job, decision_confidence) in the form that route() takes.
+
+    An unknown status is potential_new_job, an existing job that is not among the candidates of
+    its posting too; confidences are brought into 0 to 1, and of several decisions the surest counts.
+    """
+    known = candidates.select("job_id", F.col("name").alias("decision_job"), F.lit(True).alias("_known"))
+    sure = clamp(F.coalesce(F.col("decision_confidence").cast("string").try_cast("double"), F.lit(0.0)))
+    rows = decisions.withColumn("decision_confidence", sure).join(known, ["job_id", "decision_job"], "left")
+    status = F.when(F.col("decision_status").isin("potential_new_job", "new_family"), F.col("decision_status")).when((F.col("decision_status") == "existing_job") & F.col("_known"), "existing_job").otherwise("potential_new_job")
+    order = Window.partitionBy("job_id").orderBy(F.desc("decision_confidence"), "decision_job")
+    rows = rows.withColumns({"decision_status": status, "_n": F.row_number().over(order)}).where("_n = 1")
+    return rows.select("job_id", "decision_status", F.when(F.col("decision_status") == "existing_job", F.col("decision_job")).otherwise("").alias("decision_job"), "decision_confidence")

@@ -228,6 +228,19 @@ def compared(body: str) -> str:
     ) + "\n" + body
 
 
+def effects(before: str, after: str) -> str:
+    """What changed in current profiles between those of the rows that two conditions select."""
+    return profiles(
+        f""", b AS (SELECT * FROM snaps WHERE {before} QUALIFY month = max(month) OVER (PARTITION BY standard_job)), a AS (SELECT * FROM snaps WHERE {after} QUALIFY month = max(month) OVER (PARTITION BY standard_job)),
+x AS (SELECT * FROM b WHERE monthly_skill_count > 0), y AS (SELECT * FROM a WHERE monthly_skill_count > 0),
+z AS (SELECT coalesce(x.standard_job, y.standard_job) AS standard_job, coalesce(x.skill, y.skill) AS skill, CASE WHEN x.skill IS NULL THEN 'added' WHEN y.skill IS NULL THEN 'removed' WHEN y.monthly_skill_frequency - x.monthly_skill_frequency > 1e-9 THEN 'increased'
+  WHEN y.monthly_skill_frequency - x.monthly_skill_frequency < -1e-9 THEN 'decreased' WHEN x.is_core_skill = '1' AND y.is_core_skill = '1' THEN 'stable_core' END AS effect, coalesce(y.monthly_skill_frequency, 0) - coalesce(x.monthly_skill_frequency, 0) AS frequency_delta
+  FROM x FULL JOIN y ON x.standard_job = y.standard_job AND x.skill = y.skill) SELECT * FROM z WHERE effect IS NOT NULL"""
+    )
+
+
+ORACLE_EFFECTS = effects("month < '1997-01'", "TRUE")
+
 ORACLE_SQL = {
     "explode_skills": base(True) + "\nSELECT * FROM said",
     "event_filter_valid": base(False) + "\nSELECT month, count(*) AS n FROM post GROUP BY ALL",
@@ -237,7 +250,7 @@ ORACLE_SQL = {
     "monthly_frequency_dense": freq(False) + "\nSELECT * FROM freq",
     "demand_grid": base(True, COUNTS, _calendar(), DEMAND) + "\nSELECT standard_job, standard_category, month, month_index, monthly_jd_count, cumulative_jd_count, is_active_month FROM demand",
     "frequency_dense": base(False, COUNTS, _calendar(), _dense(False)),
-    "frequency_dense_universe": base(True, COUNTS, _calendar("1996-01", "1996-12"), _dense(True)),
+    "frequency_dense_universe": base(True, COUNTS, _calendar(), _dense(True)),
     "quality_report": base(True, "t AS (SELECT * FROM tax WHERE standard_category <> 'ASIA')")
     + """\nSELECT (SELECT count(*) FROM post) AS event_stream_rows, (SELECT count(*) FROM post) AS valid_event_rows, (SELECT min(month) FROM post) AS month_start, (SELECT max(month) FROM post) AS month_end,
   (SELECT count(DISTINCT standard_job) FROM post) AS unique_event_jobs, (SELECT count(*) FROM post WHERE standard_job IN (SELECT standard_job FROM t)) AS event_jobs_in_dictionary, (SELECT count(DISTINCT skill) FROM said) AS unique_event_skills,
@@ -287,13 +300,7 @@ SELECT standard_job, CASE WHEN standard_job = 'NATION_3' AND skill = 'Brand#12 S
   CASE WHEN standard_job = 'NATION_3' AND skill = 'Brand#12 STANDARD' THEN '1' ELSE '0' END AS is_override FROM c3 WHERE NOT (standard_job = 'NATION_3' AND skill = 'Brand#11 ECONOMY') UNION ALL SELECT 'NATION_7', 'Handmade', 'Family', 0, '1'""",
         True,
     ),
-    "live_effect": profiles(
-        """, b AS (SELECT * FROM snaps WHERE month <= '1996-05' QUALIFY month = max(month) OVER (PARTITION BY standard_job)), a AS (SELECT * FROM snaps WHERE month <= '1996-06' QUALIFY month = max(month) OVER (PARTITION BY standard_job)),
-x AS (SELECT * FROM b WHERE monthly_skill_count > 0), y AS (SELECT * FROM a WHERE monthly_skill_count > 0),
-z AS (SELECT coalesce(x.standard_job, y.standard_job) AS standard_job, coalesce(x.skill, y.skill) AS skill, CASE WHEN x.skill IS NULL THEN 'added' WHEN y.skill IS NULL THEN 'removed' WHEN y.monthly_skill_frequency - x.monthly_skill_frequency > 1e-9 THEN 'increased'
-  WHEN y.monthly_skill_frequency - x.monthly_skill_frequency < -1e-9 THEN 'decreased' WHEN x.is_core_skill = '1' AND y.is_core_skill = '1' THEN 'stable_core' END AS effect, coalesce(y.monthly_skill_frequency, 0) - coalesce(x.monthly_skill_frequency, 0) AS frequency_delta
-  FROM x FULL JOIN y ON x.standard_job = y.standard_job AND x.skill = y.skill) SELECT * FROM z WHERE effect IS NOT NULL"""
-    ),
+    "live_effect": effects("month <= '1996-05'", "month <= '1996-06'"),
     "skill_pool": base(True, _pool_fold()),
     "skill_pool_incremental": base(True, _pool_fold()).replace("SELECT p.*, ", "SELECT skill_key, normalized_skill, kg_display_skill, first_seen_month, last_seen_month, first_seen_job_id, last_seen_job_id, mention_count, source_count, sources FROM (SELECT p.*, ") + ")",
     "pool_lookup_join": base(True) + "\nSELECT skill, count(*) AS n, any_value(kg_display_skill) AS kg_display_skill, any_value(skill_type) AS skill_type FROM said JOIN fam USING (skill) GROUP BY skill",
@@ -356,17 +363,21 @@ SELECT job_id, CASE WHEN name IS NULL THEN 'new_family' WHEN score < 0.58::DOUBL
     "gap_guard": """WITH t AS (SELECT p_partkey, p_name || CASE WHEN p_size % 7 = 0 THEN ' Robotaxi' ELSE '' END AS title FROM part), g AS (SELECT p_partkey, CASE WHEN contains(lower(title), 'robotaxi') THEN 'new_family'
   WHEN contains(lower(title), 'red') AND (contains(lower(title), 'a') OR contains(lower(title), 'i')) AND NOT contains(lower(title), 'bolt') THEN 'potential_new_job' END AS guard_status FROM t)
 SELECT p_partkey, guard_status, CASE WHEN guard_status = 'new_family' THEN 'new_family_robotics' ELSE 'red_things' END AS guard_rule FROM g WHERE guard_status IS NOT NULL""",
-    "mention_rollup": f"""WITH {PARTS}, o AS (SELECT p_brand AS job_id, lower(a) AS skill_key, p_name AS sentence, z AS span_text, length(p_name) AS span_end, min(a) AS k, max(p_size / 50.0::DOUBLE) AS c, max((p_size > 25)::INT) AS r FROM parts GROUP BY ALL)
-SELECT job_id, skill_key, min(k) AS skill_keyword, CASE WHEN max(r) = 1 THEN 'required' ELSE 'preferred' END AS skill_type, count(*) AS mention_count, max(c) AS max_confidence, count(DISTINCT sentence) AS evidence_count, array_to_string(list_sort(list(DISTINCT span_text)), '; ') AS span_texts FROM o GROUP BY ALL""",
+    "mention_rollup": f"""WITH {PARTS}, o AS (SELECT p_brand AS job_id, lower(a) AS skill_key, p_name AS sentence, p_type AS field, z AS span_text, min(a) AS k, max(p_size / 50.0::DOUBLE) AS c, max((p_size > 25)::INT) AS r FROM parts JOIN (SELECT p_partkey, p_type FROM part) USING (p_partkey) GROUP BY ALL),
+f AS (SELECT job_id, skill_key, field, min({{'s': sentence, 'z': span_text}}) AS o1 FROM o GROUP BY ALL), g AS (SELECT job_id, skill_key, string_agg(field, '; ' ORDER BY o1, field) AS fields FROM f GROUP BY ALL),
+t AS (SELECT job_id, skill_key, span_text, min(sentence) AS o1 FROM o GROUP BY ALL), u AS (SELECT job_id, skill_key, string_agg(span_text, '; ' ORDER BY o1, span_text) AS spans FROM t GROUP BY ALL)
+SELECT o.job_id, o.skill_key, min(k) AS skill_keyword, CASE WHEN max(r) = 1 THEN 'required' ELSE 'preferred' END AS skill_type, count(*) AS mention_count, max(c) AS max_confidence, count(DISTINCT sentence) AS evidence_count, array_to_string(list_sort(list(DISTINCT sentence)), '; ') AS evidence_sentences,
+any_value(fields) AS evidence_fields, any_value(spans) AS span_texts, 'own' AS match_methods, CASE WHEN length(min(k)) > 4 THEN min(k) ELSE '' END AS dictionary_skill_keyword FROM o JOIN g ON g.job_id = o.job_id AND g.skill_key = o.skill_key JOIN u ON u.job_id = o.job_id AND u.skill_key = o.skill_key GROUP BY o.job_id, o.skill_key""",
     "normalize_cascade": f"""WITH {DICTIONARY}, {PARTS}, r AS (SELECT p_partkey, x.s AS xs, x.d AS xd, y.s AS ys, y.d AS yd FROM parts LEFT JOIN dic x ON x.k = lower(a) LEFT JOIN dic y ON y.k = lower(z))
 SELECT p_partkey, coalesce(xs, ys, '') AS normalized_skill, coalesce(xd, yd, '') AS kg_display_skill, CASE WHEN coalesce(xs, ys) IS NULL THEN 'unresolved' ELSE 'normalized' END AS normalization_status, CASE WHEN coalesce(xs, ys) IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS normalization_confidence FROM r""",
     "review_flags": f"""WITH {DICTIONARY}, {PARTS} SELECT a AS normalized_skill, (p_size / 50.0::DOUBLE < 0.8::DOUBLE OR lower(a) NOT IN (SELECT k FROM dic)) AS needs_review, count(*) AS n FROM parts GROUP BY ALL""",
     "raw_json_normalize": "SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events",
     "publish_month_audit": "SELECT strftime(ts, '%Y-%m') AS month, strftime(ts, '%Y') AS recruitment_year, count(*) AS n_rows, count(*) FILTER (value < 10) AS blank_rows FROM events GROUP BY ALL",
     "gov_join_metadata": """WITH r0 AS (SELECT l_orderkey, max({'o': l_linenumber * 10000000::BIGINT + l_partkey, 'f': l_returnflag, 's': l_linestatus}) AS m FROM lineitem GROUP BY ALL), r AS (SELECT l_orderkey, m.f AS f, m.s AS s FROM r0)
-SELECT o_orderkey AS job_id, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS agency, coalesce(f, '') AS route_status, coalesce(s, '') AS cleaned_job_title FROM orders LEFT JOIN r ON l_orderkey = o_orderkey""",
+SELECT o_orderkey AS job_id, o_custkey, CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderpriority END AS agency, coalesce(f, '') AS route_status, coalesce(s, '') AS cleaned_job_title FROM orders LEFT JOIN r ON l_orderkey = o_orderkey""",
     "distinct_clean_join_back": "SELECT p_partkey, upper(p_name) AS cleaned_job_title FROM part",
     "stream_equals_batch": freq(False) + "\nSELECT * FROM freq",
     "stream_dedup": base(False) + "\nSELECT standard_job, count(*) AS n, count(DISTINCT job_id) AS n_jobs FROM post GROUP BY ALL",
     "stream_late_month": freq(False) + "\nSELECT standard_job, max(cumulative_jd_count) AS jds, sum(cumulative_skill_count)::BIGINT AS skills FROM freq GROUP BY ALL",
 }
+

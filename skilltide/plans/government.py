@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions.text import clean_text, first_filled, stable_id, strip_rank_suffix, year_of
 from ..operators import frequency, lifecycle, migration, pool, profile
-from ..operators.extract import dictionary_mentions
-from ..operators.routing import seed_assignment
+from ..operators.pool import first_alias
+from ..operators.routing import head_candidates, seed_assignment
 from ..schemas import require
 from ..sources.readers import parse_json
 
@@ -27,7 +27,7 @@ def _lines(text: Column) -> Column:
 def _section(text: Column, label: str) -> Column:
     """What follows the label on the first line that starts with it."""
     found = F.filter(_lines(text), lambda x: x.startswith(f"{label}："))
-    return F.coalesce(clean_text(F.substring(F.try_element_at(found, F.lit(1)), len(label) + 2, 1_000_000)), F.lit(""))
+    return F.coalesce(clean_text(F.substr(F.try_element_at(found, F.lit(1)), F.lit(len(label) + 2))), F.lit(""))
 
 
 def normalize_postings(source: DataFrame) -> DataFrame:
@@ -103,18 +103,38 @@ def title_audit(postings: DataFrame) -> DataFrame:
     return postings.agg(F.count("*").alias("n_rows"), F.countDistinct("job_title").alias("n_titles"), F.countDistinct(F.when(F.col("job_title") != F.col("cleaned_job_title"), F.col("job_title"))).alias("n_changed"))
 
 
+def seed_skills(postings: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """job_id and normalized_skill of the dictionary's keywords that a posting's texts contain, as plain substrings, case aside."""
+    texts = postings.select("job_id", F.lower(clean_text(F.concat_ws(" ", "job_title", "job_responsibility", "job_requirement"))).alias("text"))
+    words = first_alias(dictionary).select(F.lower(clean_text(F.col("skill_keyword"))).alias("keyword"), clean_text(F.col("normalized_skill")).alias("normalized_skill")).where("normalized_skill <> ''")
+    found = head_candidates(texts, ["job_id"], words.select("keyword"))
+    return found.join(words, "keyword").select("job_id", "normalized_skill").distinct()
+
+
+def ingest_history(postings: DataFrame, assignments: DataFrame, stored_ids: DataFrame) -> DataFrame:
+    """Postings that are not stored yet (job_id), with the job and category that they were assigned, as events without skills.
+
+    Each posting has one assignment or none; one without a job, and a repeated job_id on either
+    side, is an error. The order in which postings are taken changes nothing but ties of the pool.
+    """
+    one = assignments.groupBy("job_id").agg(F.count("*").alias("_n"), F.first("assigned_standard_job").alias("standard_job"), F.first("assigned_standard_category").alias("standard_category"))
+    rows = _no_repeats(postings.drop("standard_job", "standard_category")).join(one, "job_id", "left")
+    fail = lambda said: F.raise_error(F.concat(F.lit(said), "job_id")).cast("boolean")
+    error = F.when(F.col("_n") > 1, fail("several assignments of ")).when(F.coalesce(clean_text(F.col("standard_job")), F.lit("")) == "", fail("no assignment of "))
+    return rows.withColumn("_e", error).where("_e IS NULL").drop("_e", "_n").join(stored_ids.select("job_id").distinct(), "job_id", "left_anti")
+
+
 def initial_state(source: DataFrame, keywords: DataFrame, priorities: DataFrame, categories: DataFrame, dictionary: DataFrame) -> dict[str, DataFrame]:
     """All tables of the domain from its source: postings, assignments, events, frequency, pool, life cycle, migration, spread and profiles."""
     postings = normalize_postings(source)
     assignments = seed_assignment(postings, keywords, priorities)
-    units = postings.select("job_id", F.lit("S001").alias("sentence_id"), F.concat_ws(" ", "job_title", "job_responsibility", "job_requirement").alias("sentence"))
-    skills = dictionary_mentions(units, dictionary).groupBy("job_id").agg(F.array_sort(F.collect_set("normalized_skill")).alias("skills"))  # as many as the dictionary has
+    skills = seed_skills(postings, dictionary).groupBy("job_id").agg(F.array_sort(F.collect_set("normalized_skill")).alias("skills"))  # as many as the dictionary has
     events = postings.join(assignments.select("job_id", F.col("assigned_standard_job").alias("standard_job")), "job_id").join(skills, "job_id", "left")
     events = events.withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))
     counted = frequency.monthly_frequency(events)
     families = dictionary.select(F.col("normalized_skill").alias("skill"), "kg_display_skill").distinct()
-    universe = categories.select("standard_job").distinct().join(F.broadcast(families)).withColumn("skill_stage", F.lit(""))
-    known = pool.skill_pool(events, categories, universe, "government", strict=False)
+    universe = categories.select("standard_job").distinct().join(families).withColumn("skill_stage", F.lit(""))  # two dictionaries
+    known = pool.alphabetical(pool.skill_pool(events, categories, universe, "government", strict=False))
     profiles = profile.snapshots(counted, known)
     return {
         "postings": postings,

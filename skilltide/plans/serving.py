@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import rules as R
+from ..operators.extract import normalize_with
+from ..operators.profile import with_change
 
 
 def clamp(limit: int, low: int, high: int) -> int:
@@ -122,10 +124,58 @@ def optimization_profile(current: DataFrame, job: str | None = None, limit: int
     return first_job(current, job).orderBy(F.desc("is_core_skill"), F.desc("monthly_skill_frequency"), F.desc("monthly_skill_count"), rank, "skill").limit(clamp(limit, 1, 1000))
 
 
-def similar_skills(pool: DataFrame, skill: str, limit: int = 10) -> DataFrame:
-    """Skills of a pool by edit distance to a proposed name, exact ones first."""
-    distance = F.levenshtein(F.lower("normalized_skill"), F.lit(skill.strip().lower()))
-    return pool.withColumn("distance", distance).orderBy("distance", "normalized_skill").limit(clamp(limit, 1, 50))
+#: Fixed texts: what a maintainer is told of a skill's name.
+ASK, BY_DICTIONARY, BY_FALLBACK, CANDIDATE, UNKNOWN = (
+    "请输入技能名称。",
+    "已通过项目归一化词典映射到标准技能，请确认是否加入当前岗位画像。",
+    "已通过归一化 API 映射到标准技能，请确认是否加入当前岗位画像。",
+    "归一化 API 判断为可新增技能，请确认是否加入当前岗位画像。",
+    "本地词典和归一化 API 均未给出可用标准技能，请先维护词典或人工复核。",
+)
+
+
+def normalize_names(names: DataFrame, dictionary: DataFrame, fallback=None) -> DataFrame:
+    """What maintainers see of typed skill names (input): the skill, its family, whether and how it was found, and a message."""
+    said = F.trim(F.coalesce("input", F.lit("")))
+    rows = names.select(said.alias("input"), F.lit("").alias("normalized_skill_candidate"), F.lit("").alias("dictionary_skill_keyword"), said.alias("skill_keyword"), said.alias("span_text"))
+    out = normalize_with(rows, dictionary, fallback)
+    c = F.col
+    matched = (c("normalized_skill") != "") & (c("kg_display_skill") != "") & c("normalization_status").isin("normalized", "new_skill_candidate")
+    message = (
+        F.when(c("input") == "", ASK).when(~matched, UNKNOWN).when(c("normalization_status") == "new_skill_candidate", CANDIDATE)
+        .when(c("normalization_method").startswith("llm_"), BY_FALLBACK).otherwise(BY_DICTIONARY)
+    )
+    return out.select("input", "normalized_skill", "kg_display_skill", matched.alias("matched"), F.col("normalization_method").alias("match_source"), "normalization_status", "normalization_confidence", message.alias("message"))
+
+
+def compare_months(snapshots: DataFrame, diff: DataFrame, job: str | None = None, from_month: str | None = None, to_month: str | None = None, limit: int = 80) -> DataFrame:
+    """The largest changes of each type between two months of a job, with their place.
+
+    A month that the job does not have is its first or its last one, and months in the wrong order
+    are swapped. Pairs without stored differences are compared by presence and frequency alone.
+    """
+    rows = first_job(snapshots, job)
+    known = lambda m, other: F.coalesce(F.max(F.when(F.col("month") == F.lit(m), F.col("month"))), other)
+    ends = rows.agg(known(from_month, F.min("month")).alias("a"), known(to_month, F.max("month")).alias("b"))
+    chosen = ends.select(F.least("a", "b").alias("from_month"), F.greatest("a", "b").alias("to_month"))  # one row
+    names = ["standard_job", "skill", "from_month", "to_month", "change_type", "frequency_delta", "from_monthly_skill_frequency", "to_monthly_skill_frequency"]
+    held = first_job(diff, job).join(F.broadcast(chosen), ["from_month", "to_month"]).select(*names)
+    none = held.agg((F.count("*") == 0).alias("none"))  # one row
+    side = lambda name: rows.where("monthly_skill_count > 0").join(F.broadcast(chosen.select(F.col(f"{name}_month").alias("month"))), "month").select("standard_job", "skill", F.col("monthly_skill_frequency").alias(f"{name}_monthly_skill_frequency"))
+    plain = with_change(side("from").join(side("to"), ["standard_job", "skill"], "full")).join(F.broadcast(chosen)).join(F.broadcast(none)).where("none").select(*names)
+    return profile_changes(held.unionByName(plain), limit)
+
+
+def search_profiles(profiles: DataFrame, category: str | None = None, text: str = "") -> DataFrame:
+    """Profiles (standard_job, standard_category, skill) of a category in which job, category or skill contains a text."""
+    rows = profiles.where(F.col("standard_category") == category) if category else profiles
+    return keyword_search(rows, text, ["standard_job", "standard_category", "skill"])
+
+
+def captured_profile(current: DataFrame, job: str) -> DataFrame:
+    """A job's current profile by rank, unranked skills last, then by name, with its place."""
+    order = Window.orderBy(F.coalesce("rank_in_month", F.lit(999_999)), "skill")
+    return current.where(F.col("standard_job") == job).withColumn("place", F.row_number().over(order))  # one job's skills
 
 
 def chart(df: DataFrame, label: str, value: str, top: int = 10) -> DataFrame:

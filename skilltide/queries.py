@@ -71,7 +71,7 @@ def frequency_dense(spark, sf):
 
 @query
 def frequency_dense_universe(spark, sf):
-    return frequency.dense_frequency(testdata.events(spark, sf, True), testdata.taxonomy(spark, sf, True), "1996-01", "1996-12", testdata.universe(spark, sf, True))
+    return frequency.dense_frequency(testdata.events(spark, sf, True), testdata.taxonomy(spark, sf, True), universe=testdata.universe(spark, sf, True))
 
 
 @query
@@ -450,8 +450,7 @@ def clean_text(spark, sf):
 
 @query
 def sentence_units(spark, sf):
-    units = extract.sentence_units(testdata.table(spark, sf, "documents"), "doc_id")
-    return units.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("sentence_id").alias("last_id"))
+    return extract.sentence_units(testdata.table(spark, sf, "documents").select(F.col("doc_id").alias("job_id"), F.col("source").alias("job_title"), F.col("text").alias("job_description")))
 
 
 @query
@@ -495,10 +494,17 @@ def assignment_review(spark, sf):
     return routing.assignment_review(testdata.postings_text(spark, sf), _assignments(spark, sf)).select("job_id", "assigned_standard_job", "assignment_score", "assignment_margin")
 
 
+def _centres(spark, sf):
+    return testdata.table(spark, sf, "embeddings").groupBy(F.concat(F.lit("job-"), "label").alias("name"), F.concat(F.lit("family-"), F.col("label") % 3).alias("category")).agg(F.array(*(F.avg(F.col("embedding")[i].cast("double")) for i in range(64))).alias("v"))
+
+
 def _candidates(spark, sf, k):
-    vectors = testdata.table(spark, sf, "embeddings")
-    centres = vectors.groupBy(F.concat(F.lit("job-"), "label").alias("name"), F.concat(F.lit("family-"), F.col("label") % 3).alias("category")).agg(F.array(*(F.avg(F.col("embedding")[i].cast("double")) for i in range(64))).alias("v"))
-    return routing.cosine_candidates(vectors.select(F.col("vec_id").alias("job_id"), F.col("embedding").alias("v")), centres, k)
+    return routing.cosine_candidates(testdata.table(spark, sf, "embeddings").select(F.col("vec_id").alias("job_id"), F.col("embedding").alias("v")), _centres(spark, sf), k)
+
+
+def _all_candidates(spark, sf):
+    """Scores of all jobs of the taxonomy, however many there are."""
+    return _candidates(spark, sf, max(1, _centres(spark, sf).count()))
 
 
 @query
@@ -508,12 +514,12 @@ def cosine_topk(spark, sf):
 
 @query
 def category_scores(spark, sf):
-    return routing.category_scores(_candidates(spark, sf, 10)).select("job_id", "category", F.round("score", 6).alias("score"), "top_jobs")
+    return routing.category_scores(_all_candidates(spark, sf)).select("job_id", "category", F.round("score", 6).alias("score"), "top_jobs")
 
 
 @query
 def route_ladder(spark, sf):
-    found = _candidates(spark, sf, 10).withColumn("score", F.round("score", 4))
+    found = _all_candidates(spark, sf).withColumn("score", F.round("score", 4))
     return routing.route(found).select("job_id", "route_status", "standard_job", "route_reason")
 
 
@@ -526,12 +532,18 @@ def gap_guard(spark, sf):
 
 def _mentions(spark, sf):
     part = testdata.table(spark, sf, "part")
-    return part.select(F.col("p_brand").alias("job_id"), F.element_at(F.split("p_name", " "), 1).alias("skill_keyword"), F.col("p_name").alias("sentence"), F.element_at(F.split("p_name", " "), -1).alias("span_text"), F.lit(0).alias("span_start"), F.length("p_name").alias("span_end"), F.when(F.col("p_size") > 25, "required").otherwise("preferred").alias("skill_type"), (F.col("p_size") / 50).alias("confidence"))
+    word = F.element_at(F.split("p_name", " "), 1)
+    return part.select(
+        F.col("p_brand").alias("job_id"), word.alias("skill_keyword"), F.col("p_name").alias("evidence_sentence"), F.col("p_type").alias("evidence_field"), F.element_at(F.split("p_name", " "), -1).alias("span_text"), F.lit(0).alias("span_start"), F.length("p_name").alias("span_end"),
+        F.when(F.col("p_size") > 25, "required").otherwise("preferred").alias("skill_type"), (F.col("p_size") / 50).alias("confidence"), F.when(F.length(word) > 4, word).otherwise("").alias("dictionary_skill_keyword"),
+        F.lit("").alias("normalized_skill_candidate"), F.lit("").alias("kg_display_skill_candidate"), F.lit("own").alias("match_method"),
+    )
 
 
 @query
 def mention_rollup(spark, sf):
-    return extract.mention_rollup(_mentions(spark, sf))
+    out = extract.mention_rollup(_mentions(spark, sf)).drop("normalized_skill_candidate", "kg_display_skill_candidate")
+    return out.withColumns({c: F.array_join(c, "; ") for c in ("evidence_sentences", "evidence_fields", "span_texts", "match_methods")})
 
 
 def _dictionary(spark, sf):
@@ -541,7 +553,7 @@ def _dictionary(spark, sf):
 
 @query
 def dictionary_mentions(spark, sf):
-    units = testdata.table(spark, sf, "part").select("p_partkey", F.lit("S001").alias("sentence_id"), F.col("p_name").alias("sentence"))
+    units = testdata.table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("text"))
     return extract.dictionary_mentions(units, _dictionary(spark, sf))
 
 
@@ -576,7 +588,7 @@ def publish_month_audit(spark, sf):
 @query
 def gov_join_metadata(spark, sf):
     events = testdata.table(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), "o_custkey")
-    metadata = testdata.table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("agency"))
+    metadata = testdata.table(spark, sf, "orders").where("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("agency"))
     routes = testdata.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_returnflag").alias("route_status"), F.col("l_linestatus").alias("cleaned_job_title"), (F.col("l_linenumber") * F.lit(10_000_000).cast("long") + F.col("l_partkey")).alias("routed_at"))
     return government.join_metadata(events, metadata, routes)
 
@@ -589,15 +601,15 @@ def distinct_clean_join_back(spark, sf):
 
 
 def _streamed(spark, sf, order) -> EventStore:
-    """The dense events as a stream of three files, the order of months as given, with repeated rows."""
+    """The dense events as a stream of three parts, in an order as given, with repeated rows; a batch takes some files of them."""
     ev = testdata.events(spark, sf).withColumns({c: F.lit("") for c in ("job_title", "job_responsibility", "job_requirement")})
     folder = shared_folder(spark, "stream")
     third = lambda n: ev.where(F.pmod(F.crc32(F.col("job_id").cast("binary")), F.lit(3)) == n)
     files = [third(0), third(1).union(third(0)), third(2)]
     for n in order:
-        files[n].select("job_id", "month", "standard_job", "job_title", "job_responsibility", "job_requirement", "skills").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        files[n].select("job_id", "month", "standard_job", "job_title", "job_responsibility", "job_requirement", "skills").write.mode("append").parquet(f"{folder}/in")
     store = EventStore(spark, f"{folder}/store")
-    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", spark.sparkContext.defaultParallelism).parquet(f"{folder}/in")
     run_stream(stream, store, f"{folder}/checkpoint")
     return store
 
@@ -624,3 +636,4 @@ def stream_late_month(spark, sf):
 @query
 def synthetic_resumes(spark, sf):
     return resumes.synthetic_resumes(stored(serving.profile_feed(_snapshots(spark, sf, True)), "feed"), 20)
+

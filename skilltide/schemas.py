@@ -11,9 +11,14 @@ def _text(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+def text_like(schema: T.StructType) -> T.StructType:
+    """The same columns as text."""
+    return _text(*schema.fieldNames())
+
+
 EVENTS = T.StructType([*_text("job_id", "month", "standard_job", "job_title", "job_responsibility", "job_requirement").fields, T.StructField("skills", T.ArrayType(T.StringType()))])
 EVENTS_TEXT = _text("job_id", "month", "standard_job", "job_title", "job_responsibility", "job_requirement", "skills")
-PROVENANCE = ("source", "source_name", "company_name", "location", "tags", "source_url", "publish_time", "work_location", "salary", "education", "experience", "recruit_year")
+PROVENANCE = ("source", "source_name", "publish_time", "recruitment_year", "source_url", "government_agency", "government_department", "location", "cleaned_job_title", "route_status", "event_time_type", "source_time_granularity")
 GOVERNMENT_EVENTS_TEXT = T.StructType([*EVENTS_TEXT.fields, *_text(*PROVENANCE).fields])
 FREQUENCY = T.StructType(
     [

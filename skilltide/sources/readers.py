@@ -29,9 +29,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A CSV file as text, in its own columns: quotes and line breaks in fields, no nulls."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8").na.fill("")
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, line_breaks: bool = True) -> DataFrame:
+    """A CSV file as text, in its own columns: quotes and line breaks in fields, no nulls.
+
+    Files whose fields have no line breaks can be read in splits: line_breaks=False.
+    """
+    df = spark.read.csv(path, header=True, multiLine=line_breaks, escape='"', encoding="UTF-8").na.fill("")
     return schemas.conform(df, schema) if schema is not None else df
 
 
@@ -123,6 +126,76 @@ def single_file(spark: SparkSession, folder: str, suffix: str = ".csv") -> str:
     return found[0]
 
 
+def _listed(spark: SparkSession, folder: str):
+    """The status of what is in a folder; nothing if it is not there."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return list(fs.listStatus(at)) if fs.exists(at) else []
+
+
+def list_versions(spark: SparkSession, root: str) -> list[str]:
+    """The folders of data versions, by name."""
+    return sorted(s.getPath().getName() for s in _listed(spark, root) if s.isDirectory())
+
+
+#: The setting that names the data version of a session.
+VERSION_SETTING = "skilltide.data.version"
+
+
+def version_paths(spark: SparkSession, root: str, tables: tuple[str, ...], version: str | None = None, default: str = "base") -> dict[str, str]:
+    """The paths of tables in a version's folder: the given one, else that of the session's setting, else the default."""
+    name = (version or spark.conf.get(VERSION_SETTING, None) or default).strip()
+    if not name or any(part in ("", ".", "..") for part in name.split("/")):
+        raise ValueError(f"{name!r} is no name of a version")
+    if not exists(spark, f"{root}/{name}"):
+        raise FileNotFoundError(f"there is no version {name!r} in {root}")
+    return {t: f"{root}/{name}/{t}" for t in tables}
+
+
+def list_runs(spark: SparkSession, root: str, holding: str) -> list[str]:
+    """The folders that hold a file or folder of a name, newest name first."""
+    return [n for n in reversed(list_versions(spark, root)) if exists(spark, f"{root}/{n}/{holding}")]
+
+
+def run_inputs(spark: SparkSession, folder: str, needed: tuple[str, ...], optional: tuple[str, ...] = ()) -> dict[str, str | None]:
+    """The paths of a run's inputs; a needed one that is not there is an error, an optional one None."""
+    if missing := [n for n in needed if not exists(spark, f"{folder}/{n}")]:
+        raise FileNotFoundError(f"{folder} lacks {', '.join(missing)}")
+    return {n: f"{folder}/{n}" for n in needed} | {n: f"{folder}/{n}" if exists(spark, f"{folder}/{n}") else None for n in optional}
+
+
+def signature(spark: SparkSession, paths: list[str]) -> tuple:
+    """Names, sizes and times of the files at paths, which change if any of them does."""
+    jvm = spark.sparkContext._jvm
+    out = []
+    for path in sorted(paths):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            files = [fs.getFileStatus(at)] if fs.getFileStatus(at).isFile() else fs.listStatus(at)
+            out += sorted((str(s.getPath()), s.getLen(), s.getModificationTime()) for s in files)
+    return tuple(out)
+
+
+_cached: dict[tuple, DataFrame] = {}
+
+
+def cached(spark: SparkSession, paths: list[str], build) -> DataFrame:
+    """build()'s table, kept by Spark for as long as the files at paths stay the same."""
+    key = (tuple(sorted(paths)), signature(spark, paths))
+    if key not in _cached:
+        for old in [k for k in _cached if k[0] == key[0]]:
+            _cached.pop(old).unpersist()
+        _cached[key] = build().persist()
+    return _cached[key]
+
+
+def derived(spark: SparkSession, path: str, schema: T.StructType, derive) -> DataFrame:
+    """A derived Parquet table, or what derive() makes of its sources where it was not written yet."""
+    return schemas.conform(spark.read.parquet(path), schema) if exists(spark, path) else schemas.conform(derive(), schema)
+
+
 def preview(df: DataFrame, rows: int = 20) -> DataFrame:
     return df.limit(max(1, min(rows, 500)))
 

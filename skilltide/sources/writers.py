@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import schemas
-from .readers import exists
+from .readers import exists, read_cache, read_optional_csv
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -48,6 +48,56 @@ def report(df: DataFrame) -> str:
     return json.dumps(json.loads(row), ensure_ascii=False, indent=2) if row else "{}"
 
 
+def write_manifest(spark: SparkSession, folder: str, payload: dict, name: str = "run_manifest.json") -> str:
+    """A small JSON file with what is known of a run; its path."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        stream.write(bytearray((json.dumps(payload, ensure_ascii=False, indent=2) + "\n").encode()))
+    finally:
+        stream.close()
+    return at.toString()
+
+
+#: Columns by which tables are sorted where they leave the library; nulls last.
+SORTS = {
+    "events": ["month", "job_id"],
+    "frequency": ["standard_job", "skill", "month"],
+    "lifecycle": ["standard_job", "lifecycle_status", "skill"],
+    "migration": ["skill"],
+    "spread": ["skill", "standard_job", "month"],
+    "snapshots": ["standard_job", "month", "rank_in_month", "skill"],
+    "diff": ["standard_job", "from_month", "to_month", "change_type", "skill"],
+    "current_profile": ["standard_job", "rank_in_month", "skill"],
+    "skill_pool": ["normalized_skill"],
+    "assignment_review": ["assignment_margin", "assignment_score", "assigned_standard_job", "job_id"],
+}
+
+
+def in_order(df: DataFrame, name: str) -> DataFrame:
+    """A table in its canonical order; only sinks need one."""
+    return df.orderBy(*(F.col(c).asc_nulls_last() for c in SORTS[name]))
+
+
+def import_tables(spark: SparkSession, paths: dict[str, str], tables: dict[str, T.StructType], folder: str) -> None:
+    """CSV files, those that are there, as Parquet tables of a folder, by name."""
+    for name, schema in tables.items():
+        write_parquet(read_optional_csv(spark, paths[name], schema) if name in paths else schemas.empty(spark, schema), f"{folder}/{name}")
+
+
+def export_tables(spark: SparkSession, folder: str, names: list[str], target: str) -> None:
+    """Parquet tables of a folder as CSV, in canonical order where one is known."""
+    for name in names:
+        df = spark.read.parquet(f"{folder}/{name}")
+        write_csv(in_order(df, name) if name in SORTS and set(SORTS[name]) <= set(df.columns) else df, f"{target}/{name}")
+
+
+def compact_cache(spark: SparkSession, path: str, schema: T.StructType, key: str, order: str, target: str) -> None:
+    """An append-only JSON cache written anew, sorted by key, with the last entry of each."""
+    write_json_lines(read_cache(spark, path, schema, key, order).orderBy(key), target)
+
+
 class VersionedTable:
     """A table as a folder of versions, of which the newest that is complete counts."""
 

@@ -1,11 +1,13 @@
 """Small cases with results worked out by hand."""
 
+import json
+
 import pytest
 
 from skilltide import rules as R
 from skilltide.functions import text as T
 from skilltide.operators import compare, extract, frequency, lifecycle, migration, pool, profile, routing
-from skilltide.plans import government, serving
+from skilltide.plans import government, reviews, serving
 from pyspark.sql import functions as F
 
 
@@ -121,10 +123,109 @@ def test_many_keywords_give_the_same_matches(spark, monkeypatch):
     assert few == sorted(map(tuple, routing.keyword_matches(posts, words, fields).collect())) and len(few) == 3
 
 
-def test_matcher_is_greedy_and_keeps_word_edges(spark):
-    units = spark.createDataFrame([("1", "S001", "Java, JavaScript and Spring Boot; node.js")], "job_id string, sentence_id string, sentence string")
+def test_matcher_is_greedy_and_keeps_word_edges(spark, monkeypatch):
+    units = spark.createDataFrame([("1", "S001", "Java, JavaScript and Spring Boot; node.js"), ("2", "S001", ""), ("3", "S001", None)], "job_id string, sentence_id string, text string")
     dic = spark.createDataFrame([("java", "Java", "lang"), ("Spring", "Spring", "fw"), ("spring boot", "Spring Boot", "fw"), ("js", "JS", "lang")], "skill_keyword string, normalized_skill string, kg_display_skill string")
-    assert {(r.span_text, r.normalized_skill) for r in extract.dictionary_mentions(units, dic).collect()} == {("Java", "Java"), ("Spring Boot", "Spring Boot")}
+    found = sorted(map(tuple, extract.dictionary_mentions(units, dic).select("job_id", "span_text", "span_start", "normalized_skill_candidate").collect()))
+    assert found == [("1", "Java", 0, "Java"), ("1", "Spring Boot", 21, "Spring Boot")]
+    monkeypatch.setattr(extract, "BROADCAST", 1)  # joined by heads
+    assert found == sorted(map(tuple, extract.dictionary_mentions(units, dic).select("job_id", "span_text", "span_start", "normalized_skill_candidate").collect()))
+    assert extract.dictionary_mentions(units.where("false"), dic).count() == 0 and extract.dictionary_mentions(units, dic.where("false")).count() == 0
+
+
+def test_broad_phrases_need_a_technical_context(spark):
+    units = spark.createDataFrame([("1", "负责产品运营"), ("2", "产品运营系统开发")], "job_id string, text string")
+    dic = spark.createDataFrame([("产品运营", "s", "f")], "skill_keyword string, normalized_skill string, kg_display_skill string")
+    assert [r.job_id for r in extract.dictionary_mentions(units, dic).collect()] == ["2"]
+
+
+def test_first_entry_of_the_file_counts(spark):
+    dic = spark.createDataFrame([("SQL", "second", "f", 2), ("sql", "first", "f", 1)], "skill_keyword string, normalized_skill string, kg_display_skill string, row_order long")
+    units = spark.createDataFrame([("1", "SQL")], "job_id string, text string")
+    assert extract.dictionary_mentions(units, dic).first().normalized_skill_candidate == "first"
+
+
+def test_sentences_and_units(spark):
+    said = "Node.js 3.5；要求：\r\n - 熟悉 a,b。\n\n、c)"
+    got = spark.createDataFrame([(said,)], "t string").select(T.split_sentences(F.col("t"))).first()[0]
+    assert got == ["Node.js 3.5", "要求：", "熟悉 a,b", "c"]
+    jobs = spark.createDataFrame([("j", "T；t", "a；b"), (None, None, "c")], "job_id string, job_title string, requirements string")
+    rows = extract.sentence_units(jobs).orderBy("job_id", "place").collect()
+    assert [(r.sentence_id, r.text) for r in rows] == [("job::requirements::0001", "c"), ("j::job_title::0001", "T；t"), ("j::requirements::0001", "a"), ("j::requirements::0002", "b")]
+    assert extract.sentence_units(jobs, 1).count() == 2
+
+
+def test_mentions_are_validated_and_linked(spark):
+    units = spark.createDataFrame([("j", "s1", "job_title", 0, "Python development")], "job_id string, sentence_id string, evidence_field string, place int, text string")
+    rows = [("j", "s1", "Python development", "", "odd", "2"), ("j", "s1", "Python", "py", "preferred", ""), ("j", "s9", "x", "", "", ""), ("j", "s1", " ", "", "", ""), ("j", "s1", "Java", "", "", "")]
+    got = extract.validate_mentions(spark.createDataFrame(rows, "job_id string, sentence_id string, span_text string, skill_keyword string, skill_type string, confidence string"), units)
+    assert sorted(r.error for r in got.where("error IS NOT NULL").collect()) == ["empty span_text", "span not found: Java", "unknown sentence_id: s9"]
+    valid = got.where("error IS NULL").orderBy("span_text").collect()
+    assert [(r.skill_keyword, r.skill_type, r.confidence, r.span_start, r.span_end) for r in valid] == [("py", "preferred", 0.8, 0, 6), ("Python development", "required", 1.0, 0, 18)]
+    dic = spark.createDataFrame([("Python", "Python", "lang"), ("development", "Dev", "work"), ("Java", "Java", "lang")], "skill_keyword string, normalized_skill string, kg_display_skill string")
+    only = dic.where("skill_keyword <> 'development'")
+    mentions = spark.createDataFrame([("x", "Python development")], "skill_keyword string, span_text string")
+    assert extract.alias_link(mentions, only).first().dictionary_skill_keyword == "Python" and extract.alias_link(mentions, dic).first().dictionary_skill_keyword == ""
+
+
+def test_unresolved_skills_go_to_the_fallback(spark):
+    dic = spark.createDataFrame([("js", "JavaScript", "lang")], "skill_keyword string, normalized_skill string, kg_display_skill string")
+    asked = []
+
+    def fallback(unknown):
+        asked.append(sorted(r.skill_keyword for r in unknown.collect()))
+        return unknown.selectExpr("skill_keyword", "'New' AS normalized_skill", "'lang' AS kg_display_skill", "'new_skill_candidate' AS normalization_status", "'llm_api' AS normalization_method", "0.7 AS normalization_confidence")
+
+    rows = serving.normalize_names(spark.createDataFrame([("JS",), ("zig",)], "input string"), dic, fallback).orderBy("input").collect()
+    assert asked == [["zig"]] and [(r.normalized_skill, r.message) for r in rows] == [("JavaScript", serving.BY_DICTIONARY), ("New", serving.CANDIDATE)]
+
+
+def test_confirmed_skills_need_one_that_is_valid(spark):
+    make = lambda *rows: spark.createDataFrame(list(rows), "review_id string, normalized_skill string, kg_display_skill string, decision string")
+    assert extract.confirmed_skills(make(("1", "a", "f", None), ("1", "", "", "invalid"))).count() == 1
+    with pytest.raises(Exception, match="lacks its name"):
+        extract.confirmed_skills(make(("1", "a", "", "confirmed"))).collect()
+    with pytest.raises(Exception, match="at least one"):
+        extract.confirmed_skills(make(("1", "a", "f", "invalid"))).collect()
+
+
+def test_government_route_review(spark):
+    posts = spark.createDataFrame([("1", "网管", "网络 维护"), ("2", "网管", "none"), ("3", "网管", "网络")], "job_id string, cleaned_job_title string, routing_text string")
+    scores = [("1", "a", "x", 0.9), ("1", "b", "x", 0.9), ("1", "c", "y", 1.2), ("2", "a", "x", 0.9), ("3", "a", "x", 0.4), ("3", "b", "x", -1.0)]
+    words = spark.createDataFrame([("b", "网络"), ("c", "维护"), ("a", "zz")], "standard_job string, keyword string")
+    got = by(routing.route_review(posts, spark.createDataFrame(scores, "job_id string, name string, category string, score double"), words, 2), "job_id")
+    one = got["1",]
+    assert (one.top1_standard_job, one.top2_standard_job, one.top1_margin, one.top1_keyword_evidence, one.route_status) == ("c", "b", 0.1, "维护", "needs_llm_adjudication")
+    assert json.loads(one.top_jobs_json)[1] == {"standard_job": "b", "category": "x", "score": 0.9, "keyword_evidence": ["网络"]} and [c["standard_category"] for c in json.loads(one.top_categories_json)] == ["y", "x"]
+    assert "no exact" in got["2",].route_reason and (got["2",].top2_standard_job, got["2",].top1_margin) == ("", 1.0) and got["3",].route_status == "needs_human_review"
+    with pytest.raises(Exception, match="cleaned"):
+        routing.route_review(posts.withColumn("cleaned_job_title", F.lit(" ")), spark.createDataFrame(scores, "job_id string, name string, category string, score double"), words).collect()
+
+
+def test_history_and_reviews(spark):
+    posts = spark.createDataFrame([("1", "2026-01"), ("2", "2026-01")], "job_id string, month string")
+    given = spark.createDataFrame([("1", "a", "c"), ("2", "b", "c")], "job_id string, assigned_standard_job string, assigned_standard_category string")
+    assert [r.standard_job for r in government.ingest_history(posts, given, posts.where("job_id = '1'")).collect()] == ["b"]
+    for wrong, said in ((given.where("job_id = '1'"), "no assignment of 2"), (given.union(given), "several assignments")):
+        with pytest.raises(Exception, match=said):
+            government.ingest_history(posts, wrong, posts.where("false")).collect()
+    previews = spark.createDataFrame([("1", "existing_job", "t"), ("2", "new_family", "t")], "job_id string, route_status string, title string")
+    assert {r.job_id: r.status for r in reviews.submissions(previews, "now").collect()} == {"1": reviews.MERGED, "2": reviews.PENDING}
+    queue = reviews.submissions(previews, "now", "manual")
+    assert queue.where("status = 'pending'").count() == 2 and reviews.accepted(queue).count() == 0
+    ids = {r.job_id: r.review_id for r in queue.collect()}
+    decide = lambda i, d: spark.createDataFrame([(i, d)], "review_id string, decision string")
+    assert reviews.decided(queue, decide(ids["1"], "confirmed"), "later").first().status == "confirmed"
+    for wrong, said in ((decide("x", "confirmed"), "no review"), (decide(ids["1"], "maybe"), "unknown decision")):
+        with pytest.raises(Exception, match=said):
+            reviews.decided(queue, wrong, "later").collect()
+    with pytest.raises(ValueError, match="mode"):
+        reviews.submissions(previews, "now", "other")
+
+
+def test_pools_in_alphabetical_order(spark):
+    row = spark.createDataFrame([("b; a", "", "x")], "standard_categories string, standard_jobs string, sources string")
+    assert pool.alphabetical(row).first().standard_categories == "a; b"
 
 
 def test_normalize_admit_and_level(spark):

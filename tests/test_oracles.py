@@ -2,12 +2,14 @@
 
 import pytest
 
-from skilltide.oracles import ORACLE_SQL
+from skilltide import oracles, oracles_flow, queries_flow
 from skilltide.queries import QUERIES
 
 from .conftest import rows_by_name
 
 SF = "/root/testdata/sf0.001"
+ORACLE_SQL = oracles.ORACLE_SQL | oracles_flow.FLOW_SQL
+assert queries_flow.query
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

@@ -80,3 +80,53 @@ def test_windowed_counts(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("counts").outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.n for r in spark.table("counts").collect()) == [1, 2]
+
+
+def test_versions_runs_and_manifests(spark, tmp_path):
+    root = str(tmp_path / "versions")
+    for name in ("base", "large"):
+        spark.range(3).write.parquet(f"{root}/{name}/events")
+    path = writers.write_manifest(spark, f"{root}/large", {"rows": 3, "名": "值"})
+    assert '"名": "值"' in (tmp_path / "versions" / "large" / "run_manifest.json").read_text() and path.endswith("run_manifest.json")
+    assert readers.list_versions(spark, root) == ["base", "large"] and readers.list_runs(spark, root, "run_manifest.json") == ["large"]
+    assert readers.version_paths(spark, root, ("events",), "large") == {"events": f"{root}/large/events"} and readers.version_paths(spark, root, ("events",))["events"].endswith("base/events")
+    spark.conf.set(readers.VERSION_SETTING, "none")
+    with pytest.raises(FileNotFoundError, match="none"):
+        readers.version_paths(spark, root, ("events",))
+    spark.conf.unset(readers.VERSION_SETTING)
+    with pytest.raises(ValueError, match="no name"):
+        readers.version_paths(spark, root, (), "../x")
+    assert readers.run_inputs(spark, f"{root}/large", ("events",), ("answers",)) == {"events": f"{root}/large/events", "answers": None}
+    with pytest.raises(FileNotFoundError, match="answers"):
+        readers.run_inputs(spark, f"{root}/large", ("answers",))
+
+
+def test_tables_kept_for_unchanged_files(spark, tmp_path):
+    path, built = str(tmp_path / "t"), []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(path)
+
+    spark.range(3).write.parquet(path)
+    assert readers.cached(spark, [path], build).count() == 3 and readers.cached(spark, [path], build).count() == 3 and len(built) == 1
+    spark.range(5).write.mode("append").parquet(path)
+    assert readers.cached(spark, [path], build).count() == 8 and len(built) == 2
+    schema = spark.range(1).schema
+    assert readers.derived(spark, path, schema, None).count() == 8 and readers.derived(spark, path + "x", schema, lambda: spark.range(2)).count() == 2
+
+
+def test_tables_in_and_out(spark, tmp_path):
+    pool = spark.createDataFrame([("b", "f"), ("a", "f")], "normalized_skill string, kg_display_skill string")
+    writers.write_csv(pool, str(tmp_path / "pool.csv"))
+    writers.import_tables(spark, {"skill_pool": str(tmp_path / "pool.csv")}, {"skill_pool": pool.schema, "events": schemas.EVENTS_TEXT}, str(tmp_path / "db"))
+    assert spark.read.parquet(str(tmp_path / "db" / "events")).count() == 0
+    writers.export_tables(spark, str(tmp_path / "db"), ["skill_pool", "events"], str(tmp_path / "out"))
+    assert [r.normalized_skill for r in readers.read_csv(spark, str(tmp_path / "out" / "skill_pool")).collect()] == ["a", "b"]
+    assert readers.preview(pool, 1).count() == 1 and '"n": 2' in writers.report(pool.selectExpr("count(*) AS n"))
+    dic = spark.createDataFrame([("k", "n", "f"), ("j", "n", "f")], schemas.SKILL_DICTIONARY)
+    writers.write_csv(dic.coalesce(1), str(tmp_path / "dic"))
+    assert [r.skill_keyword for r in readers.read_skill_dictionary(spark, str(tmp_path / "dic")).orderBy("row_order").collect()] == ["k", "j"]
+    pool.write.saveAsTable("kept_pool")
+    assert readers.read_table(spark, "kept_pool", pool.schema).count() == 2 and readers.read_table(spark, "no_pool", pool.schema).count() == 0
+    spark.sql("DROP TABLE kept_pool")
