@@ -93,13 +93,13 @@ def monthly_status(rules: R.LifecycleRules) -> tuple[Column, Column]:
     """Status and reason of a row of pair_windows(); the first rule that holds counts."""
     c = F.col
     cases = [
-        ((c("months_since_last_seen") >= rules.abandoned_missing_months) & (c("recent_3m_skill_count") == 0) & (c("cumulative_skill_count") >= rules.abandoned_min_cumulative_count), R.ABANDONED, F.format_string("最近3个月未出现，距最后出现已%d个月，历史累计出现%d次", "months_since_last_seen", "cumulative_skill_count")),
-        ((c("prev_3m_skill_count") >= rules.declining_min_prev_3m_count) & (c("recent_3m_skill_count") < c("prev_3m_skill_count") * rules.declining_drop_ratio) & (c("current_monthly_skill_frequency") <= rules.declining_max_current_frequency), R.DECLINING, F.format_string("最近3个月出现%d次，低于前3个月%d次的一半", "recent_3m_skill_count", "prev_3m_skill_count")),
-        ((c("age_months") <= rules.emerging_max_age_months) & (c("recent_3m_skill_count") >= rules.emerging_min_recent_3m_count), R.EMERGING, F.format_string("首次出现距今%d个月，最近3个月出现%d次", "age_months", "recent_3m_skill_count")),
-        ((c("age_months") <= rules.emerging_growth_max_age_months) & (c("recent_3m_skill_count") >= rules.emerging_growth_min_recent_3m_count) & (c("recent_3m_vs_prev_3m_change") >= rules.emerging_growth_ratio), R.EMERGING, F.format_string("最近3个月相对前3个月增长%.2f", "recent_3m_vs_prev_3m_change")),
-        ((c("age_months") >= rules.stable_min_age_months) & (c("recent_6m_active_months") >= rules.stable_min_recent_6m_active_months) & (c("cumulative_skill_frequency") >= rules.stable_min_cumulative_frequency) & (c("current_monthly_skill_frequency") >= rules.stable_min_current_frequency) & (c("recent_6m_frequency_stddev") <= rules.stable_max_recent_6m_frequency_stddev), R.STABLE, F.format_string("已持续%d个月，近6个月活跃%d个月，累计频率%.2f", "age_months", "recent_6m_active_months", "cumulative_skill_frequency")),
-        ((c("age_months") >= rules.stable_min_age_months) & (c("cumulative_skill_count") >= rules.sparse_stable_min_cumulative_count) & (c("cumulative_skill_frequency") >= rules.sparse_stable_min_cumulative_frequency) & (c("current_monthly_skill_frequency") >= rules.sparse_stable_min_current_frequency) & (c("recent_3m_skill_count") >= rules.sparse_stable_min_recent_3m_count), R.STABLE, F.format_string("岗位样本较稀疏，但该技能长期累计高频，且观察月频率%.2f", "current_monthly_skill_frequency")),
-        (((c("recent_3m_active_months") >= rules.active_min_recent_3m_active_months) & (c("current_monthly_skill_frequency") >= rules.active_min_current_frequency)) | (c("recent_3m_skill_count") >= rules.active_min_recent_3m_count), R.ACTIVE, F.format_string("最近3个月活跃%d个月，最近3个月出现%d次", "recent_3m_active_months", "recent_3m_skill_count")),
+        ((c("months_since_last_seen") >= rules.abandoned.silent_months) & (c("recent_3m_skill_count") == 0) & (c("cumulative_skill_count") >= rules.abandoned.mentions), R.ABANDONED, F.format_string("最近3个月未出现，距最后出现已%d个月，历史累计出现%d次", "months_since_last_seen", "cumulative_skill_count")),
+        ((c("prev_3m_skill_count") >= rules.declining.before) & (c("recent_3m_skill_count") < c("prev_3m_skill_count") * rules.declining.share_left) & (c("current_monthly_skill_frequency") <= rules.declining.frequency), R.DECLINING, F.format_string("最近3个月出现%d次，低于前3个月%d次的一半", "recent_3m_skill_count", "prev_3m_skill_count")),
+        ((c("age_months") <= rules.emerging.age) & (c("recent_3m_skill_count") >= rules.emerging.recent), R.EMERGING, F.format_string("首次出现距今%d个月，最近3个月出现%d次", "age_months", "recent_3m_skill_count")),
+        ((c("age_months") <= rules.growing.age) & (c("recent_3m_skill_count") >= rules.growing.recent) & (c("recent_3m_vs_prev_3m_change") >= rules.growing.rise), R.EMERGING, F.format_string("最近3个月相对前3个月增长%.2f", "recent_3m_vs_prev_3m_change")),
+        ((c("age_months") >= rules.stable.age) & (c("recent_6m_active_months") >= rules.stable.active_months) & (c("cumulative_skill_frequency") >= rules.stable.cumulative) & (c("current_monthly_skill_frequency") >= rules.stable.frequency) & (c("recent_6m_frequency_stddev") <= rules.stable.deviation), R.STABLE, F.format_string("已持续%d个月，近6个月活跃%d个月，累计频率%.2f", "age_months", "recent_6m_active_months", "cumulative_skill_frequency")),
+        ((c("age_months") >= rules.stable.age) & (c("cumulative_skill_count") >= rules.sparse.mentions) & (c("cumulative_skill_frequency") >= rules.sparse.cumulative) & (c("current_monthly_skill_frequency") >= rules.sparse.frequency) & (c("recent_3m_skill_count") >= rules.sparse.recent), R.STABLE, F.format_string("岗位样本较稀疏，但该技能长期累计高频，且观察月频率%.2f", "current_monthly_skill_frequency")),
+        (((c("recent_3m_active_months") >= rules.active.months) & (c("current_monthly_skill_frequency") >= rules.active.frequency)) | (c("recent_3m_skill_count") >= rules.active.recent), R.ACTIVE, F.format_string("最近3个月活跃%d个月，最近3个月出现%d次", "recent_3m_active_months", "recent_3m_skill_count")),
     ]
     status, reason = F.lit(R.WATCHED), F.format_string("当前证据不足，最近3个月出现%d次，累计出现%d次", "recent_3m_skill_count", "cumulative_skill_count")
     for holds, name, text in reversed(cases):
@@ -148,10 +148,10 @@ def annual_lifecycle(frequency: DataFrame, as_of: str | None = None, rules: R.An
     ).where("first_seen_month IS NOT NULL")
     c = F.col
     status = (
-        F.when((c("active_cycles") >= rules.stable_min_cycles) & (c("current_skill_count") > 0) & (c("cumulative_skill_frequency") >= rules.stable_min_cumulative_frequency), R.STABLE)
+        F.when((c("active_cycles") >= rules.stable_cycles) & (c("current_skill_count") > 0) & (c("cumulative_skill_frequency") >= rules.stable_cumulative), R.STABLE)
         .when((c("first_seen_month") == c("as_of")) & (c("current_skill_count") > 0), R.EMERGING)
         .when(c("current_skill_count") > 0, R.ACTIVE)
-        .when((c("cycles_since_last_seen") >= rules.abandoned_min_missing_cycles) & (c("cumulative_skill_count") >= rules.abandoned_min_cumulative_count), R.ABANDONED)
+        .when((c("cycles_since_last_seen") >= rules.silent_cycles) & (c("cumulative_skill_count") >= rules.abandoned_mentions), R.ABANDONED)
         .when((c("cycles_since_last_seen") >= 1) & (c("prior_max_frequency") > 0), R.DECLINING)
         .otherwise(R.WATCHED)
     )

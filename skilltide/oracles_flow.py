@@ -80,7 +80,7 @@ c AS (SELECT standard_job, s AS skill, count(*) AS n FROM e JOIN dic ON contains
     "government_raw_events": f"WITH {GOVERNMENT} SELECT 'unprocessed' AS route_status, 'published' AS event_time_type, 'annual_recruitment_cycle' AS source_time_granularity, substr(day, 1, 7) AS month, count(*) AS n FROM src GROUP BY ALL",
     "title_audit": "SELECT count(*) AS n_rows, count(DISTINCT p_name) AS n_titles, count(DISTINCT p_name) FILTER (regexp_matches(p_name, '^(red|blue) ')) AS n_changed FROM part",
     "csv_round_trip": O.freq(False) + "\nSELECT * FROM freq",
-    "text_ratios": O.freq(False) + "\nSELECT standard_job, skill, month, printf('%.4f', monthly_skill_frequency) AS monthly_skill_frequency FROM freq",
+    "text_ratios": O.freq(False) + "\nSELECT standard_job, skill, month, round(monthly_skill_frequency::DECIMAL(18, 6), 4)::DECIMAL(18, 4)::VARCHAR AS monthly_skill_frequency FROM freq",
     "json_lines_round_trip": O.base(True, O.COUNTS, O._calendar(), O.DEMAND) + "\nSELECT standard_job, standard_category, month, month_index, monthly_jd_count, cumulative_jd_count, is_active_month FROM demand",
     "events_from_csv": O.base(False) + "\nSELECT * FROM said",
     "cache_of_last_entries": "SELECT l_orderkey AS key, l_linenumber AS n, l_returnflag AS said FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1",

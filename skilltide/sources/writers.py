@@ -29,8 +29,8 @@ def write_text_ratios(df: DataFrame, path: str, columns: list[str], places: int
 
 
 def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Overwrites; with by, files are laid out in folders by its values, and rows of a folder meet in one task."""
-    writer = (df.repartition(*by) if by else df).write.mode("overwrite")
+    """Overwrites; with by, files are laid out in folders by its values, and rows of a folder meet in few tasks, large folders in several."""
+    writer = (df.hint("rebalance", *by) if by else df).write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators.frequency import monthly_frequency, valid_events
@@ -20,7 +21,10 @@ ACCEPTED = "existing_job"
 
 
 class EventStore:
-    """Events by batch and, by job, the frequencies derived from them, in one folder."""
+    """Events by batch and job and, by job, the frequencies derived from them, in one folder.
+
+    What is known of a batch's jobs is read from their folders alone; of all others only the job_ids.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -30,7 +34,7 @@ class EventStore:
         path = f"{self.folder}/events"
         if not exists(self.spark, path):
             return schemas.empty(self.spark, schemas.EVENTS)
-        rows = self.spark.read.parquet(path)
+        rows = self.spark.read.schema(T.StructType([*schemas.EVENTS.fields, T.StructField("batch", T.IntegerType())])).parquet(path)
         return rows.where(F.col("batch") < before).drop("batch") if before is not None else rows.drop("batch")
 
     def frequency(self) -> DataFrame:
@@ -52,7 +56,7 @@ class EventStore:
         kept = schemas.conform(routed.where(F.col("route_status") == ACCEPTED), schemas.EVENTS)
         new = valid_events(kept).dropDuplicates(["job_id"]).join(self.events(number).select("job_id"), "job_id", "left_anti").select(*schemas.EVENTS.fieldNames())
         if write:
-            new.write.mode("overwrite").parquet(f"{self.folder}/events/batch={number}")
+            new.hint("rebalance", "standard_job").write.mode("overwrite").partitionBy("standard_job").parquet(f"{self.folder}/events/batch={number}")
             waiting = routed.where(F.coalesce(F.col("route_status") != ACCEPTED, F.lit(True)))
             if not waiting.isEmpty():
                 waiting.write.mode("overwrite").parquet(f"{self.folder}/queue/batch={number}")
@@ -60,7 +64,7 @@ class EventStore:
 
     def refresh(self, number: int) -> None:
         """Recomputes the frequencies of the jobs with events in a batch; their folders are replaced, others stay."""
-        new = self.spark.read.parquet(f"{self.folder}/events/batch={number}")
+        new = self.spark.read.schema(schemas.EVENTS).parquet(f"{self.folder}/events/batch={number}")
         touched = new.select("standard_job").distinct()
         rows = monthly_frequency(self.events().join(touched, "standard_job", "left_semi"))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("standard_job").parquet(f"{self.folder}/frequency")
