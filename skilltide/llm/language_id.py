@@ -126,8 +126,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE, each: int = WINDOWS) -> Byt
     labelled = labelled.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text <> '' AND doc_id IS NOT NULL")
     # about twice the sample by a share of the hash, so that no more than that is ranked of a language
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40)
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    some = labelled.join(counts, "lang").where(place * F.col("n") <= 2 * sample).select("doc_id", "text", "lang")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each output of the network, which the driver fits and all workers hold
+    some = labelled.join(F.broadcast(counts), "lang").where(place * F.col("n") <= 2 * sample).select("doc_id", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
