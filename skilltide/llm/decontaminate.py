@@ -172,10 +172,12 @@ def occurrences(found, prefixes: Prefixes) -> tuple[np.ndarray, np.ndarray]:
     for n, (lookup, start, row, offset) in prefixes.lookups.items():
         at, key = lookup.find(shingles(found.hashes, n))
         many = start[key + 1] - start[key]
-        for a in range(0, len(at), STEP):
-            m = many[a : a + STEP]
-            each = np.repeat(start[key[a : a + STEP]] - np.cumsum(m) + m, m) + np.arange(m.sum())
-            w, s = row[each], np.repeat(at[a : a + STEP], m) - offset[each]
+        before = np.cumsum(many) - many
+        cuts = np.append(np.flatnonzero(np.diff(before // STEP, prepend=-1)), len(at))  # a place has no more candidates than there are windows
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            m = many[a:b]
+            each = np.repeat(start[key[a:b]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            w, s = row[each], np.repeat(at[a:b], m) - offset[each]
             last = s + block.size[w] - 1
             fits = (s >= 0) & (last < n_words)
             w, s, last = w[fits], s[fits], last[fits]

@@ -133,6 +133,23 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, block):
     assert decontaminate.contamination(docs(spark, []), bench).count() == 0
 
 
+def test_decontamination_of_repeated_rows_and_clashing_columns(spark):
+    said = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, said, "x"), (1, said, "x"), (None, said, "y"), (2, "", "z")], "item_id long, text string, words string")
+    rows = docs(spark, [(1, said), (1, said), (None, said), (2, None)]).selectExpr("*", "7 AS n_words", "'s' AS spans", "8 AS items", "9 AS n_hit", "10 AS w")
+    found = decontaminate.contamination(rows, bench)
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r["items"], r.w) for r in found.collect())
+    assert got == [(0, 20, 20, ["1"], 10), (1, 20, 20, ["1"], 10), (1, 20, 20, ["1"], 10), (2, 0, 0, [], 10)]
+
+
+def test_decontamination_takes_many_candidates_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "STEP", 3)
+    items = [(i, " ".join(["same"] * 13)) for i in range(2)] + [(5, " ".join(["same"] * 12 + ["end"]))]
+    texts = [(1, " ".join(["same"] * 40 + ["end"])), (2, "same same")]
+    found = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontaminate.contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == brute_items(texts, items)
+
+
 def brute_components(rows, size, threshold):
     sets = {}
     for i, t in rows:
