@@ -52,7 +52,7 @@ def pair_windows(frequency: DataFrame, as_of: DataFrame) -> DataFrame:
     windows are sums by distance to the as-of month. The deviation over the last six months
     counts the months since the pair's first row, in millionths and integers, so that it is exact.
     """
-    rows = frequency.join(F.broadcast(as_of), "standard_job").withColumn("away", month_number(F.col("as_of")) - month_number(F.col("month"))).where("away >= 0")
+    rows = frequency.join(as_of, "standard_job").withColumn("away", month_number(F.col("as_of")) - month_number(F.col("month"))).where("away >= 0")
     n, away = F.col("monthly_skill_count"), F.col("away")
     within = lambda low, high, value: F.coalesce(F.sum(F.when(away.between(low, high), value)), F.lit(0)).cast("long")
     seen = F.when(n > 0, F.col("month"))

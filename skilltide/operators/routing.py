@@ -158,6 +158,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
+def gram_scores(titles: DataFrame, jobs: DataFrame, size: int = 2) -> DataFrame:
+    """job_id, name, category and score of the jobs whose names share a run of size signs with a title, case aside.
+
+    titles: job_id, title; jobs: name, category. The score is the cosine of the counts of runs; a
+    text shorter than size is one run. It stands in where no vectors are at hand, and whatever
+    gives the same columns can take its place. Pairs that share nothing have no row.
+    """
+    def counted(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+        text = F.lower(clean_text(F.col(column)))
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - size + 1)), lambda i: F.substr(text, i, F.lit(size)))
+        rows = df.where(text != "").select(*keys, F.explode(runs).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("n"))
+        whole = rows.groupBy(*keys).agg(F.sum(F.col("n") * F.col("n")).alias("square"))
+        return rows.join(whole, keys)
+
+    a = counted(titles, ["job_id"], "title").withColumnsRenamed({"n": "n1", "square": "s1"})
+    b = counted(jobs, ["name", "category"], "name").withColumnsRenamed({"n": "n2", "square": "s2"})
+    met = a.join(b, "gram").groupBy("job_id", "name", "category", "s1", "s2").agg(F.sum(F.col("n1") * F.col("n2")).alias("dot"))
+    return met.select("job_id", "name", "category", (F.col("dot") / F.sqrt((F.col("s1") * F.col("s2")).cast("double"))).alias("score"))
+
+
 def category_scores(candidates: DataFrame, top: int = 3) -> DataFrame:
     """job_id, category, score and the names of its top candidates; a category scores as its best job."""
     return candidates.groupBy("job_id", "category").agg(F.max("score").alias("score"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "name"))), 1, top), lambda x: x["name"]), "; ").alias("top_jobs"))

@@ -58,6 +58,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, e DE
 SELECT job_id, category AS top1_standard_category, name AS top1_standard_job, round(score, 6) AS top1_score, name2 AS top2_standard_job, coalesce(round(score2, 6), 0.0) AS top2_score, round(margin, 6) AS top1_margin, CASE WHEN e THEN name ELSE '' END AS top1_keyword_evidence,
 CASE WHEN score < 0.45::DOUBLE THEN 'needs_human_review' ELSE 'needs_llm_adjudication' END AS route_status, CASE WHEN score < 0.45::DOUBLE THEN 'top1 text2vec score below candidate floor 0.45' WHEN NOT e THEN 'semantic candidate has no exact government dictionary keyword evidence'
 WHEN margin < 0.05::DOUBLE THEN 'top1/top2 semantic margin is below 0.05' ELSE 'government routes require LLM adjudication before formal event assignment' END AS route_reason, '' AS selected_standard_category, '' AS selected_standard_job FROM p""",
+    "title_similarity": O.base(True)
+    + """, t AS (SELECT DISTINCT p_brand AS k, '' AS c, replace(lower(p_brand), '#', '_') AS t FROM part), j AS (SELECT standard_job AS k, standard_category AS c, lower(standard_job) AS t FROM tax),
+g1 AS (SELECT k, c, substr(t, i, 2) AS g, count(*) AS n FROM (SELECT k, c, t, unnest(generate_series(1, length(t) - 1)) AS i FROM t) GROUP BY ALL), g2 AS (SELECT k, c, substr(t, i, 2) AS g, count(*) AS n FROM (SELECT k, c, t, unnest(generate_series(1, length(t) - 1)) AS i FROM j) GROUP BY ALL),
+s1 AS (SELECT k, sum(n * n)::BIGINT AS s FROM g1 GROUP BY k), s2 AS (SELECT k, sum(n * n)::BIGINT AS s FROM g2 GROUP BY k)
+SELECT g1.k AS job_id, g2.k AS name, g2.c AS category, round(sum(g1.n * g2.n)::DOUBLE / sqrt((any_value(s1.s) * any_value(s2.s))::DOUBLE), 6) AS score FROM g1 JOIN g2 ON g1.g = g2.g JOIN s1 ON s1.k = g1.k JOIN s2 ON s2.k = g2.k GROUP BY g1.k, g2.k, g2.c""",
     "judged_routes": f"""WITH {O.COSINE}, c AS (SELECT job_id, name, score, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, name) AS n FROM cos)
 SELECT job_id, CASE WHEN round(score, 4) > 0.2::DOUBLE THEN 'existing_job' ELSE 'potential_new_job' END AS decision_status, CASE WHEN round(score, 4) > 0.2::DOUBLE THEN name ELSE '' END AS decision_job, 1.0::DOUBLE AS decision_confidence FROM c WHERE n = 2""",
     "compared_months": O.profiles(f"SELECT {O.RANK_COLUMNS}, (row_number() OVER (PARTITION BY change_type ORDER BY abs(frequency_delta) DESC, to_monthly_skill_frequency DESC, from_monthly_skill_frequency DESC, standard_job, skill))::INT AS place FROM diffs WHERE standard_job = 'BUILDING' AND from_month = '1996-01' AND to_month = '1997-01'"),

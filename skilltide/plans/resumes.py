@@ -13,9 +13,8 @@ def synthetic_resumes(feed: DataFrame, per_job: int, seed: int = 42, coverage: f
     A résumé holds a share (coverage) of its job's feed and, as a share (overlap) of that, skills of
     the other jobs. Which ones is decided by hashes of seed, résumé and skill; feed: profile_feed().
     """
-    spark = feed.sparkSession
     jobs = feed.select("standard_job").distinct()
-    resumes = jobs.join(F.broadcast(spark.range(per_job).withColumnRenamed("id", "number"))).withColumn("resume_id", F.concat("standard_job", F.lit("-"), F.lpad(F.col("number").cast("string"), 6, "0")))
+    resumes = jobs.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(per_job - 1)))).withColumn("resume_id", F.concat("standard_job", F.lit("-"), F.lpad(F.col("number").cast("string"), 6, "0")))
     own = resumes.join(feed.select("standard_job", "skill"), "standard_job")
     draw = F.pmod(F.xxhash64(F.lit(seed), "resume_id", "skill"), F.lit(1_000_000)) / F.lit(1_000_000)
     order = Window.partitionBy("resume_id").orderBy(draw, "skill")
@@ -23,10 +22,10 @@ def synthetic_resumes(feed: DataFrame, per_job: int, seed: int = 42, coverage: f
     kept = own.withColumns({"place": F.row_number().over(order), "size": size}).where(F.col("place") <= F.ceil(F.col("size") * coverage))
     # skills of other jobs: each résumé draws places in the list of all skills, as many as it needs
     listed = feed.select("skill").distinct().withColumn("place", F.row_number().over(Window.orderBy("skill")) - 1)  # a dictionary's size
-    total = F.broadcast(listed.agg(F.count("*").alias("total")))
+    total = F.broadcast(listed.agg(F.count("*").alias("total")))  # one row
     need = kept.groupBy("resume_id", "standard_job").agg(F.ceil(F.count("*") * overlap).cast("int").alias("need")).where("need > 0")
     picks = need.join(total).select("resume_id", "standard_job", F.explode(F.sequence(F.lit(1), F.col("need"))).alias("i"), "total")
     picks = picks.withColumn("place", F.pmod(F.xxhash64(F.lit(seed + 1), "resume_id", "i"), F.col("total")))
-    other = picks.join(F.broadcast(listed), "place").select("resume_id", "standard_job", "skill").join(feed.select("standard_job", "skill"), ["standard_job", "skill"], "left_anti")
+    other = picks.join(listed, "place").select("resume_id", "standard_job", "skill").join(feed.select("standard_job", "skill"), ["standard_job", "skill"], "left_anti")
     all_skills = kept.select("resume_id", "standard_job", "skill", F.lit(1).alias("own")).unionByName(other.distinct().withColumn("own", F.lit(0)))
     return all_skills.groupBy("resume_id", "standard_job").agg(F.array_sort(F.collect_list("skill")).alias("skills"), F.sum("own").alias("n_own"), F.sum(1 - F.col("own")).alias("n_other"))

@@ -114,6 +114,14 @@ def government_route_review(spark, sf):
     return out.drop("cleaned_job_title", "routing_text", "top_jobs_json", "top_categories_json")
 
 
+@query
+def title_similarity(spark, sf):
+    """Distinct titles of parts against the nations' and regions' names as jobs."""
+    titles = testdata.table(spark, sf, "part").select(F.col("p_brand").alias("job_id"), F.lower(F.regexp_replace("p_brand", "#", "_")).alias("title")).distinct()
+    jobs = testdata.taxonomy(spark, sf, True).select(F.col("standard_job").alias("name"), F.col("standard_category").alias("category"))
+    return routing.gram_scores(titles, jobs).select("job_id", "name", "category", F.round("score", 6).alias("score"))
+
+
 @query
 def judged_routes(spark, sf):
     """The ladder with a judge that takes the second candidate of every posting, sometimes one that is none."""

@@ -51,7 +51,7 @@ def families(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFram
 def universe(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
     """standard_job, skill, kg_display_skill and skill_stage of all jobs and skills."""
     skills = families(spark, sf_dir, sparse).select(F.col("normalized_skill").alias("skill"), "kg_display_skill", F.col("skill_type").alias("skill_stage"))
-    return taxonomy(spark, sf_dir, sparse).select("standard_job").join(F.broadcast(skills))  # two dictionaries
+    return taxonomy(spark, sf_dir, sparse).select("standard_job").join(skills)  # two dictionaries, of which the universe is the product
 
 
 def postings_text(spark: SparkSession, sf_dir: str) -> DataFrame:
