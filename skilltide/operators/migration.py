@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import month_number
-from ..sources.shared import stored
 from .lifecycle import pool_lookup
 
 
@@ -89,10 +88,9 @@ def _interpretation(kind: Column) -> tuple[Column, Column]:
 def migration(frequency: DataFrame, pool: DataFrame | None = None, mentions: int = 2) -> DataFrame:
     """One row for each skill: first and spread jobs, plain and confirmed, peak, totals and confidence."""
     start = frequency.agg(F.min("month").alias("data_start_month"))  # one row
-    upto = Window.partitionBy("skill", "standard_job").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
-    seen = active(frequency).select("skill", "standard_job", "month", "monthly_skill_count").withColumn("run", F.sum("monthly_skill_count").over(upto))
-    pairs = seen.groupBy("skill", "standard_job").agg(F.min("month").alias("first"), F.min(F.when(F.col("run") >= max(1, mentions), F.col("month"))).alias("sure"), F.sum("monthly_skill_count").alias("n"))
-    pairs = stored(pairs, "pairs")  # a row for each skill and job
+    seen = active(frequency).select("skill", "standard_job", "month", "monthly_skill_count", "cumulative_skill_count")
+    sure = F.min(F.when(F.col("cumulative_skill_count") >= max(1, mentions), F.col("month")))  # mentions in all, as the table has them
+    pairs = seen.groupBy("skill", "standard_job").agg(F.min("month").alias("first"), sure.alias("sure"), F.sum("monthly_skill_count").alias("n"))
     months = seen.groupBy("skill", "month").agg(F.count("*").alias("covered"))  # a pair has a row for each of its months
     wide = months.groupBy("skill").agg(F.max("month").alias("latest_seen_month"), F.max_by("covered", "month").alias("latest_covered_job_count"), F.max(F.struct("covered", "month")).alias("peak"))
     wide = wide.select("*", F.col("peak.covered").alias("peak_monthly_covered_job_count"), F.col("peak.month").alias("peak_monthly_covered_job_month")).drop("peak")
@@ -109,18 +107,12 @@ def migration(frequency: DataFrame, pool: DataFrame | None = None, mentions: int
 
 def spread(frequency: DataFrame, pool: DataFrame | None = None) -> DataFrame:
     """One row for each skill, job and month: changes against the row before, coverage and first flags."""
-    start = frequency.agg(F.min("month").alias("data_start_month"))  # one row
+    start = frequency.agg(F.min("month").alias("data_start_month"))
     order = Window.partitionBy("skill", "standard_job").orderBy("month")
-    whole = Window.partitionBy("skill", "standard_job")
     change = lambda c: F.col(c) - F.lag(c, 1, 0.0).over(order)
-    first = F.min(F.when(F.col("monthly_skill_count") > 0, F.col("month"))).over(whole)
-    rows = frequency.withColumns({"monthly_frequency_change": change("monthly_skill_frequency"), "cumulative_frequency_change": change("cumulative_skill_frequency"), "job_first_seen_month": first})
-    # by skill and month: jobs that have it, and jobs that have it for the first time
-    months = active(rows).groupBy("skill", "month").agg(F.count("*").alias("covered_job_count_this_month"), F.count_if(F.col("month") == F.col("job_first_seen_month")).alias("_new"))
-    by_skill = Window.partitionBy("skill").orderBy("month")
-    months = months.withColumns({"cumulative_covered_job_count": F.sum("_new").over(by_skill), "skill_first_seen_month": F.min("month").over(Window.partitionBy("skill"))}).drop("_new")
-    firsts = months.groupBy("skill").agg(F.min("skill_first_seen_month").alias("skill_first_seen_month"))
-    rows = rows.join(months.drop("skill_first_seen_month"), ["skill", "month"], "left").join(firsts, "skill", "left").join(F.broadcast(start))
+    rows = frequency.withColumns({"monthly_frequency_change": change("monthly_skill_frequency"), "cumulative_frequency_change": change("cumulative_skill_frequency")})
+    rows = rows.join(skill_job_first_month(frequency), ["skill", "standard_job"], "left").join(skill_first_month(frequency), "skill", "left")
+    rows = rows.join(monthly_coverage(frequency), ["skill", "month"], "left").join(cumulative_coverage(frequency), ["skill", "month"], "left").join(F.broadcast(start))
     flag = lambda c: F.when(c, "1").otherwise("0")
     zero = F.lit(0).cast("long")
     out = rows.withColumns(
