@@ -10,6 +10,7 @@ from .html_text import op8_html_text
 from .jaccard_join import op5_jaccard_join
 from .language_id import op9_language_id
 from .oracles import ORACLE_SQL
+from .spelling import op11_spelling_variants
 from .suffix_dedup import op2_suffix_dedup
 from .token_counts import op10_token_counts
 from .token_files import op4_token_files
@@ -27,6 +28,7 @@ QUERIES = {
         op8_html_text,
         op9_language_id,
         op10_token_counts,
+        op11_spelling_variants,
     )
 }
 __all__ = ["ORACLE_SQL", "QUERIES"]
