@@ -43,4 +43,32 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = d.doc_id
 """
 
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op5_jaccard_join": OP5_SQL}
+#: crc32 byte by byte over the UTF-8 of `<doc_id>:<run>`; its signs are at most U+00FF. Two words are one replaced sign apart if they
+#: lose the same sign's place and are then equal, one inserted or deleted sign if one of them is the other without a sign.
+OP11_SQL = rf"""
+WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS c FROM range(256) r(i))),
+runs AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY ALL),
+bytes AS (SELECT doc_id, run, k, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 + ord(c) // 64, 128 + ord(c) % 64] END)) AS b FROM runs),
+hashed AS (SELECT run, k, xor(list_reduce(b, lambda h, x: xor(t[(xor(h, x) & 255) + 1], h >> 8), 4294967295::BIGINT), 4294967295) AS h FROM bytes, t),
+said AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM said WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+less AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM v)),
+near AS (SELECT a.word, a.n, b.word AS u, b.n AS m FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN v b ON a.rest = b.word UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN v b ON a.rest = b.word),
+best AS (SELECT word, any_value(n) AS n, count(*) AS n_near, max(m) AS m, min(u) FILTER (m = most) AS u FROM (SELECT *, max(m) OVER (PARTITION BY word) AS most FROM near) GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN u END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT walk.word, walk.next, f.form FROM walk JOIN f ON f.word = walk.next)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN walk ON walk.word = f.word AND walk.next IS NULL
+"""
+
+OP13_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT * FROM r WHERE vec_id % 100 = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score FROM a JOIN r ON r.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+"""
+
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op11_spelling_variants": OP11_SQL, "op13_hard_negatives": OP13_SQL}
