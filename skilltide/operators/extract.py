@@ -3,22 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import clamp, clean_text, number, split_sentences
+from .keywords import by_block, union
 from .pool import first_alias
-from .routing import head_candidates, small
 
 #: Text fields of a job in the order in which they are read; the title is one sentence. Fixed names.
 FIELDS = ("job_title", "job_description", "requirements", "qualification", "responsibility")
-#: Keywords up to which a dictionary is broadcast; a larger one is joined by the heads of its keywords, with the same results.
-BROADCAST = 50_000
 
 #: What makes a broad phrase technical, and phrases that are broad.
 ACTIONS = ("开发", "设计", "实现", "搭建", "构建", "训练", "推理", "部署", "调优", "优化", "治理", "测试", "运维", "分析", "建模", "编排", "集成", "研发", "工程化")
@@ -45,87 +42,94 @@ def sentence_units(jobs: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def _pattern(keyword: str) -> re.Pattern[str] | None:
-    if re.fullmatch(r"[A-Za-z0-9_+#. /-]+", keyword):
+    if re.fullmatch(r"[A-Za-z0-9_+#. /-]+", keyword):  # fixed value: the signs that must not stand beside such a keyword
         return re.compile(rf"(?<![A-Za-z0-9_+#.-]){re.escape(keyword)}(?![A-Za-z0-9_+#.-])", re.IGNORECASE)
     return re.compile(re.escape(keyword), re.IGNORECASE) if len(keyword) > 1 else None
 
 
-def find_mentions(sentence: str, patterns: list[tuple[re.Pattern[str], int]], broad: set[int]) -> list[tuple[int, int, int]]:
-    """Start, end and entry of matches, in the order of patterns; a later one never overlaps an earlier."""
-    found: list[tuple[int, int, int]] = []
-    for pattern, entry in patterns:
-        for m in pattern.finditer(sentence):
-            a, b = m.span()
-            if any(a < end and start < b for start, end, _ in found):
-                continue
-            if entry in broad and not (any(w in sentence[max(0, a - 18) : b + 18] for w in ACTIONS) or re.search(r"[A-Za-z0-9+#.]", m[0])):
-                continue
-            found.append((a, b, entry))
-    return found
+class _Folded(dict):
+    """By sign: the sign that stands for all that a pattern takes for it where case is ignored. Lengths stay as they are."""
+
+    def __missing__(self, c: int) -> str:
+        x = chr(c)
+        self[c] = out = next((y for y in ("i" if x in "\u0130\u0131" else x.casefold(), x.lower()) if len(y) == 1), x)
+        return out
+
+
+_folded = _Folded()
+
+
+def fold_case(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(_folded)
 
 
 class Matcher:
-    """Dictionary entries that may occur in a text, found by one automaton over lower-case keywords, longest keywords first."""
+    """Patterns of a block of dictionary entries, and an automaton that tells where they can match."""
 
-    def __init__(self, entries: list[tuple[str, ...]]) -> None:
-        entries = sorted(entries, key=lambda e: (len(e[0]), e[0].lower()), reverse=True)
+    def __init__(self, block: pa.Table) -> None:
+        entries = zip(*(block[c].to_pylist() for c in ENTRY), strict=True)
         self.entries = [e for e in entries if _pattern(e[0]) is not None]
         self.patterns = [_pattern(e[0]) for e in self.entries]
         self.broad = {i for i, e in enumerate(self.entries) if any(re.search(p, e[0]) for p in BROAD)}
-        self.automaton = ahocorasick.Automaton()
+        by_word: dict[str, list[int]] = {}
         for i, e in enumerate(self.entries):
-            self.automaton.add_word(e[0].lower(), i)
-        if self.entries:
+            by_word.setdefault(fold_case(e[0]), []).append(i)
+        self.automaton = ahocorasick.Automaton()
+        for word, own in by_word.items():
+            self.automaton.add_word(word, (len(word), own))
+        if by_word:
             self.automaton.make_automaton()
 
-    def near(self, text: str) -> list[tuple[re.Pattern[str], int]]:
-        found = {i for _, i in self.automaton.iter(text.lower())} if self.entries else set()
-        return [(self.patterns[i], i) for i in sorted(found)]
+    def places(self, text: str) -> list[tuple[int, int, int]]:
+        """Start, end and entry of all matches; those of one entry do not overlap each other."""
+        out, after = [], {}
+        for last, (size, own) in self.automaton.iter(fold_case(text)) if text and self.entries else ():
+            a = last + 1 - size
+            for i in own:
+                if a >= after.get(i, 0) and self.patterns[i].match(text, a):
+                    after[i] = last + 1
+                    out.append((a, last + 1, i))
+        return out
+
+    def technical(self, text: str, a: int, b: int, i: int) -> bool:
+        """Whether a match counts: one of a broad phrase needs an action near it, or a technical sign."""
+        return i not in self.broad or any(w in text[max(0, a - 18) : b + 18] for w in ACTIONS) or re.search(r"[A-Za-z0-9+#.]", text[a:b]) is not None
 
-    def mentions(self, sentence: str) -> list[tuple[int, int, tuple[str, ...]]]:
-        return [(a, b, self.entries[i]) for a, b, i in find_mentions(sentence, self.near(sentence), self.broad)]
+    def mentions(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """text and its matches, of texts that have any."""
+        texts, rows = [], []
+        for text in batch.column("text").to_pylist():
+            if own := [(a, b, i) for a, b, i in self.places(text) if self.technical(text, a, b, i)]:
+                texts.append(text)
+                rows.append([{"span_start": a, "span_end": b, "name": self.entries[i][0].lower(), **dict(zip(ENTRY, self.entries[i], strict=True))} for a, b, i in own])
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(rows, _MATCHES)], names=["text", "found"])
 
-    def hits(self, text: str) -> list[str]:
-        """Keywords whose pattern is anywhere in the text, overlaps or not."""
-        return [self.entries[i][0] for p, i in self.near(text) if p.search(text)]
+    def hits(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """text and hit: the keywords that match anywhere in it, each once."""
+        rows = [(text, self.entries[i][0]) for text in batch.column("text").to_pylist() for i in sorted({i for _, _, i in self.places(text)})]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else ([], []))], names=["text", "hit"])
 
 
 ENTRY = ("skill_keyword", "normalized_skill", "kg_display_skill")
+_MATCH = "struct<span_start:int,span_end:int,name:string,skill_keyword:string,normalized_skill:string,kg_display_skill:string>"
+_MATCHES = pa.list_(pa.struct([("span_start", pa.int32()), ("span_end", pa.int32()), *((c, pa.string()) for c in ("name", *ENTRY))]))
 
 
 def _entries(dictionary: DataFrame) -> DataFrame:
     return first_alias(dictionary).select(*(clean_text(F.col(c)).alias(c) for c in ENTRY))
 
 
-def _with_entries(texts: DataFrame, entries: DataFrame) -> DataFrame:
-    """texts (text, distinct) with _near: the entries whose keyword a text contains, case aside."""
-    keyed = texts.select("text", F.sha2("text", 256).alias("_key"))
-    words = entries.select(F.lower("skill_keyword").alias("keyword"), F.struct(*ENTRY).alias("e"))
-    pairs = head_candidates(keyed.select("_key", F.lower("text").alias("text")), ["_key"], words.select("keyword"))
-    near = pairs.join(words, "keyword").groupBy("_key").agg(F.collect_list("e").alias("_near"))  # as many as the text contains
-    return keyed.join(near, "_key").drop("_key")
-
-
-def _matched(texts: DataFrame, dictionary: DataFrame, found, fields: str) -> DataFrame:
-    """text and what found(matcher, text) gives for each distinct text of texts (text)."""
-    entries, texts = _entries(dictionary), texts.where("text <> ''").select("text").distinct()
-    names = [f.split()[0] for f in fields.split(", ")]
-    if small(entries, BROADCAST):
-        shared = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in entries.collect()])
-        rows = texts.withColumn("_near", F.lit(None).cast("array<struct<skill_keyword:string,normalized_skill:string,kg_display_skill:string>>"))
-    else:
-        shared, rows = None, _with_entries(texts, entries)
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.where("text <> ''").select("text").distinct()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = Matcher(shared.value) if shared is not None else None
-        for frame in frames:
-            out = []
-            for text, near in zip(frame["text"], frame["_near"], strict=True):
-                matcher = whole or Matcher([tuple(e[c] for c in ENTRY) for e in near])
-                out += [(text, *x) for x in found(matcher, text)]
-            yield pd.DataFrame(out, columns=["text", *names])
 
-    return rows.mapInPandas(run, f"text string, {fields}")
+def greedy(found: Column) -> Column:
+    """Of matches those that stay: longer keywords come first, of equal length the larger, then the earlier place; none overlaps one before."""
+    size = lambda x: F.length(x["skill_keyword"])
+    before = lambda x, y: (size(x) > size(y)) | ((size(x) == size(y)) & ((x["name"] > y["name"]) | ((x["name"] == y["name"]) & (x["span_start"] < y["span_start"]))))
+    in_turn = F.array_sort(found, lambda x, y: F.when(before(x, y), -1).when(before(y, x), 1).otherwise(0))
+    overlap = lambda x, y: (x["span_start"] < y["span_end"]) & (y["span_start"] < x["span_end"])
+    return F.aggregate(in_turn, F.array().cast(f"array<{_MATCH}>"), lambda kept, x: F.when(F.exists(kept, lambda y: overlap(x, y)), kept).otherwise(F.array_append(kept, x)))
 
 
 def dictionary_mentions(units: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -134,7 +138,13 @@ def dictionary_mentions(units: DataFrame, dictionary: DataFrame) -> DataFrame:
     Longer keywords come first, of equal length the larger one, and a match never overlaps an
     earlier one. Of a keyword the dictionary's first entry counts. Each distinct text is searched once.
     """
-    found = _matched(units, dictionary, lambda m, t: [(t[a:b], a, b, *e) for a, b, e in m.mentions(t)], "span_text string, span_start int, span_end int, skill_keyword string, normalized_skill_candidate string, kg_display_skill_candidate string")
+    parts = by_block(_texts(units), _entries(dictionary), Matcher, Matcher.mentions, f"text string, found array<{_MATCH}>")
+    # a text has matches from several blocks only where there are several
+    whole = parts[0] if len(parts) == 1 else union(parts).groupBy("text").agg(F.flatten(F.collect_list("found")).alias("found"))
+    rows = whole.select("text", F.explode(greedy(F.col("found"))).alias("m"))
+    span = F.substring("text", F.col("m.span_start") + 1, F.col("m.span_end") - F.col("m.span_start"))
+    named = {"span_start": "span_start", "span_end": "span_end", "skill_keyword": "skill_keyword", "normalized_skill": "normalized_skill_candidate", "kg_display_skill": "kg_display_skill_candidate"}
+    found = rows.select("text", span.alias("span_text"), *(F.col(f"m.{c}").alias(name) for c, name in named.items()))
     fixed = {"skill_type": F.lit("required"), "confidence": F.lit(1.0), "reason": F.lit("dictionary_literal_match"), "match_method": F.lit("dictionary_literal"), "dictionary_skill_keyword": F.col("skill_keyword")}
     return units.join(found, "text").withColumns(fixed)
 
@@ -217,7 +227,7 @@ def alias_link(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
     out = mentions.withColumns({"_keyword": F.lower(clean_text(F.col("skill_keyword"))), "_span": F.lower(span), "_text": span})
     out = out.join(by("keyword"), "_keyword", "left").join(by("span"), "_span", "left")
     open_spans = out.where("w_keyword IS NULL AND w_span IS NULL").select(F.col("_text").alias("text"))
-    hits = _matched(open_spans, dictionary, lambda m, t: [(h,) for h in m.hits(t)], "hit string")
+    hits = union(by_block(_texts(open_spans), _entries(dictionary), Matcher, Matcher.hits, "text string, hit string"))
     only = hits.groupBy(F.col("text").alias("_text")).agg(F.count("*").alias("_n"), F.min(F.lower("hit")).alias("_hit")).where("_n = 1").drop("_n")
     out = out.join(only, "_text", "left").join(by("hit"), "_hit", "left")
     entry = F.coalesce("w_keyword", "w_span", "w_hit")

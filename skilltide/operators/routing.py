@@ -12,8 +12,9 @@ from pyspark.sql.window import Window
 
 from .. import rules as R
 from ..functions.text import clamp, clean_text, contains_all_groups, contains_any
+from .keywords import contained
 
-#: Rows up to which a side is broadcast; a larger one is joined in another way.
+#: Candidates in a block that is broadcast.
 SMALL = 20_000
 
 #: Families that a title can announce (name, terms, categories that cover it).
@@ -53,35 +54,12 @@ POTENTIAL_JOB_RULES = (
 )
 
 
-def small(df: DataFrame, limit: int = SMALL) -> bool:
-    """Whether df has at most limit rows; reads no more than one row beyond."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def head_candidates(texts: DataFrame, keys: list[str], words: DataFrame, size: int = 3) -> DataFrame:
-    """keys and keyword of the words (keyword, lower case, not empty) that a text (keys, text, lower case) contains.
-
-    An equi join of the first size signs of keywords with those of all places of the texts. Places
-    carry the keys alone; the texts come back to the pairs whose heads met.
-    """
-    short = words.withColumn("_size", F.least(F.length("keyword"), F.lit(size))).withColumn("_head", F.expr("substring(keyword, 1, _size)"))
-    heads = texts.select(*keys, "text", F.explode(F.sequence(F.lit(1), F.lit(size))).alias("_size"))
-    heads = heads.select(*keys, "_size", F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(1, length(text) - _size + 1)), i -> substring(text, i, _size))"))).alias("_head"))
-    return heads.join(short, ["_size", "_head"]).select(*keys, "keyword").join(texts, keys).where("instr(text, keyword) > 0").select(*keys, "keyword").distinct()
-
-
 def keyword_matches(postings: DataFrame, keywords: DataFrame, fields: dict[str, int]) -> DataFrame:
-    """job_id, standard_job, field and keyword of each keyword that a field contains, case aside.
-
-    SMALL keywords at most are broadcast; more are joined by their heads, with the same results.
-    """
+    """job_id, standard_job, field and keyword of each keyword that a field contains, case aside; see keywords.contained()."""
     names = list(fields)
     texts = postings.select("job_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.lower(clean_text(F.col(c))) for c in names)))).alias("field", "text"))
-    words = keywords.select("standard_job", F.lower(clean_text(F.col("keyword"))).alias("keyword")).where("keyword <> ''").distinct()
-    if small(words):
-        return texts.join(F.broadcast(words), F.expr("instr(text, keyword) > 0")).select("job_id", "standard_job", "field", "keyword")
-    found = head_candidates(texts, ["job_id", "field"], words.select("keyword").distinct())
-    return found.join(words, "keyword").select("job_id", "standard_job", "field", "keyword")
+    words = keywords.select("standard_job", F.lower(clean_text(F.col("keyword"))).alias("keyword")).distinct()
+    return contained(texts, words).select("job_id", "standard_job", "field", "keyword")
 
 
 def seed_scores(postings: DataFrame, keywords: DataFrame, priorities: DataFrame, rules: R.SeedRules = R.SeedRules()) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from ..functions.text import clean_text, first_filled, stable_id, strip_rank_suffix, year_of
 from ..operators import frequency, lifecycle, migration, pool, profile
 from ..operators.pool import first_alias
-from ..operators.routing import head_candidates, seed_assignment
+from ..operators.keywords import contained
+from ..operators.routing import seed_assignment
 from ..schemas import require
 from ..sources.readers import parse_json
 
@@ -107,8 +108,7 @@ def seed_skills(postings: DataFrame, dictionary: DataFrame) -> DataFrame:
     """job_id and normalized_skill of the dictionary's keywords that a posting's texts contain, as plain substrings, case aside."""
     texts = postings.select("job_id", F.lower(clean_text(F.concat_ws(" ", "job_title", "job_responsibility", "job_requirement"))).alias("text"))
     words = first_alias(dictionary).select(F.lower(clean_text(F.col("skill_keyword"))).alias("keyword"), clean_text(F.col("normalized_skill")).alias("normalized_skill")).where("normalized_skill <> ''")
-    found = head_candidates(texts, ["job_id"], words.select("keyword"))
-    return found.join(words, "keyword").select("job_id", "normalized_skill").distinct()
+    return contained(texts, words).select("job_id", "normalized_skill").distinct()
 
 
 def ingest_history(postings: DataFrame, assignments: DataFrame, stored_ids: DataFrame) -> DataFrame:

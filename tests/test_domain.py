@@ -6,7 +6,7 @@ import pytest
 
 from skilltide import rules as R
 from skilltide.functions import text as T
-from skilltide.operators import compare, extract, frequency, lifecycle, migration, pool, profile, routing
+from skilltide.operators import compare, extract, frequency, keywords, lifecycle, migration, pool, profile, routing
 from skilltide.plans import government, reviews, serving
 from pyspark.sql import functions as F
 
@@ -119,7 +119,7 @@ def test_many_keywords_give_the_same_matches(spark, monkeypatch):
     words = spark.createDataFrame([("D", "data"), ("D", "SQL"), ("A", "ai"), ("A", "x")], "standard_job string, keyword string")
     fields = {"job_title": 6, "job_responsibility": 5, "job_requirement": 1}
     few = sorted(map(tuple, routing.keyword_matches(posts, words, fields).collect()))
-    monkeypatch.setattr(routing, "small", lambda df: False)
+    monkeypatch.setattr(keywords, "BLOCK", 1)
     assert few == sorted(map(tuple, routing.keyword_matches(posts, words, fields).collect())) and len(few) == 3
 
 
@@ -128,7 +128,7 @@ def test_matcher_is_greedy_and_keeps_word_edges(spark, monkeypatch):
     dic = spark.createDataFrame([("java", "Java", "lang"), ("Spring", "Spring", "fw"), ("spring boot", "Spring Boot", "fw"), ("js", "JS", "lang")], "skill_keyword string, normalized_skill string, kg_display_skill string")
     found = sorted(map(tuple, extract.dictionary_mentions(units, dic).select("job_id", "span_text", "span_start", "normalized_skill_candidate").collect()))
     assert found == [("1", "Java", 0, "Java"), ("1", "Spring Boot", 21, "Spring Boot")]
-    monkeypatch.setattr(extract, "BROADCAST", 1)  # joined by heads
+    monkeypatch.setattr(keywords, "BLOCK", 1)  # blocks of one keyword
     assert found == sorted(map(tuple, extract.dictionary_mentions(units, dic).select("job_id", "span_text", "span_start", "normalized_skill_candidate").collect()))
     assert extract.dictionary_mentions(units.where("false"), dic).count() == 0 and extract.dictionary_mentions(units, dic.where("false")).count() == 0
 
