@@ -1,22 +1,16 @@
-"""Writing tables: overwrite, append, keyed upsert, replacing keys, reports and a review queue.
-
-Parquet has no rows to update in place, so an upsert reads the table, keeps the latest row of each
-key and writes a new version beside it; a pointer table row per version makes the switch. Readers
-of an older version are not disturbed, and a job that fails leaves the table as it was.
-"""
+"""Writing tables: overwrite, append, reports and a review queue; tables.py has keyed upserts."""
 
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .. import schemas
-from .readers import exists, read_cache, read_optional_csv
+from .readers import read_cache, read_optional_csv
+from .tables import VersionedTable
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -98,58 +92,6 @@ def compact_cache(spark: SparkSession, path: str, schema: T.StructType, key: str
     write_json_lines(read_cache(spark, path, schema, key, order).orderBy(key), target)
 
 
-class VersionedTable:
-    """A table as a folder of versions, of which the newest that is complete counts."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> None:
-        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
-
-    def _versions(self) -> list[tuple[int, str]]:
-        if not exists(self.spark, self.path):
-            return []
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        found = [s.getPath() for s in fs.listStatus(at) if s.isDirectory()]
-        complete = [p for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted((int(p.getName().split("-")[0]), p.toString()) for p in complete)
-
-    def read(self) -> DataFrame:
-        versions = self._versions()
-        return schemas.conform(self.spark.read.parquet(versions[-1][1]), self.schema) if versions else schemas.empty(self.spark, self.schema)
-
-    def overwrite(self, df: DataFrame) -> None:
-        versions = self._versions()
-        n = versions[-1][0] + 1 if versions else 1
-        schemas.conform(df, self.schema).write.parquet(f"{self.path}/{n:012d}-{uuid.uuid4().hex}")
-
-    def upsert(self, new: DataFrame, order: str) -> None:
-        """Rows of new take the place of those with their keys; of rows with equal keys the largest in order stays."""
-        both = self.read().withColumn("_new", F.lit(0)).unionByName(schemas.conform(new, self.schema).withColumn("_new", F.lit(1)))
-        rank = F.row_number().over(Window.partitionBy(*self.keys).orderBy(F.desc("_new"), F.desc(order)))
-        self.overwrite(both.withColumn("_n", rank).where("_n = 1"))
-
-    def insert(self, new: DataFrame) -> None:
-        """Rows of new whose keys are not there yet."""
-        self.overwrite(self.read().unionByName(schemas.conform(new, self.schema).dropDuplicates(self.keys).join(self.read().select(*self.keys), self.keys, "left_anti")))
-
-    def replace(self, new: DataFrame, by: list[str]) -> None:
-        """All rows of the values of by that occur in new are replaced by those of new."""
-        kept = self.read().join(new.select(*by).distinct(), by, "left_anti")
-        self.overwrite(kept.unionByName(schemas.conform(new, self.schema)))
-
-    def next_value(self, column: str) -> int:
-        top = self.read().agg(F.max(F.col(column).cast("long"))).first()[0]
-        return 0 if top is None else top + 1
-
-    def prune(self, keep: int = 2) -> None:
-        """Deletes all but the newest versions."""
-        jvm = self.spark.sparkContext._jvm
-        for _, path in self._versions()[:-keep]:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def review_queue(spark: SparkSession, path: str) -> VersionedTable:
     return VersionedTable(spark, path, schemas.REVIEW_QUEUE, ["review_id"])
 
