@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from .common import shared_dir, staged, table, tidy
 
 #: Vectors that the upper tree is fitted on, in a cell of theirs at least, in a leaf of a unit.
-SAMPLE, FEWEST, LEAF = 20_000, 8, 64
+SAMPLE, FEWEST, LEAF = 20_000, 8, 256
 #: Vectors in a unit, searches in a block, units that one block meets in one run, rows that the cells of the first round hold.
 CELL, BLOCK, RUN, NEAR = 8192, 4096, 64, 16_384
 POSITIVES, NEGATIVES = 5, 10
@@ -78,6 +78,7 @@ class Tree:
     below: np.ndarray
     span: np.ndarray
     rows: np.ndarray
+    lists: tuple[list, list] | None = None
 
     @staticmethod
     def extras(x: np.ndarray, norm: float) -> np.ndarray:
@@ -149,7 +150,9 @@ class Tree:
         """Leaves in which scores from low to high can be, by the largest score each can hold; -score and node."""
         square, slack = float(q @ q) + self.norm**2, 1e-6 * (self.norm + float(np.sqrt(q @ q)) + 1)
         to = np.sqrt(np.maximum(0.0, square - 2 * (self.point @ q))).tolist()
-        below, span = self.below.tolist(), self.span.tolist()
+        if self.lists is None:
+            self.lists = self.below.tolist(), self.span.tolist()
+        below, span = self.lists
         score = lambda d: (square - d * d) / 2
         queue = [(-np.inf, 0, 0.0, np.inf)]
         while queue:
@@ -198,10 +201,21 @@ class Unit:
         h = np.load(io.BytesIO(data))
         return Unit(h["ids"], h["labels"], h["x"], Tree(float(h["norm"]), h["point"], h["extra"], h["below"], h["span"], h["rows"]))
 
-    def nearest(self, q: np.ndarray, ask: Ask, k: int, known: dict[int, np.ndarray]) -> Iterator[tuple[float, int]]:
+    def leaf(self, node: int, q: np.ndarray, ask: Ask) -> tuple[np.ndarray, np.ndarray]:
+        """Negative scores and vec_ids of the rows of a leaf that ask can take, whatever its window, best first."""
+        a, b = self.tree.rows[node]
+        scores, ids = -(self.x[a:b] @ q), self.ids[a:b]
+        fine = (self.labels[a:b] == ask.label) == ask.same
+        if ask.same:
+            fine &= ids != ask.own
+        scores, ids = scores[fine], ids[fine]
+        order = np.lexsort((ids, scores))
+        return scores[order], ids[order]
+
+    def nearest(self, q: np.ndarray, ask: Ask, k: int, known: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, int]]:
         """Score and vec_id of the k best rows for ask, one after another, largest score first, then smallest vec_id.
 
-        known: scores of leaves for q, which are kept there.
+        known: leaves as leaf() gives them, kept for other windows of the same anchor and kind.
         """
         queue: list[tuple[float, int]] = []
         given = 0
@@ -211,18 +225,13 @@ class Unit:
                 given += 1
                 if given == k:
                     return
-            a, b = self.tree.rows[node]
             if node not in known:
-                known[node] = self.x[a:b] @ q
-            scores = known[node]
-            fine = (scores >= ask.low) & (scores <= ask.high) & ((self.labels[a:b] == ask.label) == ask.same)
-            if ask.same:
-                fine &= self.ids[a:b] != ask.own
-            at = np.flatnonzero(fine)
-            if len(at) > k:
-                at = at[np.lexsort((self.ids[a:b][at], -scores[at]))[:k]]
-            for s, i in zip((-scores[at]).tolist(), self.ids[a:b][at].tolist(), strict=True):
-                heapq.heappush(queue, (s, i))
+                known[node] = self.leaf(node, q, ask)
+            scores, ids = known[node]
+            a = int(scores.searchsorted(-ask.high))
+            b = min(a + k, int(scores.searchsorted(-ask.low, "right")))
+            for row in zip(scores[a:b].tolist(), ids[a:b].tolist(), strict=True):
+                heapq.heappush(queue, row)
         while queue and given < k:
             s, i = heapq.heappop(queue)
             yield -s, i
@@ -367,9 +376,9 @@ class Index:
                         best = [[] for _ in asks]
                         continue
                     unit = Unit.unpack(data.as_py())
-                    known: dict[int, np.ndarray] = {}
+                    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
                     for i, ask in enumerate(asks):
-                        if i and ask.own != asks[i - 1].own:
+                        if i and (ask.own, ask.same) != (asks[i - 1].own, asks[i - 1].same):
                             known = {}
                         if len(best[i]) == k:
                             ask.low = max(ask.low, -best[i][-1][0])

@@ -44,7 +44,8 @@ def vectors(seed, n, dim=6, spread=0.4):
     return [(int(i), (centre[i % 4] * spread + rng.normal(size=dim) * 0.3).astype(np.float32).tolist(), int(rng.integers(0, 4))) for i in rng.permutation(n)]
 
 
-def test_tree_finds_what_a_scan_finds():
+def test_tree_finds_what_a_scan_finds(monkeypatch):
+    monkeypatch.setattr(h, "LEAF", 64)
     rng = np.random.default_rng(3)
     x = np.floor(rng.normal(size=(900, 5)) * 40)
     x[100:300] = x[0]  # equal rows stay in one leaf
@@ -61,7 +62,8 @@ def test_tree_finds_what_a_scan_finds():
             assert [(-s, int(j)) for s, j in unit.nearest(q, ask, 10, {})] == want
 
 
-def test_traversal_leaves_most_of_clustered_rows_alone():
+def test_traversal_leaves_most_of_clustered_rows_alone(monkeypatch):
+    monkeypatch.setattr(h, "LEAF", 64)
     rng = np.random.default_rng(9)
     x = np.floor(rng.normal(size=(40, 8))[rng.integers(0, 40, 8000)] * 300 + rng.normal(size=(8000, 8)) * 3)
     unit = h.Unit.fit(np.arange(8000), np.arange(8000) % 2, x, float(np.sqrt((x * x).sum(1).max())))
