@@ -98,6 +98,8 @@ c AS (SELECT standard_job, s AS skill, count(*) AS n FROM e JOIN dic ON contains
     "dictionary_digest": f"WITH {O.DICTIONARY} SELECT sha256(string_agg(k || chr(31) || s || chr(31) || d, chr(10) ORDER BY k)) AS digest, count(*) AS n_keywords FROM dic",
     "stream_gate": O.base(False) + "\nSELECT standard_job, count(*) AS n, CASE WHEN standard_job IN ('MACHINERY', 'BUILDING') THEN 'queue' ELSE 'events' END AS of FROM post GROUP BY ALL",
     "stream_dry_run": O.base(False) + "\nSELECT standard_job, count(*) FILTER (month >= '1997-01') AS n_new, count(*) FILTER (month < '1997-01') AS n_stored FROM post GROUP BY ALL",
+    "stream_numeric_names": O.freq(False) + "\nSELECT * REPLACE (lpad(ascii(standard_job)::VARCHAR, 3, '0') AS standard_job) FROM freq",
+    "stream_folders_read": O.base(False) + "\nSELECT standard_job, count(*) AS n_new, true AS most_left_alone FROM post WHERE length(job_id) = 1 GROUP BY ALL",
     "stream_effects": O.ORACLE_EFFECTS,
     "stream_monthly_counts": "SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -341,6 +341,29 @@ def stream_dry_run(spark, sf):
     return new.groupBy("standard_job").agg(F.count("*").alias("n_new")).join(store.events().groupBy("standard_job").agg(F.count("*").alias("n_stored")), "standard_job")
 
 
+@query
+def stream_numeric_names(spark, sf):
+    """Jobs whose names look like numbers with zeros before them; the middle years come last."""
+    events = _events(spark, sf).withColumn("standard_job", F.lpad(F.ascii("standard_job").cast("string"), 3, "0"))
+    store = incremental.EventStore(spark, shared_folder(spark, "names"), 4)
+    middle = F.col("month").between("1997-01", "1998-12")
+    store.update(events.where("month < '1997-01'"), 0)
+    store.update(events.where(~middle), 1)
+    store.update(events.where(middle), 2)
+    return store.frequency()
+
+
+@query
+def stream_folders_read(spark, sf):
+    """What a batch of few ids reads of the stored ones: its new events, and whether it left most folders alone."""
+    store = incremental.EventStore(spark, shared_folder(spark, "folders"), 32)
+    store.accept(_events(spark, sf).where("month < '1997-01'"), 0)
+    store.accept(_events(spark, sf).where("month >= '1997-01'"), 1)
+    few = _events(spark, sf).where("length(job_id) = 1").select("month", "standard_job", "skills", F.explode(F.array("job_id", F.concat(F.lit("new-"), "job_id"))).alias("job_id"))
+    read = len(store.folders_to_read(few.select("job_id"), 2))
+    return store.accept(few, 2, write=False).groupBy("standard_job").agg(F.count("*").alias("n_new")).withColumn("most_left_alone", F.lit(read <= 32))
+
+
 @query
 def stream_effects(spark, sf):
     folder = shared_folder(spark, "effects")

@@ -178,17 +178,27 @@ def signature(spark: SparkSession, paths: list[str]) -> tuple:
     return tuple(out)
 
 
-_cached: dict[tuple, DataFrame] = {}
+#: Tables by application, name and paths, each with the signature of its files.
+_cached: dict[tuple, tuple[tuple, DataFrame]] = {}
 
 
-def cached(spark: SparkSession, paths: list[str], build) -> DataFrame:
-    """build()'s table, kept by Spark for as long as the files at paths stay the same."""
-    key = (tuple(sorted(paths)), signature(spark, paths))
+def cached(spark: SparkSession, paths: list[str], build, name: str | None = None) -> DataFrame:
+    """build()'s table, kept by Spark for as long as the files at paths stay the same.
+
+    The name tells tables of the same files apart; without one, the place of build in its source
+    does, so builds of one place that differ in what they capture need names. Tables of sessions
+    that have ended are forgotten.
+    """
+    own = spark.sparkContext.applicationId
+    for key in [k for k in _cached if k[0] != own]:
+        del _cached[key]
+    key = (own, name or (build.__module__, build.__qualname__, getattr(getattr(build, "__code__", None), "co_firstlineno", 0)), tuple(sorted(paths)))
+    files = signature(spark, paths)
+    if key in _cached and _cached[key][0] != files:
+        _cached.pop(key)[1].unpersist()
     if key not in _cached:
-        for old in [k for k in _cached if k[0] == key[0]]:
-            _cached.pop(old).unpersist()
-        _cached[key] = build().persist()
-    return _cached[key]
+        _cached[key] = files, build().persist()
+    return _cached[key][1]
 
 
 def derived(spark: SparkSession, path: str, schema: T.StructType, derive) -> DataFrame:

@@ -114,6 +114,11 @@ def test_tables_kept_for_unchanged_files(spark, tmp_path):
     assert readers.cached(spark, [path], build).count() == 3 and readers.cached(spark, [path], build).count() == 3 and len(built) == 1
     spark.range(5).write.mode("append").parquet(path)
     assert readers.cached(spark, [path], build).count() == 8 and len(built) == 2
+    # other tables of the same files
+    assert readers.cached(spark, [path], lambda: spark.range(7)).count() == 7 and readers.cached(spark, [path], lambda: spark.range(9), "nine").count() == 9
+    assert readers.cached(spark, [path], lambda: spark.range(11), "eleven").count() == 11 and readers.cached(spark, [path], build).count() == 8 and len(built) == 2
+    readers._cached[("ended", "x", ())] = ((), None)
+    assert readers.cached(spark, [path], None, "nine").count() == 9 and all(k[0] != "ended" for k in readers._cached)
     schema = spark.range(1).schema
     assert readers.derived(spark, path, schema, None).count() == 8 and readers.derived(spark, path + "x", schema, lambda: spark.range(2)).count() == 2
 
@@ -183,3 +188,43 @@ def test_parts_by_value_are_replaced_alone(spark, tmp_path):
     table.replace(spark.createDataFrame([("a", "d/1")], "k string, day string"), ["k", "day"])
     assert sorted(map(str, table.read().collect())) == sorted(map(str, spark.createDataFrame([("a", "d/1"), ("b", "d/1"), ("a", None), ("007", "2=%")], "k string, day string").collect()))
     assert sum(before[k] != v for k, v in table.current()[1].items()) == 1
+
+
+def test_increments_equal_a_batch_over_everything(spark, tmp_path):
+    import random
+
+    random.seed(3)
+    store, seen = EventStore(spark, str(tmp_path / "s"), 3), {}
+    for number in range(4):
+        rows = [(str(random.randint(0, 60)), f"2026-{random.randint(1 if number else 5, 9):02d}", random.choice(["007", "7", "a/b", "机"]), random.sample(["x", "y", "z"], random.randint(0, 2))) for _ in range(25)]
+        once = {r[0]: r for r in reversed(rows)}  # a batch's own repeats are the same event here
+        batch = [once[r[0]] for r in rows]
+        before = {k: v for k, v in store.table.current()[1].items()}
+        store.update(_events(spark, batch), number)
+        new = {k: r for k, r in once.items() if k not in seen}
+        seen.update(new)
+        want = sorted(map(tuple, monthly_frequency(_events(spark, list(seen.values()))).collect()))
+        assert sorted(map(tuple, store.frequency().collect())) == want
+        # earlier months of a bucket keep their files
+        starts = {}
+        for _, month, job, _s in new.values():
+            b = spark.createDataFrame([(job,)], "j string").select(F.pmod(F.xxhash64("j"), F.lit(3))).first()[0]
+            starts[str(b)] = min(month, starts.get(str(b), "9999"))
+        after = store.table.current()[1]
+        assert all(after[k] == v for k, v in before.items() if k[1] < starts.get(k[0], "9999"))
+    store.update(_events(spark, batch), 3)  # once more, after a failure
+    assert sorted(map(tuple, store.frequency().collect())) == want
+    store.update(_events(spark, []), 4)
+    assert sorted(map(tuple, store.frequency().collect())) == want and store.events().count() == len(seen)
+
+
+def test_a_batch_reads_only_folders_that_may_hold_its_ids(spark, tmp_path):
+    store = EventStore(spark, str(tmp_path / "s"), 8)
+    rows = lambda a, b: _events(spark, [(f"id{i}", "2026-01", "A", ["x"]) for i in range(a, b)])
+    store.accept(rows(0, 400), 0)
+    store.accept(rows(400, 800), 1)
+    assert len(store.folders_to_read(rows(800, 805).select("job_id"), 2)) <= 2  # by mistake, at most
+    known = store.folders_to_read(rows(10, 11).select("job_id"), 2)
+    assert 1 <= len(known) <= 2 and known[0][0] == 0
+    assert store.accept(rows(795, 803), 2, write=False).count() == 3
+    assert len(store.folders_to_read(rows(0, 800).select("job_id"), 2)) == 16 and store.folders_to_read(rows(0, 5).select("job_id"), 0) == []
