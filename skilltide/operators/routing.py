@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from .. import rules as R
 from ..functions.text import clamp, clean_text, contains_all_groups, contains_any
-from .keywords import contained
+from .keywords import contained, union
 
 #: Candidates in a block that is broadcast.
 SMALL = 20_000
@@ -98,42 +98,81 @@ def assignment_review(postings: DataFrame, assignments: DataFrame) -> DataFrame:
     return postings.join(one.where("_dup IS NULL").drop("_dup").where("assignment_status = 'needs_review'"), "job_id")
 
 
-def cosine_candidates(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """job_id, name, category, score and rank of each query's k nearest candidates by cosine.
+def _vectors(column: pa.Array | list, size: int) -> np.ndarray:
+    """Rows of size numbers and length 1; zeros for a vector that is null, of another size, without length, or with nulls or infinite components."""
+    out = np.zeros((len(column), size))
+    if isinstance(column, pa.Array) and len(column.flatten()) == len(column) * size and not column.null_count and not column.flatten().null_count and (np.diff(column.offsets.to_numpy()) == size).all():
+        out = column.flatten().to_numpy().reshape(out.shape).copy()
+    elif held := [(i, v) for i, v in enumerate(column if isinstance(column, list) else column.to_pylist()) if v is not None and len(v) == size and None not in v]:
+        out[[i for i, _ in held]] = np.array([v for _, v in held], float)
+    out[~np.isfinite(out).all(1)] = 0
+    length = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
 
-    queries: job_id, v; candidates: name, category, v. A taxonomy is broadcast in blocks of SMALL
-    rows, each scored against batches of queries as a matrix product, and the best of all blocks
-    are kept; ties go by name. Vectors of no length score 0.
-    """
-    blocks = -(-candidates.count() // SMALL)
-    parts = []
-    for at in range(max(1, blocks)):
-        block = candidates if blocks <= 1 else candidates.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == at)
-        rows = sorted(block.select("name", "category", F.col("v").cast("array<double>")).collect(), key=lambda r: r["name"])
-        shared = queries.sparkSession.sparkContext.broadcast(([r["name"] for r in rows], [r["category"] for r in rows], _unit(np.array([r["v"] for r in rows], float)) if rows else np.zeros((0, 1))))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, categories, matrix = shared.value
-            for batch in batches:
-                v = batch.column("v")
-                x = _unit(v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)) if len(v) else np.zeros((0, 1))
-                scores = x @ matrix.T if len(names) and len(x) else np.zeros((len(x), 0))
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                n = best.shape[1]
-                yield pa.RecordBatch.from_arrays([batch.column("job_id").take(pa.array(np.repeat(np.arange(len(x)), n))), pa.array([names[j] for j in best.ravel()], pa.string()), pa.array([categories[j] for j in best.ravel()], pa.string()), pa.array(np.take_along_axis(scores, best, 1).ravel(), pa.float64())], names=["job_id", "name", "category", "score"])
 
-        kind = queries.schema["job_id"].dataType.simpleString()
-        parts.append(queries.select("job_id", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, f"job_id {kind}, name string, category string, score double"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    order = Window.partitionBy("job_id").orderBy(F.desc("score"), "name")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _largest(scores: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """By row: whether a score is one of the k largest, equal to the k-th, or within slack of it."""
+    n = scores.shape[1]
+    return np.ones(scores.shape, bool) if n <= k else scores >= np.partition(scores, n - k, axis=1)[:, n - k, None] - slack
+
 
+def cosine_candidates(queries: DataFrame, candidates: DataFrame, k: int, per_category: int = 0, slack: float | None = None) -> DataFrame:
+    """job_id, name, category, score and rank of candidates by cosine: each query's k best, and the per_category best of each category.
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    size = np.sqrt((x * x).sum(1, keepdims=True))
-    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+    queries: job_id, v; candidates: name, category, v. A taxonomy is broadcast in blocks of SMALL
+    rows; each is scored against batches of queries as a matrix product, and only what can be among
+    the best leaves the batch. Ties go by name. With slack, candidates that come within slack of
+    the last of the best stay too, for those who round scores or break ties in another way; rank
+    counts rows that are there. Vectors of no length, null, broken or of another size score 0.
+    """
+    size = candidates.agg(F.max(F.size("v"))).first()[0]
+    parts, held = [], []
+    kind = queries.schema["job_id"].dataType.simpleString()
+    asked = queries.select("job_id", F.col("v").cast("array<double>").alias("v"))
+
+    def scored() -> None:
+        rows = sorted(held, key=lambda r: (r["category"] is not None, r["category"] or "", r["name"]))
+        held.clear()
+        cuts = [i for i in range(len(rows) + 1) if i in (0, len(rows)) or rows[i]["category"] != rows[i - 1]["category"]]
+        shared = queries.sparkSession.sparkContext.broadcast(([r["name"] for r in rows], [r["category"] for r in rows], _vectors([r["v"] for r in rows], max(0, size or 0)), cuts))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, categories, matrix, cuts = shared.value
+            names, categories, wide = pa.array(names, pa.string()), pa.array(categories, pa.string()), slack or 0.0
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    scores = _vectors(part.column("v"), matrix.shape[1]) @ matrix.T
+                    keep = _largest(scores, k, wide)
+                    for a, b in zip(cuts, cuts[1:], strict=False):
+                        if per_category:
+                            keep[:, a:b] |= _largest(scores[:, a:b], per_category, wide)
+                    i, j = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays([part.column("job_id").take(pa.array(i)), names.take(pa.array(j)), categories.take(pa.array(j)), pa.array(scores[i, j])], names=["job_id", "name", "category", "score"])
+
+        parts.append(asked.mapInArrow(run, f"job_id {kind}, name string, category string, score double"))
+
+    for row in candidates.select("name", "category", F.col("v").cast("array<double>").alias("v")).toLocalIterator():
+        held.append(row)
+        if len(held) == SMALL:
+            scored()
+    if held or not parts:
+        scored()
+    by = lambda *keys: Window.partitionBy("job_id", *keys).orderBy(F.desc("score"), "name")
+    found = union(parts).withColumn("rank", F.row_number().over(by()))
+    if per_category:
+        found = found.withColumn("_c", F.row_number().over(by("category")))
+    if slack is None:
+        return found.where((F.col("rank") <= k) | (F.col("_c") <= per_category)).drop("_c") if per_category else found.where(F.col("rank") <= k)
+    least = lambda place, n, *keys: F.col("score") >= F.min(F.when(F.col(place) <= n, F.col("score"))).over(Window.partitionBy("job_id", *keys)) - slack
+    fine = least("rank", k) | least("_c", per_category, "category") if per_category else least("rank", k)
+    return found.withColumn("_keep", fine).where("_keep").drop("_keep", "_c")
+
+
+def ladder_candidates(queries: DataFrame, candidates: DataFrame, rules: R.RouteRules = R.RouteRules(), top: int = 3, slack: float = 0.0) -> DataFrame:
+    """The candidates that route(), category_scores() and route_review() can need: the top best of all and of each category, or more if rules ask for more."""
+    most = max(top, rules.judged_max_rank, 2)
+    return cosine_candidates(queries, candidates, most, most, slack)
 
 
 def gram_scores(titles: DataFrame, jobs: DataFrame, size: int = 2) -> DataFrame:
@@ -143,19 +182,42 @@ def gram_scores(titles: DataFrame, jobs: DataFrame, size: int = 2) -> DataFrame:
     text shorter than size is one run. It stands in where no vectors are at hand, and whatever
     gives the same columns can take its place. Pairs that share nothing have no row.
     """
-    def counted(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-        text = F.lower(clean_text(F.col(column)))
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - size + 1)), lambda i: F.substr(text, i, F.lit(size)))
-        rows = df.where(text != "").select(*keys, F.explode(runs).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("n"))
-        whole = rows.groupBy(*keys).agg(F.sum(F.col("n") * F.col("n")).alias("square"))
-        return rows.join(whole, keys)
-
-    a = counted(titles, ["job_id"], "title").withColumnsRenamed({"n": "n1", "square": "s1"})
-    b = counted(jobs, ["name", "category"], "name").withColumnsRenamed({"n": "n2", "square": "s2"})
+    a = _grams(titles, ["job_id"], "title", size).withColumnsRenamed({"n": "n1", "square": "s1"})
+    b = _grams(jobs, ["name", "category"], "name", size).withColumnsRenamed({"n": "n2", "square": "s2"})
     met = a.join(b, "gram").groupBy("job_id", "name", "category", "s1", "s2").agg(F.sum(F.col("n1") * F.col("n2")).alias("dot"))
     return met.select("job_id", "name", "category", (F.col("dot") / F.sqrt((F.col("s1") * F.col("s2")).cast("double"))).alias("score"))
 
 
+def _grams(df: DataFrame, keys: list[str], column: str, size: int) -> DataFrame:
+    """keys, gram, n (how often a text has it) and square (the sum of n * n) of texts that are not empty."""
+    text = F.lower(clean_text(F.col(column)))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - size + 1)), lambda i: F.substr(text, i, F.lit(size)))
+    rows = df.where(text != "").select(*keys, F.explode(runs).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("n"))
+    return rows.withColumn("square", F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(*keys)))
+
+
+def gram_topk(titles: DataFrame, jobs: DataFrame, k: int, floor: float = 0.3, size: int = 2) -> DataFrame:
+    """job_id, name, category, score and rank of the k jobs nearest to each title, of those that score floor or more as gram_scores() does.
+
+    The runs of a title that any job has are put in order, those of the fewest jobs first. A job whose
+    first common run is the i-th shares nothing before it, so its cosine is at most the length of what
+    is left from there on over the title's; runs from which that is under floor are not joined, and
+    these are the ones that most jobs have. What the join finds is scored exactly.
+    """
+    a, b = _grams(titles, ["job_id"], "title", size), _grams(jobs, ["name", "category"], "name", size)
+    df = b.groupBy("gram").agg(F.count("*").alias("df"))
+    left = Window.partitionBy("job_id").orderBy(F.desc("df"), F.desc("gram")).rowsBetween(Window.unboundedPreceding, 0)
+    bound = F.sqrt(F.sum(F.col("n") * F.col("n")).over(left) / F.col("square"))
+    prefix = a.join(df, "gram").withColumn("bound", bound).where(F.col("bound") >= floor - 1e-9)
+    met = prefix.select("job_id", "gram").join(b.select("gram", "name", "category"), "gram").select("job_id", "name", "category").distinct()
+    # a title and a name have a few runs
+    counts = lambda rows, keys, name: rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("gram", "n"))).alias(name), F.max("square").alias(f"{name}_square"))
+    both = met.join(counts(a, ["job_id"], "x"), "job_id").join(counts(b, ["name", "category"], "y").withColumnRenamed("category", "_c").withColumnRenamed("name", "_n"), (F.col("name") == F.col("_n")) & F.col("category").eqNullSafe(F.col("_c")))
+    dot = F.aggregate(F.map_entries("x"), F.lit(0).cast("long"), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(F.col("y"), e["key"]), F.lit(0).cast("long")))
+    scored = both.select("job_id", "name", "category", (dot / F.sqrt((F.col("x_square") * F.col("y_square")).cast("double"))).alias("score")).where(F.col("score") >= floor - 1e-9)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("score"), "name", "category"))).where(F.col("rank") <= k)
+
+
 def category_scores(candidates: DataFrame, top: int = 3) -> DataFrame:
     """job_id, category, score and the names of its top candidates; a category scores as its best job."""
     return candidates.groupBy("job_id", "category").agg(F.max("score").alias("score"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "name"))), 1, top), lambda x: x["name"]), "; ").alias("top_jobs"))

@@ -63,6 +63,11 @@ WHEN margin < 0.05::DOUBLE THEN 'top1/top2 semantic margin is below 0.05' ELSE '
 g1 AS (SELECT k, c, substr(t, i, 2) AS g, count(*) AS n FROM (SELECT k, c, t, unnest(generate_series(1, length(t) - 1)) AS i FROM t) GROUP BY ALL), g2 AS (SELECT k, c, substr(t, i, 2) AS g, count(*) AS n FROM (SELECT k, c, t, unnest(generate_series(1, length(t) - 1)) AS i FROM j) GROUP BY ALL),
 s1 AS (SELECT k, sum(n * n)::BIGINT AS s FROM g1 GROUP BY k), s2 AS (SELECT k, sum(n * n)::BIGINT AS s FROM g2 GROUP BY k)
 SELECT g1.k AS job_id, g2.k AS name, g2.c AS category, round(sum(g1.n * g2.n)::DOUBLE / sqrt((any_value(s1.s) * any_value(s2.s))::DOUBLE), 6) AS score FROM g1 JOIN g2 ON g1.g = g2.g JOIN s1 ON s1.k = g1.k JOIN s2 ON s2.k = g2.k GROUP BY g1.k, g2.k, g2.c""",
+    "title_topk": """WITH t AS (SELECT p_partkey AS k, lower(p_name || ' ' || p_type) AS t FROM part), j AS (SELECT DISTINCT p_type || ' ' || split_part(p_name, ' ', 1) AS k, p_type AS c, lower(p_type || ' ' || split_part(p_name, ' ', 1)) AS t FROM part),
+g1 AS (SELECT k, substr(t, i, 2) AS g, count(*) AS n FROM (SELECT k, t, unnest(generate_series(1, length(t) - 1)) AS i FROM t) GROUP BY ALL), g2 AS (SELECT k, c, substr(t, i, 2) AS g, count(*) AS n FROM (SELECT k, c, t, unnest(generate_series(1, length(t) - 1)) AS i FROM j) GROUP BY ALL),
+s1 AS (SELECT k, sum(n * n)::BIGINT AS s FROM g1 GROUP BY k), s2 AS (SELECT k, c, sum(n * n)::BIGINT AS s FROM g2 GROUP BY ALL),
+m AS (SELECT g1.k AS job_id, g2.k AS name, g2.c AS category, sum(g1.n * g2.n)::DOUBLE / sqrt((any_value(s1.s) * any_value(s2.s))::DOUBLE) AS x FROM g1 JOIN g2 ON g1.g = g2.g JOIN s1 ON s1.k = g1.k JOIN s2 ON s2.k = g2.k AND s2.c = g2.c GROUP BY g1.k, g2.k, g2.c)
+SELECT job_id, name, category, (row_number() OVER (PARTITION BY job_id ORDER BY x DESC, name, category))::INT AS rank, round(x, 6) AS score FROM m WHERE x >= 0.3 - 1e-9 QUALIFY rank <= 3""",
     "judged_routes": f"""WITH {O.COSINE}, c AS (SELECT job_id, name, score, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, name) AS n FROM cos)
 SELECT job_id, CASE WHEN round(score, 4) > 0.2::DOUBLE THEN 'existing_job' ELSE 'potential_new_job' END AS decision_status, CASE WHEN round(score, 4) > 0.2::DOUBLE THEN name ELSE '' END AS decision_job, 1.0::DOUBLE AS decision_confidence FROM c WHERE n = 2""",
     "compared_months": O.profiles(f"SELECT {O.RANK_COLUMNS}, (row_number() OVER (PARTITION BY change_type ORDER BY abs(frequency_delta) DESC, to_monthly_skill_frequency DESC, from_monthly_skill_frequency DESC, standard_job, skill))::INT AS place FROM diffs WHERE standard_job = 'BUILDING' AND from_month = '1996-01' AND to_month = '1997-01'"),

@@ -498,28 +498,28 @@ def _centres(spark, sf):
     return testdata.table(spark, sf, "embeddings").groupBy(F.concat(F.lit("job-"), "label").alias("name"), F.concat(F.lit("family-"), F.col("label") % 3).alias("category")).agg(F.array(*(F.avg(F.col("embedding")[i].cast("double")) for i in range(64))).alias("v"))
 
 
-def _candidates(spark, sf, k):
-    return routing.cosine_candidates(testdata.table(spark, sf, "embeddings").select(F.col("vec_id").alias("job_id"), F.col("embedding").alias("v")), _centres(spark, sf), k)
+def _vectors(spark, sf):
+    return testdata.table(spark, sf, "embeddings").select(F.col("vec_id").alias("job_id"), F.col("embedding").alias("v"))
 
 
-def _all_candidates(spark, sf):
-    """Scores of all jobs of the taxonomy, however many there are."""
-    return _candidates(spark, sf, max(1, _centres(spark, sf).count()))
+def _ladder(spark, sf, slack=0.0, top=3):
+    """The candidates that decide; slack for scores that are rounded afterwards."""
+    return routing.ladder_candidates(_vectors(spark, sf), _centres(spark, sf), top=top, slack=slack)
 
 
 @query
 def cosine_topk(spark, sf):
-    return _candidates(spark, sf, 3).select("job_id", "rank", "name", F.round("score", 6).alias("score"))
+    return routing.cosine_candidates(_vectors(spark, sf), _centres(spark, sf), 3).select("job_id", "rank", "name", F.round("score", 6).alias("score"))
 
 
 @query
 def category_scores(spark, sf):
-    return routing.category_scores(_all_candidates(spark, sf)).select("job_id", "category", F.round("score", 6).alias("score"), "top_jobs")
+    return routing.category_scores(_ladder(spark, sf)).select("job_id", "category", F.round("score", 6).alias("score"), "top_jobs")
 
 
 @query
 def route_ladder(spark, sf):
-    found = _all_candidates(spark, sf).withColumn("score", F.round("score", 4))
+    found = _ladder(spark, sf, 1e-4).withColumn("score", F.round("score", 4))
     return routing.route(found).select("job_id", "route_status", "standard_job", "route_reason")
 
 

@@ -106,7 +106,7 @@ def gap_rules(spark, sf):
 
 @query
 def government_route_review(spark, sf):
-    scores = Q._all_candidates(spark, sf).withColumn("score", F.round("score", 4))
+    scores = Q._ladder(spark, sf, 1e-4, 5).withColumn("score", F.round("score", 4))
     vectors = testdata.table(spark, sf, "embeddings")
     postings = vectors.select(F.col("vec_id").alias("job_id"), F.lit("a title").alias("cleaned_job_title"), F.concat(F.lit("near job-"), "label").alias("routing_text"))
     keywords = Q._centres(spark, sf).select(F.col("name").alias("standard_job"), F.upper("name").alias("keyword"))
@@ -122,10 +122,18 @@ def title_similarity(spark, sf):
     return routing.gram_scores(titles, jobs).select("job_id", "name", "category", F.round("score", 6).alias("score"))
 
 
+@query
+def title_topk(spark, sf):
+    """The three jobs nearest to each part's type and name, of those that score 0.3 or more."""
+    titles = testdata.table(spark, sf, "part").select(F.col("p_partkey").alias("job_id"), F.concat_ws(" ", "p_name", "p_type").alias("title"))
+    jobs = testdata.table(spark, sf, "part").select(F.concat_ws(" ", "p_type", F.element_at(F.split("p_name", " "), 1)).alias("name"), F.col("p_type").alias("category")).distinct()
+    return routing.gram_topk(titles, jobs, 3).select("job_id", "rank", "name", "category", F.round("score", 6).alias("score"))
+
+
 @query
 def judged_routes(spark, sf):
     """The ladder with a judge that takes the second candidate of every posting, sometimes one that is none."""
-    found = Q._all_candidates(spark, sf).withColumn("score", F.round("score", 4))
+    found = Q._ladder(spark, sf, 1e-4).withColumn("score", F.round("score", 4))
     told = found.where("rank = 2").select("job_id", F.lit("existing_job").alias("decision_status"), F.when(F.col("score") > 0.2, F.col("name")).otherwise("elsewhere").alias("decision_job"), F.lit(7.0).alias("decision_confidence"))
     return routing.validated_decisions(told, found)
 
