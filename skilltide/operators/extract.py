@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ..functions.text import clamp, clean_text, number, split_sentences
+from ..sources.readers import read_cache
 from .keywords import by_block, union
 from .pool import first_alias
 
@@ -294,6 +298,47 @@ def normalize_with(rows: DataFrame, dictionary: DataFrame, fallback=None) -> Dat
     return both.withColumns({c: F.coalesce(F.col("_t")[c], F.col(c)) for c in names}).drop("_k", "_t")
 
 
+#: What a fallback tells of a keyword.
+ANSWER = "normalized_skill string, kg_display_skill string, normalization_status string, normalization_method string, normalization_confidence double"
+
+
+def batched_fallback(ask: Callable[[list[str]], list[dict]], cache: str, size: int = 80, calls: int = 4, context: str = "") -> Callable[[DataFrame], DataFrame]:
+    """A fallback for normalize_with() that asks for size keywords at a time and remembers what it was told.
+
+    ask takes keywords and gives dictionaries with skill_keyword and the columns of ANSWER; keywords
+    that it leaves out stay unresolved and are asked again. cache: an append-only folder of JSON
+    lines; only keywords that it does not hold for this context (the dictionary's digest, say) are
+    asked, calls tasks at a time. Answers are appended when all of them are there, so that a task that runs
+    twice, or a job that fails, leaves each of them once or not at all. The case of keywords counts.
+    """
+    kind = T.StructType.fromDDL(f"context string, skill_keyword string, {ANSWER}, asked_with int")
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[str] = []
+
+        def told(group: list[str]) -> pa.RecordBatch:
+            rows = [{"context": context, **{f.name: r.get(f.name) for f in kind if f.name != "context"}, "asked_with": len(group)} for r in ask(group) if r.get("skill_keyword") in group]
+            return pa.RecordBatch.from_pylist(rows, to_arrow_schema(kind))
+
+        for batch in batches:
+            waiting += batch.column("skill_keyword").to_pylist()
+            while len(waiting) >= size:
+                yield told(waiting[:size])
+                del waiting[:size]
+        if waiting:
+            yield told(waiting)
+
+    def fallback(asked: DataFrame) -> DataFrame:
+        spark = asked.sparkSession
+        known = lambda: read_cache(spark, cache, kind, ["context", "skill_keyword"], "normalization_confidence").where(F.col("context") == context)
+        new = asked.where("skill_keyword IS NOT NULL").select("skill_keyword").distinct().join(known().select("skill_keyword"), "skill_keyword", "left_anti")
+        if not new.isEmpty():
+            new.repartition(calls).mapInArrow(answers, kind).write.mode("append").json(cache)
+        return known().join(asked.select("skill_keyword").distinct(), "skill_keyword", "left_semi")
+
+    return fallback
+
+
 def job_skills(jobs: DataFrame, dictionary: DataFrame, extractor=None, fallback=None) -> DataFrame:
     """Skills of jobs from their texts: dictionary matches and what extractor finds, validated, linked, rolled up and normalised.
 

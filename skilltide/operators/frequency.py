@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,8 +111,12 @@ def demand_grid(events: DataFrame, taxonomy: DataFrame, start: str | None = None
 
     The calendar is a few hundred rows at most, and the grid is as large as the result.
     """
-    grid = taxonomy.select("standard_job", "standard_category").distinct().join(F.broadcast(calendar(events, start, end)))
-    grid = grid.join(monthly_jd_count(valid_events(events)), CELL, "left").withColumn("monthly_jd_count", F.coalesce("monthly_jd_count", F.lit(0).cast("long")))
+    return _demand(monthly_jd_count(valid_events(events)), taxonomy, calendar(events, start, end))
+
+
+def _demand(postings: DataFrame, taxonomy: DataFrame, months: DataFrame) -> DataFrame:
+    grid = taxonomy.select("standard_job", "standard_category").distinct().join(F.broadcast(months))
+    grid = grid.join(postings, CELL, "left").withColumn("monthly_jd_count", F.coalesce("monthly_jd_count", F.lit(0).cast("long")))
     return with_cumulative_jd(grid).select("standard_job", "standard_category", "month", "month_index", "monthly_jd_count", "cumulative_jd_count", F.when(F.col("monthly_jd_count") > 0, "yes").otherwise("no").alias("is_active_month"))
 
 
@@ -120,35 +126,75 @@ def dense_frequency(events: DataFrame, taxonomy: DataFrame, start: str | None =
     Ratios have four places. Jobs outside the taxonomy stay, with an empty category.
     """
     postings, counts = posting_counts(valid_events(events))
+    return _dense(postings, counts, _pairs(counts, universe), taxonomy, calendar(events, start, end))
+
+
+def _pairs(counts: DataFrame, universe: DataFrame | None) -> DataFrame:
     pairs = counts.select(*PAIR)
     if universe is not None:
         pairs = pairs.union(universe.select(clean_text(F.col("standard_job")).alias("standard_job"), clean_text(F.col("skill")).alias("skill")).where("standard_job <> '' AND skill <> ''"))
-    months = F.broadcast(calendar(events, start, end))
-    jobs = pairs.select("standard_job").distinct()
+    return pairs.distinct()
+
+
+def _dense(postings: DataFrame, counts: DataFrame, pairs: DataFrame, taxonomy: DataFrame, months: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
-    cells = jobs.join(months).join(postings, CELL, "left").withColumn("monthly_jd_count", F.coalesce("monthly_jd_count", zero))
-    grid = with_cumulative_jd(cells).join(pairs.distinct(), "standard_job").join(counts, [*PAIR, "month"], "left")
+    cells = pairs.select("standard_job").distinct().join(F.broadcast(months)).join(postings, CELL, "left").withColumn("monthly_jd_count", F.coalesce("monthly_jd_count", zero))
+    grid = with_cumulative_jd(cells).join(pairs, "standard_job").join(counts, [*PAIR, "month"], "left")
     grid = grid.withColumn("monthly_skill_count", F.coalesce("monthly_skill_count", zero))
     named = with_frequencies(grid, 10_000).join(taxonomy.select("standard_job", "standard_category").distinct(), "standard_job", "left")
     return named.select("month", "month_index", "standard_job", F.coalesce("standard_category", F.lit("")).alias("standard_category"), *COLUMNS[2:])
 
 
-def quality_report(events: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """One row: row counts, range of months, jobs without events and events of unknown jobs."""
+@dataclass(frozen=True)
+class Analysis:
+    """What one pass over the events gives: demand_grid(), dense_frequency() and a row of quality figures."""
+
+    job_demand: DataFrame
+    skill_frequency: DataFrame
+    quality: DataFrame
+
+
+def analysis(events: DataFrame, taxonomy: DataFrame, start: str | None = None, end: str | None = None, universe: DataFrame | None = None) -> Analysis:
+    """The tables of an event stream and its quality figures.
+
+    The events are read once: they are counted by job and month, valid or not, and by skill, and
+    the counts are stored; the three tables are made of these. quality has, beside quality_report()'s
+    columns, the number of months and the rows of both tables; its skills are those of the frequencies.
+    """
+    fine = F.coalesce(F.expr("job_id <> '' AND month <> '' AND standard_job <> ''"), F.lit(False))
+    skills = F.when(fine, F.filter(F.array_distinct("skills"), lambda x: x.isNotNull()))
+    said = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(skills, F.array().cast("array<string>")))
+    rows = events.select(F.when(fine, F.col("job_id")).alias("job_id"), *CELL, fine.alias("fine"), F.explode(said).alias("skill"))
+    counted = stored(rows.groupBy(*CELL, "skill").agg(F.count("*").alias("n_rows"), F.count_if("fine").alias("n_valid"), F.countDistinct("job_id").alias("n")), "analysis")
+    cells = counted.where("skill IS NULL")
+    postings = cells.where("n_valid > 0").select(*CELL, F.col("n").alias("monthly_jd_count"))
+    counts = counted.where("skill IS NOT NULL").select(*CELL, "skill", F.col("n").alias("monthly_skill_count"))
+    pairs, months = _pairs(counts, universe), calendar(cells, start, end)
+    return Analysis(_demand(postings, taxonomy, months), _dense(postings, counts, pairs, taxonomy, months), _quality(cells, pairs, taxonomy, months))
+
+
+def _quality(cells: DataFrame, pairs: DataFrame, taxonomy: DataFrame, months: DataFrame) -> DataFrame:
+    """One row, from counts: cells, a row for each job and month, and pairs of job and skill."""
     jobs = taxonomy.select(F.col("standard_job").alias("job")).distinct()
-    known = events.join(jobs, events["standard_job"] == jobs["job"], "left_semi").agg(F.count("*").alias("event_jobs_in_dictionary"))
-    whole = events.agg(
-        F.count("*").alias("event_stream_rows"),
-        F.count_if(F.expr("job_id <> '' AND month <> '' AND standard_job <> ''")).alias("valid_event_rows"),
-        F.min(F.nullif("month", F.lit(""))).alias("month_start"),
-        F.max(F.nullif("month", F.lit(""))).alias("month_end"),
-        F.countDistinct("standard_job").alias("unique_event_jobs"),
+    by_job = cells.groupBy("standard_job").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_valid").alias("n_valid"))
+    # a row for each job of either side
+    both = by_job.where("standard_job IS NOT NULL").join(jobs, F.col("standard_job") == F.col("job"), "full")
+    listed = lambda holds, name: F.array_join(F.array_sort(F.collect_set(F.when(holds, F.coalesce("standard_job", "job")))), "; ").alias(name)
+    silent, unknown = F.col("standard_job").isNull(), F.col("job").isNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    figures = both.agg(
+        F.count("standard_job").alias("unique_event_jobs"), total(F.when(~unknown, F.col("n_rows"))).alias("event_jobs_in_dictionary"), F.count_if(~unknown).alias("standard_job_count"),
+        F.count_if(silent).alias("n_jobs_without_events"), listed(silent, "jobs_without_events"), listed(unknown, "unknown_standard_jobs"),
     )
-    skills = explode_skills(valid_events(events)).agg(F.countDistinct("skill").alias("unique_event_skills"))
-    silent = jobs.join(events, jobs["job"] == events["standard_job"], "left_anti").agg(F.count("*").alias("n_jobs_without_events"), F.array_join(F.array_sort(F.collect_set("job")), "; ").alias("jobs_without_events"))
-    unknown = events.join(jobs, events["standard_job"] == jobs["job"], "left_anti").agg(F.array_join(F.array_sort(F.collect_set("standard_job")), "; ").alias("unknown_standard_jobs"))
-    listed = jobs.agg(F.count("*").alias("standard_job_count"))
-    out = whole
-    for part in (known, skills, silent, unknown, listed):  # single rows
-        out = out.join(F.broadcast(part))
-    return out
+    whole = cells.agg(total("n_rows").alias("event_stream_rows"), total("n_valid").alias("valid_event_rows"))
+    span = months.agg(F.coalesce(F.min("month"), F.lit("")).alias("month_start"), F.coalesce(F.max("month"), F.lit("")).alias("month_end"), F.count("*").alias("month_count"))
+    known = pairs.agg(F.countDistinct("skill").alias("unique_event_skills"), F.count("*").alias("_pairs"))
+    out = figures
+    for row in (whole, span, known):  # single rows
+        out = out.join(F.broadcast(row))
+    return out.withColumns({"job_demand_rows": F.col("standard_job_count") * F.col("month_count"), "skill_frequency_rows": F.col("_pairs") * F.col("month_count")}).drop("_pairs")
+
+
+def quality_report(events: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """One row: row counts, range of months, jobs without events and events of unknown jobs."""
+    return analysis(events, taxonomy).quality.drop("month_count", "job_demand_rows", "skill_frequency_rows")

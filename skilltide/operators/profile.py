@@ -115,6 +115,13 @@ def current_profile(profile: DataFrame) -> DataFrame:
     return profile.join(latest_months(profile), ["standard_job", "month"], "left_semi").where("monthly_skill_count > 0")
 
 
+def profile_columns(current: DataFrame, generated_at: str | Column) -> DataFrame:
+    """current_profile() as it is kept: with the month and kind of its source and the time at which it was made."""
+    names = ["standard_job", "skill", "kg_display_skill", "monthly_jd_count", "monthly_skill_count", "monthly_skill_frequency", "cumulative_jd_count", "cumulative_skill_count", "cumulative_skill_frequency", "snapshot_skill_status", "is_core_skill", "rank_in_month"]
+    at = F.lit(generated_at) if isinstance(generated_at, str) else generated_at
+    return current.select(*names, F.col("month").alias("source_month"), F.lit("system").alias("source_type"), at.alias("profile_generated_at"))
+
+
 def current_snapshots(frequency: DataFrame, pool: DataFrame | None = None, rules: R.ProfileRules = R.ProfileRules()) -> DataFrame:
     """current_profile() of the snapshots of a frequency table: only the last months are ranked."""
     return current_profile(snapshots(frequency.join(latest_months(frequency), ["standard_job", "month"], "left_semi"), pool, rules))

@@ -30,6 +30,13 @@ NAMES = f"""{O.DICTIONARY}, n AS (SELECT upper(keyword) AS input FROM words UNIO
 REVIEWED = """q AS (SELECT o_orderpriority AS p, CASE WHEN o_orderstatus = 'F' THEN 'existing_job' ELSE 'new_family' END AS route_status FROM orders),
 r AS (SELECT route_status, CASE WHEN route_status = 'existing_job' THEN 'auto_merged' WHEN p = '1-URGENT' THEN 'confirmed' WHEN p = '2-HIGH' THEN 'rejected' ELSE 'pending' END AS status FROM q)"""
 
+def _drawn(*of: str) -> str:
+    return f"((('0x' || substr(md5(concat_ws('|', {', '.join(of)})), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+
+
+_head, _tail = O._dense(True).rsplit("\nSELECT month, month_index", 1)
+_DENSE_CTE = f"{_head},\ndense AS (SELECT month, month_index{_tail})"
+
 FLOW_SQL = {
     "truncated_texts": "SELECT doc_id, CASE WHEN length(text) > 30 THEN substr(text, 1, 30) || '...' ELSE text END AS text FROM documents",
     "sentence_units": rf"""WITH c AS (SELECT doc_id::VARCHAR AS job_id, trim(regexp_replace(coalesce(source, ''), '{BLANK}', ' ', 'g')) AS title, trim(regexp_replace(coalesce(text, ''), '{BLANK}', ' ', 'g')) AS t FROM documents),
@@ -107,4 +114,28 @@ c AS (SELECT standard_job, s AS skill, count(*) AS n FROM e JOIN dic ON contains
     "stream_folders_read": O.base(False) + "\nSELECT standard_job, count(*) AS n_new, true AS most_left_alone FROM post WHERE length(job_id) = 1 GROUP BY ALL",
     "stream_effects": O.ORACLE_EFFECTS,
     "stream_monthly_counts": "SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "broken_json_lines": """SELECT CASE WHEN p_partkey % 97 = 0 THEN '{"p_partkey":' ELSE 'no JSON ' END || p_partkey AS text, true AS numbered FROM part WHERE p_partkey % 97 = 0 OR p_partkey % 89 = 0""",
+    "catalog_trend": O.trend("TRUE"),
+    "catalog_emerging_alerts": O.ORACLE_SQL["emerging_alerts"],
+    "catalog_deprecated_alerts": O.ORACLE_SQL["deprecated_alerts"],
+    "analysis_bundle": O.base(True, O.COUNTS, O._calendar(), O.DEMAND, _DENSE_CTE)
+    + """\nSELECT 'job_demand' AS "table", standard_job, month, '' AS skill, monthly_jd_count AS n, cumulative_jd_count AS total FROM demand UNION ALL SELECT 'skill_frequency', standard_job, month, skill, monthly_skill_count, cumulative_skill_count FROM dense
+UNION ALL SELECT 'rows', (SELECT min(month) FROM cal), (SELECT max(month) FROM cal), '', (SELECT count(*) FROM demand), (SELECT count(*) FROM dense) UNION ALL SELECT 'events', '', '', '', (SELECT count(*) FROM post), (SELECT count(DISTINCT skill) FROM dense)""",
+    "fallback_in_batches": """WITH p AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS w FROM part), d AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part)
+SELECT p_partkey, w AS skill_keyword, upper(w) AS normalized_skill, CASE WHEN length(w) > 4 THEN substr(w, 1, 1) ELSE 'fits' END AS kg_display_skill, CASE WHEN length(w) > 4 THEN 'skill_keyword_dictionary_exact' ELSE 'asked' END AS normalization_method FROM p""",
+    "current_profile_kept": O.profiles("SELECT standard_job, skill, month AS source_month, 'system' AS source_type, '2026-01-01T00:00:00+00:00' AS profile_generated_at FROM curp", True),
+    "synthetic_resumes": O.profiles(
+        f""", l AS (SELECT standard_job, skill, arg_max(cumulative_skill_frequency, month) AS f, arg_max(cumulative_skill_count, month) AS c FROM snaps WHERE cumulative_skill_count > 0 GROUP BY ALL),
+feed AS (SELECT standard_job, skill, row_number() OVER (PARTITION BY standard_job ORDER BY f DESC, c DESC, skill) AS place FROM l QUALIFY place <= 18),
+res AS (SELECT standard_job, standard_job || '-' || lpad(n::VARCHAR, 6, '0') AS resume_id FROM (SELECT DISTINCT standard_job FROM feed), range(20) r(n)),
+own AS (SELECT res.*, skill, row_number() OVER (PARTITION BY resume_id ORDER BY -ln({_drawn("42", "resume_id", "skill")}) / (1.0::DOUBLE / place), skill) AS n, count(*) OVER (PARTITION BY resume_id) AS size FROM res JOIN feed USING (standard_job)),
+kept AS (SELECT * FROM own WHERE n <= ceil(size * 0.7::DOUBLE)),
+placed AS (SELECT skill, row_number() OVER (ORDER BY floor({_drawn("skill")} * 64)::INT, skill) - 1 AS spot FROM (SELECT DISTINCT skill FROM feed)),
+need AS (SELECT resume_id, standard_job, ceil(count(*) * 0.2::DOUBLE)::INT AS need FROM kept GROUP BY ALL),
+picks AS (SELECT resume_id, standard_job, floor({_drawn("43", "resume_id", "i")} * (SELECT count(*) FROM placed))::BIGINT AS spot FROM (SELECT *, unnest(generate_series(1, need)) AS i FROM need)),
+other AS (SELECT DISTINCT resume_id, standard_job, skill FROM picks JOIN placed USING (spot) WHERE (standard_job, skill) NOT IN (SELECT (standard_job, skill) FROM feed)),
+both_ AS (SELECT resume_id, standard_job, skill, 1 AS own FROM kept UNION ALL SELECT resume_id, standard_job, skill, 0 FROM other)
+SELECT resume_id, standard_job, array_to_string(list(skill ORDER BY skill), '; ') AS skills, sum(own)::BIGINT AS n_own, sum(1 - own)::BIGINT AS n_other FROM both_ GROUP BY ALL""",
+        True,
+    ),
 }

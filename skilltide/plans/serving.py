@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -198,19 +200,38 @@ def trend_view(lifecycle: DataFrame, migration: DataFrame) -> DataFrame:
 
 
 def emerging_alerts(trend: DataFrame) -> DataFrame:
-    return trend.where(F.col("lifecycle_status") == R.EMERGING)
+    return trend.where(F.col("lifecycle_status").isin(*ALERTS["emerging_skill_alerts"]))
 
 
 def deprecated_alerts(trend: DataFrame) -> DataFrame:
-    return trend.where(F.col("lifecycle_status").isin(R.DECLINING, R.ABANDONED))
+    return trend.where(F.col("lifecycle_status").isin(*ALERTS["deprecated_skill_alerts"]))
+
+
+#: The alerts of the read model, by the states that they take from the trend view.
+ALERTS = {"emerging_skill_alerts": (R.EMERGING,), "deprecated_skill_alerts": (R.DECLINING, R.ABANDONED)}
 
 
-def create_views(lifecycle: DataFrame, migration: DataFrame) -> None:
-    """The read model as temporary views."""
-    trend = trend_view(lifecycle, migration)
-    trend.createOrReplaceTempView("job_skill_trend")
-    emerging_alerts(trend).createOrReplaceTempView("emerging_skill_alerts")
-    deprecated_alerts(trend).createOrReplaceTempView("deprecated_skill_alerts")
+def publish(spark: SparkSession, database: str, tables: dict[str, DataFrame]) -> None:
+    """Tables in the catalog under their names, each as a view on a table of its own that is whole.
+
+    A view is switched in one step, so that a reader sees the old rows or the new ones. The table
+    that it showed before stays for those who read it, until the next publication.
+    """
+    for name, rows in tables.items():
+        own = f"{name}__{time.time_ns():020d}"
+        rows.write.format("parquet").saveAsTable(f"{database}.`{own}`")
+        spark.sql(f"CREATE OR REPLACE VIEW {database}.`{name}` AS SELECT * FROM {database}.`{own}`")
+        held = sorted(t.name for t in spark.catalog.listTables(database) if t.name.startswith(f"{name}__") and t.tableType != "VIEW")
+        for old in held[:-2]:
+            spark.sql(f"DROP TABLE {database}.`{old}`")
+
+
+def publish_views(spark: SparkSession, database: str, lifecycle: DataFrame, migration: DataFrame) -> None:
+    """The read model in the catalog: job_skill_trend as a table, the alerts as views on it."""
+    publish(spark, database, {"job_skill_trend": trend_view(lifecycle, migration)})
+    for name, states in ALERTS.items():
+        listed = ", ".join(f"'{x}'" for x in states)
+        spark.sql(f"CREATE OR REPLACE VIEW {database}.{name} AS SELECT * FROM {database}.job_skill_trend WHERE lifecycle_status IN ({listed})")
 
 
 def profile_feed(snapshots: DataFrame, pool: DataFrame | None = None, top: int = 18) -> DataFrame:

@@ -635,5 +635,6 @@ def stream_late_month(spark, sf):
 
 @query
 def synthetic_resumes(spark, sf):
-    return resumes.synthetic_resumes(stored(serving.profile_feed(_snapshots(spark, sf, True)), "feed"), 20)
+    made = resumes.synthetic_resumes(stored(serving.profile_feed(_snapshots(spark, sf, True)), "feed"), 20)
+    return made.withColumn("skills", F.array_join("skills", "; "))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import queries as Q
 from .functions import text as T
-from .operators import extract, frequency, profile, routing
+from .operators import extract, frequency, lifecycle, migration, profile, routing
 from .plans import government, reviews, serving
 from .queries import query
 from .schemas import FREQUENCY, text_like
@@ -321,6 +321,79 @@ def dictionary_digest(spark, sf):
     return readers.dictionary_digest(Q._dictionary(spark, sf))
 
 
+@query
+def broken_json_lines(spark, sf):
+    path = shared_folder(spark, "broken")
+    part = testdata.table(spark, sf, "part").select("p_partkey", "p_name", "p_size")
+    whole, key = F.to_json(F.struct("p_partkey", "p_name", "p_size")), F.col("p_partkey")
+    line = F.when(key % 97 == 0, F.concat(F.lit('{"p_partkey":'), "p_partkey")).when(key % 89 == 0, F.concat(F.lit("no JSON "), "p_partkey")).when(key % 83 == 0, F.lit("  ")).otherwise(whole)
+    part.select(line.alias("value")).write.text(path)
+    return readers.broken_lines(spark, path, "p_partkey bigint, p_name string, p_size int").select("text", (F.col("line") > 0).alias("numbered"))
+
+
+def _published(spark, sf):
+    """A database of its own with the read model, published twice."""
+    path = shared_folder(spark, "catalog")
+    database = "read_model_" + path.rsplit("-", 1)[1]
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{path}'")
+    f = Q.stored(Q.freq(spark, sf), "frequency")
+    life, moved = lifecycle.monthly_lifecycle(f, None, "1998-06").drop("lifecycle_reason"), migration.migration(f)
+    serving.publish_views(spark, database, life.limit(0), moved)
+    serving.publish_views(spark, database, life, moved)
+    return database
+
+
+@query
+def catalog_trend(spark, sf):
+    return spark.sql(f"SELECT {', '.join(Q.TREND)} FROM {_published(spark, sf)}.job_skill_trend")
+
+
+@query
+def catalog_emerging_alerts(spark, sf):
+    return spark.sql(f"SELECT {', '.join(Q.TREND)} FROM {_published(spark, sf)}.emerging_skill_alerts")
+
+
+@query
+def catalog_deprecated_alerts(spark, sf):
+    return spark.sql(f"SELECT {', '.join(Q.TREND)} FROM {_published(spark, sf)}.deprecated_skill_alerts")
+
+
+@query
+def analysis_bundle(spark, sf):
+    """Both tables and the quality figures of one pass over the events."""
+    found = frequency.analysis(testdata.events(spark, sf, True), testdata.taxonomy(spark, sf, True), universe=testdata.universe(spark, sf, True))
+    row = lambda df, name, job, month, skill, n, total: df.select(F.lit(name).alias("table"), *(F.col(c).alias(a) if c else F.lit("").alias(a) for c, a in ((job, "standard_job"), (month, "month"), (skill, "skill"))), F.col(n).alias("n"), F.col(total).alias("total"))
+    parts = [
+        row(found.job_demand, "job_demand", "standard_job", "month", "", "monthly_jd_count", "cumulative_jd_count"), row(found.skill_frequency, "skill_frequency", "standard_job", "month", "skill", "monthly_skill_count", "cumulative_skill_count"),
+        row(found.quality, "rows", "month_start", "month_end", "", "job_demand_rows", "skill_frequency_rows"), row(found.quality, "events", "unknown_standard_jobs", "jobs_without_events", "", "event_stream_rows", "unique_event_skills"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query
+def fallback_in_batches(spark, sf):
+    """Unresolved words asked in groups of ten at most, then once more, when nothing may be asked."""
+    rows = testdata.table(spark, sf, "part").select("p_partkey", F.lit("").alias("normalized_skill_candidate"), F.lit("").alias("dictionary_skill_keyword"), F.element_at(F.split("p_name", " "), 1).alias("skill_keyword"), F.lit("").alias("span_text"))
+    cache = shared_folder(spark, "answers")
+
+    def ask(words):
+        size = "fits" if len(words) <= 10 else "too many"
+        return [{"skill_keyword": w, "normalized_skill": w.upper(), "kg_display_skill": size, "normalization_status": "new_skill_candidate", "normalization_method": "asked", "normalization_confidence": 0.7} for w in words]
+
+    def never(words):
+        raise ValueError(f"asked again: {words}")
+
+    names = ["p_partkey", "skill_keyword", "normalized_skill", "kg_display_skill", "normalization_method"]
+    extract.normalize_with(rows, Q._dictionary(spark, sf), extract.batched_fallback(ask, cache, 10)).count()
+    return extract.normalize_with(rows, Q._dictionary(spark, sf), extract.batched_fallback(never, cache, 10)).select(*names)
+
+
+@query
+def current_profile_kept(spark, sf):
+    current = profile.current_snapshots(Q.freq(spark, sf), testdata.families(spark, sf, True))
+    return profile.profile_columns(current, "2026-01-01T00:00:00+00:00").select("standard_job", "skill", "source_month", "source_type", "profile_generated_at")
+
+
 # streams
 
 

@@ -79,6 +79,31 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str)
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
+def broken_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """file, line (from 1) and text of lines that are no JSON of the schema; empty lines are passed over.
+
+    Files are read in splits. A line knows its split and its place in it; the counts of the splits
+    before, of which there are few, make it the place in the file.
+    """
+    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    marked = T.StructType([*kind.fields, T.StructField("_broken", T.StringType())])
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    splits = rows.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parsed = F.from_json("value", marked, {"columnNameOfCorruptRecord": "_broken"})
+    broken = rows.where("trim(value) <> ''").where(parsed.isNull() | parsed["_broken"].isNotNull())
+    found = broken.join(splits.withColumn("before", before), ["file", "start"])
+    return found.select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), F.col("value").alias("text"))
+
+
+def checked_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """As read_json_lines(), but all lines are looked at first, and an error names the first broken one."""
+    first = broken_lines(spark, path, schema).orderBy("file", "line").limit(1).collect()
+    if first:
+        raise ValueError(f"{first[0]['file']}, line {first[0]['line']}: no JSON of the schema: {first[0]['text'][:200]}")
+    return read_json_lines(spark, path, schema)
+
+
 def read_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines, Parquet or CSV, by the end of the name."""
     if path.endswith((".jsonl", ".json")):
@@ -86,11 +111,11 @@ def read_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return schemas.conform(spark.read.parquet(path), schema) if path.endswith(".parquet") else read_csv(spark, path, schema)
 
 
-def read_cache(spark: SparkSession, path: str, schema: T.StructType, key: str, order: str) -> DataFrame:
-    """An append-only JSON cache: the last entry of each key by order."""
+def read_cache(spark: SparkSession, path: str, schema: T.StructType, key: str | list[str], order: str) -> DataFrame:
+    """An append-only JSON cache: the last entry of each key, a column or several, by order."""
     if not exists(spark, path):
         return schemas.empty(spark, schema)
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    rank = F.row_number().over(Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(F.desc(order)))
     return read_json_lines(spark, path, schema).withColumn("_n", rank).where("_n = 1").drop("_n")
 
 
