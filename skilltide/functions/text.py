@@ -40,6 +40,11 @@ def month_number(month: Column) -> Column:
     return F.substring(month, 1, 4).cast("int") * 12 + F.substring(month, 6, 2).cast("int") - 1
 
 
+def month_text(number: Column) -> Column:
+    """The month of a month_number()."""
+    return F.concat_ws("-", F.lpad((number / 12).cast("int").cast("string"), 4, "0"), F.lpad((number % 12 + 1).cast("int").cast("string"), 2, "0"))
+
+
 def is_month(c: Column) -> Column:
     return c.rlike(r"^\d{4}-(0[1-9]|1[0-2])$")
 

@@ -48,13 +48,15 @@ def monthly_skill_count(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy(*CELL, "skill").agg(F.countDistinct("job_id").alias("monthly_skill_count"))
 
 
-def posting_counts(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+def posting_counts(events: DataFrame, unique: bool = False) -> tuple[DataFrame, DataFrame]:
     """monthly_jd_count() and monthly_skill_count() of events in one pass: an event counts for its cell and for each of its skills.
 
-    The counts are stored: what follows reads them several times, and they are small against the events.
+    unique: each job_id has one event, as an EventStore's have; then rows are counted where they are
+    read, else every mention is shuffled to tell job_ids apart. The counts are stored: what follows
+    reads them several times, and they are small against the events.
     """
     rows = events.select("job_id", *CELL, F.explode(F.concat(F.array(F.lit(None).cast("string")), F.filter(F.array_distinct("skills"), lambda x: x.isNotNull()))).alias("skill"))
-    counted = stored(rows.groupBy(*CELL, "skill").agg(F.countDistinct("job_id").alias("n")), "posting-counts")
+    counted = stored(rows.groupBy(*CELL, "skill").agg((F.count("*") if unique else F.countDistinct("job_id")).alias("n")), "posting-counts")
     cells = counted.where("skill IS NULL").select(*CELL, F.col("n").alias("monthly_jd_count"))
     return cells, counted.where("skill IS NOT NULL").select(*CELL, "skill", F.col("n").alias("monthly_skill_count"))
 
@@ -85,13 +87,38 @@ def with_frequencies(grid: DataFrame, scale: int = 1_000_000) -> DataFrame:
 COLUMNS = ["month", "standard_job", "skill", "monthly_jd_count", "monthly_skill_count", "monthly_skill_frequency", "cumulative_jd_count", "cumulative_skill_count", "cumulative_skill_frequency"]
 
 
-def monthly_frequency(events: DataFrame) -> DataFrame:
+def active_frequency(cells: DataFrame, counts: DataFrame) -> DataFrame:
+    """The rows of monthly_frequency() with mentions in their month, of posting_counts(): no grid is made for them."""
+    return with_frequencies(counts.join(with_cumulative_jd(cells), CELL)).select(*COLUMNS)
+
+
+def latest_frequency(cells: DataFrame, counts: DataFrame) -> DataFrame:
+    """The rows of monthly_frequency() of each job's last month, of posting_counts(): sums, without a grid."""
+    last = cells.groupBy("standard_job").agg(F.max("month").alias("last"), F.max_by("monthly_jd_count", "month").alias("monthly_jd_count"), F.sum("monthly_jd_count").alias("cumulative_jd_count"))
+    n = F.col("monthly_skill_count")
+    sums = counts.groupBy(*PAIR).agg(F.max_by(n, "month").alias("n"), F.max("month").alias("m"), F.sum(n).alias("cumulative_skill_count"))
+    rows = sums.join(last, "standard_job").withColumn("monthly_skill_count", F.when(F.col("m") == F.col("last"), F.col("n")).otherwise(F.lit(0).cast("long")))
+    ratios = {f"{k}_skill_frequency": ratio(F.col(f"{k}_skill_count"), F.col(f"{k}_jd_count"), 1_000_000) for k in ("monthly", "cumulative")}
+    return rows.withColumn("month", F.col("last")).withColumns(ratios).select(*COLUMNS)
+
+
+def job_totals(cells: DataFrame, as_of: str | None = None) -> DataFrame:
+    """standard_job, as_of and total_jd_count: postings up to a given month, or up to each job's last."""
+    rows = cells.where(F.col("month") <= as_of) if as_of else cells
+    return rows.groupBy("standard_job").agg((F.lit(as_of) if as_of else F.max("month")).alias("as_of"), F.sum("monthly_jd_count").alias("total_jd_count"))
+
+
+def monthly_frequency(events: DataFrame, unique: bool = False) -> DataFrame:
     """A row for each month of a job with postings and each skill that it has had up to then.
 
     Jobs without any skill have no rows. The grid is an equi join on the job with a range on the
-    month, so that its size is that of the result; nothing is made dense.
+    month, so that its size is that of the result; nothing is made dense. unique: see posting_counts().
     """
-    cells, counts = posting_counts(valid_events(events))
+    return frequency_grid(*posting_counts(valid_events(events), unique))
+
+
+def frequency_grid(cells: DataFrame, counts: DataFrame) -> DataFrame:
+    """monthly_frequency() of posting_counts()."""
     cells = with_cumulative_jd(cells)
     first = first_months(counts).withColumnRenamed("standard_job", "_job")
     grid = cells.join(first, (F.col("standard_job") == F.col("_job")) & (F.col("month") >= F.col("first_month"))).drop("_job", "first_month")
@@ -120,12 +147,12 @@ def _demand(postings: DataFrame, taxonomy: DataFrame, months: DataFrame) -> Data
     return with_cumulative_jd(grid).select("standard_job", "standard_category", "month", "month_index", "monthly_jd_count", "cumulative_jd_count", F.when(F.col("monthly_jd_count") > 0, "yes").otherwise("no").alias("is_active_month"))
 
 
-def dense_frequency(events: DataFrame, taxonomy: DataFrame, start: str | None = None, end: str | None = None, universe: DataFrame | None = None) -> DataFrame:
+def dense_frequency(events: DataFrame, taxonomy: DataFrame, start: str | None = None, end: str | None = None, universe: DataFrame | None = None, unique: bool = False) -> DataFrame:
     """All observed skills of each job, with those of universe (standard_job, skill), by all calendar months.
 
     Ratios have four places. Jobs outside the taxonomy stay, with an empty category.
     """
-    postings, counts = posting_counts(valid_events(events))
+    postings, counts = posting_counts(valid_events(events), unique)
     return _dense(postings, counts, _pairs(counts, universe), taxonomy, calendar(events, start, end))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import rules as R
-from ..functions.text import clean_text, month_number, ratio_change
+from ..functions.text import clean_text, month_number, month_text, ratio, ratio_change
 
 PAIR = ["standard_job", "skill"]
 
@@ -28,20 +28,21 @@ def pool_lookup(skills: DataFrame, pool: DataFrame, columns: list[str]) -> DataF
     return joined.withColumns({c: F.coalesce(c, F.lit("")) for c in columns})
 
 
-def coverage(frequency: DataFrame, as_of: str | None = None) -> DataFrame:
-    """By skill, case aside: jobs with it up to the overall as-of month, in its last three months and the three before."""
+def coverage(frequency: DataFrame, as_of: str | None = None, jobs: DataFrame | None = None) -> DataFrame:
+    """By skill, case aside: jobs with it up to the overall as-of month, in its last three months and the three before.
+
+    The overall month is the given one, else the last of jobs (standard_job, as_of) with any skill, else that of frequency.
+    """
     if as_of:
         seen = frequency.where("monthly_skill_count > 0").withColumn("top", month_number(F.lit(as_of)))
     else:
-        top = frequency.agg(month_number(F.max("month")).alias("top"))
+        top = frequency.agg(month_number(F.max("month")).alias("top")) if jobs is None else jobs.join(frequency.select("standard_job").distinct(), "standard_job", "left_semi").agg(month_number(F.max("as_of")).alias("top"))
         seen = frequency.where("monthly_skill_count > 0").join(F.broadcast(top))  # one row
     away = F.col("top") - month_number(F.col("month"))
-    count = lambda low, high: F.countDistinct(F.when(away.between(low, high), F.col("standard_job")))
-    out = seen.where(away >= 0).groupBy(F.lower("skill").alias("skill_key")).agg(
-        F.countDistinct("standard_job").alias("covered_job_count"),
-        count(0, 2).alias("recent_3m_covered_job_count"),
-        count(3, 5).alias("prev_3m_covered_job_count"),
-    )
+    # a row for each skill and job first, so that rows are put together where they are read
+    within = lambda low, high, name: F.max(away.between(low, high).cast("int")).alias(name)
+    by_job = seen.where(away >= 0).groupBy(F.lower("skill").alias("skill_key"), "standard_job").agg(within(0, 2, "recent"), within(3, 5, "before"))
+    out = by_job.groupBy("skill_key").agg(F.count("*").alias("covered_job_count"), F.sum("recent").alias("recent_3m_covered_job_count"), F.sum("before").alias("prev_3m_covered_job_count"))
     return out.withColumn("recent_3m_covered_job_count_change", F.col("recent_3m_covered_job_count") - F.col("prev_3m_covered_job_count"))
 
 
@@ -51,23 +52,27 @@ def pair_windows(frequency: DataFrame, as_of: DataFrame) -> DataFrame:
     Months without a row count 0, and cumulative values carry on, so no timeline is filled in:
     windows are sums by distance to the as-of month. The deviation over the last six months
     counts the months since the pair's first row, in millionths and integers, so that it is exact.
+    With total_jd_count in as_of, a job's postings up to then, rows with mentions are enough:
+    months without one add nothing but postings.
     """
+    whole = "total_jd_count" not in as_of.columns
     rows = frequency.join(as_of, "standard_job").withColumn("away", month_number(F.col("as_of")) - month_number(F.col("month"))).where("away >= 0")
     n, away = F.col("monthly_skill_count"), F.col("away")
     within = lambda low, high, value: F.coalesce(F.sum(F.when(away.between(low, high), value)), F.lit(0)).cast("long")
-    seen = F.when(n > 0, F.col("month"))
+    seen = F.when(n > 0, away)
     millionths = F.round(F.col("monthly_skill_frequency") * 1_000_000).cast("long")
-    last = lambda c: F.max_by(c, "month")
+    last = lambda c: F.min_by(c, "away")
     at = lambda distance, c: F.coalesce(F.max(F.when(away == distance, F.col(c))), F.lit(0).cast(frequency.schema[c].dataType))
+    # months count as numbers, which an aggregate can hold in place
     out = rows.groupBy(*PAIR, "as_of").agg(
-        F.min(seen).alias("first_seen_month"),
-        F.max(seen).alias("last_seen_month"),
+        F.max(seen).alias("_first"),
+        F.min(seen).alias("_last"),
         F.least(F.lit(6), F.max("away") + 1).alias("_months"),
         at(0, "monthly_skill_count").alias("current_monthly_skill_count"),
         at(0, "monthly_skill_frequency").alias("current_monthly_skill_frequency"),
         at(1, "monthly_skill_frequency").alias("previous_monthly_skill_frequency"),
         last("cumulative_skill_count").alias("cumulative_skill_count"),
-        last("cumulative_skill_frequency").alias("cumulative_skill_frequency"),
+        (last("cumulative_skill_frequency") if whole else ratio(F.sum(n), F.max("total_jd_count"))).alias("cumulative_skill_frequency"),
         within(0, 2, n).alias("recent_3m_skill_count"),
         within(0, 5, n).alias("recent_6m_skill_count"),
         within(0, 2, (n > 0).cast("int")).alias("recent_3m_active_months"),
@@ -76,17 +81,18 @@ def pair_windows(frequency: DataFrame, as_of: DataFrame) -> DataFrame:
         within(6, 11, n).alias("prev_6m_skill_count"),
         within(0, 5, millionths).alias("_s1"),
         within(0, 5, millionths * millionths).alias("_s2"),
-    ).where("first_seen_month IS NOT NULL")
+    ).where("_first IS NOT NULL")
+    out = out.withColumns({f"{end}_seen_month": month_text(month_number(F.col("as_of")) - F.col(f"_{end}")) for end in ("first", "last")})
     deviation = F.when(F.col("_months") > 1, F.sqrt((F.col("_months") * F.col("_s2") - F.col("_s1") * F.col("_s1")).cast("double")) / F.col("_months") / 1_000_000).otherwise(0.0)
     return out.withColumns(
         {
-            "age_months": month_number(F.col("as_of")) - month_number(F.col("first_seen_month")) + 1,
-            "months_since_last_seen": month_number(F.col("as_of")) - month_number(F.col("last_seen_month")),
+            "age_months": F.col("_first") + 1,
+            "months_since_last_seen": F.col("_last"),
             "mom_frequency_change": ratio_change(F.col("current_monthly_skill_frequency"), F.col("previous_monthly_skill_frequency")),
             "recent_3m_vs_prev_3m_change": ratio_change(F.col("recent_3m_skill_count").cast("double"), F.col("prev_3m_skill_count").cast("double")),
             "recent_6m_frequency_stddev": deviation,
         }
-    ).drop("_months", "_s1", "_s2", "previous_monthly_skill_frequency")
+    ).drop("_months", "_s1", "_s2", "_first", "_last", "previous_monthly_skill_frequency")
 
 
 def monthly_status(rules: R.LifecycleRules) -> tuple[Column, Column]:
@@ -107,10 +113,13 @@ def monthly_status(rules: R.LifecycleRules) -> tuple[Column, Column]:
     return status, reason
 
 
-def monthly_lifecycle(frequency: DataFrame, pool: DataFrame | None = None, as_of: str | None = None, rules: R.LifecycleRules = R.LifecycleRules()) -> DataFrame:
-    """The life-cycle table: pairs seen by the as-of month, with windows, coverage, status and reason."""
-    windows = pair_windows(frequency, job_as_of_months(frequency, as_of))
-    covered = coverage(frequency, as_of)
+def monthly_lifecycle(frequency: DataFrame, pool: DataFrame | None = None, as_of: str | None = None, rules: R.LifecycleRules = R.LifecycleRules(), jobs: DataFrame | None = None) -> DataFrame:
+    """The life-cycle table: pairs seen by the as-of month, with windows, coverage, status and reason.
+
+    With jobs, which are frequency.job_totals() for the same as_of, frequency needs only its rows with mentions.
+    """
+    windows = pair_windows(frequency, job_as_of_months(frequency, as_of) if jobs is None else jobs)
+    covered = coverage(frequency, as_of, jobs)
     joined = windows.join(covered, F.lower("skill") == F.col("skill_key"), "left").drop("skill_key").na.fill(0, [c for c in covered.columns if c != "skill_key"])
     status, reason = monthly_status(rules)
     named = joined.withColumns({"lifecycle_status": status, "lifecycle_reason": reason}).withColumnRenamed("as_of", "month")

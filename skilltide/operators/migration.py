@@ -86,7 +86,7 @@ def _interpretation(kind: Column) -> tuple[Column, Column]:
 
 
 def migration(frequency: DataFrame, pool: DataFrame | None = None, mentions: int = 2) -> DataFrame:
-    """One row for each skill: first and spread jobs, plain and confirmed, peak, totals and confidence."""
+    """One row for each skill: first and spread jobs, plain and confirmed, peak, totals and confidence. Rows with mentions are enough."""
     start = frequency.agg(F.min("month").alias("data_start_month"))  # one row
     seen = active(frequency).select("skill", "standard_job", "month", "monthly_skill_count", "cumulative_skill_count")
     sure = F.min(F.when(F.col("cumulative_skill_count") >= max(1, mentions), F.col("month")))  # mentions in all, as the table has them
@@ -94,9 +94,9 @@ def migration(frequency: DataFrame, pool: DataFrame | None = None, mentions: int
     months = seen.groupBy("skill", "month").agg(F.count("*").alias("covered"))  # a pair has a row for each of its months
     wide = months.groupBy("skill").agg(F.max("month").alias("latest_seen_month"), F.max_by("covered", "month").alias("latest_covered_job_count"), F.max(F.struct("covered", "month")).alias("peak"))
     wide = wide.select("*", F.col("peak.covered").alias("peak_monthly_covered_job_count"), F.col("peak.month").alias("peak_monthly_covered_job_month")).drop("peak")
-    totals = pairs.groupBy("skill").agg(F.sum("n").alias("total_skill_mentions"))
+    wide = wide.join(pairs.groupBy("skill").agg(F.sum("n").alias("total_skill_mentions")), "skill")
     confirmed = _paths(pairs.where("sure IS NOT NULL"), "sure", "confirmed_").drop("confirmed_all_standard_jobs")
-    out = _paths(pairs, "first", "").join(totals, "skill").join(wide, "skill").join(confirmed, "skill", "left").join(F.broadcast(start))
+    out = _paths(pairs, "first", "").join(wide, "skill").join(confirmed, "skill", "left").join(F.broadcast(start))
     texts = {c: F.coalesce(c, F.lit("")) for c in ("confirmed_first_seen_month", "confirmed_first_seen_standard_jobs", "confirmed_spread_standard_jobs", "confirmed_migration_path")}
     counts = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("confirmed_first_seen_job_count", "confirmed_cumulative_covered_job_count", "confirmed_spread_job_count")}
     out = out.withColumns(texts | counts | {"confirmation_min_job_mentions": F.lit(mentions), "is_left_censored": F.when(F.col("first_seen_month") == F.col("data_start_month"), "1").otherwise("0")}).drop("data_start_month")
@@ -105,14 +105,26 @@ def migration(frequency: DataFrame, pool: DataFrame | None = None, mentions: int
     return out.withColumns({"migration_confidence": confidence, "migration_interpretation": text})
 
 
-def spread(frequency: DataFrame, pool: DataFrame | None = None) -> DataFrame:
-    """One row for each skill, job and month: changes against the row before, coverage and first flags."""
-    start = frequency.agg(F.min("month").alias("data_start_month"))
-    order = Window.partitionBy("skill", "standard_job").orderBy("month")
+def spread(frequency: DataFrame, pool: DataFrame | None = None, mentioned: DataFrame | None = None) -> DataFrame:
+    """One row for each skill, job and month: changes against the row before, coverage and first flags.
+
+    A pair's first month comes from the window that changes need anyway; of what is counted over jobs
+    there is a row for each skill and month, and one for each skill. These are made of mentioned, the
+    rows of frequency with mentions, for callers who have them (skill, standard_job, month,
+    monthly_skill_count) without the rest; then frequency is read once.
+    """
+    said = active(frequency if mentioned is None else mentioned)
+    pair = Window.partitionBy("skill", "standard_job")
+    order = pair.orderBy("month")
     change = lambda c: F.col(c) - F.lag(c, 1, 0.0).over(order)
-    rows = frequency.withColumns({"monthly_frequency_change": change("monthly_skill_frequency"), "cumulative_frequency_change": change("cumulative_skill_frequency")})
-    rows = rows.join(skill_job_first_month(frequency), ["skill", "standard_job"], "left").join(skill_first_month(frequency), "skill", "left")
-    rows = rows.join(monthly_coverage(frequency), ["skill", "month"], "left").join(cumulative_coverage(frequency), ["skill", "month"], "left").join(F.broadcast(start))
+    has = F.col("monthly_skill_count") > 0
+    rows = frequency.withColumns({"monthly_frequency_change": change("monthly_skill_frequency"), "cumulative_frequency_change": change("cumulative_skill_frequency"), "job_first_seen_month": F.min(F.when(has, F.col("month"))).over(pair)})
+    firsts = said.groupBy("skill", "standard_job").agg(F.min("month").alias("month")).groupBy("skill", "month").agg(F.count("*").alias("new"))
+    months = said.groupBy("skill", "month").agg(F.count("*").alias("covered_job_count_this_month")).join(firsts, ["skill", "month"], "left")
+    upto = Window.partitionBy("skill").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    months = months.select("skill", "month", "covered_job_count_this_month", F.sum(F.coalesce("new", F.lit(0))).over(upto).alias("cumulative_covered_job_count"))
+    start = said.agg(F.min("month").alias("data_start_month"))  # a job's rows begin with a mention
+    rows = rows.join(months, ["skill", "month"], "left").join(skill_first_month(said), "skill", "left").join(F.broadcast(start))
     flag = lambda c: F.when(c, "1").otherwise("0")
     zero = F.lit(0).cast("long")
     out = rows.withColumns(

@@ -21,39 +21,57 @@ def with_family(mentions: DataFrame, universe: DataFrame, strict: bool = True) -
     return out.select("*", F.coalesce(family, F.lit("")).alias("kg_display_skill"), F.coalesce("f.skill_stage", F.lit("")).alias("skill_type")).drop("f")
 
 
+def mentions_by_job(mentions: DataFrame) -> DataFrame:
+    """Mentions (skill, standard_job, row_order, at) by skill as it is spelt and job: the first of all, those of the first and last month, and counts.
+
+    at: a mention's month, place and job_id; once: whether it is its event's first of the skill, case aside.
+    """
+    return mentions.groupBy("skill", "standard_job").agg(F.min("row_order").alias("o"), F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n"), F.count_if("once").alias("n_once"))
+
+
 def fold(rows: DataFrame) -> DataFrame:
-    """Pool rows from mentions with month, job_id, row_order, standard_job, standard_category, source and family.
+    """Pool rows from mentions_by_job() with standard_category, source and family.
 
-    Numbers, first and last months are partial aggregates; of the last month the last row counts,
-    of the first the first. Lists keep the order of first mention, jobs and categories being few;
-    lists of all job ids are left to mention_jobs(), since a skill's can be of any length.
+    Of the last month the last mention counts, of the first the first. Lists keep the order of
+    first mention, jobs and categories being few; lists of all job ids are left to mention_jobs(),
+    since a skill's can be of any length.
     """
     key = F.lower("skill").alias("skill_key")
-    at = F.struct("month", "row_order")
+    listed = lambda c: F.array_sort(F.collect_list(F.struct("o", F.col(c).alias("x"))))
+    names = {"standard_category": "standard_categories", "standard_job": "standard_jobs", "source": "sources"}
     base = rows.groupBy(key).agg(
-        F.min_by("skill", "row_order").alias("normalized_skill"),
-        F.min_by("kg_display_skill", "row_order").alias("kg_display_skill"),
-        F.min_by("skill_type", "row_order").alias("skill_type"),
-        F.min("month").alias("first_seen_month"),
-        F.max("month").alias("last_seen_month"),
-        F.min_by("job_id", at).alias("first_seen_job_id"),
-        F.max_by("job_id", at).alias("last_seen_job_id"),
-        F.count("*").alias("mention_count"),
-        F.countDistinct("job_id").alias("source_count"),
+        F.min_by("skill", "o").alias("normalized_skill"),
+        F.min_by("kg_display_skill", "o").alias("kg_display_skill"),
+        F.min_by("skill_type", "o").alias("skill_type"),
+        F.min("first").alias("_first"),
+        F.max("last").alias("_last"),
+        F.sum("n").alias("mention_count"),
+        F.sum("n_once").alias("source_count"),
+        *(listed(c).alias(name) for c, name in names.items()),
     )
-    for column, name in (("standard_category", "standard_categories"), ("standard_job", "standard_jobs"), ("source", "sources")):
-        firsts = rows.groupBy(key, column).agg(F.min("row_order").alias("o")).groupBy("skill_key").agg(F.array_sort(F.collect_list(F.struct("o", column))).alias("l"))
-        base = base.join(firsts.select("skill_key", join_list(distinct_by_case(F.col(f"l.{column}"))).alias(name)), "skill_key", "left")
-    return base
-
-
-def skill_pool(events: DataFrame, categories: DataFrame, universe: DataFrame, source: str = "base_event_stream", strict: bool = True) -> DataFrame:
-    """The pool of an event stream; categories: standard_job, standard_category. Events may have row_order, else they go by month and job_id."""
-    order = F.col("row_order") if "row_order" in events.columns else F.struct("month", "job_id")
-    stamped = events.select("job_id", "month", "standard_job", "skills", order.alias("row_order"))
-    mentions = valid_events(stamped).select("job_id", "month", "standard_job", "row_order", F.explode(F.array_distinct("skills")).alias("skill")).where("skill <> ''")
-    named = with_family(mentions, universe, strict).join(categories.select("standard_job", "standard_category").distinct(), "standard_job", "left")
-    return fold(named.withColumns({"standard_category": F.coalesce("standard_category", F.lit("")), "source": F.lit(source)}))
+    lists = {name: join_list(distinct_by_case(F.transform(name, lambda x: x["x"]))) for name in names.values()}
+    ends = {f"{end}_seen_{name}": F.col(f"_{end}")[c] for end in ("first", "last") for name, c in (("month", "month"), ("job_id", "job_id"))}
+    return base.withColumns(lists | ends).drop("_first", "_last")
+
+
+def skill_pool(events: DataFrame, categories: DataFrame, universe: DataFrame, source: str = "base_event_stream", strict: bool = True, unique: bool = False) -> DataFrame:
+    """The pool of an event stream; categories: standard_job, standard_category. Events may have row_order, else they go by month and job_id.
+
+    Mentions are aggregated by skill and job where they are read, and families are looked up for
+    what is left. Only the number of sources needs to tell job_ids apart; unique: each has one event.
+    """
+    in_turn = F.struct("month", "job_id")
+    order, at = (F.col("row_order"), F.struct("month", "row_order", "job_id")) if "row_order" in events.columns else (in_turn, in_turn)
+    skills = F.filter(F.array_distinct("skills"), lambda x: x != "")
+    keys = F.transform(skills, lambda x: F.lower(x))
+    told = F.transform(skills, lambda x, i: F.struct(x.alias("skill"), (F.array_position(keys, F.lower(x)) == i + 1).alias("once")))
+    mentions = valid_events(events).select("job_id", "standard_job", order.alias("row_order"), at.alias("at"), F.explode(told).alias("s")).select("*", "s.*").drop("s")
+    named = with_family(mentions_by_job(mentions), universe, strict).join(categories.select("standard_job", "standard_category").distinct(), "standard_job", "left")
+    pool = fold(named.withColumns({"standard_category": F.coalesce("standard_category", F.lit("")), "source": F.lit(source)}))
+    if unique:
+        return pool
+    sources = mentions.groupBy(F.lower("skill").alias("skill_key")).agg(F.countDistinct("job_id").alias("source_count"))
+    return pool.drop("source_count").join(sources, "skill_key")
 
 
 def alphabetical(pool: DataFrame) -> DataFrame:

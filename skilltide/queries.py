@@ -21,7 +21,12 @@ def query(f):
 
 
 def freq(spark: SparkSession, sf: str, sparse: bool = True) -> DataFrame:
-    return frequency.monthly_frequency(testdata.events(spark, sf, sparse))
+    return frequency.monthly_frequency(testdata.events(spark, sf, sparse), unique=True)
+
+
+def counts(spark: SparkSession, sf: str, sparse: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Postings by job and month, and by skill; an order is one event."""
+    return frequency.posting_counts(frequency.valid_events(testdata.events(spark, sf, sparse)), unique=True)
 
 
 
@@ -66,7 +71,7 @@ def demand_grid(spark, sf):
 
 @query
 def frequency_dense(spark, sf):
-    return frequency.dense_frequency(testdata.events(spark, sf), testdata.taxonomy(spark, sf))
+    return frequency.dense_frequency(testdata.events(spark, sf), testdata.taxonomy(spark, sf), unique=True)
 
 
 @query
@@ -105,8 +110,8 @@ def coverage_metrics(spark, sf):
 
 
 def _lifecycle(spark, sf, as_of=None):
-    f = stored(freq(spark, sf), "frequency")
-    return lifecycle.monthly_lifecycle(f, testdata.families(spark, sf, True), as_of).drop("lifecycle_reason")
+    cells, said = counts(spark, sf)
+    return lifecycle.monthly_lifecycle(frequency.active_frequency(cells, said), testdata.families(spark, sf, True), as_of, jobs=frequency.job_totals(cells, as_of)).drop("lifecycle_reason")
 
 
 @query
@@ -170,14 +175,13 @@ def migration_path(spark, sf):
 
 @query
 def skill_migration(spark, sf):
-    f = stored(freq(spark, sf), "frequency")
-    return migration.migration(f, testdata.families(spark, sf, True)).drop("migration_interpretation")
+    return migration.migration(frequency.active_frequency(*counts(spark, sf)), testdata.families(spark, sf, True)).drop("migration_interpretation")
 
 
 @query
 def skill_spread(spark, sf):
-    f = stored(freq(spark, sf), "frequency")
-    return migration.spread(f, testdata.families(spark, sf, True))
+    cells, said = counts(spark, sf)
+    return migration.spread(frequency.frequency_grid(cells, said), testdata.families(spark, sf, True), said)
 
 
 @query
@@ -213,7 +217,7 @@ def profile_diff(spark, sf):
 
 @query
 def current_profile(spark, sf):
-    return profile.current_snapshots(freq(spark, sf), testdata.families(spark, sf, True))
+    return profile.current_snapshots(frequency.latest_frequency(*counts(spark, sf)), testdata.families(spark, sf, True))
 
 
 @query
@@ -254,7 +258,7 @@ def skill_pool(spark, sf):
 
 
 def _pool(events, spark, sf):
-    return pool.skill_pool(events, testdata.taxonomy(spark, sf, True), testdata.universe(spark, sf, True))
+    return pool.skill_pool(events, testdata.taxonomy(spark, sf, True), testdata.universe(spark, sf, True), unique=True)
 
 
 @query
