@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from . import oracles as O
 from .operators.routing import NEW_FAMILY_RULES, POTENTIAL_JOB_RULES
 
@@ -30,6 +32,16 @@ NAMES = f"""{O.DICTIONARY}, n AS (SELECT upper(keyword) AS input FROM words UNIO
 REVIEWED = """q AS (SELECT o_orderpriority AS p, CASE WHEN o_orderstatus = 'F' THEN 'existing_job' ELSE 'new_family' END AS route_status FROM orders),
 r AS (SELECT route_status, CASE WHEN route_status = 'existing_job' THEN 'auto_merged' WHEN p = '1-URGENT' THEN 'confirmed' WHEN p = '2-HIGH' THEN 'rejected' ELSE 'pending' END AS status FROM q)"""
 
+#: The reasons of the life-cycle states, in the order of O.STATUS; numbers with two places are written as x.
+_WORDS = [
+    "'最近3个月未出现，距最后出现已' || months_since_last_seen || '个月，历史累计出现' || cumulative_skill_count || '次'", "'最近3个月出现' || recent_3m_skill_count || '次，低于前3个月' || prev_3m_skill_count || '次的一半'",
+    "'首次出现距今' || age_months || '个月，最近3个月出现' || recent_3m_skill_count || '次'", "'最近3个月相对前3个月增长x'", "'已持续' || age_months || '个月，近6个月活跃' || recent_6m_active_months || '个月，累计频率x'",
+    "'岗位样本较稀疏，但该技能长期累计高频，且观察月频率x'", "'最近3个月活跃' || recent_3m_active_months || '个月，最近3个月出现' || recent_3m_skill_count || '次'",
+]
+_parts = re.split(r"THEN '[^']*'", O.STATUS.rsplit(" ELSE ", 1)[0])
+_REASON = "".join(f"{p}{f'THEN {w}' if w else ''}" for p, w in zip(_parts, [*_WORDS, ""], strict=True)) + " ELSE '当前证据不足，最近3个月出现' || recent_3m_skill_count || '次，累计出现' || cumulative_skill_count || '次' END"
+
+
 def _drawn(*of: str) -> str:
     return f"((('0x' || substr(md5(concat_ws('|', {', '.join(of)})), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
 
@@ -138,4 +150,18 @@ both_ AS (SELECT resume_id, standard_job, skill, 1 AS own FROM kept UNION ALL SE
 SELECT resume_id, standard_job, array_to_string(list(skill ORDER BY skill), '; ') AS skills, sum(own)::BIGINT AS n_own, sum(1 - own)::BIGINT AS n_other FROM both_ GROUP BY ALL""",
         True,
     ),
+    "json_objects_in_texts": "SELECT p_partkey, p_name AS name, p_size AS size FROM part",
+    "government_events_from_csv": O.base(False) + "\nSELECT post.job_id, substr(any_value(post.month), 1, 4) AS recruitment_year, 'office' AS government_agency, '' AS route_status, count(DISTINCT skill)::INT AS n_skills FROM post LEFT JOIN said ON said.job_id = post.job_id GROUP BY post.job_id",
+    "taxonomy_from_csv": "SELECT n_name AS standard_job, r_name AS standard_category, unnest([lower(n_name), 'any']) AS keyword FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "catalog_table": "SELECT * FROM nation",
+    "versioned_run": "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY ALL",
+    "tables_through_csv": "SELECT n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation",
+    "pool_in_alphabetical_order": O.base(True) + "\nSELECT lower(skill) AS skill_key, string_agg(DISTINCT standard_job, '; ' ORDER BY standard_job) AS standard_jobs, string_agg(DISTINCT standard_category, '; ' ORDER BY standard_category) AS standard_categories, 'base_event_stream' AS sources FROM said JOIN tax USING (standard_job) GROUP BY ALL",
+    "government_routing_text": f"WITH {GOVERNMENT} SELECT job_id, '岗位名称：' || p_name || '一级主任科员' || chr(10) || '职位简介：' || p_name || chr(10) || '专业要求：' || p_type AS routing_text FROM src",
+    "broad_phrases": "SELECT p_partkey, length(w) + 3 AS span_start, length(w) + 7 AS span_end, '产品运营' AS span_text FROM (SELECT p_partkey, p_size, split_part(p_name, ' ', 1) AS w FROM part) WHERE p_size > 25",
+    "mention_offsets": "SELECT p_partkey::VARCHAR AS job_id, w AS span_text, (strpos(p_name, w) - 1)::INT AS span_start, (strpos(p_name, w) - 1 + length(w))::INT AS span_end, 'required' AS skill_type, 0.8::DOUBLE AS confidence, NULL::VARCHAR AS error FROM (SELECT p_partkey, p_name, split_part(p_name, ' ', -1) AS w FROM part)",
+    "lifecycle_reasons": O.life("1998-06", f"SELECT standard_job, skill, {_REASON} AS reason FROM life"),
+    "migration_interpretations": O.freq(True, O.ACTIVE, O.PATHS, O.MIGRATION)
+    + """\nSELECT skill, migration_confidence, CASE WHEN is_left_censored = '1' AND first_seen_job_count >= 5 THEN '观测起点已覆盖多个岗位，只能说明观测期内的覆盖和扩散，不能推断真实起源岗位' WHEN is_left_censored = '1' THEN '技能在观测起点已出现，首现岗位是观测窗口内首批岗位，不等同于真实起源岗位'
+WHEN skill_type = 'traditional' THEN '传统技能在观测期内首次出现，可分析样本内扩散，但不代表行业真实首次出现' WHEN spread_job_count = 0 THEN '技能在观测期内首次出现，但目前尚未扩散到其他标准岗位' ELSE '技能在观测期内首次出现，后续扩散路径可用于分析样本内技能迁移' END AS migration_interpretation FROM migration""",
 }

@@ -5,11 +5,13 @@ Importing this module adds them to queries.QUERIES.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from . import queries as Q
 from .functions import text as T
-from .operators import extract, frequency, lifecycle, migration, profile, routing
+from .operators import extract, frequency, lifecycle, migration, pool, profile, routing
 from .plans import government, reviews, serving
 from .queries import query
 from .schemas import FREQUENCY, text_like
@@ -394,6 +396,109 @@ def current_profile_kept(spark, sf):
     return profile.profile_columns(current, "2026-01-01T00:00:00+00:00").select("standard_job", "skill", "source_month", "source_type", "profile_generated_at")
 
 
+@query
+def json_objects_in_texts(spark, sf):
+    part = testdata.table(spark, sf, "part")
+    said = F.concat(F.when(F.col("p_size") % 2 == 0, "Here it is:\n```json\n").otherwise(" "), F.to_json(F.struct("p_name", F.struct("p_size").alias("of"))), F.when(F.col("p_size") % 2 == 0, "\n``` {done}").otherwise(""))
+    found = readers.object_in_text(F.regexp_replace(said, r" \{done\}$", ""), "p_name string, of struct<p_size:int>")
+    return part.select("p_partkey", found["p_name"].alias("name"), found["of"]["p_size"].alias("size"))
+
+
+@query
+def government_events_from_csv(spark, sf):
+    path = shared_folder(spark, "government")
+    events = testdata.events(spark, sf).select("job_id", "month", "standard_job", F.array_join("skills", ";").alias("skills"), F.substring("month", 1, 4).alias("recruitment_year"), F.lit(" office ").alias("government_agency"))
+    writers.write_csv(events, path)
+    read = readers.read_events(spark, path, government=True)
+    return read.select("job_id", "recruitment_year", "government_agency", "route_status", F.size("skills").alias("n_skills"))
+
+
+@query
+def taxonomy_from_csv(spark, sf):
+    path = shared_folder(spark, "taxonomy")
+    words = F.concat_ws("|", F.lower("standard_job"), F.lit(""), F.lit(" any "))
+    writers.write_csv(testdata.taxonomy(spark, sf, True).select(F.col("standard_job").alias("standard_job_title"), "standard_category", words.alias("match_keywords")), path)
+    return readers.read_taxonomy(spark, path).select("standard_job", "standard_category", F.explode("keywords").alias("keyword"))
+
+
+@query
+def catalog_table(spark, sf):
+    """A table of the catalog, and one that is not there."""
+    path = shared_folder(spark, "tables")
+    database = "tables_" + path.rsplit("-", 1)[1]
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{path}'")
+    nation = testdata.table(spark, sf, "nation")
+    nation.write.saveAsTable(f"{database}.nation")
+    return readers.read_table(spark, f"{database}.nation", nation.schema).unionByName(readers.read_table(spark, f"{database}.none", nation.schema))
+
+
+@query
+def versioned_run(spark, sf):
+    """Two versions of a table and a run with a manifest; the newest run's input is read, and a table derived from it."""
+    root = shared_folder(spark, "versions")
+    nation = testdata.table(spark, sf, "nation")
+    for version, rows in (("v1", nation.limit(1)), ("v2", nation)):
+        writers.write_parquet(rows, f"{root}/{version}/nation")
+        writers.write_manifest(spark, f"{root}/{version}", json.loads(writers.report(rows.agg(F.count("*").alias("rows")))))
+    newest = readers.list_runs(spark, root, "run_manifest.json")[0]
+    inputs = readers.run_inputs(spark, readers.version_paths(spark, root, ("",), newest)[""], ("nation",), ("answers",))
+    by_region = lambda: spark.read.parquet(inputs["nation"]).groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    return readers.derived(spark, f"{root}/{newest}/by_region", by_region().schema, by_region)
+
+
+@query
+def tables_through_csv(spark, sf):
+    """Tables appended to, exported as CSV and imported again."""
+    folder = shared_folder(spark, "export")
+    nation = testdata.table(spark, sf, "nation").select("n_name", F.col("n_regionkey").cast("string").alias("n_regionkey"))
+    for part in ("n_regionkey < '3'", "n_regionkey >= '3'"):
+        writers.append(nation.where(part), f"{folder}/db/nation")
+    writers.export_tables(spark, f"{folder}/db", ["nation"], f"{folder}/csv")
+    writers.import_tables(spark, {"nation": f"{folder}/csv/nation"}, {"nation": nation.schema, "none": nation.schema}, f"{folder}/again")
+    return spark.read.parquet(f"{folder}/again/nation").unionByName(spark.read.parquet(f"{folder}/again/none"))
+
+
+@query
+def pool_in_alphabetical_order(spark, sf):
+    return pool.alphabetical(Q._pool(testdata.events(spark, sf, True), spark, sf)).select("skill_key", "standard_jobs", "standard_categories", "sources")
+
+
+@query
+def government_routing_text(spark, sf):
+    return government.normalize_postings(_government_source(spark, sf)).select("job_id", "routing_text")
+
+
+@query
+def broad_phrases(spark, sf):
+    """A broad phrase counts where an action stands near it."""
+    part = testdata.table(spark, sf, "part")
+    text = F.concat(F.lit("负责"), F.element_at(F.split("p_name", " "), 1), F.lit("的产品运营"), F.when(F.col("p_size") > 25, F.lit("系统开发")).when(F.col("p_size") > 10, F.lit("，" + "很" * 20 + "开发")).otherwise(""))
+    entry = part.select(F.lit("产品运营").alias("skill_keyword"), F.lit("运营").alias("normalized_skill"), F.lit("业务").alias("kg_display_skill")).distinct()
+    return extract.dictionary_mentions(part.select("p_partkey", text.alias("text")), entry).select("p_partkey", "span_start", "span_end", "span_text")
+
+
+@query
+def mention_offsets(spark, sf):
+    """Where the spans that a finder gives first occur in their sentences."""
+    jobs = testdata.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("job_id"), F.concat_ws(" ", "p_name", "p_name").alias("job_title"))
+    units = extract.sentence_units(jobs)
+    found = units.select("job_id", "sentence_id", F.element_at(F.split("text", " "), -1).alias("span_text"))
+    return extract.validate_mentions(found, units).select("job_id", "span_text", "span_start", "span_end", "skill_type", "confidence", "error")
+
+
+@query
+def lifecycle_reasons(spark, sf):
+    cells, said = Q.counts(spark, sf)
+    life = lifecycle.monthly_lifecycle(frequency.active_frequency(cells, said), None, "1998-06", jobs=frequency.job_totals(cells, "1998-06"))
+    return life.select("standard_job", "skill", F.regexp_replace("lifecycle_reason", r"-?\d+\.\d\d", "x").alias("reason"))
+
+
+@query
+def migration_interpretations(spark, sf):
+    found = migration.migration(frequency.active_frequency(*Q.counts(spark, sf)), testdata.families(spark, sf, True))
+    return found.select("skill", "migration_confidence", "migration_interpretation")
+
+
 # streams
 
 

@@ -124,6 +124,15 @@ def parse_json(c: Column, schema: str) -> Column:
     return F.from_json(F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("{}")), schema, {"mode": "FAILFAST"})
 
 
+def object_in_text(c: Column, schema: str) -> Column:
+    """The JSON object of a text: the whole text, or else what lies from its first brace to its last; a text without one is an error."""
+    whole, inner = F.trim(c), F.regexp_extract(c, r"(?s)\{.*\}", 0)
+    parsed = lambda x: F.from_json(x, f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    fine = lambda x: parsed(x).isNotNull() & parsed(x)["_broken"].isNull()
+    found = F.when(c.isNull(), None).when(fine(whole), whole).when(fine(inner), inner).otherwise(F.raise_error(F.concat(F.lit("no JSON object in: "), F.substring(c, 1, 200))).cast("string"))
+    return F.from_json(found, schema)
+
+
 def aliased(df: DataFrame, aliases: dict[str, tuple[str, ...]] = ALIASES) -> DataFrame:
     """Columns under their own names, from the first filled one of their aliases; absent ones are empty."""
     have = set(df.columns)
