@@ -164,4 +164,16 @@ SELECT resume_id, standard_job, array_to_string(list(skill ORDER BY skill), '; '
     "migration_interpretations": O.freq(True, O.ACTIVE, O.PATHS, O.MIGRATION)
     + """\nSELECT skill, migration_confidence, CASE WHEN is_left_censored = '1' AND first_seen_job_count >= 5 THEN '观测起点已覆盖多个岗位，只能说明观测期内的覆盖和扩散，不能推断真实起源岗位' WHEN is_left_censored = '1' THEN '技能在观测起点已出现，首现岗位是观测窗口内首批岗位，不等同于真实起源岗位'
 WHEN skill_type = 'traditional' THEN '传统技能在观测期内首次出现，可分析样本内扩散，但不代表行业真实首次出现' WHEN spread_job_count = 0 THEN '技能在观测期内首次出现，但目前尚未扩散到其他标准岗位' ELSE '技能在观测期内首次出现，后续扩散路径可用于分析样本内技能迁移' END AS migration_interpretation FROM migration""",
+    "dictionary_preview": f"""WITH {O.DICTIONARY}, n AS (SELECT n_name AS a, n_regionkey::VARCHAR AS b FROM nation), r AS (SELECT 'skills' AS key, k AS a, '{{"skill_keyword":"' || k || '","normalized_skill":"' || s || '","kg_display_skill":"' || d || '"}}' AS row FROM dic WHERE contains(lower(k), 'e')
+UNION ALL SELECT 'jobs', a, '{{"standard_job_title":"' || a || '","standard_category":"' || b || '"}}' FROM n WHERE contains(lower(a), 'e')) SELECT key, (row_number() OVER (PARTITION BY key ORDER BY a))::INT AS place, row FROM r QUALIFY place <= 5""",
+    "dictionary_counts": f"""WITH {O.DICTIONARY} SELECT 'skills' AS key, count(*) AS row_count, count(*) FILTER (contains(k, '1')) AS matched_count, '' AS missing_columns FROM dic
+UNION ALL SELECT 'jobs', count(*), count(*) FILTER (contains(n_name, '1') OR contains(n_regionkey::VARCHAR, '1')), 'match_keywords' FROM nation""",
+    "dictionary_sync": f"""WITH {O.DICTIONARY}, j AS (SELECT count(*) AS n, count(*) FILTER (r_name = 'ASIA') AS asia, count(*) FILTER (r_name = 'EUROPE') AS europe FROM nation JOIN region ON n_regionkey = r_regionkey), d AS (SELECT count(DISTINCT s) AS n, count(DISTINCT s) FILTER (s >= 'P') AS lost FROM dic)
+SELECT '当前岗位词典与数据流岗位词典' AS name, '需同步' AS status, '当前 ' || n || ' 条，数据流 ' || (n - asia) || ' 条，差异 ' || (asia + 2 * europe) || ' 条' AS detail FROM j UNION ALL SELECT '泛抽取技能是否都在归一化词典中', '通过', '泛抽取标准技能 ' || n || ' 个，缺失 0 个' FROM d
+UNION ALL SELECT '展示词典是否覆盖归一化技能', CASE WHEN lost = 0 THEN '通过' ELSE '需补齐' END, '归一化技能 ' || n || ' 个，展示映射缺失 ' || lost || ' 个' FROM d UNION ALL SELECT '数据流技能词典是否覆盖当前技能体系', '通过', '当前标准技能 ' || n || ' 个，数据流缺失 0 个' FROM d""",
+    "run_report": O.compared(
+        """SELECT 'job_demand' AS key, t AS total_rows, m AS missing_actual_rows, e AS extra_actual_rows, v AS value_mismatch_rows, t - m - e - v AS matched_rows, m + e + v AS diff_rows FROM (SELECT (SELECT count(*) FROM (SELECT standard_job, month FROM a UNION SELECT standard_job, month FROM b)) AS t,
+  count(*) FILTER (status = 'missing_actual') AS m, count(*) FILTER (status = 'extra_actual') AS e, count(*) FILTER (status = 'value_mismatch') AS v FROM cmp)"""
+    ),
+    "run_diff_preview": O.compared("SELECT 'job_demand' AS key, (row_number() OVER (ORDER BY standard_job, month))::INT AS place, standard_job, month, status, \"column\" FROM cmp QUALIFY place <= 20"),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -254,3 +255,66 @@ def evolution_nodes(diff: DataFrame, current: DataFrame, changed: int = 4, exist
     rest = current.join(moved.select("standard_job", "skill"), ["standard_job", "skill"], "left_anti")
     rest = rest.withColumn("place", F.row_number().over(by_rank)).where(F.col("place") <= existing).select("standard_job", "skill", F.lit("existing").alias("band"), "place")
     return moved.unionByName(rest)
+
+
+def dictionary_previews(sources: dict[str, tuple[DataFrame, list[str]]], keyword: str = "", scope: str | None = None, limit: int = 80) -> tuple[DataFrame, DataFrame]:
+    """Of dictionaries by key, each with the columns that it needs: a row of counts, and the first rows that contain the keyword as JSON.
+
+    The counts are key, row_count, matched_count and missing_columns; rows are key, place and row, at
+    most limit (1 to 300) of each, in the order of their columns. scope: only the dictionary of that key.
+    """
+    counts, rows = [], []
+    for key, (df, needed) in sources.items():
+        if scope and key != scope:
+            continue
+        columns = [F.col(f"`{c}`") for c in df.columns]
+        matched = keyword_search(df, keyword)
+        missing = "; ".join(c for c in needed if c not in df.columns)
+        hit = matched.agg(F.count("*").alias("matched_count"))
+        counts.append(df.agg(F.count("*").alias("row_count")).join(F.broadcast(hit)).select(F.lit(key).alias("key"), "row_count", "matched_count", F.lit(missing).alias("missing_columns")))
+        rows.append(preview_rows(matched.orderBy(*columns), key, clamp(limit, 1, 300)))
+    return reduce(DataFrame.unionByName, counts), reduce(DataFrame.unionByName, rows)
+
+
+def preview_rows(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """The first limit rows of a sorted table, as key, place and JSON."""
+    first = df.limit(limit).select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}).alias("row"), F.monotonically_increasing_id().alias("id"))
+    return first.select(F.lit(key).alias("key"), F.row_number().over(Window.orderBy("id")).alias("place"), "row")  # of a few rows
+
+
+#: What the checks of dictionaries against each other are called, and what they say.
+SYNC_CHECKS = {
+    "jobs": ("当前岗位词典与数据流岗位词典", "需同步", "当前 %d 条，数据流 %d 条，差异 %d 条"),
+    "normalized": ("泛抽取技能是否都在归一化词典中", "需补齐", "泛抽取标准技能 %d 个，缺失 %d 个"),
+    "display": ("展示词典是否覆盖归一化技能", "需补齐", "归一化技能 %d 个，展示映射缺失 %d 个"),
+    "stream": ("数据流技能词典是否覆盖当前技能体系", "需同步", "当前标准技能 %d 个，数据流缺失 %d 个"),
+}
+
+
+def sync_checks(jobs: DataFrame, stream_jobs: DataFrame, alias: DataFrame, normalized: DataFrame, display: DataFrame, stream_alias: DataFrame) -> DataFrame:
+    """name, status and detail of four checks: equal job dictionaries, and skills (alias: normalized_skill; others: skill) that the next one has to have."""
+
+    def rows(df: DataFrame, columns: list[str]) -> DataFrame:
+        text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]
+        return df.select(*text).where(F.concat(*columns) != "").distinct()
+
+    def check(of: str, a: DataFrame, b: DataFrame, both_ways: bool) -> DataFrame:
+        name, failing, said = SYNC_CHECKS[of]
+        both = a.withColumn("_a", F.lit(1)).join(b.withColumn("_b", F.lit(1)), a.columns, "full")
+        lost = F.count_if(F.col("_b").isNull())
+        n = both.agg(F.count("_a").alias("a"), F.count("_b").alias("b"), (lost + F.count_if(F.col("_a").isNull()) if both_ways else lost).alias("off"))
+        detail = F.format_string(said, "a", "b", "off") if both_ways else F.format_string(said, "a", "off")
+        return n.select(F.lit(name).alias("name"), F.when(F.col("off") == 0, "通过").otherwise(failing).alias("status"), detail.alias("detail"))
+
+    skills = lambda df, c: rows(df.select(F.col(c).alias("skill")), ["skill"])
+    job = ["standard_job_title", "standard_category", "match_keywords"]
+    known, listed = skills(alias, "normalized_skill"), skills(normalized, "skill")
+    parts = [check("jobs", rows(jobs, job), rows(stream_jobs, job), True), check("normalized", known, listed, False), check("display", listed, skills(display, "skill"), False), check("stream", known, skills(stream_alias, "normalized_skill"), False)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def run_result(statistics: dict[str, DataFrame], diffs: dict[str, DataFrame], keys: list[str], limit: int = 20) -> tuple[DataFrame, DataFrame]:
+    """What a run's comparison found: statistics by table with the number of rows that differ, and the first limit of these as JSON, by their keys."""
+    report = [statistics[name].join(F.broadcast(diff.agg(F.count("*").alias("diff_rows")))).select(F.lit(name).alias("key"), "*") for name, diff in diffs.items()]
+    rows = [preview_rows(diff.orderBy(*keys), name, limit) for name, diff in diffs.items()]
+    return reduce(DataFrame.unionByName, report), reduce(DataFrame.unionByName, rows)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import queries as Q
 from .functions import text as T
-from .operators import extract, frequency, lifecycle, migration, pool, profile, routing
+from .operators import compare, extract, frequency, lifecycle, migration, pool, profile, routing
 from .plans import government, reviews, serving
 from .queries import query
 from .schemas import FREQUENCY, text_like
@@ -499,6 +499,45 @@ def migration_interpretations(spark, sf):
     return found.select("skill", "migration_confidence", "migration_interpretation")
 
 
+def _dictionaries(spark, sf):
+    nation = testdata.table(spark, sf, "nation")
+    return {"skills": (Q._dictionary(spark, sf), ["skill_keyword", "normalized_skill", "kg_display_skill"]), "jobs": (nation.select(F.col("n_name").alias("standard_job_title"), F.col("n_regionkey").cast("string").alias("standard_category")), ["standard_job_title", "standard_category", "match_keywords"])}
+
+
+@query
+def dictionary_preview(spark, sf):
+    return serving.dictionary_previews(_dictionaries(spark, sf), "E", limit=5)[1]
+
+
+@query
+def dictionary_counts(spark, sf):
+    return serving.dictionary_previews(_dictionaries(spark, sf), "1")[0]
+
+
+@query
+def dictionary_sync(spark, sf):
+    jobs = testdata.taxonomy(spark, sf, True).select(F.col("standard_job").alias("standard_job_title"), "standard_category", F.lit("").alias("match_keywords"))
+    words = Q._dictionary(spark, sf)
+    names = words.select(F.col("normalized_skill").alias("skill"))
+    return serving.sync_checks(jobs, jobs.where("standard_category <> 'ASIA'").withColumn("match_keywords", F.when(F.col("standard_category") == "EUROPE", "x").otherwise("")), words, names, names.where("skill < 'P'"), words)
+
+
+def _run(spark, sf):
+    a, b = Q._two(spark, sf)
+    diff = Q.stored(compare.compare_tables(a, b, Q.KEYS, Q.VALUES), "diff")
+    return serving.run_result({"job_demand": compare.match_statistics(a, b, Q.KEYS, diff)}, {"job_demand": diff}, Q.KEYS, 20)
+
+
+@query
+def run_report(spark, sf):
+    return _run(spark, sf)[0].drop("match_rate")
+
+
+@query
+def run_diff_preview(spark, sf):
+    return _run(spark, sf)[1].select("key", "place", *(F.get_json_object("row", f"$.{c}").alias(c) for c in ("standard_job", "month", "status", "column")))
+
+
 # streams
 
 
