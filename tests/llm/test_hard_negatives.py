@@ -104,6 +104,7 @@ def test_odd_rows(spark):
 def test_empty(spark):
     assert mined(spark, []) == set()
     assert mined(spark, [(100, [1.0], 3)]) == set()
+    assert mined(spark, [(i, [0.5, 0.1 * i], i % 2) for i in range(1, 20)]) == set()  # no anchors
 
 
 def test_query_equals_brute_force(spark):
