@@ -88,6 +88,7 @@ def stable_id(*parts: Column, length: int = 20) -> Column:
 
 def split_bucket(key: Column) -> Column:
     """train, dev or test, as 80:10:10 by md5."""
+    # fixed values: the digits that are taken, and the shares
     bucket = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % 10
     return F.when(bucket < 8, "train").when(bucket < 9, "dev").otherwise("test")
 
@@ -124,6 +125,7 @@ def normalize_level(title: Column) -> Column:
 
 def split_sentences(text: Column) -> Column:
     """The sentences of a text: cut at line ends and 。！？；;, without white space, colons, dashes, commas and list marks around them."""
+    # fixed values: the signs that end sentences, and those that are taken off them
     parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), r"[\n。！？；;]+")
     kept = F.filter(parts, lambda x: clean_text(x) != "")
     return F.transform(kept, lambda x: F.regexp_replace(x, r"^[ \t:\-—，,、)]+|[ \t:\-—，,、)]+$", ""))

@@ -551,6 +551,7 @@ def mention_rollup(spark, sf):
 
 
 def _dictionary(spark, sf):
+    """The words of parts' names as a dictionary, but for those of four letters or less, so that some words stay unresolved."""
     words = _keywords(spark, sf).select(F.col("keyword").alias("skill_keyword")).where("length(skill_keyword) > 4")
     return words.select("skill_keyword", F.upper("skill_keyword").alias("normalized_skill"), F.substring("skill_keyword", 1, 1).alias("kg_display_skill"))
 
