@@ -312,7 +312,7 @@ class Index:
     def search(self, asks: DataFrame, k: int) -> DataFrame:
         """anchor_id, positive_id, rank, vec_id and score of the k best rows of each ask (columns as ASK, and q)."""
         asks = staged(asks, "vantage-asks")
-        near = staged(self._visit(self._routed(asks, True), k), "vantage-near")
+        near = staged(_top(self._visit(self._routed(asks, True), k), k).drop("rank"), "vantage-near")
         floor = near.groupBy("anchor_id", "positive_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
         on = ["anchor_id", "positive_id"]
         rest = asks.join(floor.select(*on, "least"), on, "left")

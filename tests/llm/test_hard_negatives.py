@@ -111,3 +111,22 @@ def test_query_equals_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     got = [tuple(r) for r in h.op13_hard_negatives(spark, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+def test_the_floor_of_the_first_round_keeps_far_cells_out(spark, monkeypatch):
+    for name, value in (("CELL", 40), ("NEAR", 100), ("LEAF", 8)):
+        monkeypatch.setattr(h, name, value)
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(12, 6)) * 3
+    rows = [(i, (centre[i % 12] + rng.normal(size=6) * 0.05).astype(np.float32).tolist(), i % 2) for i in range(600)]
+    seen, routed = [], h.Index._routed
+
+    def counted(self, asks, first):
+        out = routed(self, asks, first)
+        seen.append((first, out.count(), asks.count() * len(self.upper.leaves)))
+        return out
+
+    monkeypatch.setattr(h.Index, "_routed", counted)
+    assert mined(spark, rows, 20) == brute(rows, 20)
+    # the search for positives: both rounds together leave a third of the cells out at least; without the floor they visit all
+    assert [f for f, *_ in seen[:2]] == [True, False] and seen[0][1] + seen[1][1] < 2 / 3 * seen[0][2]
