@@ -111,11 +111,15 @@ def read_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return schemas.conform(spark.read.parquet(path), schema) if path.endswith(".parquet") else read_csv(spark, path, schema)
 
 
-def read_cache(spark: SparkSession, path: str, schema: T.StructType, key: str | list[str], order: str) -> DataFrame:
-    """An append-only JSON cache: the last entry of each key, a column or several, by order."""
+def read_cache(spark: SparkSession, path: str, schema: T.StructType, key: str | list[str], order: str | list[str | Column]) -> DataFrame:
+    """An append-only JSON cache: the last entry of each key, a column or several, by order: columns by which the entry that counts is the largest, or sort orders by which it comes first.
+
+    Where entries can be equal in a column, more columns have to tell which counts: lines of JSON have no order that all readers see.
+    """
     if not exists(spark, path):
         return schemas.empty(spark, schema)
-    rank = F.row_number().over(Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(F.desc(order)))
+    turn = [F.desc(c) if isinstance(c, str) else c for c in ([order] if isinstance(order, str) else order)]
+    rank = F.row_number().over(Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(*turn))
     return read_json_lines(spark, path, schema).withColumn("_n", rank).where("_n = 1").drop("_n")
 
 

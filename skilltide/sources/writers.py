@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,8 +87,8 @@ def export_tables(spark: SparkSession, folder: str, names: list[str], target: st
         write_csv(in_order(df, name) if name in SORTS and set(SORTS[name]) <= set(df.columns) else df, f"{target}/{name}")
 
 
-def compact_cache(spark: SparkSession, path: str, schema: T.StructType, key: str, order: str, target: str) -> None:
-    """An append-only JSON cache written anew, sorted by key, with the last entry of each."""
+def compact_cache(spark: SparkSession, path: str, schema: T.StructType, key: str, order: str | list[str | Column], target: str) -> None:
+    """An append-only JSON cache written anew, sorted by key, with the last entry of each, by order as in read_cache()."""
     write_json_lines(read_cache(spark, path, schema, key, order).orderBy(key), target)
 
 
