@@ -52,6 +52,14 @@ def _diff_type(rules: R.ProfileRules) -> Column:
 SIDE = ["monthly_skill_count", "monthly_skill_frequency", "cumulative_skill_count", "cumulative_skill_frequency"]
 
 
+def month_pairs(profile: DataFrame) -> DataFrame:
+    """All pairs of months of each job, with their postings."""
+    cells = profile.groupBy("standard_job", "month").agg(F.max("monthly_jd_count").alias("n"))
+    earlier = cells.select(F.col("standard_job"), F.col("month").alias("from_month"), F.col("n").alias("from_monthly_jd_count"))
+    later = cells.select(F.col("standard_job"), F.col("month").alias("to_month"), F.col("n").alias("to_monthly_jd_count"))
+    return earlier.join(later, "standard_job").where("from_month < to_month")
+
+
 def profile_diff(profile: DataFrame, months: DataFrame | None = None, rules: R.ProfileRules = R.ProfileRules()) -> DataFrame:
     """Changes between all pairs of months of each job.
 
@@ -60,10 +68,7 @@ def profile_diff(profile: DataFrame, months: DataFrame | None = None, rules: R.P
     then find their earlier row, and only pairs that changed leave the join. Pairs can be limited
     by months (standard_job, from_month, to_month).
     """
-    cells = profile.groupBy("standard_job", "month").agg(F.max("monthly_jd_count").alias("n"))
-    earlier = cells.select(F.col("standard_job"), F.col("month").alias("from_month"), F.col("n").alias("from_monthly_jd_count"))
-    later = cells.select(F.col("standard_job"), F.col("month").alias("to_month"), F.col("n").alias("to_monthly_jd_count"))
-    pairs = earlier.join(later, "standard_job").where("from_month < to_month")
+    pairs = month_pairs(profile)
     if months is not None:
         pairs = pairs.join(months, ["standard_job", "from_month", "to_month"], "left_semi")
     side = lambda name: profile.select("standard_job", "skill", F.col("month").alias(f"{name}_month"), *(F.col(c).alias(f"{name}_{c}") for c in SIDE), F.col("is_core_skill").alias(f"{name}_core"), *([] if name == "from" else ["kg_display_skill"]))

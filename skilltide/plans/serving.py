@@ -151,11 +151,13 @@ def normalize_names(names: DataFrame, dictionary: DataFrame, fallback=None) -> D
     return out.select("input", "normalized_skill", "kg_display_skill", matched.alias("matched"), F.col("normalization_method").alias("match_source"), "normalization_status", "normalization_confidence", message.alias("message"))
 
 
-def compare_months(snapshots: DataFrame, diff: DataFrame, job: str | None = None, from_month: str | None = None, to_month: str | None = None, limit: int = 80) -> DataFrame:
+def compare_months(snapshots: DataFrame, diff: DataFrame, job: str | None = None, from_month: str | None = None, to_month: str | None = None, limit: int = 80, compared: DataFrame | None = None) -> DataFrame:
     """The largest changes of each type between two months of a job, with their place.
 
     A month that the job does not have is its first or its last one, and months in the wrong order
     are swapped. Pairs without stored differences are compared by presence and frequency alone.
+    compared (standard_job, from_month, to_month) names the pairs whose differences are stored: one
+    of them without rows has none. If it is not given, pairs are taken for stored if they have rows.
     """
     rows = first_job(snapshots, job)
     known = lambda m, other: F.coalesce(F.max(F.when(F.col("month") == F.lit(m), F.col("month"))), other)
@@ -163,7 +165,8 @@ def compare_months(snapshots: DataFrame, diff: DataFrame, job: str | None = None
     chosen = ends.select(F.least("a", "b").alias("from_month"), F.greatest("a", "b").alias("to_month"))  # one row
     names = ["standard_job", "skill", "from_month", "to_month", "change_type", "frequency_delta", "from_monthly_skill_frequency", "to_monthly_skill_frequency"]
     held = first_job(diff, job).join(F.broadcast(chosen), ["from_month", "to_month"]).select(*names)
-    none = held.agg((F.count("*") == 0).alias("none"))  # one row
+    stored = held if compared is None else first_job(compared, job).join(F.broadcast(chosen), ["from_month", "to_month"], "left_semi")
+    none = stored.agg((F.count("*") == 0).alias("none"))  # one row
     side = lambda name: rows.where("monthly_skill_count > 0").join(F.broadcast(chosen.select(F.col(f"{name}_month").alias("month"))), "month").select("standard_job", "skill", F.col("monthly_skill_frequency").alias(f"{name}_monthly_skill_frequency"))
     plain = with_change(side("from").join(side("to"), ["standard_job", "skill"], "full")).join(F.broadcast(chosen)).join(F.broadcast(none)).where("none").select(*names)
     return profile_changes(held.unionByName(plain), limit)
