@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Order lines of a part of the events, about: what a task holds does not grow with the tables.
+LINES = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,11 +28,13 @@ def events(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
     else:
         customer = customer.select("c_custkey", F.col("c_mktsegment").alias("standard_job"))
     skill = F.concat_ws(" ", "p_brand", "p_type") if sparse else F.col("p_brand")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, sf_dir, "part").select("p_partkey", skill.alias("skill")), F.col("l_partkey") == F.col("p_partkey"))
-    skills = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("skill")).alias("skills"))  # an order has a few lines
-    postings = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    both = postings.join(skills, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return both.select(F.col("o_orderkey").cast("string").alias("job_id"), "month", "standard_job", F.coalesce("skills", F.array().cast("array<string>")).alias("skills"))
+    lineitem = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").where("l_orderkey IS NOT NULL")
+    lines = lineitem.join(table(spark, sf_dir, "part").select("p_partkey", skill.alias("skill")), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("key"), "skill", F.lit(None).alias("posting"))
+    postings = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("key"), F.lit(None).alias("skill"), F.struct("month", "standard_job").alias("posting"))
+    # lines and postings meet by order in parts of bounded size; an order has a few lines
+    parts = max(spark.sparkContext.defaultParallelism, -(-lineitem.count() // LINES))
+    both = lines.unionByName(postings).repartition(parts, "key").groupBy("key").agg(F.collect_list("posting").alias("postings"), F.array_sort(F.collect_set("skill")).alias("skills"))
+    return both.select(F.col("key").cast("string").alias("job_id"), "skills", F.inline("postings")).select("job_id", "month", "standard_job", "skills")
 
 
 def taxonomy(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
