@@ -12,10 +12,13 @@ from pyspark.sql.window import Window
 
 from .. import rules as R
 from ..functions.text import clamp, clean_text, contains_all_groups, contains_any
+from ..sources.shared import stored
 from .keywords import contained, union
 
 #: Candidates in a block that is broadcast.
 SMALL = 20_000
+#: Titles of a part, and different ones of a part in which they meet jobs, about: what a task holds does not grow with the tables.
+TITLES, TEXTS = 500_000, 5_000
 
 #: Families that a title can announce (name, terms, categories that cover it).
 NEW_FAMILY_RULES = (
@@ -191,8 +194,15 @@ def gram_scores(titles: DataFrame, jobs: DataFrame, size: int = 2) -> DataFrame:
 def _grams(df: DataFrame, keys: list[str], column: str, size: int) -> DataFrame:
     """keys, gram, n (how often a text has it) and square (the sum of n * n) of texts that are not empty."""
     text = F.lower(clean_text(F.col(column)))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - size + 1)), lambda i: F.substr(text, i, F.lit(size)))
-    rows = df.where(text != "").select(*keys, F.explode(runs).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("n"))
+    return _counted(df.where(text != "").select(*keys, F.explode(_runs(text, size)).alias("gram")), keys)
+
+
+def _runs(text: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - size + 1)), lambda i: F.substr(text, i, F.lit(size)))
+
+
+def _counted(grams: DataFrame, keys: list[str]) -> DataFrame:
+    rows = grams.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
     return rows.withColumn("square", F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(*keys)))
 
 
@@ -202,20 +212,29 @@ def gram_topk(titles: DataFrame, jobs: DataFrame, k: int, floor: float = 0.3, si
     The runs of a title that any job has are put in order, those of the fewest jobs first. A job whose
     first common run is the i-th shares nothing before it, so its cosine is at most the length of what
     is left from there on over the title's; runs from which that is under floor are not joined, and
-    these are the ones that most jobs have. What the join finds is scored exactly.
+    these are the ones that most jobs have. What the join finds is scored exactly. Titles that are
+    the same, case aside, are ranked once, and only the jobs that they keep are joined to their ids.
     """
-    a, b = _grams(titles, ["job_id"], "title", size), _grams(jobs, ["name", "category"], "name", size)
+    deal = lambda df, most, key: df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // most)), key)
+    text = F.lower(clean_text(F.col("title")))
+    told = deal(titles.where(F.col("job_id").isNotNull()), TITLES, "job_id").select("job_id", text.alias("text")).where("text <> ''")
+    # a job_id has one title as a rule; the runs of more are counted together
+    said = stored(told.groupBy("job_id").agg(F.array_sort(F.collect_list("text")).alias("texts")), "titles")
+    texts = deal(stored(said.select("texts").distinct(), "texts"), TEXTS, "texts")
+    a = _counted(texts.select("texts", F.explode(F.flatten(F.transform("texts", lambda x: _runs(x, size)))).alias("gram")), ["texts"])
+    b = _grams(jobs, ["name", "category"], "name", size)
     df = b.groupBy("gram").agg(F.count("*").alias("df"))
-    left = Window.partitionBy("job_id").orderBy(F.desc("df"), F.desc("gram")).rowsBetween(Window.unboundedPreceding, 0)
+    left = Window.partitionBy("texts").orderBy(F.desc("df"), F.desc("gram")).rowsBetween(Window.unboundedPreceding, 0)
     bound = F.sqrt(F.sum(F.col("n") * F.col("n")).over(left) / F.col("square"))
     prefix = a.join(df, "gram").withColumn("bound", bound).where(F.col("bound") >= floor - 1e-9)
-    met = prefix.select("job_id", "gram").join(b.select("gram", "name", "category"), "gram").select("job_id", "name", "category").distinct()
+    met = prefix.select("texts", "gram").join(b.select("gram", "name", "category"), "gram").select("texts", "name", "category").distinct()
     # a title and a name have a few runs
     counts = lambda rows, keys, name: rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("gram", "n"))).alias(name), F.max("square").alias(f"{name}_square"))
-    both = met.join(counts(a, ["job_id"], "x"), "job_id").join(counts(b, ["name", "category"], "y").withColumnRenamed("category", "_c").withColumnRenamed("name", "_n"), (F.col("name") == F.col("_n")) & F.col("category").eqNullSafe(F.col("_c")))
+    both = met.join(counts(a, ["texts"], "x"), "texts").join(counts(b, ["name", "category"], "y").withColumnRenamed("category", "_c").withColumnRenamed("name", "_n"), (F.col("name") == F.col("_n")) & F.col("category").eqNullSafe(F.col("_c")))
     dot = F.aggregate(F.map_entries("x"), F.lit(0).cast("long"), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(F.col("y"), e["key"]), F.lit(0).cast("long")))
-    scored = both.select("job_id", "name", "category", (dot / F.sqrt((F.col("x_square") * F.col("y_square")).cast("double"))).alias("score")).where(F.col("score") >= floor - 1e-9)
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("score"), "name", "category"))).where(F.col("rank") <= k)
+    scored = both.select("texts", "name", "category", (dot / F.sqrt((F.col("x_square") * F.col("y_square")).cast("double"))).alias("score")).where(F.col("score") >= floor - 1e-9)
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("texts").orderBy(F.desc("score"), "name", "category"))).where(F.col("rank") <= k)
+    return said.join(ranked, "texts").select("job_id", "name", "category", "score", "rank")
 
 
 def category_scores(candidates: DataFrame, top: int = 3) -> DataFrame:
