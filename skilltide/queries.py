@@ -605,9 +605,13 @@ def distinct_clean_join_back(spark, sf):
     return out.select("p_partkey", "cleaned_job_title")
 
 
+def whole_events(spark: SparkSession, sf: str) -> DataFrame:
+    return testdata.events(spark, sf).withColumns({c: F.lit("") for c in ("job_title", "job_responsibility", "job_requirement")})
+
+
 def _streamed(spark, sf, order) -> EventStore:
     """The dense events as a stream of three parts, in an order as given, with repeated rows; a batch takes some files of them."""
-    ev = testdata.events(spark, sf).withColumns({c: F.lit("") for c in ("job_title", "job_responsibility", "job_requirement")})
+    ev = stored(whole_events(spark, sf), "events")
     folder = shared_folder(spark, "stream")
     third = lambda n: ev.where(F.pmod(F.crc32(F.col("job_id").cast("binary")), F.lit(3)) == n)
     files = [third(0), third(1).union(third(0)), third(2)]
@@ -631,7 +635,7 @@ def stream_dedup(spark, sf):
 
 @query
 def stream_late_month(spark, sf):
-    ev = testdata.events(spark, sf).withColumns({c: F.lit("") for c in ("job_title", "job_responsibility", "job_requirement")})
+    ev = stored(whole_events(spark, sf), "events")
     store = EventStore(spark, shared_folder(spark, "late"))
     store.update(ev.where("month >= '1997-01'"), 0)
     store.update(ev.where("month < '1997-01'"), 1)

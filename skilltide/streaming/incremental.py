@@ -25,6 +25,7 @@ from .. import schemas
 from ..functions.text import ratio
 from ..operators.frequency import COLUMNS, valid_events
 from ..sources.readers import exists
+from ..sources.shared import scope, stored
 from ..sources.tables import VersionedTable
 
 ACCEPTED = "existing_job"
@@ -115,25 +116,36 @@ class EventStore:
     def accept(self, batch: DataFrame, number: int, write: bool = True) -> DataFrame:
         """The new events of a batch: first of each job_id, not stored before; written unless it is a dry run.
 
-        Rows with a route_status other than existing_job go to the queue and change nothing else.
+        Rows with a route_status other than existing_job go to the queue and change nothing else. A
+        batch that is written is worked off once: it is laid down, and then looked up and taken in from there.
         """
         routed = batch if "route_status" in batch.columns else batch.withColumn("route_status", F.lit(ACCEPTED))
         kept = schemas.conform(routed.where(F.col("route_status") == ACCEPTED), schemas.EVENTS)
         once = valid_events(kept).dropDuplicates(["job_id"])
+        if write:
+            with scope(self.spark):
+                return self._written(routed, stored(once, "batch"), number)
+        return self._new(once, number)
+
+    def _new(self, once: DataFrame, number: int) -> DataFrame:
+        """The events of a batch that no earlier one has."""
+        if not exists(self.spark, f"{self.folder}/filters"):
+            return once.select(*schemas.EVENTS.fieldNames())
         folders = self.folders_to_read(once.select("job_id"), number)
         known = self._stored().where(F.concat_ws("/", "batch", "bucket").isin([f"{n}/{b}" for n, b in folders])).select("job_id") if folders else schemas.empty(self.spark, schemas.EVENTS).select("job_id")
-        new = once.join(known, "job_id", "left_anti").select(*schemas.EVENTS.fieldNames())
-        if write:
-            laid = new.withColumn("bucket", bucket_of("job_id", self.buckets))
-            laid.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/events/batch={number}")
-            written = self._batch(number)
-            groups = -(-written.count() // (self.buckets * FILTERED)) or 1
-            filters = self._hashed(written).withColumn("g", F.pmod("h1", F.lit(groups))).groupBy("bucket", "g").applyInArrow(_filter, "bucket int, bits binary")
-            filters.write.mode("overwrite").parquet(f"{self.folder}/filters/batch={number}")
-            waiting = routed.where(F.coalesce(F.col("route_status") != ACCEPTED, F.lit(True)))
-            if not waiting.isEmpty():
-                waiting.write.mode("overwrite").parquet(f"{self.folder}/queue/batch={number}")
-        return new
+        return once.join(known, "job_id", "left_anti").select(*schemas.EVENTS.fieldNames())
+
+    def _written(self, routed: DataFrame, once: DataFrame, number: int) -> DataFrame:
+        laid = self._new(once, number).withColumn("bucket", bucket_of("job_id", self.buckets))
+        laid.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/events/batch={number}")
+        written = self._batch(number)
+        groups = -(-written.count() // (self.buckets * FILTERED)) or 1
+        filters = self._hashed(written).withColumn("g", F.pmod("h1", F.lit(groups))).groupBy("bucket", "g").applyInArrow(_filter, "bucket int, bits binary")
+        filters.write.mode("overwrite").parquet(f"{self.folder}/filters/batch={number}")
+        waiting = routed.where(F.coalesce(F.col("route_status") != ACCEPTED, F.lit(True)))
+        if not waiting.isEmpty():
+            waiting.write.mode("overwrite").parquet(f"{self.folder}/queue/batch={number}")
+        return written
 
     def _batch(self, number: int) -> DataFrame:
         return self.spark.read.schema(schemas.EVENTS).parquet(f"{self.folder}/events/batch={number}")
