@@ -10,8 +10,11 @@ in a smaller doc_id or before in the same document.
    strings that end at white space or after STEP bytes without, so that where a symbol starts
    depends only on the bytes before; windows between symbol starts are their next suffix, up to
    what is left of LENGTH, and the bytes before it. Equal neighbours in the array are repeats.
-3. An anchor with more runs than BLOCK is dealt over several arrays; of each kind of window, the
-   first of each array then meet by hash.
+3. An anchor with more runs than BLOCK is told apart further: its runs are cut into pieces of up to
+   PIECE windows by their distance from the anchor, and only pieces with equal bytes around it, those
+   that all their windows share, can hold equal windows. Pieces are settled like runs. Where more than
+   BLOCK still meet, they are dealt over several arrays; of each kind of window, the first of each
+   array then meet by hash.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from .words import mix, rolling_hash, span_hash, sums
 LENGTH, GRAM, STEP = 100, 32, 16
 #: Runs of one anchor in an array, bytes in an array, anchors settled at a time in a task.
 BLOCK, BYTES, HELD = 1500, 1 << 18, 2_000_000
+#: Windows in a piece of a run.
+PIECE = 16
 SPAN = "doc_id long, s int, e int, k long, salt int"
 
 
@@ -77,9 +82,34 @@ def merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, n
     return doc[first], s[first], top[last] - lift[last]
 
 
-def _rows(doc: np.ndarray, s: np.ndarray, e: np.ndarray, k: np.ndarray | None = None, salt: np.ndarray | None = None) -> pa.RecordBatch:
+def run_pieces(runs: list[bytes], k: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of runs and their anchors' hashes: run, first window in it, number of windows, key and hash of each piece. Equal windows are in pieces of one key."""
+    size = np.array([len(r) for r in runs], np.int64)
+    flat = np.frombuffer(b"".join(runs), np.uint8)
+    ends = np.cumsum(size)
+    begins = ends - size
+    n = len(flat) - GRAM + 1
+    owner = np.repeat(np.arange(len(runs)), size)[:n]
+    grams = rolling_hash(sums(flat), np.arange(n), np.arange(GRAM, len(flat) + 1))
+    hits = np.flatnonzero((grams == k.view(np.uint64)[owner]) & (ends[owner] - np.arange(n) >= GRAM))
+    anchor = hits[np.unique(owner[hits], return_index=True)[1]]  # the leftmost is the one that the windows chose
+    many = size - LENGTH + 1
+    own = np.repeat(np.arange(len(runs)), many)
+    window = np.repeat(begins - np.cumsum(many) + many, many) + np.arange(many.sum())
+    band = (anchor[own] - window) // PIECE
+    first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (band[1:] != band[:-1])]))
+    count = np.diff(np.append(first, len(own)))
+    start, run, band = window[first], own[first], band[first]
+    core = anchor[run] - band * PIECE  # in all windows of the band, as far as the first of them reaches
+    key = mix(span_hash(flat, core, core + LENGTH - PIECE + 1) ^ mix(k.view(np.uint64)[run] + band.astype(np.uint64)))
+    h = span_hash(flat, start, start + count + LENGTH - 1) + mix((anchor[run] - start).astype(np.uint64))
+    return run, start - begins[run], count, key, h
+
+
+def _rows(doc: np.ndarray, s: np.ndarray, e: np.ndarray, k: np.ndarray | None = None, salt: np.ndarray | None = None, run: list | None = None) -> pa.RecordBatch:
     none = [None] * len(doc)
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(none if k is None else k, pa.int64()), pa.array(none if salt is None else salt, pa.int32())], names=["doc_id", "s", "e", "k", "salt"])
+    own = [pa.array(doc, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(none if k is None else k, pa.int64()), pa.array(none if salt is None else salt, pa.int32())]
+    return pa.RecordBatch.from_arrays([*own, pa.array(none if run is None else run, pa.binary())], names=["doc_id", "s", "e", "k", "salt", "run"])
 
 
 def _firsts(k: np.ndarray, h: np.ndarray, doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,40 +120,21 @@ def _firsts(k: np.ndarray, h: np.ndarray, doc: np.ndarray, s: np.ndarray) -> tup
     return order[new], order[~new & other]
 
 
-def settle_runs(docs: DataFrame) -> DataFrame:
-    """Spans (k null) that repeat an earlier run as a whole, and the first of those runs whose anchor has others (k, salt)."""
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def settled() -> Iterator[pa.RecordBatch]:
-            k, h, doc, s, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            keep, gone = _firsts(k, h, doc, s)
-            d, a, b = merged(doc[gone], s[gone], s[gone] + n[gone] + LENGTH - 1)
-            # settled spans travel under keys of their own
-            for rows in ((k[keep], h[keep], doc[keep], s[keep], n[keep]), (mix(d.view(np.uint64) + a.astype(np.uint64)), np.zeros(len(d), np.uint64), d, a, a - b)):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0].view(np.int64), pa.int64()), pa.array(rows[1].view(np.int64), pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int32()), pa.array(rows[4], pa.int32())], names=["k", "h", "doc_id", "s", "n"])
-
-        for batch in batches:
-            for part in slices(batch, limit=1 << 19):
-                owner, s, n, k, h = anchor_runs(blobs(part))
-                held.append((k, h, part.column("doc_id").to_numpy()[owner], s, n))
-                if sum(len(x[0]) for x in held) > HELD:
-                    yield from settled()
-                    held = []
-        if held:
-            yield from settled()
+def settle_whole(runs: DataFrame) -> DataFrame:
+    """Of runs (k, h, doc_id, s, n, and run where they bring their bytes): spans of those that repeat an earlier one (k null), and the first ones whose k has others."""
+    brought = "run" in runs.columns
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in order. Of an anchor, no more than BLOCK runs wait until it is known whether there are more."""
         last = None
-        wait = [np.zeros(0, np.int64)] * 4
+        wait = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, object)]
         gone_k, gone = None, 0  # an anchor of which so many runs have left already
         for batch in batches:
             k, h, doc, s, n = (batch.column(c).to_numpy() for c in ("k", "h", "doc_id", "s", "n"))
+            run = batch.column("run").to_numpy(zero_copy_only=False) if brought else np.full(len(k), None)
             ready = n < 0
             yield _rows(doc[ready], s[ready], s[ready] - n[ready])
-            k, h, doc, s, n = (x[~ready] for x in (k, h, doc, s, n))
+            k, h, doc, s, n, run = (x[~ready] for x in (k, h, doc, s, n, run))
             if not len(k):
                 continue
             same = [np.concatenate([[last is not None and last[i] == x[0]], x[1:] == x[:-1]]) for i, x in enumerate((k, h, doc, s))]
@@ -131,7 +142,7 @@ def settle_runs(docs: DataFrame) -> DataFrame:
             copy = again & same[2] & same[3]  # of a row
             last = (k[-1], h[-1], doc[-1], s[-1])
             yield _rows(*merged(*(x[again & ~copy] for x in (doc, s, s + n + LENGTH - 1))))
-            k, doc, s, n = (np.concatenate([w, x[~again]]) for w, x in zip(wait, (k, doc, s, n), strict=True))
+            k, doc, s, n, run = (np.concatenate([w, x[~again]]) for w, x in zip(wait, (k, doc, s, n, run), strict=True))
             if not len(k):
                 continue
             cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -142,17 +153,59 @@ def settle_runs(docs: DataFrame) -> DataFrame:
             salt = np.where(many > BLOCK, place // BLOCK + 1, 0)  # 0: all runs of the anchor are in one array
             leaves = many > 1
             if many[-1] > BLOCK:
-                gone_k, gone, wait = k[-1], int(many[-1]), [x[:0] for x in (k, doc, s, n)]
+                gone_k, gone, wait = k[-1], int(many[-1]), [x[:0] for x in (k, doc, s, n, run)]
             else:
-                wait = [x[cuts[-1] :] for x in (k, doc, s, n)]
+                wait = [x[cuts[-1] :] for x in (k, doc, s, n, run)]
                 leaves[cuts[-1] :] = False
-            yield _rows(doc[leaves], s[leaves], s[leaves] + n[leaves] + LENGTH - 1, k[leaves], salt[leaves].astype(np.int32))
-        k, doc, s, n = wait
+            yield _rows(doc[leaves], s[leaves], s[leaves] + n[leaves] + LENGTH - 1, k[leaves], salt[leaves].astype(np.int32), run[leaves])
+        k, doc, s, n, run = wait
         if len(k) > 1:
-            yield _rows(doc, s, s + n + LENGTH - 1, k, np.zeros(len(k), np.int32))
+            yield _rows(doc, s, s + n + LENGTH - 1, k, np.zeros(len(k), np.int32), run)
+
+    return runs.repartition("k").sortWithinPartitions("k", "h", "doc_id", "s").mapInArrow(tidy(whole), SPAN + ", run binary")
+
+
+def settle_runs(docs: DataFrame) -> DataFrame:
+    """Spans (k null) that repeat an earlier run as a whole, and the first of those runs whose anchor has others (k, salt)."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            k, h, doc, s, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            keep, gone = _firsts(k, h, doc, s)
+            d, a, b = merged(doc[gone], s[gone], s[gone] + n[gone] + LENGTH - 1)
+            # settled spans travel under keys of their own
+            for rows in ((k[keep], h[keep], doc[keep], s[keep], n[keep]), (mix(d.view(np.uint64) + a.astype(np.uint64)), np.zeros(len(d), np.uint64), d, a, a - b)):
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0].view(np.int64), pa.int64()), pa.array(rows[1].view(np.int64), pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int32()), pa.array(rows[4], pa.int32())], names=["k", "h", "doc_id", "s", "n"])
+
+        for batch in batches:
+            for part in slices(batch, limit=1 << 19):
+                owner, s, n, k, h = anchor_runs(blobs(part))
+                held.append((k, h, part.column("doc_id").to_numpy()[owner], s, n))
+                if sum(len(x[0]) for x in held) > HELD:
+                    yield from settled()
+                    held = []
+        if held:
+            yield from settled()
 
     runs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(tidy(local), "k long, h long, doc_id long, s int, n int")
-    return runs.repartition("k").sortWithinPartitions("k", "h", "doc_id", "s").mapInArrow(tidy(whole), SPAN)
+    return settle_whole(runs).drop("run")
+
+
+def split_runs(runs: DataFrame) -> DataFrame:
+    """Spans and pieces like those of settle_runs(), and the bytes of the pieces, of runs (k, doc_id, s, run)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "run", limit=1 << 19):
+                data = blobs(part, "run")
+                run, at, n, k, h = run_pieces(data, part.column("k").to_numpy())
+                out = [data[r][a : a + c + LENGTH - 1] for r, a, c in zip(run.tolist(), at.tolist(), n.tolist(), strict=True)]
+                own = [pa.array(k.view(np.int64)), pa.array(h.view(np.int64)), pa.array(part.column("doc_id").to_numpy()[run]), pa.array(part.column("s").to_numpy()[run] + at, pa.int32()), pa.array(n, pa.int32()), pa.array(out, pa.binary())]
+                yield pa.RecordBatch.from_arrays(own, names=["k", "h", "doc_id", "s", "n", "run"])
+
+    return settle_whole(runs.select("k", "doc_id", "s", "run").mapInArrow(tidy(cut), "k long, h long, doc_id long, s int, n int, run binary"))
 
 
 def repeats(runs: list[bytes], doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -272,10 +325,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id and spans (array of s and e, bytes) of all documents (doc_id long, text) with repeats; spans may overlap."""
     found = staged(settle_runs(docs), "runs")
     # a shuffle of its own brings runs together that the fetch has in other partitions; copies of a row give the same run
-    sorted_runs = staged(sort_runs(fetch_runs(docs.where("text IS NOT NULL"), found.where("k IS NOT NULL"))), "sorted-runs")
+    fetched = staged(fetch_runs(docs.where("text IS NOT NULL"), found.where("k IS NOT NULL")), "fetched-runs")
+    pieces = staged(split_runs(fetched.where("salt > 0")), "pieces")
+    sorted_runs = staged(sort_runs(fetched.where("salt = 0").unionByName(pieces.where("k IS NOT NULL").select(*fetched.columns))), "sorted-runs")
     rank = F.row_number().over(Window.partitionBy("k", "w").orderBy("doc_id", "s"))  # a row for each array
     met = sorted_runs.where("w IS NOT NULL").withColumn("rank", rank).where("rank > 1")
-    spans = found.where("k IS NULL").select("doc_id", "s", "e").unionByName(sorted_runs.where("w IS NULL").select("doc_id", "s", "e")).unionByName(met.select("doc_id", "s", "e"))
+    spans = found.where("k IS NULL").unionByName(pieces.where("k IS NULL"), True).select("doc_id", "s", "e").unionByName(sorted_runs.where("w IS NULL").select("doc_id", "s", "e")).unionByName(met.select("doc_id", "s", "e"))
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 

@@ -80,6 +80,26 @@ def test_dedup_with_split_anchors(spark, monkeypatch):
     check_dedup(spark, shared_passages(4, 80))
 
 
+def test_dedup_tells_runs_of_a_common_anchor_apart_before_arrays(spark, monkeypatch):
+    """An anchor with more runs than an array holds leaves no row for each of its windows."""
+    inner, stored = suffix_dedup.staged, {}
+    monkeypatch.setattr(suffix_dedup, "staged", lambda df, name, *a: stored.setdefault(name, inner(df, name, *a)))
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 8)
+    random.seed(6)
+    word = lambda: "".join(random.choice("abcde") for _ in range(6))
+    text = lambda k: " ".join(word() for _ in range(k))
+    line, lead, near = text(8), [text(4) for _ in range(4)], [text(1) for _ in range(40)]
+    rows = [(i, f"{text(12)} {lead[i % 4] if i % 5 == 0 else text(4)} {line} {text(12)}") for i in range(200)]
+    check_dedup(spark, rows)
+    runs, windows = stored["runs"].where("salt > 0").count(), stored["sorted-runs"].where("w IS NOT NULL").count()
+    assert runs > 50 and windows < runs
+    stored.clear()
+    # pieces that share all but the ends are more than an array holds, and still meet
+    line = text(14)
+    check_dedup(spark, [(i, f"{text(9)} {near[i % 40]} {line} {near[i % 7]} {text(9)}") for i in range(120)])
+    assert stored["pieces"].where("salt > 0").count()
+
+
 def test_dedup_of_odd_tables(spark):
     assert suffix_dedup.unrepeated(docs(spark, [])).count() == 0
     extra = spark.createDataFrame([(1, "a" * 120, "x"), (None, "a" * 120, "y"), (2, "a" * 110, "z")], "doc_id long, text string, kept string")
