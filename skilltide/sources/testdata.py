@@ -29,12 +29,13 @@ def events(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
         customer = customer.select("c_custkey", F.col("c_mktsegment").alias("standard_job"))
     skill = F.concat_ws(" ", "p_brand", "p_type") if sparse else F.col("p_brand")
     lineitem = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").where("l_orderkey IS NOT NULL")
-    lines = lineitem.join(table(spark, sf_dir, "part").select("p_partkey", skill.alias("skill")), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("key"), "skill", F.lit(None).alias("posting"))
-    postings = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("key"), F.lit(None).alias("skill"), F.struct("month", "standard_job").alias("posting"))
-    # lines and postings meet by order in parts of bounded size; an order has a few lines
+    lines = lineitem.join(table(spark, sf_dir, "part").select("p_partkey", skill.alias("skill")), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").cast("string").alias("key"), "skill", F.lit(None).alias("posting"))
+    postings = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").cast("string").alias("key"), F.lit(None).alias("skill"), F.struct("month", "standard_job").alias("posting"))
+    # lines and postings meet by order in parts of bounded size; an order has a few lines. The key is the
+    # job_id as it leaves, so that Spark knows the parts by it: who tells job_ids apart does so inside them
     parts = max(spark.sparkContext.defaultParallelism, -(-lineitem.count() // LINES))
     both = lines.unionByName(postings).repartition(parts, "key").groupBy("key").agg(F.collect_list("posting").alias("postings"), F.array_sort(F.collect_set("skill")).alias("skills"))
-    return both.select(F.col("key").cast("string").alias("job_id"), "skills", F.inline("postings")).select("job_id", "month", "standard_job", "skills")
+    return both.select(F.col("key").alias("job_id"), "skills", F.inline("postings")).select("job_id", "month", "standard_job", "skills")
 
 
 def taxonomy(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
