@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Order lines of a part of the events, about: what a task holds does not grow with the tables.
+#: Order lines and orders of a part of the events, about: what a task holds does not grow with the tables.
 LINES = 500_000
 
 
@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
     """job_id, month, standard_job and skills (array)."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
     if sparse:
         nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -29,11 +29,18 @@ def events(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
         customer = customer.select("c_custkey", F.col("c_mktsegment").alias("standard_job"))
     skill = F.concat_ws(" ", "p_brand", "p_type") if sparse else F.col("p_brand")
     lineitem = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").where("l_orderkey IS NOT NULL")
-    lines = lineitem.join(table(spark, sf_dir, "part").select("p_partkey", skill.alias("skill")), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").cast("string").alias("key"), "skill", F.lit(None).alias("posting"))
+    part = table(spark, sf_dir, "part").select("p_partkey", skill.alias("skill"))
+    wanted = -(-lineitem.select("l_orderkey").union(orders.select("o_orderkey")).count() // LINES)
+    parts = max(spark.sparkContext.defaultParallelism, wanted)
+    orders = orders.select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        # the session's partitions would grow with the tables: both joins sort in parts of bounded size as well
+        lineitem, part = lineitem.repartition(parts, "l_partkey"), part.repartition(parts, "p_partkey").hint("merge")
+        orders, customer = orders.repartition(parts, "o_custkey"), customer.repartition(parts, "c_custkey").hint("merge")
+    lines = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").cast("string").alias("key"), "skill", F.lit(None).alias("posting"))
     postings = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").cast("string").alias("key"), F.lit(None).alias("skill"), F.struct("month", "standard_job").alias("posting"))
     # lines and postings meet by order in parts of bounded size; an order has a few lines. The key is the
     # job_id as it leaves, so that Spark knows the parts by it: who tells job_ids apart does so inside them
-    parts = max(spark.sparkContext.defaultParallelism, -(-lineitem.count() // LINES))
     both = lines.unionByName(postings).repartition(parts, "key").groupBy("key").agg(F.collect_list("posting").alias("postings"), F.array_sort(F.collect_set("skill")).alias("skills"))
     return both.select(F.col("key").alias("job_id"), "skills", F.inline("postings")).select("job_id", "month", "standard_job", "skills")
 
